@@ -7,8 +7,8 @@ has one multiplier a source, and the rates are exponentially tilted,
 exp(multiplier * feature).  The dual separates by source, so Newton's iteration
 runs for all sources at once as a column expression over the per-source token
 sums.  Rates are then rounded into copies: documents of a source are ranked by
-size, and each takes its share of the fraction by systematic rounding, so that
-the error stays within a document's size.
+size, and each takes its share of the fraction by systematic rounding; what is
+left of the target is then made up by the source's smallest documents.
 
 Null text has size 0.  Null is a source of its own, ordered last.  An empty table
 gives an empty result.
@@ -64,24 +64,43 @@ def mix(docs: DataFrame, keep: list[str], weights: tuple[float, ...] = WEIGHTS,
     ``keep`` columns of documents (doc_id, text, source)."""
     base = materialize(docs.select(*keep, *[F.col(c).alias(f"_{c}") for c in ("doc_id", "source")], word_count(F.col("text")).alias("size")), "sizes")
     goals = source_targets(base.select(F.col("_source").alias("source"), "size"), weights, ceiling)
-    rates = goals.select(F.col("source").alias("_s"), "source_size", "target", F.least(F.lit(ceiling), F.coalesce(F.exp(tilt(F.col("source_size"), F.col("target"))), F.lit(0.0))).alias("rate"))
-    ranked = source_ranks(base)
-    joined = ranked.join(rates, F.col("_source").eqNullSafe(F.col("_s")))
-    fraction = F.col("rate") - F.floor("rate")
-    # the k-th document of a source, by size, takes the k-th part of the fraction
-    extra = F.floor(fraction * (F.col("_rank") + 1) + 0.5) - F.floor(fraction * F.col("_rank") + 0.5)
-    copies = F.least(F.lit(int(ceiling)), F.floor("rate") + extra).cast("int")
+    rates = goals.withColumn("rate", F.least(F.lit(ceiling), F.coalesce(F.exp(tilt(F.col("source_size"), F.col("target"))), F.lit(0.0))))
+    classes = copy_classes(base, rates, ceiling)
+    ranked = with_rank(base, ["_source", "size"], ["_doc_id"], "_r")
+    joined = ranked.join(classes, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
+    at = F.col("_before") + F.col("_r")
+    extra = _extras(at + 1) - _extras(at)
+    # its place among those of its class that have, or lack, an extra copy
+    place = F.when(F.col("_up"), F.col("_r") - (_extras(at) - _extras(F.col("_before")))).otherwise(_extras(at) - _extras(F.col("_before")))
+    flip = (extra == F.when(F.col("_up"), 0).otherwise(1)) & (place < F.col("_flips"))
+    copies = (F.floor("rate") + F.when(flip, 1 - extra).otherwise(extra)).cast("int")
     return joined.select(*keep, "size", "source_size", "target", "rate", copies.alias("copies"))
 
 
-def source_ranks(base: DataFrame) -> DataFrame:
-    """Rank by size within a source: rank among equal sizes, salted, plus the
-    number of smaller documents, summed over one row a (source, size)."""
-    ranked = with_rank(base, ["_source", "size"], ["_doc_id"], "_r")
-    counts = base.groupBy("_source", "size").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("_source").alias("_o"), F.col("size").alias("_z"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return ranked.join(offsets, F.col("_source").eqNullSafe(F.col("_o")) & (F.col("size") == F.col("_z"))).withColumn("_rank", F.col("_r") + F.col("_before"))
+def _extras(n: Column) -> Column:
+    """Of the first ``n`` documents of a source, by size, how many have an extra
+    copy: each takes its part of the rate's fraction."""
+    return F.floor((F.col("rate") - F.floor("rate")) * n + 0.5)
+
+
+def copy_classes(base: DataFrame, rates: DataFrame, ceiling: float) -> DataFrame:
+    """One row a (source, size): its documents' places among the source's, by
+    size, and how many of them change their extra copy so that the source comes
+    as near its target as its smallest documents allow.  The windows run over
+    distinct sizes, not documents."""
+    by_size = Window.partitionBy("_s").orderBy("_z").rowsBetween(Window.unboundedPreceding, -1)
+    of_source = Window.partitionBy("_s")
+    counts = base.groupBy(F.col("_source").alias("_s"), F.col("size").alias("_z")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = counts.withColumn("_before", F.coalesce(F.sum("_n").over(by_size), F.lit(0)))
+    joined = placed.join(rates, F.col("_s").eqNullSafe(F.col("source"))).drop("source")
+    extras = _extras(F.col("_before") + F.col("_n")) - _extras(F.col("_before"))
+    counted = joined.withColumn("_extra", extras).withColumn("_rest", F.col("target") - F.sum(F.col("_z") * (F.col("_n") * F.floor("rate") + F.col("_extra"))).over(of_source))
+    sided = counted.withColumn("_up", F.col("_rest") > 0)
+    free = F.when(F.col("_up"), F.when(F.floor("rate") + 1 <= ceiling, F.col("_n") - F.col("_extra")).otherwise(0)).otherwise(F.col("_extra"))
+    summed = sided.withColumn("_free", free).withColumn("_sum", F.coalesce(F.sum(F.col("_free") * F.col("_z")).over(by_size), F.lit(0)))
+    room = F.floor((F.abs("_rest") - F.col("_sum")) / F.col("_z"))
+    flips = F.when(F.col("_z") > 0, F.greatest(F.lit(0), F.least(F.col("_free"), room))).otherwise(0)
+    return summed.select("_s", "_z", "_before", "source_size", "target", "rate", "_up", flips.cast("long").alias("_flips"))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from estatum.llm import mixing, media, toxicity, warc
+from estatum.llm import media, mixing, neighbours, packing, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_media": media.op1_media,
         "op5_warc": warc.op5_warc,
+        "op7_neighbours": neighbours.op7_neighbours,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op9_packing": packing.op9_packing,
         "op10_mixing": mixing.op10_mixing,
     }
 

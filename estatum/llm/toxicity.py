@@ -1,8 +1,9 @@
 """Toxicity by a linear-chain conditional random field.
 
-Two states a token (clean, toxic); emissions are weights of a bounded word list,
-transitions a 2 x 2 matrix.  Labels are of documents only, so token labels are
-made first: in documents labelled toxic, words whose smoothed log-odds between
+Two states a token (clean, toxic); a token's features are the word and its first
+4, 5 and 6 letters (inflected words share a stem), emissions are weights of a
+bounded list of these, transitions a 2 x 2 matrix.  Labels are of documents only, so token labels are
+made first: in documents labelled toxic, words with a feature whose smoothed log-odds between
 toxic and clean labelled documents pass a threshold are toxic tokens, and all
 tokens of other documents are clean.  The CRF is fitted to these by gradient
 ascent on the conditional likelihood; forward-backward marginals of the toxic
@@ -27,27 +28,48 @@ from estatum.llm.common import extended, materialize, table
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Bounds of what the fit gathers on the driver: labelled documents (by hash), words with a weight.
-FIT_DOCS = 2000
+FIT_DOCS = 1600
 LEXICON = 4096
 #: A token is labelled toxic if its document is and its log-odds are at least this.
-ODDS = 3.0
+ODDS = 2.5
+STEMS = (4, 5, 6)
 
 
 def word_odds(labelled: DataFrame, size: int = LEXICON) -> DataFrame:
-    """(word, weight): the ``size`` words of greatest absolute log-odds between
+    """(word, weight): the ``size`` words and stems ("^" before them) of greatest absolute log-odds between
     documents labelled 1 and 0, over all labelled rows; ties by word."""
-    words = labelled.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))).alias("word"))
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
+    stems = [F.transform(F.filter(F.col("_w"), lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.lit("^"), F.substring(w, 1, n))) for n in STEMS]
+    words = labelled.select("toxic", found.alias("_w")).select("toxic", F.explode(F.array_distinct(F.concat("_w", *stems))).alias("word"))
     by = words.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1)).alias("b"))
     n = labelled.agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("na"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1)).alias("nb"))
     odds = F.log((F.col("a") + 0.5) / (F.col("na") + 1.0)) - F.log((F.col("b") + 0.5) / (F.col("nb") + 1.0))
     # the support term keeps rare words, whose odds are noise, near zero
-    scored = by.filter("a + b >= 3").crossJoin(F.broadcast(n)).select("word", (odds * (1 - F.exp(-(F.col("a") + F.col("b")) / 8.0))).alias("weight"))
+    scored = by.filter("a + b >= 3").crossJoin(F.broadcast(n)).select("word", (odds * (1 - F.exp(-(F.col("a") + F.col("b")) / 3.0))).alias("weight"))
     return scored.orderBy(F.abs("weight").desc(), "word").limit(size)
 
 
+def features_of(word: str) -> list[str]:
+    return [word, *("^" + word[:n] for n in STEMS if len(word) > n)]
+
+
+class Memo(dict):
+    """Emission by word, 0.0 where no feature is listed; bounded."""
+
+    def __init__(self, crf: Crf):
+        self.crf = crf
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > 300_000:
+            self.clear()
+        found = [x for f in features_of(word) if (x := self.crf.emit.get(f)) is not None]
+        self[word] = out = (self.crf.bias + sum(found) or 1e-12) if found else 0.0
+        return out
+
+
 class Crf:
-    """Emission of the toxic state by word, less that of the clean state; start
-    and transition scores.  Words outside the list emit ``bias``."""
+    """Emission of the toxic state, less that of the clean state: ``bias`` plus
+    the weights of a word's listed features; start and transition scores."""
 
     def __init__(self, emit: dict[str, float], bias: float, start: np.ndarray, trans: np.ndarray, a: float = 1.0, b: float = 0.0):
         self.emit, self.bias, self.start, self.trans, self.a, self.b = emit, bias, start, trans, a, b
@@ -55,6 +77,7 @@ class Crf:
         self.eig, right = np.linalg.eig(step)
         self.right, self.left = right.real, np.linalg.inv(right).real
         self.eig = self.eig.real
+        self.memo: Memo | None = None
 
     def leap(self, n: int) -> np.ndarray:
         """Transfer over ``n`` unlisted tokens, scaled: a power of one matrix."""
@@ -93,12 +116,14 @@ class Crf:
         low = text.lower()
         if len(low) != len(text):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        words = TOKEN.findall(low)
-        emit = self.emit
-        at = [i for i, w in enumerate(words) if w in emit]
+        if self.memo is None:
+            self.memo = Memo(self)
+        memo, words = self.memo, TOKEN.findall(low)
+        values = [memo[w] for w in words]
+        at = [i for i, v in enumerate(values) if v]
         if not at:
             return []
-        p = self.marginals(at, [emit[words[i]] for i in at], len(words))
+        p = self.marginals(at, [values[i] for i in at], len(words))
         want, found = dict(zip(at, p, strict=True)), []
         for i, m in enumerate(TOKEN.finditer(low)):
             if i in want:
@@ -110,21 +135,28 @@ class Crf:
         return float(1 / (1 + np.exp(-np.clip(self.a * total + self.b, -500, 500))))
 
 
-def fit(docs: list[tuple[str, int]], odds: dict[str, float], rounds: int = 60, rate: float = 0.5, shrink: float = 1e-3) -> Crf:
-    """Fit to (text, label) rows; runs over the padded token matrix."""
+def fit(docs: list[tuple[str, int]], odds: dict[str, float], rounds: int = 40, rate: float = 0.5, shrink: float = 1e-3, segment: int = 128) -> Crf:
+    """Fit to (text, label) rows, cut into segments; runs over the padded matrix
+    of their words."""
+    index = {f: i for i, f in enumerate(odds)}
+    ids: dict[str, int] = {}
+    marks: list[bool] = []
+    pairs: list[tuple[int, int]] = []
     rows, labels = [], []
-    index = {w: i + 1 for i, w in enumerate(odds)}
     for text, toxic in docs:
-        words = TOKEN.findall((text or "").lower())
-        if not words:
-            continue
-        for i in range(0, len(words), 256):
-            part = words[i : i + 256]
-            rows.append([index.get(w, 0) for w in part])
-            labels.append([int(bool(toxic) and odds.get(w, 0.0) >= ODDS) for w in part])
-    emit = np.zeros(len(index) + 1)
+        found = []
+        for w in TOKEN.findall((text or "").lower()):
+            if w not in ids:
+                ids[w] = len(ids)
+                hit = [index[f] for f in features_of(w) if f in index]
+                pairs += [(ids[w], i) for i in hit]
+                marks.append(any(odds[f] >= ODDS for f in features_of(w) if f in index))
+            found.append(ids[w])
+        for i in range(0, len(found), segment):
+            rows.append(found[i : i + segment])
+            labels.append([int(bool(toxic) and marks[w]) for w in rows[-1]])
+    emit, bias = np.zeros(len(index)), np.array([-1.0])
     start, trans = np.array([0.0, -3.0]), np.array([[0.0, -3.0], [0.0, -1.0]])
-    emit[0] = -1.0
     if not rows:
         return Crf({}, -1.0, start, trans)
     width = max(map(len, rows))
@@ -132,10 +164,13 @@ def fit(docs: list[tuple[str, int]], odds: dict[str, float], rounds: int = 60, r
     for i, (r, v) in enumerate(zip(rows, labels, strict=True)):
         x[i, : len(r)], y[i, : len(r)], on[i, : len(r)] = r, v, 1
     on = on.astype(bool)
-    seen = np.bincount(x[on], minlength=len(emit))
-    grads = [np.zeros_like(emit), np.zeros(2), np.zeros((2, 2))]
+    word_of, feature_of = (np.array(c, np.int64) for c in (zip(*pairs, strict=True) if pairs else ([], [])))
+    uses = np.bincount(x[on], minlength=len(ids))
+    seen = np.bincount(feature_of, uses[word_of], minlength=len(index))
+    state = [np.zeros_like(emit), np.zeros(1), np.zeros(2), np.zeros((2, 2))]
     for _ in range(rounds):
-        e = np.exp(np.stack([np.zeros(x.shape), emit[x]], axis=-1))
+        value = bias[0] + np.bincount(word_of, emit[feature_of], minlength=len(ids))
+        e = np.exp(np.stack([np.zeros(x.shape), value[x]], axis=-1))
         m = np.exp(trans)
         alpha, beta = np.empty((*x.shape, 2)), np.ones((*x.shape, 2))
         v = np.exp(start) * e[:, 0]
@@ -150,18 +185,21 @@ def fit(docs: list[tuple[str, int]], odds: dict[str, float], rounds: int = 60, r
         g /= g.sum(-1, keepdims=True)
         pair = alpha[:, :-1, :, None] * m * (e * beta)[:, 1:, None, :]
         pair /= pair.sum((-1, -2), keepdims=True)
-        both = on[:, 1:]
-        want_pair = np.zeros((2, 2))
-        np.add.at(want_pair, (y[:, :-1][both], y[:, 1:][both]), 1)
-        de = np.bincount(x[on], (y - g[..., 1])[on], minlength=len(emit))
-        ds = np.bincount(y[:, 0], minlength=2) - g[:, 0].sum(0)
-        dt = want_pair - pair[both].sum(0)
+        both, have = on[:, 1:], np.zeros((2, 2))
+        np.add.at(have, (y[:, :-1][both], y[:, 1:][both]), 1)
+        by_word = np.bincount(x[on], (y - g[..., 1])[on], minlength=len(ids))
+        steps = (
+            (emit, np.bincount(feature_of, by_word[word_of], minlength=len(index)) / np.maximum(seen, 1) ** 0.5),
+            (bias, by_word.sum(keepdims=True) / on.sum() ** 0.5),
+            (start, (np.bincount(y[:, 0], minlength=2) - g[:, 0].sum(0)) / len(rows)),
+            (trans, (have - pair[both].sum(0)) / max(1, both.sum()) ** 0.5),
+        )
         # adaptive steps: each weight's by its own past gradients
-        for k, (w, d, n) in enumerate(((emit, de / np.maximum(seen, 1) ** 0.5, 1), (start, ds / len(rows), 1), (trans, dt / max(1, both.sum()) ** 0.5, 1))):
+        for k, (w, d) in enumerate(steps):
             d = d - shrink * w
-            grads[k] += d * d
-            w += rate * d / (np.sqrt(grads[k]) + 1e-8)
-    model = Crf({w: float(emit[i]) for w, i in index.items()}, float(emit[0]), start, trans)
+            state[k] += d * d
+            w += rate * d / (np.sqrt(state[k]) + 1e-8)
+    model = Crf({f: float(emit[i]) for f, i in index.items()}, float(bias[0]), start, trans)
     # logistic curve from summed marginals to labels, by Newton steps
     z = np.array([-sum(np.log1p(-min(p, 1 - 1e-9)) for _, _, p in model.tag(t or "")) for t, _ in docs])
     t = np.array([float(bool(v)) for _, v in docs])
@@ -179,11 +217,10 @@ def train(labelled: DataFrame, fit_docs: int = FIT_DOCS, lexicon: int = LEXICON)
     itself is fitted on at most ``fit_docs`` of them, half toxic, by hash."""
     labelled = labelled.filter("text IS NOT NULL AND toxic IS NOT NULL")
     odds = {r.word: r.weight for r in word_odds(labelled, lexicon).collect()}
-    cut = F.substring("text", 1, 8000)
     rows = []
     for label in (1, 0):
         part = labelled.filter((F.col("toxic") == 1) if label else (F.col("toxic") != 1))
-        rows += [(r.text, label) for r in part.select(cut.alias("text"), F.xxhash64("doc_id", F.lit(7)).alias("_h")).orderBy("_h", "text").limit(fit_docs // 2).collect()]
+        rows += [(r.text, label) for r in part.select("text", F.xxhash64("doc_id", F.lit(7)).alias("_h")).orderBy("_h", "text").limit(fit_docs // 2).collect()]
     # words outside toxic use stay at their own emission: only those with some odds are listed
     odds = {w: o for w, o in odds.items() if o >= 0.5}
     return fit(rows, odds)
