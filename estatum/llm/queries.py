@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from estatum.llm import media, mixing, neighbours, packing, toxicity, warc
+from estatum.llm import media, mixing, neardup, neighbours, packing, secrets, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_media": media.op1_media,
+        "op3_neardup": neardup.op3_neardup,
         "op5_warc": warc.op5_warc,
+        "op6_secrets": secrets.op6_secrets,
         "op7_neighbours": neighbours.op7_neighbours,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_packing": packing.op9_packing,
