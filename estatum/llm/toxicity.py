@@ -30,6 +30,8 @@ TOKEN = re.compile(r"[^\W\d_]+")
 #: Bounds of what the fit gathers on the driver: labelled documents (by hash), words with a weight.
 FIT_DOCS = 1600
 LEXICON = 4096
+#: Label rows (16 bytes each) up to which they are broadcast.
+SMALL_LABELS = 1_000_000
 #: A token is labelled toxic if its document is and its log-odds are at least this.
 ODDS = 2.5
 STEMS = (4, 5, 6)
@@ -45,10 +47,15 @@ def word_odds(labelled: DataFrame, size: int = LEXICON) -> DataFrame:
     n = labelled.agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("na"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1)).alias("nb"))
     odds = F.log((F.col("a") + 0.5) / (F.col("na") + 1.0)) - F.log((F.col("b") + 0.5) / (F.col("nb") + 1.0))
     # the support term keeps rare words, whose odds are noise, near zero
-    scored = by.filter("a + b >= 3").crossJoin(F.broadcast(n)).select("word", (odds * (1 - F.exp(-(F.col("a") + F.col("b")) / 3.0))).alias("weight"))
+    scored = by.filter("a + b >= 4").crossJoin(F.broadcast(n)).select("word", (odds * (1 - F.exp(-(F.col("a") + F.col("b")) / 3.0))).alias("weight"))
     return scored.orderBy(F.abs("weight").desc(), "word").limit(size)
 
 
+def evidence(tagged: list[tuple[int, int, float]]) -> float:
+    """Log-odds that some word is toxic, from marginals that are not negligible."""
+    return -sum(np.log1p(-min(p, 1 - 1e-9)) for _, _, p in tagged if p >= 0.1)
+
+
 def features_of(word: str) -> list[str]:
     return [word, *("^" + word[:n] for n in STEMS if len(word) > n)]
 
@@ -131,7 +138,7 @@ class Crf:
         return found
 
     def score(self, tagged: list[tuple[int, int, float]]) -> float:
-        total = -sum(np.log1p(-min(p, 1 - 1e-9)) for _, _, p in tagged)
+        total = min(evidence(tagged), 20.0)
         return float(1 / (1 + np.exp(-np.clip(self.a * total + self.b, -500, 500))))
 
 
@@ -201,7 +208,7 @@ def fit(docs: list[tuple[str, int]], odds: dict[str, float], rounds: int = 40, r
             w += rate * d / (np.sqrt(state[k]) + 1e-8)
     model = Crf({f: float(emit[i]) for f, i in index.items()}, float(bias[0]), start, trans)
     # logistic curve from summed marginals to labels, by Newton steps
-    z = np.array([-sum(np.log1p(-min(p, 1 - 1e-9)) for _, _, p in model.tag(t or "")) for t, _ in docs])
+    z = np.array([evidence(model.tag(t or "")) for t, _ in docs])
     t = np.array([float(bool(v)) for _, v in docs])
     z1, w = np.stack([np.minimum(z, 20), np.ones_like(z)], axis=1), np.array([1.0, -1.0])
     for _ in range(50):
@@ -222,7 +229,7 @@ def train(labelled: DataFrame, fit_docs: int = FIT_DOCS, lexicon: int = LEXICON)
         part = labelled.filter((F.col("toxic") == 1) if label else (F.col("toxic") != 1))
         rows += [(r.text, label) for r in part.select("text", F.xxhash64("doc_id", F.lit(7)).alias("_h")).orderBy("_h", "text").limit(fit_docs // 2).collect()]
     # words outside toxic use stay at their own emission: only those with some odds are listed
-    odds = {w: o for w, o in odds.items() if o >= 0.5}
+    odds = {w: o for w, o in odds.items() if o >= 1.5}
     return fit(rows, odds)
 
 
@@ -246,6 +253,8 @@ def toxic_scores(df: DataFrame, model: Crf, keep: list[str], text: str = "text",
 def train_split(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled rows the fit may see: crc32(doc_id as text) mod 5 is not 0."""
     marks = labels.select(F.col("doc_id").alias("_d"), "toxic").filter(F.crc32(F.col("_d").cast("string")) % 5 != 0).dropDuplicates(["_d"])
+    # few labels go to the texts; many would not fit, and both are shuffled
+    marks = F.broadcast(marks) if labels.count() <= SMALL_LABELS else marks
     return docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_d")).drop("_d")
 
 
