@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from estatum.llm import media, mixing, neardup, neighbours, packing, secrets, toxicity, warc
+from estatum.llm import language_model, media, mixing, neardup, neighbours, packing, secrets, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_media": media.op1_media,
         "op3_neardup": neardup.op3_neardup,
+        "op4_language_model": language_model.op4_language_model,
         "op5_warc": warc.op5_warc,
         "op6_secrets": secrets.op6_secrets,
         "op7_neighbours": neighbours.op7_neighbours,
