@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from estatum.llm import language_model, media, mixing, neardup, neighbours, packing, secrets, toxicity, warc
+from estatum.llm import language_model, media, mixing, neardup, neighbours, packing, secrets, substrings, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_media": media.op1_media,
+        "op2_substrings": substrings.op2_substrings,
         "op3_neardup": neardup.op3_neardup,
         "op4_language_model": language_model.op4_language_model,
         "op5_warc": warc.op5_warc,
