@@ -17,9 +17,12 @@ each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import base64
 import bisect
 import re
 import zlib
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,27 +32,36 @@ from pyspark.sql import functions as F
 from estatum.llm.common import extended, materialize, table, with_rank
 
 CAPACITY = 2048
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: How the byte-level vocabulary splits text before merging, in the
 #: standard library's terms, which agree with it on the characters of PLAIN.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 NOT_PLAIN = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞€]|<\\|endoftext\\|>")
-CACHED = 300_000
+CACHED = 500_000
 
 
 class Encoder(dict):
-    """Ids of a text as little-endian 32-bit bytes.  Words are encoded once and
-    kept; texts with unusual characters are given to the tokenizer whole."""
+    """Ids of a text as little-endian 32-bit bytes.  Words are encoded once, by the
+    vocabulary's ranks where these are given, and kept; texts with unusual
+    characters are given to the tokenizer whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.word = self.whole
+        if ranks:
+            import tiktoken
+
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            encode = tiktoken.Encoding("words", pat_str=SPLIT.pattern.replace(r"[^\W\d_]", r"\p{L}"), mergeable_ranks=table, special_tokens={}).encode_ordinary
+            self.word = lambda word: array("I", encode(word)).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHED:
             self.clear()
-        self[word] = out = self.whole(word)
+        self[word] = out = self.word(word)
         return out
 
     def whole(self, text: str) -> bytes:
@@ -61,22 +73,28 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, SPLIT.findall(text)))
 
 
+@lru_cache(1)
+def encoder(path: str, ranks: str | None) -> Encoder:
+    """One a worker process, kept from task to task."""
+    return Encoder(path, ranks)
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` tokens; the first takes the rest."""
     first = n if n <= capacity else n % capacity or capacity
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def token_pieces(docs: DataFrame, keep: list[str], path: str, text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, keep: list[str], path: str, ranks: str | None = None, text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """``keep`` columns plus piece, start, length, ids_crc32 (and ids)."""
     schema = extended(docs.select(*keep).schema, "piece integer, start long, length integer, ids_crc32 long" + ", ids binary" * with_ids)
 
     def run(batches):
-        encoder = Encoder(path)
+        own = encoder(path, ranks)
         for b in batches:
             at, rows = [], []
             for i, t in enumerate(b.column(b.num_columns - 1)):
-                ids = encoder.encode(t.as_py() or "") + b"\0\0\0\0"
+                ids = own.encode(t.as_py() or "") + b"\0\0\0\0"
                 for k, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
                     part = ids[4 * s : 4 * (s + n)]
                     at.append(i)
@@ -157,13 +175,14 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataF
     return joined.select(*pieces.columns, (F.col("_first") + F.floor(k / F.col("_fit"))).alias("sequence_id"), (F.col("_at") + F.pmod(k, F.col("_fit")) * F.col("length")).cast("long").alias("offset"))
 
 
-def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Documents (doc_id, text) to placed pieces."""
+def packed(docs: DataFrame, path: str | None = None, ranks: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """Documents (doc_id, text) to placed pieces.  ``ranks``: the vocabulary of
+    ``path`` as ranks, which encodes single words faster."""
     if path is None:
         import public_tokenizers
 
-        path = public_tokenizers.path(VOCABULARY)
-    pieces = materialize(token_pieces(docs, ["doc_id"], path, capacity=capacity), "pieces")
+        path, ranks = public_tokenizers.path(VOCABULARY), public_tokenizers.path(RANKS)
+    pieces = materialize(token_pieces(docs, ["doc_id"], path, ranks, capacity=capacity), "pieces")
     placed = pack(pieces, ["doc_id", "piece"], capacity)
     return placed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
