@@ -5,17 +5,17 @@ join runs over one document a class.  In each of TREES independent trees a
 document walks down by selected minwise tokens: the first node is named by the
 minima of DEPTH hash functions.  Two sets of similarity s meet in a tree's node
 with probability s ** DEPTH, so that at the threshold 0.8 a pair is missed by all
-trees with probability (1 - 0.64) ** 16 < 1e-7.
+trees with probability (1 - 0.512) ** 20 < 1e-6.
 
-Small nodes are compared exhaustively by 64-byte sketches; what might be similar
+Small nodes are compared exhaustively by 128-byte sketches; what might be similar
 is confirmed on full sets.  To lose no link without listing the pairs of a big
 group, it goes in two rounds.  The first links each document of a node with its
 closest ones and with the node's hub, and finds the classes these links make.
 The second looks only at nodes that hold several classes, and only at pairs
-across classes.  Nodes with more than LIMIT documents branch again, each
-document into two children by further minima; what is still too big at the last
-level is compared in blocks, pair of blocks by pair of blocks, so that nothing
-is dropped.
+across classes, each in the first of its small common nodes.  Nodes with more
+than LIMIT documents branch again, each document into two children by further
+minima; what is still too big at the last level is compared in blocks, pair of
+blocks by pair of blocks, so that nothing is dropped.
 
 Texts without words are linked with nothing.  A null id takes no part and is
 kept.  Repeated rows are one class.  An empty table gives no rows.
@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 from estatum.llm import text as tx
 from estatum.llm.common import materialize, table
 
-TREES, DEPTH, SLOTS = 16, 2, 64
+TREES, DEPTH, SLOTS = 20, 3, 128
 LIMIT, LEVELS, SPLIT = 256, 4, 128
 #: Share of equal sketch bytes from which a pair is confirmed: five standard deviations below 0.8.
-MAYBE = 0.55
-SIGNATURE = "doc_id long, n long, s1 long, s2 long, mins array<int>, sketch binary"
+MAYBE = 0.62
+SIGNATURE = "doc_id long, n long, s1 long, s2 long, nodes array<long>, deep array<int>, sketch binary, keys binary"
+#: Ids up to which those of the texts to look up are broadcast.
+FEW_IDS = 1_000_000
 
 
 def _functions() -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +54,8 @@ def _sets(batches, k: int):
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """Per document: size and digest of its set, minima, sketch."""
+    """Per document: size and digest of its set, first nodes, further minima,
+    sketch, and the nodes' short names."""
 
     def run(batches):
         a, c = _functions()
@@ -67,10 +70,13 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                     mins[i] = low
                     sums[i] = tx.mix(s).sum(), np.bitwise_xor.reduce(tx.mix(s + np.uint64(77)))
             mins = tx.mix(mins)
-            flat = pa.array((mins >> np.uint64(32)).astype(np.uint32).view(np.int32).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, SLOTS * len(sets) + 1, SLOTS), pa.int32()), flat)
-            sketch = (mins & np.uint64(255)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)), lists, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["doc_id", "n", "s1", "s2", "mins", "sketch"])
+            nodes = np.repeat(np.arange(TREES, dtype=np.uint64)[None, :], len(sets), axis=0)
+            for d in range(DEPTH):
+                nodes = tx.mix(nodes * np.uint64(0x9E3779B97F4A7C15) + mins[:, d : DEPTH * TREES : DEPTH])
+            lists = lambda x, k: pa.ListArray.from_arrays(pa.array(np.arange(0, x.shape[1] * len(sets) + 1, x.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(x).view(k).ravel()))
+            raw = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
+            deep = (mins[:, DEPTH * TREES :] >> np.uint64(32)).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)), lists(nodes, np.int64), lists(deep, np.int32), raw((mins & np.uint64(255)).astype(np.uint8)), raw(nodes.astype(np.uint32))], names=[x.split(" ")[0] for x in SIGNATURE.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
 
@@ -155,11 +161,14 @@ def close_pairs(members: DataFrame, keys: list[str]) -> DataFrame:
 
 def cross_pairs(members: DataFrame, keys: list[str]) -> DataFrame:
     """Second round: all pairs of a group that might be similar and are of
-    different classes; where ``side`` is given, pairs across sides only."""
+    different classes; where ``side`` is given, pairs across sides only.  A pair
+    is left to an earlier tree whose common node is small (``small``: a bit a
+    tree), as it is compared there."""
 
     def run(frames):
         for f in _groups(frames, keys):
-            ids, n, comp, side = (f[c].to_numpy() for c in ("rep", "n", "comp", "side"))
+            ids, n, comp, side, tree, small = (f[c].to_numpy() for c in ("rep", "n", "comp", "side", "tree", "small"))
+            names = np.frombuffer(b"".join(f["keys"]), np.uint32).reshape(-1, TREES)
             sk = np.frombuffer(b"".join(f["sketch"]), np.uint8).reshape(-1, SLOTS)
             edges = _runs(f, keys)
             a, b = [], []
@@ -169,6 +178,11 @@ def cross_pairs(members: DataFrame, keys: list[str]) -> DataFrame:
                 if side[s] >= 0:
                     ok &= side[s:e, None] != side[None, s:e]
                 i, j = np.nonzero(ok)
+                t = int(tree[s])
+                if t and len(i):
+                    met = (names[s + i, :t] == names[s + j, :t]) & ((small[s + i] & small[s + j])[:, None] >> np.arange(t) & 1).astype(bool)
+                    first = ~met.any(axis=1)
+                    i, j = i[first], j[first]
                 a.append(ids[s + i])
                 b.append(ids[s + j])
             if a:
@@ -184,8 +198,9 @@ def _sorted(members: DataFrame, keys: list[str]) -> DataFrame:
 
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, share: int, whole: int = 100) -> DataFrame:
     """Pairs with whole * intersection >= share * union, on full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = docs.join(ids, "doc_id", "left_semi")
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    # few ids go to the texts; many would not fit, and both are shuffled
+    wanted = docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_semi")
     sets = materialize(shingle_sets(wanted, k).dropDuplicates(["doc_id"]), "sets")
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b")
@@ -223,14 +238,13 @@ def _sized(nodes: DataFrame, least: int = 2) -> DataFrame:
 
 
 def similar_links(docs: DataFrame, reps: DataFrame, k: int, share: int) -> DataFrame:
-    """Links (a, b) between representatives (rep, n, mins, sketch)."""
-    slot = lambda i: F.col("mins")[i]
-    trees = F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), *[slot(DEPTH * t + d) for d in range(DEPTH)]).alias("node")) for t in range(TREES)])
-    walked = reps.select("rep", F.explode(trees).alias("x")).select("rep", "x.tree", "x.node")
+    """Links (a, b) between representatives (rep, n, nodes, deep, sketch, keys)."""
+    walked = reps.select("rep", F.posexplode("nodes").alias("tree", "node"))
     members = materialize(_sized(walked), "members")
-    carried = reps.select("rep", "n", "sketch", "mins")
+    small = members.filter(F.col("size") <= LIMIT).groupBy("rep").agg(F.expr("bit_or(shiftleft(1L, tree))").alias("small"))
+    carried = reps.select("rep", "n", "sketch", "keys").join(small, "rep", "left").na.fill(0, ["small"])
     chunked = members.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(5)), F.ceil(F.col("size") / LIMIT)).cast("long"))
-    first = materialize(close_pairs(chunked.join(carried.drop("mins"), "rep"), ["node", "chunk"]), "pairs")
+    first = materialize(close_pairs(chunked.join(reps.select("rep", "n", "sketch"), "rep"), ["node", "chunk"]), "pairs")
     links = materialize(confirm(first, docs, k, share), "links")
     roots = components(links)
 
@@ -241,8 +255,8 @@ def similar_links(docs: DataFrame, reps: DataFrame, k: int, share: int) -> DataF
     while True:
         several = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").drop("lo", "hi")
         mixed = materialize(nodes.join(several, "node"), "mixed")
-        small = mixed.filter(F.col("size") <= LIMIT).withColumn("side", F.lit(-1).cast("long"))
-        found.append(cross_pairs(small.join(carried.drop("mins"), "rep"), ["node"]))
+        small_nodes = mixed.filter(F.col("size") <= LIMIT).withColumn("side", F.lit(-1).cast("long"))
+        found.append(cross_pairs(small_nodes.join(carried, "rep"), ["node"]))
         big = mixed.filter(F.col("size") > LIMIT)
         if big.isEmpty():
             break
@@ -255,11 +269,11 @@ def similar_links(docs: DataFrame, reps: DataFrame, k: int, share: int) -> DataF
             within = blocks.filter("side = other").withColumn("side", F.lit(-1).cast("long"))
             across = blocks.filter("side <> other")
             for b in (within, across):
-                found.append(cross_pairs(b.join(carried.drop("mins"), "rep"), ["node"]))
+                found.append(cross_pairs(b.join(carried, "rep"), ["node"]))
             break
-        pick = lambda b, level=level: F.get(F.col("mins"), F.pmod(F.col("tree") * 8 + 2 * (level - 1) + b, F.lit(SLOTS - TREES * DEPTH)).cast("int") + TREES * DEPTH)
+        pick = lambda b, level=level: F.get(F.col("deep"), F.pmod(F.col("tree") * 8 + 2 * (level - 1) + b, F.lit(SLOTS - TREES * DEPTH)).cast("int"))
         children = F.explode(F.array(*[F.xxhash64("node", F.lit(b), pick(b)) for b in (0, 1)]))
-        nodes = big.drop("size").join(carried.select("rep", "mins"), "rep").withColumn("node", children).drop("mins")
+        nodes = big.drop("size").join(reps.select("rep", "deep"), "rep").withColumn("node", children).drop("deep")
     more = found[0]
     for f in found[1:]:
         more = more.unionByName(f)
@@ -274,10 +288,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = 80) -> DataFrame:
     sets of ``k``-word shingles have a similarity of ``share`` percent."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(signatures(docs, k), "signatures")
-    reps = materialize(signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.min_by("mins", "doc_id").alias("mins"), F.min_by("sketch", "doc_id").alias("sketch")), "reps")
+    reps = materialize(signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("nodes", "deep", "sketch", "keys"), "doc_id").alias("x")).select("n", "s1", "s2", "rep", "x.*"), "reps")
     roots = components(similar_links(docs, reps, k, share))
     labels = reps.select("n", "s1", "s2", "rep").join(roots, F.col("rep") == F.col("id"), "left").select("n", "s1", "s2", F.coalesce("root", "rep").alias("component"))
-    out = signed.drop("mins", "sketch").join(labels, ["n", "s1", "s2"], "left")
+    out = signed.select("doc_id", "n", "s1", "s2").join(labels, ["n", "s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
