@@ -293,14 +293,19 @@ def model_scores(docs: DataFrame, keep: list[str], built: DataFrame, buckets: in
     return out
 
 
+OCCURRENCES = "bucket long, part long, batch long, ids array<long>, token_keys binary, keys binary, spans binary, owners binary, times binary"
+SUMS = "batch long, ids array<long>, token_keys binary, owners binary, logs binary, known binary"
+
+
 def occurrences(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
     """A row a (task's batch, bucket): its distinct words, and for each the texts
-    that hold it, by place in ``ids`` and ``token_keys``, and how often.  ``part``
-    spreads the batches of a bucket over groups of bounded size."""
-    names = ["bucket", "part", "ids", "token_keys", "keys", "spans", "owners", "times"]
-    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    of the batch that hold it, by number, and how often.  ``part`` spreads the
+    batches of a bucket over groups of bounded size.  One row more a batch, in
+    buckets below 0, names its texts."""
+    names = [x.split(" ")[0] for x in OCCURRENCES.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5)
 
-    def flush(held, salt):
+    def flush(held, batch):
         ids, token_keys = [x for c in held for x in c[2]], np.concatenate([c[3] for c in held])
         h, doc = np.concatenate([c[0] for c in held]), np.concatenate([c[1] for c in held])
         order = np.lexsort((doc, h))
@@ -308,17 +313,16 @@ def occurrences(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
         edge = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]))
         times = np.diff(np.append(edge, len(h)))
         h, doc = h[edge], doc[edge]
-        rows = []
+        rows = [(-1 - batch % 64, batch % parts, batch, ids, token_keys.tobytes(), None, None, None, None)]
         for b, k, d, t in _by_bucket(bucket_of(h, buckets), buckets, h, doc, times):
             uniq, n = np.unique(k, return_counts=True)
-            mine, place = np.unique(d, return_inverse=True)
-            rows.append((b, salt % parts, [ids[i] for i in mine], token_keys[mine].tobytes(), uniq.tobytes(), n.astype(np.uint32).tobytes(), place.astype(np.uint32).tobytes(), np.minimum(t, 2**32 - 1).astype(np.uint32).tobytes()))
+            rows.append((b, batch % parts, batch, None, None, uniq.tobytes(), n.astype(np.uint32).tobytes(), d.astype(np.uint32).tobytes(), np.minimum(t, 2**32 - 1).astype(np.uint32).tobytes()))
         return _record(rows, names, kinds)
 
     def run(batches):
         from pyspark import TaskContext
 
-        salt, held, size, n = TaskContext.get().partitionId(), [], 0, 0
+        batch, held, size, n = TaskContext.get().partitionId() << 32, [], 0, 0
         for b in batches:
             for first, rows, data, off in tx.blocks(b.column(1)):
                 h, doc = tokens(data, off)
@@ -328,40 +332,51 @@ def occurrences(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
                 held.append((h, doc + n, b.column(0).slice(first, rows).to_pylist(), key))
                 size, n = size + len(h), n + rows
                 if size >= BATCH:
-                    yield flush(held, salt)
-                    salt, held, size, n = salt + 7919, [], 0, 0
+                    yield flush(held, batch)
+                    batch, held, size, n = batch + 1, [], 0, 0
         if held:
-            yield flush(held, salt)
+            yield flush(held, batch)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, part long, ids array<long>, token_keys binary, keys binary, spans binary, owners binary, times binary")
+    return docs.select("doc_id", "text").mapInArrow(run, OCCURRENCES)
 
 
 def base_sums(docs: DataFrame, built: DataFrame, buckets: int, parts: int) -> DataFrame:
     """(doc_id, token_key, logs, known): per text the sum of log10(c + 0.1) and the
-    number of tokens with c > 0."""
+    number of tokens with c > 0.  Sums of a (batch, bucket) travel as one row."""
     there = occurrences(docs, buckets, parts)
     known = built.select("bucket", "words", "word_counts").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
-    def run(f: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+    def look_up(f: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        if len(f) and f["bucket"].iloc[0] < 0:
+            return f[["batch", "ids", "token_keys"]].assign(owners=None, logs=None, known=None)
         words = np.frombuffer(counts["words"].iloc[0], U) if len(counts) else np.empty(0, U)
         have = np.append(np.frombuffer(counts["word_counts"].iloc[0], np.int64) if len(counts) else [], 0)
         out = []
         for r in f.itertuples():
             keys, n = np.frombuffer(r.keys, U), np.frombuffer(r.spans, np.uint32)
             at = np.searchsorted(words, keys)
-            at[at < len(words)] = np.where(words[at[at < len(words)]] == keys[at < len(words)], at[at < len(words)], len(words))
+            inside = at < len(words)
+            at[inside] = np.where(words[at[inside]] == keys[inside], at[inside], len(words))
             c = np.repeat(have[at], n)
-            owner, t = np.frombuffer(r.owners, np.uint32), np.frombuffer(r.times, np.uint32).astype(np.float64)
-            size = len(r.ids)
-            ends = np.repeat(keys == END, n)
-            out.append(pd.DataFrame({"doc_id": pd.array(r.ids, dtype="Int64"), "token_key": np.frombuffer(r.token_keys, np.int64), "logs": np.bincount(owner, t * np.log10(c + 0.1), size), "known": np.bincount(owner, t * (c > 0), size).astype(np.int64), "ends": np.bincount(owner, t * ends, size).astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "token_key": [], "logs": [], "known": [], "ends": []})
+            owner, place = np.unique(np.frombuffer(r.owners, np.uint32), return_inverse=True)
+            t = np.frombuffer(r.times, np.uint32).astype(np.float64)
+            out.append((r.batch, None, None, owner.tobytes(), np.bincount(place, t * np.log10(c + 0.1)).tobytes(), np.bincount(place, t * (c > 0)).astype(np.int64).tobytes()))
+        return pd.DataFrame(out, columns=["batch", "ids", "token_keys", "owners", "logs", "known"])
+
+    def add(f: pd.DataFrame) -> pd.DataFrame:
+        head = f[f["ids"].notna()].iloc[0]
+        logs, known_ = np.zeros(len(head["ids"])), np.zeros(len(head["ids"]), np.int64)
+        for r in f[f["ids"].isna()].itertuples():
+            at = np.frombuffer(r.owners, np.uint32)
+            logs[at] += np.frombuffer(r.logs)
+            known_[at] += np.frombuffer(r.known, np.int64)
+        return pd.DataFrame({"doc_id": pd.array([None if x is None or x != x else int(x) for x in head["ids"]], dtype="Int64"), "token_key": np.frombuffer(head["token_keys"], np.int64), "logs": logs, "known": known_})
 
     keys = ["bucket", "part"]
-    parts_ = there.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInPandas(run, "doc_id long, token_key long, logs double, known long, ends long")
-    total = parts_.groupBy("doc_id", "token_key").agg(F.sum("logs").alias("logs"), F.sum("known").alias("known"), F.sum("ends").alias("ends"))
-    # equal rows were summed: each has one end
-    return total.select("doc_id", "token_key", (F.col("logs") / F.col("ends")).alias("logs"), (F.col("known") / F.col("ends")).cast("long").alias("known"))
+    parts_ = there.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInPandas(look_up, SUMS)
+    total = parts_.groupBy("batch").applyInPandas(add, "doc_id long, token_key long, logs double, known long")
+    # equal rows have equal sums
+    return total.groupBy("doc_id", "token_key").agg(F.max("logs").alias("logs"), F.max("known").alias("known"))
 
 
 def language_scores(docs: DataFrame, trains: Column) -> DataFrame:
