@@ -7,8 +7,10 @@ judged on the input.
 Sorting every suffix of a corpus is not needed to find these.  Each string of
 LENGTH bytes has an anchor, the least of the hashes of its GRAM-byte windows
 (all places of the least one, on ties), so equal strings have equal anchors at
-equal places; only about 2 of LENGTH - GRAM places are anchors.  An anchor comes
-with its context, all bytes that strings with this anchor may reach.
+equal places; only about 2 of LENGTH - GRAM places are anchors.  Anchors are counted
+first, and a bit map of bounded size keeps most of those that occur once from
+being looked at again (where it fills up, more pass; none that matters is lost).
+An anchor comes with its context, all bytes that strings with it may reach.
 
 * Contexts that occur twice: all strings in them are repeats.  They are counted
   by digest, with partial sums, so a text with many copies is no one's burden.
@@ -34,14 +36,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from estatum.llm import text as tx
 from estatum.llm.common import extended, materialize, table
 
 U = np.uint64
-LENGTH, GRAM = 200, 64
+LENGTH, GRAM = 200, 128
 REACH = LENGTH - GRAM
-SHALLOW, GROUP = 96, 20_000
+#: Bytes by which multikey quicksort tells ends apart, beyond the anchor's own.
+SHALLOW, GROUP = 32, 20_000
+#: Bits of the map of repeated anchors at most; places and spans up to which these are broadcast.
+MAP_BITS = 1 << 29
+FEW = 1_000_000
 #: Rows that one sort takes at most, groups being whole.
 ROWS = 20_000
 
@@ -90,22 +97,62 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     return d, at - starts[d], h[at], key, left, right
 
 
-ANCHORS = "row long, doc_id long, place int, gram long, context long, lefts int, rights int"
+ANCHORS = "row long, doc_id long, gram long, context long, at long"
 
 
-def anchor_rows(docs: DataFrame) -> DataFrame:
-    """ANCHORS of texts (row, doc_id, text)."""
+def _at(place, left, right):
+    """Place of an anchor in its text and the bytes of context on both sides."""
+    return place << 16 | left << 8 | right
+
+
+def anchor_grams(docs: DataFrame) -> DataFrame:
+    """(gram, n) of the anchors of texts, summed by block."""
+
+    def run(batches):
+        for b in batches:
+            for _, _, data, off in tx.blocks(b.column(0)):
+                found = anchors(data, off)
+                if found is not None:
+                    gram, n = np.unique(found[2], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], names=["gram", "n"])
+
+    return docs.select("text").mapInArrow(run, "gram long, n long")
+
+
+def repeated_map(grams: DataFrame) -> bytes:
+    """Bits of the grams; each part of the map is made by one task."""
+    bits = 1 << min(MAP_BITS.bit_length() - 1, max(20, (16 * grams.count()).bit_length()))
+    part = bits // 64
+
+    def fill(f: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(part, np.bool_)
+        out[f["bit"].to_numpy() % part] = True
+        return pd.DataFrame({"part": [int(f["bit"].iloc[0]) // part], "map": [np.packbits(out, bitorder="little").tobytes()]})
+
+    rows = grams.select(F.col("gram").bitwiseAND(F.lit(bits - 1)).alias("bit")).withColumn("_p", F.floor(F.col("bit") / part))
+    have = {r.part: bytes(r.map) for r in rows.groupBy("_p").applyInPandas(fill, "part long, map binary").collect()}
+    return b"".join(have.get(i, bytes(part // 8)) for i in range(64))
+
+
+def anchor_rows(docs: DataFrame, bit_map: bytes) -> DataFrame:
+    """ANCHORS of texts (row, doc_id, text) whose gram the map has."""
     names = [x.split(" ")[0] for x in ANCHORS.split(", ")]
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map)
 
     def run(batches):
+        bits = np.frombuffer(shared.value, np.uint8)
         for b in batches:
             for first, n, data, off in tx.blocks(b.column(2)):
                 found = anchors(data, off)
                 if found is None:
                     continue
-                d, place, gram, context, left, right = found
+                low = (found[2] & U(8 * len(bits) - 1)).astype(np.int64)
+                keep = np.flatnonzero(bits[low >> 3] >> (low & 7).astype(np.uint8) & 1)
+                if not len(keep):
+                    continue
+                d, place, gram, context, left, right = (x[keep] for x in found)
                 take = pa.array(first + d)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(place.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))], names=names)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(_at(place, left, right))], names=names)
 
     return docs.select("row", "doc_id", "text").mapInArrow(run, ANCHORS)
 
@@ -117,13 +164,13 @@ def _word_keys(m: np.ndarray, depth: int) -> np.ndarray:
     return np.ascontiguousarray(m[:, depth : depth + 8]).view(">u8").ravel()
 
 
-def multikey_order(m: np.ndarray, group: np.ndarray, depth: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """Order of rows by group, then by their first ``depth`` bytes: multikey
-    quicksort with eight bytes a step; ranges that are told apart drop out.
-    Also returns, per place in the order, whether it ties with the one before."""
+def multikey_order(m: np.ndarray, group: np.ndarray, start: int = 0, depth: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows by group, then by ``depth`` bytes from ``start`` on:
+    multikey quicksort with eight bytes a step; ranges that are told apart drop
+    out.  Also returns, per place in the order, whether it ties with the one before."""
     order = np.argsort(group, kind="stable")
     tied = np.concatenate([[False], group[order][1:] == group[order][:-1]])
-    for k in range(0, depth, 8):
+    for k in range(start, min(start + depth, m.shape[1] - 7), 8):
         if not tied.any():
             break
         live = tied.copy()
@@ -203,15 +250,15 @@ def common_prefixes(m: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.where(differ.any(axis=1), differ.argmax(axis=1), width)])
 
 
-def deep_shallow(m: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows of ``m`` within groups, and common prefixes of
-    neighbours in it (0 where the group changes)."""
-    order, tied = multikey_order(m, group)
+def deep_shallow(m: np.ndarray, group: np.ndarray, start: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of ``m`` within groups, whose first ``start`` bytes are
+    equal, and common prefixes of neighbours in it (0 where the group changes)."""
+    order, tied = multikey_order(m, group, start)
     edges = np.flatnonzero(~tied)
     ends = np.append(edges[1:], len(order))
     for a, b in zip(edges[ends - edges > 1], ends[ends - edges > 1], strict=True):
         rows = [x.tobytes() for x in m[order[a:b]]]
-        inner, _ = BlindTrie(rows, min(SHALLOW, m.shape[1] - 1)).order()
+        inner, _ = BlindTrie(rows, start).order()
         order[a:b] = order[a:b][inner]
     lcp = common_prefixes(m, order)
     g = group[order]
@@ -226,7 +273,7 @@ def repeated_offsets(gram: np.ndarray, left: np.ndarray, right: np.ndarray, left
     ``right``: bytes from the anchor on, ``left``: bytes before it, backwards; both
     filled up, with the numbers of real bytes in ``rights`` and ``lefts``."""
     out = np.zeros((len(gram), REACH + 1), bool)
-    ro, rl = deep_shallow(right, gram)
+    ro, rl = deep_shallow(right, gram, GRAM)
     lo, ll = deep_shallow(left, gram)
     rg, lg = np.empty(len(gram), np.int64), np.empty(len(gram), np.int64)
     new = lambda order: np.concatenate([[True], gram[order][1:] != gram[order][:-1]])
@@ -255,7 +302,7 @@ STARTS = "row long, doc_id long, lo int, hi int"
 
 def compare_contexts(rows: DataFrame) -> DataFrame:
     """STARTS (first and last start of repeated strings) of contexts (row, doc_id,
-    place, gram, lefts, rights, context bytes), all of a gram together."""
+    gram, place, lefts, rights, context bytes), all of a gram together."""
 
     def solve(f: pd.DataFrame) -> pd.DataFrame:
         n = len(f)
@@ -330,29 +377,45 @@ def cut_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*keep, "text", "starts").mapInArrow(run, schema)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def merged_spans(starts: DataFrame) -> DataFrame:
+    """(_r, _d, starts) of STARTS: a row a text, its runs of starts merged where the
+    strings that start there touch."""
+    order = Window.partitionBy("row", "doc_id").orderBy("lo", "hi")
+    before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(F.col("lo") <= before + LENGTH, 0).otherwise(1)
+    runs = starts.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    each = runs.groupBy("row", "doc_id", "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return each.groupBy(F.col("row").alias("_r"), F.col("doc_id").alias("_d")).agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of (doc_id, text)."""
     # a text is named by its id and its own hash, so equal ids do not mix texts
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    found = materialize(anchor_rows(docs), "anchors")
-    contexts = found.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("row", "doc_id", "place", "lefts", "rights")])
-    contexts = materialize(contexts, "contexts")
-    grams = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
+    again = materialize(anchor_grams(docs).groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").select("gram"), "grams")
+    found = materialize(anchor_rows(docs, repeated_map(again)), "anchors")
+    contexts = materialize(found.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "doc_id", "at")).alias("x")).select("gram", "context", "n", "x.*"), "contexts")
     # strings of contexts that occur twice
     twice = contexts.filter("n > 1").select("gram", "context")
-    lo = F.greatest(F.col("place") - F.col("lefts"), F.col("place") - REACH)
-    hi = F.least(F.col("place"), F.col("place") + F.col("rights") - LENGTH)
-    sure = found.join(twice, ["gram", "context"], "left_semi").select("row", "doc_id", lo.alias("lo"), hi.alias("hi"))
+    part = lambda shift, bits: F.shiftright("at", shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    place, left, right = part(16, 31), part(8, 8), part(0, 8)
+    sure = found.join(twice, ["gram", "context"], "left_semi").select("row", "doc_id", (place - left).alias("lo"), F.least(place, place + right - LENGTH).alias("hi"))
     # contexts that occur once beside others
-    mixed = contexts.join(grams.filter("kinds > 1 AND least = 1"), "gram")
-    wanted = mixed.groupBy("row", "doc_id").agg(F.collect_list(F.struct("gram", "place", "lefts", "rights", "n", "kinds")).alias("at"))
-    single = docs.join(wanted.withColumnRenamed("row", "_r").withColumnRenamed("doc_id", "_d"), (F.col("row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")))
-    sliced = single.select("row", "doc_id", F.encode("text", "UTF-8").alias("raw"), F.explode("at").alias("a")).select("row", "doc_id", "a.*", F.substring("raw", F.col("a.place") - F.col("a.lefts") + 1, F.col("a.lefts") + F.col("a.rights")).alias("bytes"))
+    grams = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 AND least = 1").drop("least")
+    mixed = contexts.join(grams, "gram").select("row", "doc_id", F.struct("gram", "kinds", place.alias("place"), left.alias("lefts"), right.alias("rights")).alias("a"))
+    wanted = materialize(mixed.groupBy(F.col("row").alias("_r"), F.col("doc_id").alias("_d")).agg(F.collect_list("a").alias("places")), "wanted")
+    named = (F.col("row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    single = docs.join(few(wanted), named)
+    sliced = single.select("row", "doc_id", F.encode("text", "UTF-8").alias("raw"), F.explode("places").alias("a")).select("row", "doc_id", "a.*", F.substring("raw", F.col("a.place") - F.col("a.lefts") + 1, F.col("a.lefts") + F.col("a.rights")).alias("bytes"))
     sliced = materialize(sliced.dropDuplicates(["row", "doc_id", "place"]), "sliced")
     compared = compare_contexts(sliced.filter(F.col("kinds") <= GROUP)).unionByName(count_strings(sliced.filter(F.col("kinds") > GROUP)))
-    starts = sure.unionByName(compared).filter("lo <= hi").groupBy(F.col("row").alias("_r"), F.col("doc_id").alias("_d")).agg(F.collect_set(F.struct("lo", "hi")).alias("starts"))
-    joined = docs.join(starts, (F.col("row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
-    return cut_spans(joined, ["doc_id"])
+    starts = materialize(merged_spans(sure.unionByName(compared).filter("lo <= hi")), "starts")
+    return cut_spans(docs.join(few(starts), named, "left"), ["doc_id"])
 
 
 def op2_substrings(spark, sf_dir: str) -> DataFrame:
