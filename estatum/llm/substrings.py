@@ -343,9 +343,11 @@ def count_strings(rows: DataFrame) -> DataFrame:
     offsets = F.sequence(F.greatest(F.lit(0), LENGTH - F.col("rights")), F.col("lefts"))
     each = rows.filter((F.col("lefts") + F.col("rights")) >= LENGTH).withColumn("o", F.explode(offsets))
     string = F.substring(F.col("bytes"), F.col("lefts") - F.col("o") + 1, F.lit(LENGTH))
-    keyed = each.select("row", "doc_id", (F.col("place") - F.col("o")).cast("int").alias("lo"), F.xxhash64(string).alias("k1"), F.hash(string).alias("k2"))
-    twice = keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    return keyed.join(twice, ["k1", "k2"]).select("row", "doc_id", "lo", F.col("lo").alias("hi"))
+    # by gram and offset as well: anchors of one text may reach the same string
+    keys = ["gram", "o", "k1", "k2"]
+    keyed = each.select("row", "doc_id", (F.col("place") - F.col("o")).cast("int").alias("lo"), "gram", "o", F.xxhash64(string).alias("k1"), F.hash(string).alias("k2"))
+    twice = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    return keyed.join(twice, keys).select("row", "doc_id", "lo", F.col("lo").alias("hi"))
 
 
 def cut_spans(docs: DataFrame, keep: list[str]) -> DataFrame:

@@ -1,0 +1,24 @@
+"""The pipeline on the smallest tables, and its entry."""
+
+import __spark_entry__
+import corpus_pipeline
+
+
+def test_stages(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    sizes = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, folder), name)
+        assert docs.columns == spark.read.parquet(f"{folder}/documents.parquet").columns
+        sizes.append(docs.count())
+        if name == "near_duplicates":
+            assert docs.select("doc_id").distinct().count() == docs.count()
+        if name == "secrets":
+            assert docs.filter("text rlike 'AKIA[A-Z0-9]{16}'").count() == 0 and docs.filter("n_chars <> length(text)").count() == 0
+    assert sizes[1] <= sizes[0] and sizes[2] < sizes[1] and sizes[3] == sizes[2]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() >= sizes[4]
+
+
+def test_registered():
+    names = __spark_entry__.queries()
+    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op")} and "pipeline" in names
