@@ -5,7 +5,7 @@ join runs over one document a class.  In each of TREES independent trees a
 document walks down by selected minwise tokens: the first node is named by the
 minima of DEPTH hash functions.  Two sets of similarity s meet in a tree's node
 with probability s ** DEPTH, so that at the threshold 0.8 a pair is missed by all
-trees with probability (1 - 0.512) ** 20 < 1e-6.
+trees with probability (1 - 0.41) ** 28 < 1e-6.
 
 Small nodes are compared exhaustively by 128-byte sketches; what might be similar
 is confirmed on full sets.  To lose no link without listing the pairs of a big
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from estatum.llm import text as tx
 from estatum.llm.common import materialize, table
 
-TREES, DEPTH, SLOTS = 20, 3, 128
+TREES, DEPTH, SLOTS = 28, 4, 128
 LIMIT, LEVELS, SPLIT = 256, 4, 128
 #: Share of equal sketch bytes from which a pair is confirmed: five standard deviations below 0.8.
 MAYBE = 0.62
@@ -271,8 +271,8 @@ def similar_links(docs: DataFrame, reps: DataFrame, k: int, share: int) -> DataF
             for b in (within, across):
                 found.append(cross_pairs(b.join(carried, "rep"), ["node"]))
             break
-        pick = lambda b, level=level: F.get(F.col("deep"), F.pmod(F.col("tree") * 8 + 2 * (level - 1) + b, F.lit(SLOTS - TREES * DEPTH)).cast("int"))
-        children = F.explode(F.array(*[F.xxhash64("node", F.lit(b), pick(b)) for b in (0, 1)]))
+        pick = lambda i, level=level: F.get(F.col("deep"), F.pmod(F.col("tree") * 5 + 4 * (level - 1) + i, F.lit(SLOTS - TREES * DEPTH)).cast("int"))
+        children = F.explode(F.array(*[F.xxhash64("node", F.lit(b), pick(2 * b), pick(2 * b + 1)) for b in (0, 1)]))
         nodes = big.drop("size").join(reps.select("rep", "deep"), "rep").withColumn("node", children).drop("deep")
     more = found[0]
     for f in found[1:]:
