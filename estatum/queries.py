@@ -823,7 +823,7 @@ def _(e):
 
 @query("sources_skip_noise", "SELECT claim_id FROM claims WHERE doc_id % 10 <> 0 AND doc_id % 7 <> 0")
 def _(e):
-    path = F.concat(F.lit("/a/"), F.when(F.col("claim_id") % 10 == 0, "node_modules/").otherwise(""), F.when(F.col("claim_id") % 7 == 0, "._x").otherwise("x"))
+    path = F.concat(F.lit("/a/"), F.when(F.col("claim_id") % 10 == 0, "@eaDir/").otherwise(""), F.when(F.col("claim_id") % 7 == 0, "._x").otherwise("x"))
     return files.skip_noise_paths(e.claims.select("claim_id", path.alias("path"))).select("claim_id")
 
 

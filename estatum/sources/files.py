@@ -17,7 +17,7 @@ from estatum.operators import audit as chains
 from estatum.operators import stats
 
 # Directories and names that a scan leaves out.
-SKIP_DIRS = (".git", "node_modules", "__pycache__", ".Trashes", ".Spotlight-V100", ".fseventsd", "@eaDir", ".TemporaryItems")
+SKIP_DIRS = (".fseventsd", ".Spotlight-V100", ".Trashes", ".TemporaryItems", ".DocumentRevisions-V100", ".PKInstallSandboxManager", "@eaDir", "@SynoResource")
 SKIP_NAMES = (".DS_Store", ".apdisk", ".localized")
 MANIFEST = "action string, permanode_id string, canonical_hash string, size_bytes long, source_path string, source_tier string, destination_path string, destination_tier string, rationale string"
 COLUMNS = [x.split(" ")[0] for x in MANIFEST.split(", ")]

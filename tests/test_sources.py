@@ -11,9 +11,9 @@ from estatum.sources import files, sinks
 
 
 def test_scan_and_hash(spark, tmp_path):
-    (tmp_path / "a" / "node_modules").mkdir(parents=True)
+    (tmp_path / "a" / "@eaDir").mkdir(parents=True)
     (tmp_path / "a" / "x.txt").write_text("hello")
-    (tmp_path / "a" / "node_modules" / "y").write_text("no")
+    (tmp_path / "a" / "@eaDir" / "y").write_text("no")
     listed = files.skip_noise_paths(files.scan_tree(spark, str(tmp_path))).collect()
     assert [(r.path.endswith("/a/x.txt"), r.size_bytes) for r in listed] == [(True, 5)]
     hashed = files.skip_noise_paths(files.hash_files(spark, str(tmp_path))).first()

@@ -24,7 +24,7 @@ def drain(df, tmp_path, name, mode="append"):
 
 
 def test_debounce_matches_batch(spark, tmp_path):
-    rows = [event("/a", "00.000"), event("/b", "00.500", moved_to="/c", kind="moved"), event("/a", "00.900"), event("/d", "03.000", "deleted"), event("/e/.git/x", "03.100"), event("/z", "59.000")]
+    rows = [event("/a", "00.000"), event("/b", "00.500", moved_to="/c", kind="moved"), event("/a", "00.900"), event("/d", "03.000", "deleted"), event("/e/.Trashes/x", "03.100"), event("/z", "59.000")]
     write(tmp_path / "in", "1.json", rows)
     # an empty later file lets the watermark close what is open
     write(tmp_path / "in", "2.json", [event("/late", "59.900", root="other")])
