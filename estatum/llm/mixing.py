@@ -26,6 +26,8 @@ from estatum.llm.common import WORD, materialize, table, with_rank
 WEIGHTS = (5.0, 2.0, 1.0)
 CEILING = 3.0
 ROUNDS = 40
+#: Documents up to which their counts (48 bytes each) are broadcast.
+FEW = 1_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -62,11 +64,11 @@ def tilt(size: Column, target: Column, rounds: int = ROUNDS) -> Column:
 def mix(docs: DataFrame, keep: list[str], weights: tuple[float, ...] = WEIGHTS, ceiling: float = CEILING) -> DataFrame:
     """Add ``size``, ``source_size``, ``target``, ``rate`` and ``copies`` to the
     ``keep`` columns of documents (doc_id, text, source)."""
-    base = materialize(docs.select(*keep, *[F.col(c).alias(f"_{c}") for c in ("doc_id", "source")], word_count(F.col("text")).alias("size")), "sizes")
+    base = materialize(docs.select(F.struct(*keep).alias("_keep"), F.monotonically_increasing_id().alias("_id"), *[F.col(c).alias(f"_{c}") for c in ("doc_id", "source")], word_count(F.col("text")).alias("size")), "sizes")
     goals = source_targets(base.select(F.col("_source").alias("source"), "size"), weights, ceiling)
     rates = goals.withColumn("rate", F.least(F.lit(ceiling), F.coalesce(F.exp(tilt(F.col("source_size"), F.col("target"))), F.lit(0.0))))
     classes = copy_classes(base, rates, ceiling)
-    ranked = with_rank(base, ["_source", "size"], ["_doc_id"], "_r")
+    ranked = with_rank(base.drop("_keep"), ["_source", "size"], ["_doc_id"], "_r")
     joined = ranked.join(classes, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
     at = F.col("_before") + F.col("_r")
     extra = _extras(at + 1) - _extras(at)
@@ -74,7 +76,10 @@ def mix(docs: DataFrame, keep: list[str], weights: tuple[float, ...] = WEIGHTS,
     place = F.when(F.col("_up"), F.col("_r") - (_extras(at) - _extras(F.col("_before")))).otherwise(_extras(at) - _extras(F.col("_before")))
     flip = (extra == F.when(F.col("_up"), 0).otherwise(1)) & (place < F.col("_flips"))
     copies = (F.floor("rate") + F.when(flip, 1 - extra).otherwise(extra)).cast("int")
-    return joined.select(*keep, "size", "source_size", "target", "rate", copies.alias("copies"))
+    counted = materialize(joined.select("_id", "size", "source_size", "target", "rate", copies.alias("copies")), "copies")
+    # few counts go to the kept columns; many would not fit, and both are shuffled
+    counted = F.broadcast(counted) if counted.count() <= FEW else counted
+    return base.select("_id", "_keep").join(counted, "_id").select("_keep.*", "size", "source_size", "target", "rate", "copies")
 
 
 def _extras(n: Column) -> Column:
