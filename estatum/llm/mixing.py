@@ -6,9 +6,8 @@ Kullback-Leibler divergence, over words, from the current mix; its convex dual
 has one multiplier a source, and the rates are exponentially tilted,
 exp(multiplier * feature).  The dual separates by source, so Newton's iteration
 runs for all sources at once as a column expression over the per-source token
-sums.  Rates are then rounded into copies: documents of a source are ranked by
-size, and each takes its share of the fraction by systematic rounding; what is
-left of the target is then made up by the source's smallest documents.
+sums.  Rates are then rounded into copies from the longest documents to the
+shortest, and rounding errors are carried along.
 
 Null text has size 0.  Null is a source of its own, ordered last.  An empty table
 gives an empty result.
@@ -16,11 +15,12 @@ gives an empty result.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from estatum.llm.common import WORD, materialize, table, with_rank
+from estatum.llm.common import WORD, extended, materialize, table, with_rank
 
 #: Weights by the rank of a source, repeating; no document is taken more often than CEILING times.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -70,42 +70,34 @@ def mix(docs: DataFrame, keep: list[str], weights: tuple[float, ...] = WEIGHTS,
     classes = copy_classes(base, rates, ceiling)
     ranked = with_rank(base.drop("_keep"), ["_source", "size"], ["_doc_id"], "_r")
     joined = ranked.join(classes, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
-    at = F.col("_before") + F.col("_r")
-    extra = _extras(at + 1) - _extras(at)
-    # its place among those of its class that have, or lack, an extra copy
-    place = F.when(F.col("_up"), F.col("_r") - (_extras(at) - _extras(F.col("_before")))).otherwise(_extras(at) - _extras(F.col("_before")))
-    flip = (extra == F.when(F.col("_up"), 0).otherwise(1)) & (place < F.col("_flips"))
-    copies = (F.floor("rate") + F.when(flip, 1 - extra).otherwise(extra)).cast("int")
-    counted = materialize(joined.select("_id", "size", "source_size", "target", "rate", copies.alias("copies")), "copies")
+    copies = F.floor(F.col("_copies") / F.col("_n")) + F.when(F.col("_r") < F.col("_copies") % F.col("_n"), 1).otherwise(0)
+    counted = materialize(joined.select("_id", "size", "source_size", "target", "rate", copies.cast("int").alias("copies")), "copies")
     # few counts go to the kept columns; many would not fit, and both are shuffled
     counted = F.broadcast(counted) if counted.count() <= FEW else counted
     return base.select("_id", "_keep").join(counted, "_id").select("_keep.*", "size", "source_size", "target", "rate", "copies")
 
 
-def _extras(n: Column) -> Column:
-    """Of the first ``n`` documents of a source, by size, how many have an extra
-    copy: each takes its part of the rate's fraction."""
-    return F.floor((F.col("rate") - F.floor("rate")) * n + 0.5)
-
-
 def copy_classes(base: DataFrame, rates: DataFrame, ceiling: float) -> DataFrame:
-    """One row a (source, size): its documents' places among the source's, by
-    size, and how many of them change their extra copy so that the source comes
-    as near its target as its smallest documents allow.  The windows run over
-    distinct sizes, not documents."""
-    by_size = Window.partitionBy("_s").orderBy("_z").rowsBetween(Window.unboundedPreceding, -1)
-    of_source = Window.partitionBy("_s")
+    """One row a (source, size): how many copies its documents make together.
+
+    Rates are rounded from the longest documents to the shortest, what a size is
+    short of or has too much being carried to the next.  A group holds a source's
+    distinct sizes, which the longest document bounds, not its documents."""
     counts = base.groupBy(F.col("_source").alias("_s"), F.col("size").alias("_z")).agg(F.count(F.lit(1)).alias("_n"))
-    placed = counts.withColumn("_before", F.coalesce(F.sum("_n").over(by_size), F.lit(0)))
-    joined = placed.join(rates, F.col("_s").eqNullSafe(F.col("source"))).drop("source")
-    extras = _extras(F.col("_before") + F.col("_n")) - _extras(F.col("_before"))
-    counted = joined.withColumn("_extra", extras).withColumn("_rest", F.col("target") - F.sum(F.col("_z") * (F.col("_n") * F.floor("rate") + F.col("_extra"))).over(of_source))
-    sided = counted.withColumn("_up", F.col("_rest") > 0)
-    free = F.when(F.col("_up"), F.when(F.floor("rate") + 1 <= ceiling, F.col("_n") - F.col("_extra")).otherwise(0)).otherwise(F.col("_extra"))
-    summed = sided.withColumn("_free", free).withColumn("_sum", F.coalesce(F.sum(F.col("_free") * F.col("_z")).over(by_size), F.lit(0)))
-    room = F.floor((F.abs("_rest") - F.col("_sum")) / F.col("_z"))
-    flips = F.when(F.col("_z") > 0, F.greatest(F.lit(0), F.least(F.col("_free"), room))).otherwise(0)
-    return summed.select("_s", "_z", "_before", "source_size", "target", "rate", "_up", flips.cast("long").alias("_flips"))
+    joined = counts.join(rates, F.col("_s").eqNullSafe(F.col("source"))).drop("source")
+
+    def round_off(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("_z", ascending=False)
+        rest, out = 0.0, []
+        for z, n, rate in zip(f["_z"], f["_n"], f["rate"], strict=True):
+            want = rest + rate * n * z
+            c = round(want / z) if z else round(rate * n)
+            c = int(min(max(c, 0), ceiling * n))
+            rest = want - c * z
+            out.append(c)
+        return f.assign(_copies=out)
+
+    return joined.groupBy("_s").applyInPandas(round_off, extended(joined.schema, "_copies long"))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
