@@ -45,7 +45,7 @@ LOG_BASE, LEVELS, HASHES, BITS = 1.5, 40, 4, 8.0
 MU = 20.0
 BROADCAST_BYTES = 256 << 20
 #: Tokens whose counts a task merges before sending them on.
-BATCH = 1 << 21
+BATCH = 1 << 20
 #: Documents to a bucket of the counts.
 PER_BUCKET = 8192
 
