@@ -33,7 +33,7 @@ from estatum.llm import text as tx
 from estatum.llm.common import materialize, table
 
 TREES, DEPTH, SLOTS = 28, 4, 128
-LIMIT, LEVELS, SPLIT = 256, 4, 128
+LIMIT, LEVELS, SPLIT = 2048, 4, 1024
 #: Share of equal sketch bytes from which a pair is confirmed: five standard deviations below 0.8.
 MAYBE = 0.62
 SIGNATURE = "doc_id long, n long, s1 long, s2 long, nodes array<long>, deep array<int>, sketch binary, keys binary"
@@ -91,6 +91,33 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set array<long>")
 
 
+def short_sets(docs: DataFrame, k: int) -> DataFrame:
+    """(rep, short): the low 32 bits of each document's set, as bytes."""
+
+    def run(batches):
+        for b, sets in _sets(batches, k):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.astype(np.uint32).tobytes() for s in sets], pa.binary())], names=["rep", "short"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "rep long, short binary")
+
+
+def _shared(short: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets i and j; equal i stand together."""
+    sets = [np.frombuffer(x, np.uint32) for x in short]
+    tokens, number = np.unique(np.concatenate(sets), return_inverse=True)
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    mine = [number[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    mark, out = np.zeros(len(tokens), np.int64), np.zeros(len(i), np.int64)
+    starts = np.flatnonzero(np.diff(i, prepend=-1))
+    for a, b in zip(starts, np.append(starts[1:], len(i)), strict=True):
+        mark[mine[i[a]]] = 1
+        for c in range(a, b, 512):
+            part = [mine[x] for x in j[c : min(c + 512, b)]]
+            out[c : c + len(part)] = np.add.reduceat(mark[np.concatenate(part)], np.concatenate([[0], np.cumsum([len(x) for x in part])[:-1]]))
+        mark[mine[i[a]]] = 0
+    return out
+
+
 def _groups(frames, keys: list[str]):
     """Whole groups of consecutive equal keys, several at a time."""
     held = None
@@ -113,7 +140,9 @@ def _runs(f: pd.DataFrame, keys: list[str]) -> np.ndarray:
 
 
 def _similar(s1, n1, s2, n2) -> np.ndarray:
-    est = (s1[:, None, :] == s2[None, :, :]).mean(axis=2, dtype=np.float32)
+    est = np.empty((len(s1), len(s2)), np.float32)
+    for i in range(0, len(s1), 32):
+        est[i : i + 32] = np.count_nonzero(s1[i : i + 32, None, :] == s2[None, :, :], axis=2) / SLOTS
     ratio = np.minimum(n1[:, None], n2[None, :]) * 100 >= 80 * np.maximum(n1[:, None], n2[None, :])
     return np.where(ratio, est, 0)
 
@@ -159,9 +188,9 @@ def close_pairs(members: DataFrame, keys: list[str]) -> DataFrame:
     return _sorted(members, keys).mapInPandas(run, "a long, b long").filter("a < b").distinct()
 
 
-def cross_pairs(members: DataFrame, keys: list[str]) -> DataFrame:
-    """Second round: all pairs of a group that might be similar and are of
-    different classes; where ``side`` is given, pairs across sides only.  A pair
+def cross_pairs(members: DataFrame, keys: list[str], share: int) -> DataFrame:
+    """Second round: all pairs of a group that are similar by sketches and by short
+    sets, and are of different classes; where ``side`` is given, pairs across sides only.  A pair
     is left to an earlier tree whose common node is small (``small``: a bit a
     tree), as it is compared there."""
 
@@ -183,6 +212,11 @@ def cross_pairs(members: DataFrame, keys: list[str]) -> DataFrame:
                     met = (names[s + i, :t] == names[s + j, :t]) & ((small[s + i] & small[s + j])[:, None] >> np.arange(t) & 1).astype(bool)
                     first = ~met.any(axis=1)
                     i, j = i[first], j[first]
+                if len(i):
+                    # one more in common than the short sets show, for good measure
+                    common = _shared(list(f["short"].iloc[s:e]), i, j) + 1
+                    fits = 100 * common >= share * (n[s + i] + n[s + j] - common)
+                    i, j = i[fits], j[fits]
                 a.append(ids[s + i])
                 b.append(ids[s + j])
             if a:
@@ -255,8 +289,13 @@ def similar_links(docs: DataFrame, reps: DataFrame, k: int, share: int) -> DataF
     while True:
         several = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").drop("lo", "hi")
         mixed = materialize(nodes.join(several, "node"), "mixed")
+        if level == 0:
+            # sets of the documents that are compared across classes
+            ids = materialize(mixed.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+            wanted = docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_semi")
+            carried = materialize(carried.join(short_sets(wanted, k).dropDuplicates(["rep"]), "rep"), "carried")
         small_nodes = mixed.filter(F.col("size") <= LIMIT).withColumn("side", F.lit(-1).cast("long"))
-        found.append(cross_pairs(small_nodes.join(carried, "rep"), ["node"]))
+        found.append(cross_pairs(small_nodes.join(carried, "rep"), ["node"], share))
         big = mixed.filter(F.col("size") > LIMIT)
         if big.isEmpty():
             break
@@ -269,7 +308,7 @@ def similar_links(docs: DataFrame, reps: DataFrame, k: int, share: int) -> DataF
             within = blocks.filter("side = other").withColumn("side", F.lit(-1).cast("long"))
             across = blocks.filter("side <> other")
             for b in (within, across):
-                found.append(cross_pairs(b.join(carried, "rep"), ["node"]))
+                found.append(cross_pairs(b.join(carried, "rep"), ["node"], share))
             break
         pick = lambda i, level=level: F.get(F.col("deep"), F.pmod(F.col("tree") * 5 + 4 * (level - 1) + i, F.lit(SLOTS - TREES * DEPTH)).cast("int"))
         children = F.explode(F.array(*[F.xxhash64("node", F.lit(b), pick(2 * b), pick(2 * b + 1)) for b in (0, 1)]))
