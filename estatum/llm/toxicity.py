@@ -165,7 +165,7 @@ def fit(docs: list[tuple[str, int]], odds: dict[str, float], rounds: int = 40, r
     emit, bias = np.zeros(len(index)), np.array([-1.0])
     start, trans = np.array([0.0, -3.0]), np.array([[0.0, -3.0], [0.0, -1.0]])
     if not rows:
-        return Crf({}, -1.0, start, trans)
+        return Crf({}, -1.0, start, trans, 1.0, -1.0)
     width = max(map(len, rows))
     x, y, on = (np.zeros((len(rows), width), np.int32) for _ in range(3))
     for i, (r, v) in enumerate(zip(rows, labels, strict=True)):
@@ -177,29 +177,34 @@ def fit(docs: list[tuple[str, int]], odds: dict[str, float], rounds: int = 40, r
     state = [np.zeros_like(emit), np.zeros(1), np.zeros(2), np.zeros((2, 2))]
     for _ in range(rounds):
         value = bias[0] + np.bincount(word_of, emit[feature_of], minlength=len(ids))
-        e = np.exp(np.stack([np.zeros(x.shape), value[x]], axis=-1))
         m = np.exp(trans)
-        alpha, beta = np.empty((*x.shape, 2)), np.ones((*x.shape, 2))
-        v = np.exp(start) * e[:, 0]
-        alpha[:, 0] = v / v.sum(1, keepdims=True)
-        for t in range(1, width):
-            v = (alpha[:, t - 1] @ m) * e[:, t]
-            alpha[:, t] = np.where(on[:, t, None], v / v.sum(1, keepdims=True), alpha[:, t - 1])
-        for t in range(width - 2, -1, -1):
-            v = (beta[:, t + 1] * e[:, t + 1]) @ m.T
-            beta[:, t] = np.where(on[:, t + 1, None], v / v.sum(1, keepdims=True), 1.0)
-        g = alpha * beta
-        g /= g.sum(-1, keepdims=True)
-        pair = alpha[:, :-1, :, None] * m * (e * beta)[:, 1:, None, :]
-        pair /= pair.sum((-1, -2), keepdims=True)
-        both, have = on[:, 1:], np.zeros((2, 2))
-        np.add.at(have, (y[:, :-1][both], y[:, 1:][both]), 1)
-        by_word = np.bincount(x[on], (y - g[..., 1])[on], minlength=len(ids))
+        by_word, at_start, pairs_seen = np.zeros(len(ids)), np.zeros(2), np.zeros((2, 2))
+        for lo in range(0, len(rows), 1024):  # bounds what the sums below hold at once
+            xs, ys, live = x[lo : lo + 1024], y[lo : lo + 1024], on[lo : lo + 1024]
+            e = np.exp(np.stack([np.zeros(xs.shape), value[xs]], axis=-1))
+            alpha, beta = np.empty((*xs.shape, 2)), np.ones((*xs.shape, 2))
+            v = np.exp(start) * e[:, 0]
+            alpha[:, 0] = v / v.sum(1, keepdims=True)
+            for t in range(1, width):
+                v = (alpha[:, t - 1] @ m) * e[:, t]
+                alpha[:, t] = np.where(live[:, t, None], v / v.sum(1, keepdims=True), alpha[:, t - 1])
+            for t in range(width - 2, -1, -1):
+                v = (beta[:, t + 1] * e[:, t + 1]) @ m.T
+                beta[:, t] = np.where(live[:, t + 1, None], v / v.sum(1, keepdims=True), 1.0)
+            g = alpha * beta
+            g /= g.sum(-1, keepdims=True)
+            pair = alpha[:, :-1, :, None] * m * (e * beta)[:, 1:, None, :]
+            pair /= pair.sum((-1, -2), keepdims=True)
+            both = live[:, 1:]
+            np.add.at(pairs_seen, (ys[:, :-1][both], ys[:, 1:][both]), 1)
+            pairs_seen -= pair[both].sum(0)
+            by_word += np.bincount(xs[live], (ys - g[..., 1])[live], minlength=len(ids))
+            at_start += np.bincount(ys[:, 0], minlength=2) - g[:, 0].sum(0)
         steps = (
             (emit, np.bincount(feature_of, by_word[word_of], minlength=len(index)) / np.maximum(seen, 1) ** 0.5),
             (bias, by_word.sum(keepdims=True) / on.sum() ** 0.5),
-            (start, (np.bincount(y[:, 0], minlength=2) - g[:, 0].sum(0)) / len(rows)),
-            (trans, (have - pair[both].sum(0)) / max(1, both.sum()) ** 0.5),
+            (start, at_start / len(rows)),
+            (trans, pairs_seen / max(1, on[:, 1:].sum()) ** 0.5),
         )
         # adaptive steps: each weight's by its own past gradients
         for k, (w, d) in enumerate(steps):
