@@ -3,7 +3,8 @@
 Counts of words and word pairs of the training texts are quantised to powers of
 LOG_BASE, and an n-gram of level q is put into the filter q + 1 times, with q + 1
 families of hash functions; its level is read back by probing family after
-family until one is absent.  Absence is certain, so a count is never read too
+family until one is absent.  There are as many families as the number of training
+tokens needs, so no count is cut.  Absence is certain, so a count is never read too
 low, and each further wrong level takes another false positive.
 
 The filter is made of shards, one a bucket of n-grams by hash, built where the
@@ -41,7 +42,7 @@ from estatum.llm.common import extended, materialize, table
 
 U = np.uint64
 END, START = U(0x1234567890ABCDEF), U(0x0FEDCBA987654321)
-LOG_BASE, LEVELS, HASHES, BITS = 1.5, 40, 4, 8.0
+LOG_BASE, HASHES, BITS = 1.5, 4, 8.0
 MU = 20.0
 BROADCAST_BYTES = 256 << 20
 #: Tokens whose counts a task merges before sending them on.
@@ -165,7 +166,12 @@ def filter_key(keys: np.ndarray, kind: int) -> np.ndarray:
 
 
 def level(c: np.ndarray) -> np.ndarray:
-    return np.minimum(np.round(np.log(np.maximum(c, 1)) / math.log(LOG_BASE)), LEVELS - 1).astype(np.int64)
+    return np.round(np.log(np.maximum(c, 1)) / math.log(LOG_BASE)).astype(np.int64)
+
+
+def levels_of(total: int) -> int:
+    """Families of hash functions that counts up to ``total`` can need; the greatest long needs 109."""
+    return math.ceil(math.log(max(total, 1)) / math.log(LOG_BASE)) + 1
 
 
 def _bits(keys: np.ndarray, family: int, n_bits: int):
@@ -188,10 +194,11 @@ def build(keys: np.ndarray, counts: np.ndarray) -> bytes:
 
 
 class Filter:
-    """Shards by bucket, joined in one array; n-grams of other buckets are absent."""
+    """Shards by bucket, joined in one array; n-grams of other buckets are absent.
+    ``total`` is no less than any count."""
 
-    def __init__(self, shards: dict[int, bytes], buckets: int):
-        self.buckets = buckets
+    def __init__(self, shards: dict[int, bytes], buckets: int, total: int = 2**63 - 1):
+        self.buckets, self.families = buckets, levels_of(total)
         self.size = np.zeros(buckets, np.int64)
         self.start = np.zeros(buckets, np.int64)
         at = 0
@@ -203,7 +210,7 @@ class Filter:
     def _probe(self, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         data = np.frombuffer(self.data, np.uint8)
         out, left = np.zeros(len(keys), np.uint8), np.flatnonzero(self.size[bucket] > 0)
-        for f in range(LEVELS):
+        for f in range(self.families):
             if not len(left):
                 break
             k, size, start = keys[left], self.size[bucket[left]].astype(U), self.start[bucket[left]]
@@ -285,7 +292,7 @@ def model_scores(docs: DataFrame, keep: list[str], built: DataFrame, buckets: in
     for i, g in enumerate(groups):
         wanted = built.select("bucket", "shard")
         wanted = wanted.filter(F.col("bucket").between(g[0], g[-1])) if g else wanted.limit(0)
-        f = Filter({r.bucket: bytes(r.shard) for r in wanted.toLocalIterator()}, buckets)
+        f = Filter({r.bucket: bytes(r.shard) for r in wanted.toLocalIterator()}, buckets, n)
         last = i == len(groups) - 1
         out = model_pass(out, keep, f, last, n, v)
         if not last:

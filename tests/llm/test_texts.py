@@ -160,6 +160,18 @@ def test_filter_never_reads_low(spark, docs):
     assert (f.levels(other, 1) > 0).mean() < 0.1
 
 
+def test_filter_holds_great_counts():
+    """Counts over 10 million, as the commonest words of a large table have."""
+    keys = np.arange(1, 6, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    counts = np.array([3, 7_000_000, 12_000_000, 250_000_000, 9_000_000_000])
+    total = int(counts.sum())
+    f = language_model.Filter({0: language_model.build(language_model.filter_key(keys, 1), counts)}, 1, total)
+    read = language_model.count_of(f.levels(keys, 1))
+    assert (read > counts / 1.3).all() and (read[2:] < counts[2:] * 1.3**3).all()
+    assert language_model.level(np.array([total]))[0] < language_model.levels_of(total) < 255
+    assert language_model.levels_of(2**63 - 1) == 109
+
+
 def test_filter_in_groups(docs):
     """Shards broadcast one by one score like all at once."""
     base = docs.select("doc_id", "text")
