@@ -12,10 +12,12 @@ is confirmed on full sets.  To lose no link without listing the pairs of a big
 group, it goes in two rounds.  The first links each document of a node with its
 closest ones and with the node's hub, and finds the classes these links make.
 The second looks only at nodes that hold several classes, and only at pairs
-across classes, each in the first of its small common nodes.  Nodes with more
-than LIMIT documents branch again, each document into two children by further
-minima; what is still too big at the last level is compared in blocks, pair of
-blocks by pair of blocks, so that nothing is dropped.
+across classes, each in the first of its common nodes.  Nodes with more than
+LIMIT documents are compared in blocks, pair of blocks by pair of blocks, so that
+nothing is dropped; branching by further minima would lose links, as a pair need
+not meet in a child.  Blocks of a node's largest class are compared with those of
+the other classes only, so a big class with few others costs its own size.  A node
+of m documents outside its largest class copies each about m / SPLIT times.
 
 Texts without words are linked with nothing.  A null id takes no part and is
 kept.  Repeated rows are one class.  An empty table gives no rows.
@@ -33,10 +35,12 @@ from estatum.llm import text as tx
 from estatum.llm.common import materialize, table
 
 TREES, DEPTH, SLOTS = 28, 4, 128
-LIMIT, LEVELS, SPLIT = 2048, 4, 1024
+LIMIT, SPLIT = 2048, 1024
+#: Levels of branching before a node goes by blocks: none.
+LEVELS = 0
 #: Share of equal sketch bytes from which a pair is confirmed: five standard deviations below 0.8.
 MAYBE = 0.62
-SIGNATURE = "doc_id long, n long, s1 long, s2 long, nodes array<long>, deep array<int>, sketch binary, keys binary"
+SIGNATURE = "doc_id long, n long, s1 long, s2 long, nodes array<long>, sketch binary, keys binary"
 #: Ids up to which those of the texts to look up are broadcast.
 FEW_IDS = 1_000_000
 
@@ -54,8 +58,8 @@ def _sets(batches, k: int):
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """Per document: size and digest of its set, first nodes, further minima,
-    sketch, and the nodes' short names."""
+    """Per document: size and digest of its set, nodes, sketch, and the nodes'
+    short names."""
 
     def run(batches):
         a, c = _functions()
@@ -75,8 +79,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 nodes = tx.mix(nodes * np.uint64(0x9E3779B97F4A7C15) + mins[:, d : DEPTH * TREES : DEPTH])
             lists = lambda x, k: pa.ListArray.from_arrays(pa.array(np.arange(0, x.shape[1] * len(sets) + 1, x.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(x).view(k).ravel()))
             raw = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
-            deep = (mins[:, DEPTH * TREES :] >> np.uint64(32)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)), lists(nodes, np.int64), lists(deep, np.int32), raw((mins & np.uint64(255)).astype(np.uint8)), raw(nodes.astype(np.uint32))], names=[x.split(" ")[0] for x in SIGNATURE.split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)), lists(nodes, np.int64), raw((mins & np.uint64(255)).astype(np.uint8)), raw(nodes.astype(np.uint32))], names=[x.split(" ")[0] for x in SIGNATURE.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
 
@@ -191,12 +194,11 @@ def close_pairs(members: DataFrame, keys: list[str]) -> DataFrame:
 def cross_pairs(members: DataFrame, keys: list[str], share: int) -> DataFrame:
     """Second round: all pairs of a group that are similar by sketches and by short
     sets, and are of different classes; where ``side`` is given, pairs across sides only.  A pair
-    is left to an earlier tree whose common node is small (``small``: a bit a
-    tree), as it is compared there."""
+    is left to the first tree with a common node, as it is compared there."""
 
     def run(frames):
         for f in _groups(frames, keys):
-            ids, n, comp, side, tree, small = (f[c].to_numpy() for c in ("rep", "n", "comp", "side", "tree", "small"))
+            ids, n, comp, side, tree = (f[c].to_numpy() for c in ("rep", "n", "comp", "side", "tree"))
             names = np.frombuffer(b"".join(f["keys"]), np.uint32).reshape(-1, TREES)
             sk = np.frombuffer(b"".join(f["sketch"]), np.uint8).reshape(-1, SLOTS)
             edges = _runs(f, keys)
@@ -209,8 +211,7 @@ def cross_pairs(members: DataFrame, keys: list[str], share: int) -> DataFrame:
                 i, j = np.nonzero(ok)
                 t = int(tree[s])
                 if t and len(i):
-                    met = (names[s + i, :t] == names[s + j, :t]) & ((small[s + i] & small[s + j])[:, None] >> np.arange(t) & 1).astype(bool)
-                    first = ~met.any(axis=1)
+                    first = ~(names[s + i, :t] == names[s + j, :t]).any(axis=1)
                     i, j = i[first], j[first]
                 if len(i):
                     # one more in common than the short sets show, for good measure
@@ -271,12 +272,25 @@ def _sized(nodes: DataFrame, least: int = 2) -> DataFrame:
     return nodes.join(size, "node")
 
 
+def block_pairs(big: DataFrame) -> DataFrame:
+    """Every pair of blocks of each node (node, rep, comp, size), as a node of its own, but
+    pairs within the node's largest class; ``side`` is the block, or -1 where a block
+    is paired with itself."""
+    classes = big.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"))
+    most = classes.groupBy("node").agg(F.max(F.struct("n", "comp")).alias("most"))
+    parts = lambda c: F.ceil(c / SPLIT).cast("long")
+    numbered = big.join(most, "node").withColumns({"_rest": parts(F.col("size") - F.col("most.n")), "_own": parts(F.col("most.n")), "_in": F.col("comp") == F.col("most.comp")})
+    side = F.when(F.col("_in"), F.col("_rest") + F.pmod(F.xxhash64("rep", F.lit(9)), F.col("_own"))).otherwise(F.pmod(F.xxhash64("rep", F.lit(9)), F.col("_rest")))
+    others = F.sequence(F.lit(0).cast("long"), F.when(F.col("_in"), F.col("_rest")).otherwise(F.col("_rest") + F.col("_own")) - 1)
+    paired = numbered.withColumn("side", side).withColumn("other", F.explode(others))
+    named = paired.withColumn("node", F.xxhash64("node", F.least("side", "other"), F.greatest("side", "other")))
+    return named.withColumn("side", F.when(F.col("side") == F.col("other"), -1).otherwise(F.col("side"))).drop("size", "most", "_rest", "_own", "_in", "other")
+
+
 def similar_links(docs: DataFrame, reps: DataFrame, k: int, share: int) -> DataFrame:
-    """Links (a, b) between representatives (rep, n, nodes, deep, sketch, keys)."""
+    """Links (a, b) between representatives (rep, n, nodes, sketch, keys)."""
     walked = reps.select("rep", F.posexplode("nodes").alias("tree", "node"))
     members = materialize(_sized(walked), "members")
-    small = members.filter(F.col("size") <= LIMIT).groupBy("rep").agg(F.expr("bit_or(shiftleft(1L, tree))").alias("small"))
-    carried = reps.select("rep", "n", "sketch", "keys").join(small, "rep", "left").na.fill(0, ["small"])
     chunked = members.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(5)), F.ceil(F.col("size") / LIMIT)).cast("long"))
     first = materialize(close_pairs(chunked.join(reps.select("rep", "n", "sketch"), "rep"), ["node", "chunk"]), "pairs")
     links = materialize(confirm(first, docs, k, share), "links")
@@ -284,35 +298,19 @@ def similar_links(docs: DataFrame, reps: DataFrame, k: int, share: int) -> DataF
 
     # second round: nodes of several classes
     named = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root", "size")
-    found = []
-    level, nodes = 0, named
-    while True:
-        several = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").drop("lo", "hi")
-        mixed = materialize(nodes.join(several, "node"), "mixed")
-        if level == 0:
-            # sets of the documents that are compared across classes
-            ids = materialize(mixed.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-            wanted = docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_semi")
-            carried = materialize(carried.join(short_sets(wanted, k).dropDuplicates(["rep"]), "rep"), "carried")
-        small_nodes = mixed.filter(F.col("size") <= LIMIT).withColumn("side", F.lit(-1).cast("long"))
-        found.append(cross_pairs(small_nodes.join(carried, "rep"), ["node"], share))
-        big = mixed.filter(F.col("size") > LIMIT)
-        if big.isEmpty():
-            break
-        level += 1
-        if level > LEVELS:
-            # every pair of blocks of the node, as a node of its own
-            parts = F.ceil(F.col("size") / SPLIT).cast("long")
-            mine = big.withColumn("side", F.pmod(F.xxhash64("rep", F.lit(9)), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-            blocks = mine.withColumn("node", F.xxhash64("node", F.least("side", "other"), F.greatest("side", "other")))
-            within = blocks.filter("side = other").withColumn("side", F.lit(-1).cast("long"))
-            across = blocks.filter("side <> other")
-            for b in (within, across):
-                found.append(cross_pairs(b.join(carried, "rep"), ["node"], share))
-            break
-        pick = lambda i, level=level: F.get(F.col("deep"), F.pmod(F.col("tree") * 5 + 4 * (level - 1) + i, F.lit(SLOTS - TREES * DEPTH)).cast("int"))
-        children = F.explode(F.array(*[F.xxhash64("node", F.lit(b), pick(2 * b), pick(2 * b + 1)) for b in (0, 1)]))
-        nodes = big.drop("size").join(reps.select("rep", "deep"), "rep").withColumn("node", children).drop("deep")
+    several = named.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").drop("lo", "hi")
+    mixed = materialize(named.join(several, "node"), "mixed")
+    # sets of the documents that are compared across classes
+    ids = materialize(mixed.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    wanted = docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left_semi")
+    carried = materialize(reps.select("rep", "n", "sketch", "keys").join(short_sets(wanted, k).dropDuplicates(["rep"]), "rep"), "carried")
+    small_nodes = mixed.filter(F.col("size") <= LIMIT).drop("size").withColumn("side", F.lit(-1).cast("long"))
+    found = [cross_pairs(small_nodes.join(carried, "rep"), ["node"], share)]
+    big = mixed.filter(F.col("size") > LIMIT)
+    if not big.isEmpty():
+        blocks = block_pairs(big)
+        for b in (blocks.filter("side = -1"), blocks.filter("side >= 0")):
+            found.append(cross_pairs(b.join(carried, "rep"), ["node"], share))
     more = found[0]
     for f in found[1:]:
         more = more.unionByName(f)
@@ -327,7 +325,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = 80) -> DataFrame:
     sets of ``k``-word shingles have a similarity of ``share`` percent."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(signatures(docs, k), "signatures")
-    reps = materialize(signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("nodes", "deep", "sketch", "keys"), "doc_id").alias("x")).select("n", "s1", "s2", "rep", "x.*"), "reps")
+    reps = materialize(signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("nodes", "sketch", "keys"), "doc_id").alias("x")).select("n", "s1", "s2", "rep", "x.*"), "reps")
     roots = components(similar_links(docs, reps, k, share))
     labels = reps.select("n", "s1", "s2", "rep").join(roots, F.col("rep") == F.col("id"), "left").select("n", "s1", "s2", F.coalesce("root", "rep").alias("component"))
     out = signed.select("doc_id", "n", "s1", "s2").join(labels, ["n", "s1", "s2"], "left")

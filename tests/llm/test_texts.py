@@ -95,6 +95,37 @@ def test_near_duplicates_of_big_nodes(spark, docs, rows, monkeypatch):
     assert {(r.doc_id, r.n_shingles): r.component_id for r in neardup.near_duplicates(docs, 2).collect()} == want
 
 
+def test_near_duplicates_of_one_template(spark, monkeypatch):
+    """Pairs at exactly 0.8 in a family of texts below 0.8, whose nodes are all over
+    the limit, are each linked, and nothing else is."""
+    monkeypatch.setattr(neardup, "LIMIT", 4)
+    monkeypatch.setattr(neardup, "SPLIT", 16)
+    texts = []
+    for p in range(150):
+        # 190 common words, 2 of the pair, 24 of each: 192 of 240 between the two, 190 of 242 across pairs
+        own = [f"t{i}" for i in range(190)] + [f"p{p}x{i}" for i in range(2)]
+        texts += [" ".join(own + [f"p{p}{c}{i}" for i in range(24)]) for c in "ab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, 1).collect()}
+    assert got == {i: i - i % 2 for i in range(300)}
+
+
+def test_blocks_of_big_nodes(spark, monkeypatch):
+    """Each pair of different classes stands in one block pair; a big class isn't compared with itself."""
+    monkeypatch.setattr(neardup, "SPLIT", 8)
+    rows = [(1, i, 0 if i < 60 else i, 90) for i in range(90)]
+    out = neardup.block_pairs(spark.createDataFrame(rows, "node long, rep long, comp long, size long")).collect()
+    by = collections.defaultdict(list)
+    for r in out:
+        by[r.node].append(r)
+    met = collections.Counter()
+    for v in by.values():
+        assert len({r.side == -1 for r in v}) == 1
+        met.update((a.rep, b.rep) for a in v for b in v if a.rep < b.rep and a.comp != b.comp and (a.side < 0 or a.side != b.side))
+    assert met == {(a, b): 1 for a in range(90) for b in range(max(a + 1, 60), 90)}
+    assert sum(r.comp == 0 for r in out) == 60 * 4
+
+
 def repeats(texts):
     """Flags of the bytes that a repeated 200-byte string covers."""
     n = collections.Counter(b[p : p + 200] for b in texts for p in range(len(b) - 199))
