@@ -1,8 +1,8 @@
 """Toxicity by a linear-chain conditional random field.
 
 Two states a token (clean, toxic); a token's features are the word and its first
-4, 5 and 6 letters (inflected words share a stem), emissions are weights of a
-bounded list of these, transitions a 2 x 2 matrix.  Labels are of documents only, so token labels are
+4, 5 and 6 letters (inflected words share a stem), emissions are weights of
+those with toxic log-odds, transitions a 2 x 2 matrix.  Labels are of documents only, so token labels are
 made first: in documents labelled toxic, words with a feature whose smoothed log-odds between
 toxic and clean labelled documents pass a threshold are toxic tokens, and all
 tokens of other documents are clean.  The CRF is fitted to these by gradient
@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from estatum.llm.common import extended, materialize, table
 
 TOKEN = re.compile(r"[^\W\d_]+")
-#: Bounds of what the fit gathers on the driver: labelled documents (by hash), words with a weight.
+#: Bound of the labelled documents (by hash) that the fit gathers on the driver.
 FIT_DOCS = 1600
-LEXICON = 4096
+#: Weight from which a word or stem is listed; the list grows with the words that reach it, not to a fixed number.
+LISTED = 1.5
 #: Label rows (16 bytes each) up to which they are broadcast.
 SMALL_LABELS = 1_000_000
 #: A token is labelled toxic if its document is and its log-odds are at least this.
@@ -37,9 +38,9 @@ ODDS = 2.5
 STEMS = (4, 5, 6)
 
 
-def word_odds(labelled: DataFrame, size: int = LEXICON) -> DataFrame:
-    """(word, weight): the ``size`` words and stems ("^" before them) of greatest absolute log-odds between
-    documents labelled 1 and 0, over all labelled rows; ties by word."""
+def word_odds(labelled: DataFrame, least: float = LISTED) -> DataFrame:
+    """(word, weight): all words and stems ("^" before them) whose log-odds between documents labelled
+    1 and 0, over all labelled rows, are at least ``least``; the greatest first, ties by word."""
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     stems = [F.transform(F.filter(F.col("_w"), lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.lit("^"), F.substring(w, 1, n))) for n in STEMS]
     words = labelled.select("toxic", found.alias("_w")).select("toxic", F.explode(F.array_distinct(F.concat("_w", *stems))).alias("word"))
@@ -48,7 +49,7 @@ def word_odds(labelled: DataFrame, size: int = LEXICON) -> DataFrame:
     odds = F.log((F.col("a") + 0.5) / (F.col("na") + 1.0)) - F.log((F.col("b") + 0.5) / (F.col("nb") + 1.0))
     # the support term keeps rare words, whose odds are noise, near zero
     scored = by.filter("a + b >= 4").crossJoin(F.broadcast(n)).select("word", (odds * (1 - F.exp(-(F.col("a") + F.col("b")) / 3.0))).alias("weight"))
-    return scored.orderBy(F.abs("weight").desc(), "word").limit(size)
+    return scored.filter(F.col("weight") >= least).orderBy(F.desc("weight"), "word")
 
 
 def evidence(tagged: list[tuple[int, int, float]]) -> float:
@@ -224,17 +225,16 @@ def fit(docs: list[tuple[str, int]], odds: dict[str, float], rounds: int = 40, r
     return model
 
 
-def train(labelled: DataFrame, fit_docs: int = FIT_DOCS, lexicon: int = LEXICON) -> Crf:
+def train(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> Crf:
     """Fit on (doc_id, text, toxic).  Odds cover every labelled row; the CRF
     itself is fitted on at most ``fit_docs`` of them, half toxic, by hash."""
     labelled = labelled.filter("text IS NOT NULL AND toxic IS NOT NULL")
-    odds = {r.word: r.weight for r in word_odds(labelled, lexicon).collect()}
+    # words outside toxic use stay at their own emission: only those with some odds are listed
+    odds = {r.word: r.weight for r in word_odds(labelled).collect()}
     rows = []
     for label in (1, 0):
         part = labelled.filter((F.col("toxic") == 1) if label else (F.col("toxic") != 1))
         rows += [(r.text, label) for r in part.select("text", F.xxhash64("doc_id", F.lit(7)).alias("_h")).orderBy("_h", "text").limit(fit_docs // 2).collect()]
-    # words outside toxic use stay at their own emission: only those with some odds are listed
-    odds = {w: o for w, o in odds.items() if o >= 1.5}
     return fit(rows, odds)
 
 
@@ -242,7 +242,7 @@ def toxic_scores(df: DataFrame, model: Crf, keep: list[str], text: str = "text",
     """``keep`` columns plus score, predicted and spans; spans are words of marginal ``span_at`` or more."""
     schema = extended(df.select(*keep).schema, "score double, predicted int, spans array<struct<start:int,end:int,p:double>>")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
-    session = df.sparkSession.sparkContext.broadcast(model)  # bounded by LEXICON
+    session = df.sparkSession.sparkContext.broadcast(model)  # a word or stem with toxic odds, and its weight
 
     def run(batches):
         m = session.value

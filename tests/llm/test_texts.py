@@ -351,6 +351,18 @@ def test_toxicity_held_out(spark):
     assert next(r for r in out if r.doc_id == -1).predicted == 0
 
 
+def test_toxic_words_outlast_clean_ones(spark):
+    """Thousands of words of clean-only use do not crowd out words of moderate toxic odds."""
+    letters = lambda i: "".join(chr(97 + i // 26**j % 26) for j in range(3))
+    clean = " ".join("q" + letters(i) for i in range(6000))
+    # "vile" in 40 of 200 toxic and 5 of 200 clean texts
+    rows = [(i, ("vile word" if i < 40 else "word") if i < 200 else clean + (" vile" if i < 205 else ""), int(i < 200)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r.word: r.weight for r in toxicity.word_odds(df).collect()}
+    assert "vile" in got and 1.5 <= min(got.values()) and got["vile"] < 2.5
+    assert not any(w.startswith("q") for w in got)
+
+
 def test_no_labels(spark, docs, none):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     out = toxicity.toxic_scores(docs, toxicity.train(toxicity.train_split(docs, labels)), ["doc_id"]).collect()
