@@ -98,11 +98,11 @@ def search(embeddings: DataFrame, query: Column, k: int = 10, metric: str = "cos
 
 
 def search_many(embeddings: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", most: int = 1000) -> DataFrame:
-    """The same for a small table of queries (query_id, query), at most ``most``:
-    each task keeps its own nearest before they are merged."""
-    if queries.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} queries")
-    pairs = embeddings.select("permanode_id", "vector").crossJoin(F.broadcast(queries)).select("query_id", "permanode_id", distance(F.col("vector"), F.col("query"), metric).alias("distance"))
+    """The same for a table of queries (query_id, query): up to ``most`` are broadcast,
+    more are met block by block in a product of both tables' partitions.  Each task
+    keeps its own nearest before they are merged."""
+    few_queries = queries.limit(most + 1).count() <= most
+    pairs = embeddings.select("permanode_id", "vector").crossJoin(F.broadcast(queries) if few_queries else queries.hint("shuffle_replicate_nl")).select("query_id", "permanode_id", distance(F.col("vector"), F.col("query"), metric).alias("distance"))
     salted = pairs.withColumn("_salt", F.pmod(F.xxhash64("permanode_id"), F.lit(32)))
     part = Window.partitionBy("query_id", "_salt").orderBy("distance", "permanode_id")
     few = salted.withColumn("_rn", F.row_number().over(part)).filter(F.col("_rn") <= k).drop("_rn", "_salt")

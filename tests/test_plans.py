@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from estatum.operators import audit, health, joins, stats
+from estatum.operators import audit, embed, health, joins, stats
 from estatum.plans import plan, stash
 from estatum.testbed import Estate
 
@@ -120,3 +120,11 @@ def test_calendar_jobs(spark):
 
 def test_hash_rule():
     assert audit.row_hash("0" * 64, {"b": None, "a": "x"}) == hashlib.sha256(("0" * 64 + '{"a":"x","b":null}').encode()).hexdigest()
+
+
+def test_search_of_many_queries(spark):
+    """More queries than are broadcast get the same neighbours."""
+    vectors = spark.range(60).selectExpr("CAST(id AS STRING) AS permanode_id", "array(float(id), float(id % 7)) AS vector")
+    asked = spark.range(40).selectExpr("id AS query_id", "array(float(id + 0.2), float(id % 5)) AS query")
+    few, many = ({(r.query_id, r["rank"], r.permanode_id) for r in embed.search_many(vectors, asked, 3, "l2", most=most).collect()} for most in (1000, 10))
+    assert few == many and len(many) == 120
