@@ -88,9 +88,9 @@ def test_near_duplicates(docs, rows, k):
 
 
 def test_near_duplicates_of_big_nodes(spark, docs, rows, monkeypatch):
-    """Tiny limits send every node through branching and blocks."""
+    """Tiny limits send every node through all steps and blocks."""
     want = {(r.doc_id, r.n_shingles): r.component_id for r in neardup.near_duplicates(docs, 2).collect()}
-    for name, value in (("LIMIT", 3), ("LEVELS", 1), ("SPLIT", 2)):
+    for name, value in (("SMALL", 2), ("LIMIT", 3), ("SPLIT", 2), ("SERVED", 2)):
         monkeypatch.setattr(neardup, name, value)
     assert {(r.doc_id, r.n_shingles): r.component_id for r in neardup.near_duplicates(docs, 2).collect()} == want
 
@@ -98,8 +98,8 @@ def test_near_duplicates_of_big_nodes(spark, docs, rows, monkeypatch):
 def test_near_duplicates_of_one_template(spark, monkeypatch):
     """Pairs at exactly 0.8 in a family of texts below 0.8, whose nodes are all over
     the limit, are each linked, and nothing else is."""
-    monkeypatch.setattr(neardup, "LIMIT", 4)
-    monkeypatch.setattr(neardup, "SPLIT", 16)
+    for name, value in (("SMALL", 2), ("LIMIT", 4), ("SPLIT", 16)):
+        monkeypatch.setattr(neardup, name, value)
     texts = []
     for p in range(150):
         # 190 common words, 2 of the pair, 24 of each: 192 of 240 between the two, 190 of 242 across pairs
