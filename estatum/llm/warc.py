@@ -181,12 +181,16 @@ def link_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Add ``refers_to``: of equal payloads of at least ``min_bytes`` bytes, the
     smallest page_id, null for that page itself and for shorter payloads.
 
-    Only digests are grouped; the payload is shuffled once, by page."""
+    Only digests are grouped; the payload is shuffled once, by page and digest, so
+    pages of one id and different payloads are told apart.  Rows equal in both are all
+    what the first is.  A null page_id is no page's first and refers to none.  An empty
+    table gives no rows."""
     html = F.coalesce("html", F.lit(""))
-    keyed = pages.select("page_id", F.sha2(html, 256).alias("_h"), F.octet_length(html).alias("_n")).filter(F.col("_n") >= min_bytes)
+    named = pages.withColumn("_h", F.sha2(html, 256))
+    keyed = named.select("page_id", "_h").filter(F.octet_length(html) >= min_bytes) if min_bytes else named.select("page_id", "_h")
     first = keyed.groupBy("_h").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_c")).filter("_c > 1").select(F.col("_h").alias("_g"), "_first")
-    later = keyed.join(first, F.col("_h") == F.col("_g")).filter("page_id > _first").select(F.col("page_id").alias("_p"), F.col("_first").alias("refers_to")).dropDuplicates(["_p"])
-    return pages.join(later, F.col("page_id") == F.col("_p"), "left").drop("_p")
+    later = keyed.join(first, F.col("_h") == F.col("_g")).filter("page_id > _first").select(F.col("page_id").alias("_p"), "_g", F.col("_first").alias("refers_to")).distinct()
+    return named.join(later, (F.col("page_id") == F.col("_p")) & (F.col("_h") == F.col("_g")), "left").drop("_p", "_g", "_h")
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:

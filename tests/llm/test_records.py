@@ -83,6 +83,15 @@ def test_warc_round_trip(spark):
     assert all(linked[i] is None for i, _, h in rows if len((h or "").encode()) < 100)
 
 
+def test_pages_of_one_id(spark):
+    """Ids that stand for several payloads lose none; null ids and empty tables pass."""
+    df = spark.createDataFrame([(1, "u", "A"), (2, "u", "A"), (2, "v", "B"), (2, "w", "B"), (None, "x", "A"), (3, None, "B")], "page_id long, url string, html string")
+    got = sorted((r.record_id or "", r.record_type, r.refers_to or "", bytes(r.payload)) for r in warc.read_archives(warc.pack_archives(warc.link_revisits(df))).collect())
+    assert [g[1:] for g in got if g[0] == "2"] == [("response", "", b"B"), ("response", "", b"B"), ("revisit", "1", b"")]
+    assert ("3", "revisit", "2", b"") in got and ("1", "response", "", b"A") in got and len(got) == 6
+    assert warc.read_archives(warc.pack_archives(warc.link_revisits(df.filter("false")))).count() == 0
+
+
 def test_archive_is_plain_zstandard():
     records = [warc.record(i, "u", b"payload %d" % i * 50, None) for i in range(40)]
     data = warc.archive(records)
