@@ -1,21 +1,32 @@
 """Secret scan with a randomness test battery, in built-in functions only.
 
-Three patterns give the base findings.  Beside them, long tokens whose characters
-fit an encoding (hex, base32, base36, base62, base64, url-safe base64) are tested
-against the hypothesis that a random generator wrote them: chi-squared for a
-uniform alphabet, runs above and below its middle, and lag-one serial
-correlation.  Tokens whose combined p-value is small are plain writing; which
-p-values are small is decided by Benjamini and Hochberg's rule among tokens of
-equal encoding and length class, over the whole table, so that at most a share
-FDR of those called plain are in truth random.  Tokens too short for their
-encoding to be told from writing are not tested.  The rest are reported as
-``random`` spans, where no base span overlaps.
-
-Offsets are code points, ends exclusive.  Null text counts as empty: no spans.
+Three patterns give the base findings.  Beside them, every long token is tested.  Its
+encoding is the smallest alphabet that holds it (letters, hex, base32, base36, base62,
+base64, url-safe base64).  The battery asks whether a random generator could have
+written it: chi-squared for a uniform alphabet, runs above and below its middle, and
+lag-one serial correlation; a token whose combined p-value is under ALPHA is no
+generator's (and ALPHA of those that are get lost).
+
+What is left is reported only if plain writing is rejected.  Plain writing draws its
+characters as the table's own texts do (counted over all of them, long tokens left
+out, restricted to the token's alphabet); the mean and variance of a token's
+log-likelihood under these frequencies follow from its length, and the lower tail is
+the p-value against plain.  Benjamini and Hochberg's rule, among tokens of equal encoding and length class
+over the whole table, keeps the expected share of plain tokens among the reported
+ones under FDR (over 1 - ALPHA).  A token too short to be told from writing has a
+large p-value and is reported only where many such are.
+
+Reported tokens are ``random`` spans, where no base span overlaps.  Digits alone are
+numbers and are not tested.  Offsets are code points, ends exclusive.  Null text
+counts as empty: no spans.  Repeated rows are repeated, and their tokens count once;
+an empty table gives no rows; extra columns travel in ``keep``.  Arrays of matches
+are built in chunks, so a long text with many matches costs little more than its
+length.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,20 +41,48 @@ ACCESS = r"(AKIA[A-Z0-9]{16,})"
 HEX = r"([0-9a-f]{24,})"
 TOKEN = r"([A-Za-z0-9+/_-]{20,}={0,2})"
 KINDS = ("assign", "access", "hex", "random")
-#: Encodings in the order they are tried: name, alphabet in value order, what a token must hold, least length.
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: Encodings in the order they are tried: name, alphabet in value order.
 ENCODINGS = (
-    ("hex", "0123456789abcdef", r"[0-9].*[a-f]|[a-f].*[0-9]", 24),
-    ("HEX", "0123456789ABCDEF", r"[0-9].*[A-F]|[A-F].*[0-9]", 24),
-    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", r"[2-7].*[A-Z]|[A-Z].*[2-7]", 24),
-    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz", r"[0-9].*[a-z]|[a-z].*[0-9]", 24),
-    ("base62", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", 20),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", 20),
-    ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", 20),
+    ("hex", DIGITS + LOWER[:6]),
+    ("HEX", DIGITS + UPPER[:6]),
+    ("lower", LOWER),
+    ("upper", UPPER),
+    ("base32", UPPER + "234567"),
+    ("base36", DIGITS + LOWER),
+    ("BASE36", DIGITS + UPPER),
+    ("base62", UPPER + LOWER + DIGITS),
+    ("base64", UPPER + LOWER + DIGITS + "+/"),
+    ("base64url", UPPER + LOWER + DIGITS + "-_"),
 )
-LENGTHS = (32, 48, 96)
-FDR = 0.05
+#: Length classes of the control, shares that it and the battery may err by.
+LENGTHS = (24, 32, 48, 96)
+FDR, ALPHA = 0.05, 0.01
+#: Share of plain writing's characters taken as uniform, as names and paths hold digits and capitals that prose lacks.
+EVEN = 0.1
 #: Resolution and reach of the p-value histogram, in tenths of powers of ten.
 BINS, REACH = 20, 400
+#: Matches that are gathered in one array before arrays are joined.
+CHUNK = 256
+SPAN = "struct<start:int,kind:int,end:int>"
+
+
+def running(rows: Column, kind: str, start: Column, step) -> Column:
+    """struct<at, out>: ``step(at, x)`` gives the next ``at`` and the elements of x, an
+    array of ``kind``; ``out`` joins them.  Joining goes by chunks of CHUNK rows."""
+    none = F.array().cast(f"array<{kind}>")
+    last = F.greatest(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast("int"))
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(rows, c * CHUNK + 1, CHUNK))
+
+    def one(acc, x):
+        at, out = step(acc["at"], x)
+        return F.struct(at.alias("at"), F.concat(acc["out"], out).alias("out"))
+
+    def many(acc, xs):
+        inner = F.aggregate(xs, F.struct(acc["at"].alias("at"), none.alias("out")), one)
+        return F.get(F.transform(F.array(inner), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out"))), F.lit(0))
+
+    return F.aggregate(chunks, F.struct(start.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out")), many, lambda acc: F.struct(acc["at"].alias("at"), F.flatten(acc["out"]).alias("out")))
 
 
 def found(text: Column, pattern: str, order: int, group: int = 0, least: int = 0) -> Column:
@@ -51,18 +90,15 @@ def found(text: Column, pattern: str, order: int, group: int = 0, least: int = 0
     matches gives their places; ``least``: of the characters of ``group``."""
     parts, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if least else hits
-    rows = F.arrays_zip(F.slice(parts, 1, F.size(hits)).alias("before"), hits.alias("hit"), groups.alias("group"))
-    kind = "array<struct<start:int,kind:int,end:int>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    size = lambda x: F.transform(x, lambda y: F.char_length(y))
+    rows = F.arrays_zip(F.slice(size(parts), 1, F.size(hits)).alias("before"), size(hits).alias("hit"), size(groups).alias("group"))
 
-    def step(acc, x):
-        at = acc["at"] + F.char_length(x["before"])
-        end = at + F.char_length(x["hit"])
-        one = F.array(F.struct(at.alias("start"), F.lit(order).alias("kind"), end.alias("end")))
-        keep = F.char_length(x["group"]) >= least if least else F.lit(True)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def step(at, x):
+        begin = at + x["before"]
+        one = F.array(F.struct(begin.alias("start"), F.lit(order).alias("kind"), (begin + x["hit"]).alias("end")))
+        return begin + x["hit"], F.when(x["group"] >= least, one).otherwise(F.array().cast(f"array<{SPAN}>"))
 
-    return F.when(text.rlike(pattern), F.aggregate(rows, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+    return F.when(text.rlike(pattern), running(rows, SPAN, F.lit(0), step)["out"]).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def normal_tail(z: Column) -> Column:
@@ -76,17 +112,39 @@ def normal_tail(z: Column) -> Column:
 
 
 def encoding(token: Column) -> Column:
-    """Index of the first encoding that a token fits, else null."""
+    """Index of the smallest alphabet that holds a token, null for numbers."""
     out = F.lit(None).cast("int")
-    for i, (_, alphabet, holds, least) in reversed(list(enumerate(ENCODINGS))):
+    for i, (_, alphabet) in reversed(list(enumerate(ENCODINGS))):
         chars = alphabet.replace("-", r"\-")
-        out = F.when((F.length(token) >= least) & token.rlike(f"^[{chars}]+$") & token.rlike(holds), F.lit(i)).otherwise(out)
+        out = F.when(token.rlike(f"^[{chars}]+$"), F.lit(i)).otherwise(out)
+    return F.when(~token.rlike("^[0-9]+$"), out)
+
+
+def letters_of(texts: Column) -> list[Column]:
+    """Sums over all rows of how often each letter, in either case, and each other
+    character of the encodings occurs outside of long tokens."""
+    rest = F.lower(F.regexp_replace(texts, TOKEN, " "))
+    every = sorted(set("".join(a for _, a in ENCODINGS).lower()))
+    return [F.sum(F.length(rest) - F.length(F.translate(rest, c, ""))).alias(f"u{ord(c)}") for c in every]
+
+
+def plain_logs(counts: dict[str, int]) -> list[list[float]]:
+    """Log-frequencies of plain writing, by value in each encoding."""
+    out = []
+    for _, alphabet in ENCODINGS:
+        total = sum(counts.get(c.lower(), 0) for c in alphabet)
+        out.append([math.log((1 - EVEN) * (counts.get(c.lower(), 0) / total if total else 1 / len(alphabet)) + EVEN / len(alphabet)) for c in alphabet])
     return out
 
 
-def battery(df: DataFrame, token: str, code: str) -> DataFrame:
-    """Add ``p``: the smallest of three p-values, times three."""
-    alphabets = F.array(*[F.lit(a) for _, a, _, _ in ENCODINGS])
+def battery(df: DataFrame, token: str, code: str, logs: list[list[float]]) -> DataFrame:
+    """Add ``p``, the smallest of the battery's three p-values, times three, and
+    ``plain``, the p-value against plain writing."""
+    alphabets = F.array(*[F.lit(a) for _, a in ENCODINGS])
+    pick = lambda values: F.get(F.array(*values), F.col(code))
+    means = [sum(math.exp(x) * x for x in own) / sum(map(math.exp, own)) for own in logs]
+    spreads = [sum(math.exp(x) * (x - m) ** 2 for x in own) / sum(map(math.exp, own)) for own, m in zip(logs, means, strict=True)]
+    table_ = pick([F.array(*map(F.lit, own)) for own in logs])
     n = F.length(token).cast("double")
     base = df.withColumn("_alphabet", F.get(alphabets, F.col(code))).withColumn("_a", F.length("_alphabet").cast("double"))
     chars = F.filter(F.split(token, ""), lambda c: c != "")
@@ -94,10 +152,10 @@ def battery(df: DataFrame, token: str, code: str) -> DataFrame:
     # counts by symbol, summed as squares over the distinct ones
     square = F.aggregate(F.array_distinct("_v"), F.lit(0.0), lambda s, u: s + F.pow(F.size(F.filter("_v", lambda w: w == u)).cast("double"), F.lit(2.0)))
     mean = F.aggregate("_v", F.lit(0.0), lambda s, x: s + x) / n
-    stats = coded.withColumns({"_chi": square * F.col("_a") / n - n, "_mean": mean, "_pairs": F.arrays_zip(F.slice("_v", 1, F.size("_v") - 1).alias("x"), F.slice("_v", 2, F.size("_v") - 1).alias("y")), "_high": F.size(F.filter("_v", lambda x: x >= F.col("_a") / 2)).cast("double")})
-    df_ = F.col("_a") - 1
+    stats = coded.withColumns({"_square": square, "_mean": mean, "_pairs": F.arrays_zip(F.slice("_v", 1, F.size("_v") - 1).alias("x"), F.slice("_v", 2, F.size("_v") - 1).alias("y")), "_high": F.size(F.filter("_v", lambda x: x >= F.col("_a") / 2)).cast("double")})
+    df_, chi = F.col("_a") - 1, F.col("_square") * F.col("_a") / n - n
     # mean and variance of the statistic are exact for few draws as well
-    z_chi = (F.col("_chi") - df_) / F.sqrt(2 * df_ * (1 - 1 / n))
+    z_chi = (chi - df_) / F.sqrt(2 * df_ * (1 - 1 / n))
     low = n - F.col("_high")
     runs = 1 + F.size(F.filter("_pairs", lambda p: (p["x"] >= F.col("_a") / 2) != (p["y"] >= F.col("_a") / 2)))
     mu = 2 * F.col("_high") * low / n + 1
@@ -107,7 +165,10 @@ def battery(df: DataFrame, token: str, code: str) -> DataFrame:
     var = F.aggregate("_v", F.lit(0.0), lambda s, x: s + dev(x) * dev(x))
     z_lag = (lag / F.greatest(var, F.lit(1e-9)) + 1 / n) * F.sqrt(n)
     p = F.least(F.lit(1.0), 3 * F.least(normal_tail(z_chi), 2 * normal_tail(F.abs(z_runs)), 2 * normal_tail(F.abs(z_lag))))
-    return stats.withColumn("p", p).drop("_alphabet", "_a", "_v", "_chi", "_mean", "_pairs", "_high")
+    # likelihood of plain writing; n draws have n times its mean and variance
+    own = F.aggregate("_v", F.lit(0.0), lambda s, v: s + F.get(table_, v.cast("int")))
+    plain = normal_tail((n * pick(list(map(F.lit, means))) - own) / F.sqrt(F.greatest(n * pick(list(map(F.lit, spreads))), F.lit(1e-9))))
+    return stats.withColumns({"p": p, "plain": plain}).drop("_alphabet", "_a", "_v", "_square", "_mean", "_pairs", "_high")
 
 
 def stratum(code: Column, length: Column) -> Column:
@@ -115,9 +176,9 @@ def stratum(code: Column, length: Column) -> Column:
 
 
 def thresholds(tested: DataFrame, fdr: float = FDR) -> DataFrame:
-    """(stratum, below): p-values under ``below`` are discoveries.  Works on a
-    histogram of p on a log scale, so one pass and a bounded table do."""
-    bins = F.least(F.lit(REACH), F.floor(-F.log10(F.greatest("p", F.lit(1e-30))) * BINS)).cast("int")
+    """(stratum, below): p-values against plain up to ``below`` reject it.  Works on a
+    histogram on a log scale, so one pass and a bounded table do."""
+    bins = F.least(F.lit(REACH), F.floor(-F.log10(F.greatest("plain", F.lit(1e-30))) * BINS)).cast("int")
     counts = tested.select("stratum", bins.alias("bin")).groupBy("stratum", "bin").agg(F.count(F.lit(1)).alias("n"))
     smaller = Window.partitionBy("stratum").orderBy(F.col("bin").desc())
     summed = counts.withColumns({"cum": F.sum("n").over(smaller), "m": F.sum("n").over(Window.partitionBy("stratum"))})
@@ -132,15 +193,17 @@ def find_secrets(df: DataFrame, keep: list[str], text: str = "text", fdr: float
     t = F.col("_t")
     base = F.array_sort(F.concat(found(t, ASSIGN, 0, 2, 6), found(t, ACCESS, 1), found(t, HEX, 2)))
     tokens = F.transform(found(t, TOKEN, 3), lambda s: s.withField("token", F.regexp_replace(F.substring(t, s["start"] + 1, s["end"] - s["start"]), "=+$", "")))
-    free = F.filter(tokens, lambda s: F.coalesce(encoding(s["token"]), F.lit(-1)) >= 0)
+    free = F.filter(tokens, lambda s: encoding(s["token"]).isNotNull())
     scanned = source.withColumn("_base", base)
     clear = F.filter(free, lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     stored = materialize(scanned.withColumn("_free", clear).withColumn("_id", F.monotonically_increasing_id()).drop("_t"), "spans")
+    seen = source.agg(*letters_of(t)).first().asDict()
+    logs = plain_logs({chr(int(c[1:])): n or 0 for c, n in seen.items()})
     coded = stored.select(F.explode("_free").alias("s")).select("s.token", encoding(F.col("s.token")).alias("code"))
-    distinct_tests = battery(coded.distinct(), "token", "code").withColumn("stratum", stratum(F.col("code"), F.length("token")))
-    tested = materialize(distinct_tests.select("token", "p", "stratum"), "tested")
-    plain = tested.join(F.broadcast(thresholds(tested, fdr)), "stratum").filter(F.col("p") <= F.col("below")).select("token").withColumn("_plain", F.lit(True))
-    spans = stored.select("_id", F.explode("_free").alias("s")).join(plain, F.col("s.token") == F.col("token"), "left").filter("_plain IS NULL")
+    distinct_tests = battery(coded.distinct(), "token", "code", logs).withColumn("stratum", stratum(F.col("code"), F.length("token")))
+    tested = materialize(distinct_tests.select("token", "p", "plain", "stratum"), "tested")
+    secret = tested.join(F.broadcast(thresholds(tested, fdr)), "stratum").filter((F.col("plain") <= F.col("below")) & (F.col("p") >= ALPHA)).select(F.col("token").alias("_secret"))
+    spans = stored.select("_id", F.explode("_free").alias("s")).join(secret, F.col("s.token") == F.col("_secret"))
     more = spans.groupBy(F.col("_id").alias("_o")).agg(F.collect_list(F.struct(F.col("s.start").alias("start"), F.lit(3).alias("kind"), F.col("s.end").alias("end"))).alias("_more"))
     joined = stored.join(more, F.col("_id") == F.col("_o"), "left")
     return joined.select(*keep, F.array_sort(F.concat("_base", F.coalesce("_more", F.array().cast("array<struct<start:int,kind:int,end:int>>")))).alias("spans"))
