@@ -1,82 +1,96 @@
 """Best-fit packing of tokenized documents into sequences of fixed length.
 
 Documents become runs of token ids with one end id; only runs longer than a
-sequence are cut.  Packing is bulk-synchronous: pieces and gaps are sorted by
-size, a superstep matches the longest pieces left with the successors of their
-length among the gaps (the tightest gaps that hold them), pieces that want the
-same gap are told apart by rank, gaps shrink, and the next superstep follows.
-Pieces of one length are interchangeable, and so are gaps of one size, so a
-superstep's sweep runs over counts: at most ``capacity`` lengths and gaps,
-whatever the corpus.  Each piece then looks up its place by its rank among the
-pieces of its length; ranks come from salted windows, so no length, however
-common, is one task's.
-
-Null text counts as empty (the end id alone).  Repeated rows are packed once
-each; an empty table gives an empty result.
+sequence are cut.  Packing is bulk-synchronous, longest pieces first: class by class
+of lengths (each half the one before), supersteps run until no piece of the class is
+left.  A superstep is one Spark job over two sorted tables, pieces and gaps:
+
+* a sweep over both, by falling size, gives each piece its successors, the gaps that
+  hold it, as a count;
+* pieces that want the same gaps are told apart by rank: as many of the longest as
+  there are gaps get one, and each takes the last (tightest) gap that leaves one to
+  all shorter pieces;
+* a second sweep, along the ranks, meets pieces with their gaps.
+
+Then gaps shrink and the next superstep follows; where no gap holds what is left, new
+sequences are opened, as many as its tokens fill.  Short pieces of one length go in
+bundles, which halve down to single pieces.
+
+Pieces of one length are interchangeable, and so are gaps of one size, so both tables
+hold runs (size, count): at most ``capacity`` lengths, and for the gaps as many runs
+as supersteps have cut, whatever the corpus.  Each piece then looks up its place by
+its rank among the pieces of its length; ranks come from salted windows, so no
+length, however common, is one task's.
+
+Null text counts as empty (the end id alone).  Repeated rows are packed once each, as
+are rows of one id; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import base64
-import bisect
+import os
 import re
 import zlib
-from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatum.llm.common import extended, materialize, table, with_rank
 
 CAPACITY = 2048
-VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+VOCABULARY = "byte_bpe_50k.json"
 #: How the byte-level vocabulary splits text before merging, in the
 #: standard library's terms, which agree with it on the characters of PLAIN.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 NOT_PLAIN = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞€]|<\\|endoftext\\|>")
-CACHED = 500_000
+#: Words kept by a worker, characters of the texts that are split at once.
+CACHED, AT_ONCE = 500_000, 1 << 19
+#: Classes of lengths: the last takes all under this share of the capacity.  By how much bundles shrink.
+LAST, SHRINK = 16, 4
 
 
 class Encoder(dict):
-    """Ids of a text as little-endian 32-bit bytes.  Words are encoded once, by the
-    vocabulary's ranks where these are given, and kept; texts with unusual
-    characters are given to the tokenizer whole."""
+    """Ids of texts as little-endian 32-bit bytes, all by the tokenizer.  Words, which
+    it never merges across, are encoded once and kept; texts that the split does not
+    cover are given to the tokenizer whole."""
 
-    def __init__(self, path: str, ranks: str | None = None):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
         self.tokenizer = Tokenizer.from_file(path)
-        self.word = self.whole
-        if ranks:
-            import tiktoken
 
-            with open(ranks, "rb") as f:
-                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            encode = tiktoken.Encoding("words", pat_str=SPLIT.pattern.replace(r"[^\W\d_]", r"\p{L}"), mergeable_ranks=table, special_tokens={}).encode_ordinary
-            self.word = lambda word: array("I", encode(word)).tobytes()
+    def raw(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [None if NOT_PLAIN.search(t) else SPLIT.findall(t) for t in texts]
+        unknown = list({w for words in split if words for w in words if w not in self})
+        if len(self) + len(unknown) > CACHED:
             self.clear()
-        self[word] = out = self.word(word)
-        return out
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if NOT_PLAIN.search(text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, SPLIT.findall(text)))
+            unknown = list({w for words in split if words for w in words})
+        self.update(zip(unknown, self.raw(unknown), strict=True))
+        return [self.raw([t])[0] if words is None else b"".join(map(self.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+
+    def stream(self, texts):
+        """Ids of each text, in order; texts go in lots of about AT_ONCE characters."""
+        lot, size = [], 0
+        for t in texts:
+            lot.append(t)
+            size += len(t)
+            if size >= AT_ONCE:
+                yield from self.encode(lot)
+                lot, size = [], 0
+        yield from self.encode(lot)
 
 
 @lru_cache(1)
-def encoder(path: str, ranks: str | None) -> Encoder:
+def encoder(path: str) -> Encoder:
     """One a worker process, kept from task to task."""
-    return Encoder(path, ranks)
+    return Encoder(path)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -85,16 +99,16 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def token_pieces(docs: DataFrame, keep: list[str], path: str, ranks: str | None = None, text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, keep: list[str], path: str, text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """``keep`` columns plus piece, start, length, ids_crc32 (and ids)."""
     schema = extended(docs.select(*keep).schema, "piece integer, start long, length integer, ids_crc32 long" + ", ids binary" * with_ids)
 
     def run(batches):
-        own = encoder(path, ranks)
+        own = encoder(path)
         for b in batches:
             at, rows = [], []
-            for i, t in enumerate(b.column(b.num_columns - 1)):
-                ids = own.encode(t.as_py() or "") + b"\0\0\0\0"
+            for i, ids in enumerate(own.stream(t.as_py() or "" for t in b.column(b.num_columns - 1))):
+                ids += b"\0\0\0\0"
                 for k, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
                     part = ids[4 * s : 4 * (s + n)]
                     at.append(i)
@@ -107,82 +121,125 @@ def token_pieces(docs: DataFrame, keep: list[str], path: str, ranks: str | None
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
-def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """Supersteps over lengths, longest first, and gaps.
-
-    Returns (length, first rank, pieces, pieces a sequence, first sequence,
-    offset): the pieces of that length and rank go, so many to each, into
-    consecutive sequences from there on."""
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    order: list[int] = []
-    out, opened = [], 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(order, gap)
-            gaps[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        at = bisect.bisect_left(order, length)
-        while left and at < len(order):
-            gap = order[at]
-            fit, ranges, moved = gap // length, gaps.pop(gap), []
-            order.pop(at)
-            while left and ranges:
-                first, n = ranges.pop()
-                use = min(n, left // fit)
-                if use:
-                    out.append((length, rank, use * fit, fit, first, capacity - gap))
-                    moved.append((gap - fit * length, first, use))
-                    rank, left = rank + use * fit, left - use * fit
-                if use < n and left:  # fewer than would fill one
-                    out.append((length, rank, left, left, first + use, capacity - gap))
-                    moved.append((gap - left * length, first + use, 1))
-                    left, use = 0, use + 1
-                if use < n:
-                    ranges.append((first + use, n - use))
-                    if not left:
-                        break
-            for x in ranges:
-                put(gap, *x)
-            for x in moved:
-                put(*x)
-            at = bisect.bisect_left(order, length)
-        fit = capacity // length
-        full, rest = divmod(left, fit)
-        if full:
-            out.append((length, rank, full * fit, fit, opened, 0))
-            put(capacity - fit * length, opened, full)
+PLACES = "_length int, _from long, _n long, _fit long, _first long, _at int"
+
+
+#: One superstep over pieces {p} (length, done, fit, n) and gaps {g} (gap, first, n).
+SUPERSTEP = """
+WITH runs AS (SELECT 0 AS kind, gap AS size, n, gap, first, 0L AS length, 0L AS done, 0L AS fit FROM {g} UNION ALL SELECT 1, length * fit, n, 0L, 0L, length, done, fit FROM {p}),
+-- gaps that hold a size, and pieces of at least that size
+swept AS (SELECT *, sum(IF(kind = 0, n, 0)) OVER down AS holds, sum(IF(kind = 1, n, 0)) OVER down AS wants FROM runs WINDOW down AS (ORDER BY size DESC, kind, first, length ROWS UNBOUNDED PRECEDING)),
+-- pieces that get a gap, up to each: no more than there are gaps, longest first
+ranked AS (SELECT *, wants + least(0, min(IF(kind = 1, holds - wants, NULL)) OVER (ORDER BY size DESC, kind, first, length ROWS UNBOUNDED PRECEDING)) AS gets FROM swept),
+shifted AS (SELECT *, coalesce(max(IF(kind = 1, gets, NULL)) OVER (ORDER BY size DESC, kind, first, length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+ min(IF(kind = 1, holds - gets, NULL)) OVER (ORDER BY size DESC, kind, first, length ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS shift FROM ranked),
+-- both on the axis of the gaps' ranks
+spans AS (SELECT kind, gap, first, length, done, fit, IF(kind = 1, before + shift, holds - n) AS start, IF(kind = 1, gets + shift, holds) AS stop FROM shifted),
+met AS (SELECT start, lead(start) OVER (ORDER BY start, kind) AS next, last(IF(kind = 0, struct(gap, first, start, stop), NULL), true) OVER axis AS g, last(IF(kind = 1, struct(length, done, fit, start, stop), NULL), true) OVER axis AS p
+ FROM spans WHERE stop > start WINDOW axis AS (ORDER BY start, kind ROWS UNBOUNDED PRECEDING)),
+taken AS (SELECT *, least(coalesce(next, g.stop), g.stop, p.stop) - start AS m FROM met WHERE g IS NOT NULL AND p IS NOT NULL)
+SELECT p.length, p.done + p.fit * (start - p.start) AS rank, m * p.fit AS n, p.fit, g.first + start - g.start AS first, {capacity} - g.gap AS at FROM taken WHERE m > 0"""
+
+
+def superstep(spark: SparkSession, pieces: list[tuple], gaps: list[tuple], capacity: int) -> list[tuple]:
+    """Match runs of bundles (length, done, fit, n): n bundles of ``fit`` pieces of one
+    length, of which ``done`` are placed, with runs of gaps (gap, first, n), one bundle
+    a gap.  Gives PLACES."""
+    runs = lambda rows, names: spark.createDataFrame(pa.table({c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(names)}))
+    out = spark.sql(SUPERSTEP, p=runs(pieces, ("length", "done", "fit", "n")), g=runs(gaps, ("gap", "first", "n")), capacity=capacity)
+    return [tuple(r) for r in out.collect()]
+
+
+def _bundles(left: dict[int, int], done: dict[int, int], lengths: list[int], size: int) -> list[tuple]:
+    """Runs of bundles of about ``size`` tokens, of as many pieces as are left."""
+    out = []
+    for x in lengths:
+        if left[x]:
+            fit = max(1, min(size // x, left[x]))
+            out.append((x, done[x], fit, left[x] // fit))
+    return out
+
+
+def _shrink(gaps: dict[int, dict[int, int]], taken: list[tuple], capacity: int) -> None:
+    """Cut what was taken out of the runs of gaps ({gap: {first: n}}), and add what is
+    left of each."""
+    cut: dict[tuple, int] = {}
+    for length, _, n, fit, first, at in taken:
+        cut[capacity - at, first] = n // fit
+        rest = capacity - at - fit * length
         if rest:
-            out.append((length, rank + full * fit, rest, rest, opened + full, 0))
-            put(capacity - rest * length, opened + full, 1)
-        opened += full + bool(rest)
+            gaps.setdefault(rest, {})[first] = n // fit
+    for gap in {g for g, _ in cut}:
+        runs, kept = gaps.pop(gap), {}
+        own = sorted((f, n) for (g, f), n in cut.items() if g == gap)
+        for first, n in runs.items():
+            at = first
+            for f, m in own:
+                if first <= f < first + n:
+                    if f > at:
+                        kept[at] = f - at
+                    at = f + m
+            if at < first + n:
+                kept[at] = first + n - at
+        if kept:
+            gaps[gap] = kept
+
+
+def sweeps(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple]:
+    """PLACES of the pieces that ``counts`` gives by length: (length, first rank,
+    pieces, pieces a sequence, first sequence, offset), so many to each of consecutive
+    sequences.  The driver holds the runs and asks for superstep after superstep."""
+    left, done = dict(counts), dict.fromkeys(counts, 0)
+    gaps: dict[int, dict[int, int]] = {}
+    out, opened, top = [], 0, capacity
+    while top:
+        low = 0 if top * LAST <= capacity else top // 2
+        lengths = sorted(x for x in left if low < x <= top)
+        while any(left[x] for x in lengths):
+            widest, shortest = max(gaps, default=0), min(x for x in lengths if left[x])
+            if widest < shortest:
+                tokens = sum(x * left[x] for x in lengths)
+                new = max(-(-tokens // capacity), sum(left[x] for x in lengths if 2 * x > capacity))
+                gaps[capacity] = {opened: new}
+                opened, widest = opened + new, capacity
+            size = capacity
+            while size >= 2 * top and size > 2 * widest:
+                size //= 2
+            while size:
+                pieces = _bundles(left, done, lengths, size)
+                if pieces and min(x * fit for x, _, fit, _ in pieces) <= max(gaps, default=0):
+                    least = min(x * fit for x, _, fit, _ in pieces)
+                    taken = superstep(spark, pieces, [(g, f, n) for g, runs in gaps.items() if g >= least for f, n in runs.items()], capacity)
+                    for length, _, n, *_ in taken:
+                        left[length] -= n
+                        done[length] += n
+                    _shrink(gaps, taken, capacity)
+                    out += taken
+                size = max(size // SHRINK, top) if size > top else size // SHRINK if low == 0 and size > SHRINK else int(size > 1)
+        top = low
     return out
 
 
 def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to
-    ``capacity``.  What passes the driver is one count a length."""
+    ``capacity``.  What passes the driver is one count a length, and runs of places,
+    whose number follows the capacity and the supersteps."""
     spark = pieces.sparkSession
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    places = spark.createDataFrame(sweep(counts, capacity), "_length int, _from long, _n long, _fit long, _first long, _at int")
+    places = spark.createDataFrame(sweeps(spark, counts, capacity), PLACES)
     ranked = with_rank(pieces, ["length"], order, "_rank", salts=256)
     k = F.col("_rank") - F.col("_from")
     joined = ranked.join(F.broadcast(places), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_from") + F.col("_n")))
     return joined.select(*pieces.columns, (F.col("_first") + F.floor(k / F.col("_fit"))).alias("sequence_id"), (F.col("_at") + F.pmod(k, F.col("_fit")) * F.col("length")).cast("long").alias("offset"))
 
 
-def packed(docs: DataFrame, path: str | None = None, ranks: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Documents (doc_id, text) to placed pieces.  ``ranks``: the vocabulary of
-    ``path`` as ranks, which encodes single words faster."""
+def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """Documents (doc_id, text) to placed pieces, ids by the tokenizer of ``path``."""
     if path is None:
         import public_tokenizers
 
-        path, ranks = public_tokenizers.path(VOCABULARY), public_tokenizers.path(RANKS)
-    pieces = materialize(token_pieces(docs, ["doc_id"], path, ranks, capacity=capacity), "pieces")
+        path = public_tokenizers.path(VOCABULARY)
+    pieces = materialize(token_pieces(docs, ["doc_id"], path, capacity=capacity), "pieces")
     placed = pack(pieces, ["doc_id", "piece"], capacity)
     return placed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 

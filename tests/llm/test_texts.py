@@ -242,6 +242,44 @@ def test_secrets(spark):
     assert all((5, 3, 5 + len(r)) in got[7 + k] for k, r in enumerate(RANDOM))
 
 
+def test_secrets_of_a_long_text(spark):
+    """Thousands of matches in one text, over several chunks of the arrays."""
+    text = "é token=abcdef1 " * 3000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (r,) = secrets.find_secrets(df, ["doc_id"]).collect()
+    assert [tuple(s) for s in r.spans] == secret_spans(text) and len(r.spans) == 3000
+
+
+def test_share_of_plain_tokens_reported(spark):
+    """Among the tokens reported, few are names made of words; most random ones are found."""
+    rng = random.Random(11)
+    prose = "the quick report of measured values was written after several meetings about storage policy and replication between remote machines in winter".split()
+    alphabets = [string.ascii_letters + string.digits, string.digits + "abcdef".upper(), string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "-_"]
+    kinds, texts = {}, [" ".join(rng.choices(prose, k=80)) for _ in range(200)]
+    for i in range(1600):
+        n = rng.randint(28, 64)
+        if i % 2:
+            token = "".join(rng.choices(alphabets[i % 8 // 2], k=n))
+        else:
+            w = rng.choices(prose, k=12)
+            token = [lambda: "".join(x.title() for x in w), lambda: "_".join(w), lambda: "".join(w) + str(rng.randint(1, 99)), lambda: "".join(w)][i % 8 // 2]()[:n]
+        kinds[token] = i % 2
+        texts.append(f"before {token} after")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = [texts[r.doc_id][s.start : s.end] for r in secrets.find_secrets(df, ["doc_id"]).collect() for s in r.spans if s.kind == 3]
+    wrong = sum(not kinds[t] for t in found)
+    assert wrong <= 0.1 * len(found) and len(found) - wrong >= 0.85 * sum(kinds.values())
+
+
+def test_runs_in_chunks(spark):
+    """A running value over an array longer than a chunk, shorter, empty and null."""
+    df = spark.createDataFrame([(list(range(1000)),), ([5],), ([],), (None,)], "x array<int>")
+    out = df.select("x", secrets.running(F.col("x"), "int", F.lit(0), lambda at, x: (at + x, F.when(x % 2 == 0, F.array(at)).otherwise(F.array().cast("array<int>")))).alias("r")).collect()
+    for r in out[:3]:
+        assert r.r.at == sum(r.x) and r.r.out == [sum(r.x[:i]) for i, v in enumerate(r.x) if v % 2 == 0]
+    assert out[3].r.out is None
+
+
 def test_packing(docs, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -268,10 +306,10 @@ def test_cut():
     assert packing.cut(17, 8) == [(0, 1), (1, 8), (9, 8)] and packing.cut(16, 8) == [(0, 8), (8, 8)]
 
 
-def test_sweep_packs_like_best_fit():
+def test_supersteps_pack_like_best_fit(spark):
     rng = random.Random(3)
-    for _ in range(30):
-        counts = {n: rng.randint(1, 9) for n in rng.sample(range(1, 65), 20)}
+    for _ in range(4):
+        counts = {n: rng.randint(1, 40) for n in rng.sample(range(1, 65), 20)}
         gaps = []
         for n in sorted((k for k, c in counts.items() for _ in range(c)), reverse=True):
             fit = [g for g in gaps if g >= n]
@@ -280,9 +318,23 @@ def test_sweep_packs_like_best_fit():
                 gaps.append(min(fit) - n)
             else:
                 gaps.append(64 - n)
-        places = packing.sweep(counts, 64)
-        used = max(first + -(-n // fit) for _, _, n, fit, first, _ in places)
-        assert sum(n for _, _, n, *_ in places) == sum(counts.values()) and used == len(gaps)
+        places = packing.sweeps(spark, counts, 64)
+        ranks, used = collections.Counter(), collections.defaultdict(list)
+        for length, first, n, fit, seq, at in places:
+            for k in range(n):
+                ranks[length, first + k] += 1
+                used[seq + k // fit].append((at + k % fit * length, length))
+        assert ranks == {(x, r): 1 for x, c in counts.items() for r in range(c)}
+        for v in used.values():
+            v.sort()
+            assert v[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(v, v[1:], strict=False)) and sum(v[-1]) <= 64
+        assert set(used) == set(range(len(used))) and len(used) <= 1.03 * len(gaps) + 1
+
+
+def test_superstep_matches_by_rank(spark):
+    """As many as can be, longest first, each to a gap that leaves one to the shorter ones."""
+    got = packing.superstep(spark, [(9, 0, 1, 2), (6, 5, 1, 3), (2, 0, 2, 4)], [(10, 0, 1), (7, 1, 2), (4, 10, 3), (3, 20, 9)], 16)
+    assert sorted(got) == [(2, 0, 6, 2, 10, 12), (6, 5, 2, 1, 1, 9), (9, 0, 1, 1, 0, 6)]
 
 
 def test_mixing(docs, rows):
