@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents.  Columns that the operators do not know travel
-along in one struct, whatever their names.
+along in one struct, whatever their names.  Rows of one id and different texts are
+documents of their own.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ MASK = "[SECRET]"
 
 def _rows(docs: DataFrame, *names: str) -> DataFrame:
     """The whole row as a struct, and the columns that an operator needs."""
-    return docs.select(F.struct(*docs.columns).alias("_row"), *names)
+    own = [F.col(f"`{c.replace('`', '``')}`").alias(c) for c in docs.columns]
+    return docs.select(F.struct(*own).alias("_row"), *names)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,30 +31,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8): that of
-    the smallest id, once.  Documents without an id all stay."""
-    kept = neardup.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+    """One document of each group of near duplicates (five words, 0.8): that of the
+    smallest id.  Rows equal in id and text are one document.  Documents without an
+    id all stay."""
+    kept = neardup.classes_of(docs).filter("chosen AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
+    rows = _rows(docs, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_hash"))
+    named = rows.filter("doc_id IS NOT NULL").join(kept, (F.col("doc_id") == F.col("_d")) & (F.col("_hash") == F.col("_t")), "left_semi")
+    return named.dropDuplicates(["doc_id", "_hash"]).unionByName(rows.filter("doc_id IS NULL")).select("_row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked; n_chars follows the text."""
     found = secrets.find_secrets(_rows(docs, "text"), ["_row"])
     text = F.col("_row.text")
-    # (place up to which the text is copied, copy)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, more).otherwise(acc["out"]).alias("out"))
+    # the place up to which the text is copied, and the copies
+    def step(at, s):
+        piece = F.concat(F.substring(text, at + 1, s["start"] - at), F.lit(MASK))
+        return F.greatest(at, s["end"]), F.when(s["start"] >= at, F.array(piece)).otherwise(F.array().cast("array<string>"))
 
-    masked = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    clean = F.when(F.size("spans") > 0, masked).otherwise(text)
-    changed = found.select("_row", clean.alias("_clean"))
+    copied = found.withColumn("_cut", F.when(F.size("spans") > 0, secrets.running(F.col("spans"), "string", F.lit(0), step)))
+    masked = F.concat(F.array_join("_cut.out", ""), F.substring(text, F.col("_cut.at") + 1, F.length(text)))
+    changed = copied.select("_row", F.when(F.col("_cut").isNotNull(), masked).otherwise(text).alias("_clean"))
     values = {"text": F.col("_clean"), "n_chars": F.when(F.col("_clean").isNotNull(), F.length("_clean")).otherwise(F.col("_row.n_chars")).cast("long")}
-    return changed.select(*[values[c].alias(c) if c in values else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    return changed.select(*[values[c].alias(c) if c in values else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
