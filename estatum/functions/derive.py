@@ -23,6 +23,8 @@ TIER_PREFIXES = (
     ("/Volumes/DropboxStorage", "DropboxStorage", "DropboxStorage"),
     ("/Volumes/BOOTCAMP/", "BOOTCAMP", "BOOTCAMP"),
 )
+# How cloud mounts, tiers by preference, store roots, conflict copies,
+# archive sizes and levels are named and ranked.
 CLOUD_MOUNT = r"/Library/CloudStorage/Dropbox(-[^/]+)?(/|$)"
 TIER_PRIORITY = {"boot": 0, "L1": 1, "L1w": 2, "L2": 3, "L3a": 4, "DropboxStorage": 5, "Backup": 6, "BOOTCAMP": 7, "other-volume": 8, "unknown": 99}
 UNLISTED = 999
@@ -32,7 +34,6 @@ ICLOUD_REL = "Library/Mobile Documents"
 CONFLICT = " (Selective Sync Conflict)"
 ARCHIVE_GRADE = 104857600
 LEVEL_RANK = {"ok": 0, "skipped": 0, "unknown": 1, "warn": 2, "fail": 3}
-HOME = "/Users/ana"
 
 
 def _first(cases: list[tuple[Column, Column]], otherwise: Column | None = None) -> Column:
@@ -146,7 +147,7 @@ def child_path(prefix: Column, name: Column) -> Column:
     return F.when(prefix == "", F.concat(F.lit("/"), name)).otherwise(F.concat(prefix, F.lit("/"), name))
 
 
-def cloud_relative(path: Column, home: str = HOME) -> Column:
+def cloud_relative(path: Column, home: str) -> Column:
     roots = (f"{home}/{MOUNT_REL}/", *CLOUD_STORES)
     return F.coalesce(*[_first([(path.startswith(r), F.substring(path, len(r) + 1, 1 << 30)), (path == r.rstrip("/"), F.lit(""))], F.lit(None).cast("string")) for r in roots])
 
@@ -160,15 +161,15 @@ def cloud_store_path(rel: Column) -> Column:
     return _join(CLOUD_STORES[0].rstrip("/"), rel)
 
 
-def cloud_mount_path(rel: Column, home: str = HOME) -> Column:
+def cloud_mount_path(rel: Column, home: str) -> Column:
     return _join(f"{home}/{MOUNT_REL}", rel)
 
 
-def is_cloud_path(path: Column, home: str = HOME) -> Column:
+def is_cloud_path(path: Column, home: str) -> Column:
     return cloud_relative(path, home).isNotNull() | under_prefix(path, f"{home}/{ICLOUD_REL}")
 
 
-def resolve_delete_target(path: Column, prefer_mount: bool = True, home: str = HOME) -> Column:
+def resolve_delete_target(path: Column, home: str, prefer_mount: bool = True) -> Column:
     """(target, tier_hint, used_mount): what to check is always what to delete."""
     rel = cloud_relative(path, home)
     icloud = under_prefix(path, f"{home}/{ICLOUD_REL}")
@@ -178,7 +179,7 @@ def resolve_delete_target(path: Column, prefer_mount: bool = True, home: str = H
     return F.struct(target.alias("target"), hint.alias("tier_hint"), used.alias("used_mount"))
 
 
-def path_aliases(path: Column, home: str = HOME) -> Column:
+def path_aliases(path: Column, home: str) -> Column:
     rel = cloud_relative(path, home)
     link = _join(CLOUD_STORES[1].rstrip("/"), rel)
     forms = F.array(path, cloud_store_path(rel), cloud_mount_path(rel, home), link)
@@ -189,7 +190,7 @@ def is_conflict_name(rel: Column) -> Column:
     return F.coalesce(F.exists(F.split(rel, "/"), lambda s: s.contains(CONFLICT) | s.endswith(CONFLICT.strip())), F.lit(False))
 
 
-def map_store_mount(path: Column, store_root: str | None = None, mount_root: str | None = None, home: str = HOME) -> Column:
+def map_store_mount(path: Column, home: str, store_root: str | None = None, mount_root: str | None = None) -> Column:
     """(relative, store_path, mount_path, kind) by prefixes only."""
     p, builtin = F.trim(path), cloud_relative(F.trim(path), home)
     store = (store_root or CLOUD_STORES[0]).rstrip("/")

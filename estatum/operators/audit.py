@@ -42,11 +42,13 @@ def _verdict(linked: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, F.col("e").isNull().alias("ok"), F.coalesce(F.col("e._n") - 1, F.col("_all")).cast("long").alias("rows_checked"), F.col("e.id").alias("bad_id"), F.col("e.why").alias("message"))
 
 
-def verify_long_chain(audit: DataFrame, parts: int = 64, columns: list[str] = FIELDS) -> DataFrame:
-    """One chain of any length: rows are dealt into ranges of ids, links are
-    checked within ranges, and the edges of the ranges against each other."""
-    bounds = audit.agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"))
-    ranged = _checked(audit, columns).crossJoin(F.broadcast(bounds)).withColumn("_part", F.floor((F.col("id") - F.col("_lo")) * parts / (F.col("_hi") - F.col("_lo") + 1)))
+def verify_long_chain(audit: DataFrame, parts: int | None = None, columns: list[str] = FIELDS) -> DataFrame:
+    """One chain of any length: rows are dealt into ranges of ids of about equal
+    numbers of rows (a million each by default), links are checked within ranges, and
+    the edges of the ranges against each other."""
+    parts = parts or 1 + audit.count() // 1_000_000
+    cuts = audit.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [1.0], 10_000).alias("_cuts"))
+    ranged = _checked(audit, columns).crossJoin(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("id")))).drop("_cuts")
     inside = Window.partitionBy("_part").orderBy("id")
     rows = ranged.withColumn("_before", F.lag("row_hash").over(inside)).withColumn("_n", F.row_number().over(inside))
     edges = rows.groupBy("_part").agg(F.max_by("row_hash", "id").alias("_last"), F.count(F.lit(1)).alias("_rows"))
@@ -61,22 +63,24 @@ def row_hash(prev: str, row: dict) -> str:
 
 def append_batch(audit: DataFrame, rows: DataFrame, columns: list[str] = FIELDS) -> DataFrame:
     """New rows (machine_id, id and ``columns``) chained behind each machine's tip.
-    A chain is sequential; machines run in parallel.  Column values are strings."""
+    A chain is sequential; machines run in parallel.  A machine's rows stream through
+    its task in order of id, and only the last hash is kept.  Column values are strings."""
     tips = audit.groupBy("machine_id").agg(F.max_by("row_hash", "id").alias("_tip"))
     todo = rows.join(tips, "machine_id", "left").withColumn("_tip", F.coalesce("_tip", F.lit(GENESIS)))
     schema = rows.select("machine_id", "id", *columns).schema.add("prev_hash", "string").add("row_hash", "string")
 
-    def chain(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("id")
-        prev, before, after = f["_tip"].iloc[0], [], []
-        for r in f[sorted(columns)].to_dict("records"):
-            r = {k: None if pd.isna(v) else v for k, v in r.items()}
-            before.append(prev)
-            prev = row_hash(prev, r)
-            after.append(prev)
-        return f[["machine_id", "id", *columns]].assign(prev_hash=before, row_hash=after)
-
-    return todo.groupBy("machine_id").applyInPandas(chain, schema)
+    def chain(frames):
+        machine, prev = None, None
+        for f in frames:
+            before, after = [], []
+            for m, tip, r in zip(f["machine_id"], f["_tip"], f[sorted(columns)].to_dict("records"), strict=True):
+                machine, prev = m, prev if prev is not None and m == machine else tip
+                before.append(prev)
+                prev = row_hash(prev, {k: None if pd.isna(v) else v for k, v in r.items()})
+                after.append(prev)
+            yield f[["machine_id", "id", *columns]].assign(prev_hash=before, row_hash=after)
+
+    return todo.repartition("machine_id").sortWithinPartitions("machine_id", "id").mapInPandas(chain, schema)
 
 
 def resolve_before(audit: DataFrame, before) -> DataFrame:

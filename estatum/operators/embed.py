@@ -14,8 +14,6 @@ from estatum.functions import derive
 from estatum.operators import joins
 
 DIMENSION = 384
-# Fixed value: the personalization of the digests that make a stub vector.
-PERSON = "stwd-%04d"
 
 
 def candidates(permanodes: DataFrame, claims: DataFrame, embeddings: DataFrame, model: str, version: str, limit: int | None = None, again: bool = False) -> DataFrame:
@@ -27,10 +25,10 @@ def candidates(permanodes: DataFrame, claims: DataFrame, embeddings: DataFrame,
 
 
 def stub_vector(text: str, dimension: int = DIMENSION) -> np.ndarray:
-    """Unit vector made of the text's digests, 16 components a digest."""
-    raw = b"".join(hashlib.blake2b(text.encode(), digest_size=64, person=(PERSON % i).encode()).digest() for i in range(-(-dimension * 4 // 64)))
-    v = np.frombuffer(raw, "<i4")[:dimension] / 0x7FFFFFFF
-    return (v / max(float(np.sqrt((v * v).sum())), 1e-12)).astype(np.float32)
+    """A direction that only the text decides: normal draws, seeded by its digest."""
+    seed = int.from_bytes(hashlib.sha256(text.encode()).digest(), "big")
+    v = np.random.default_rng(seed).standard_normal(dimension)
+    return (v / np.linalg.norm(v)).astype(np.float32)
 
 
 def stub_embedder(texts: pd.Series) -> pd.Series:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from estatum.functions import derive
 from estatum.operators import stats
 
+# Names of checks, limits in hours and ratios.
 DEFAULT_FAIL_ON = ("stale_scan", "broken_audit", "stash_overdue", "fp_not_ready")
 TOKENS = (*DEFAULT_FAIL_ON, "rollup_stale", "dual_presence_poor", "mounts", "attached", "adapters")
 STASH_HOURS = 7 * 24 + 24.0

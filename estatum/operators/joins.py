@@ -74,9 +74,9 @@ def preflight(plan: DataFrame, local: DataFrame, attached: DataFrame) -> DataFra
     return stats.latest_per_key(absent.join(elsewhere, "permanode_id"), keys, [F.asc("registry_order")])
 
 
-def other_copies(plan: DataFrame, claims: DataFrame, first: int = 5) -> DataFrame:
+def other_copies(plan: DataFrame, claims: DataFrame, home: str, first: int = 5) -> DataFrame:
     """Current claims of a row's content outside the row's own path forms."""
-    rows = plan.select("row_id", "permanode_id", derive.path_aliases(F.col("source_path")).alias("aliases"))
+    rows = plan.select("row_id", "permanode_id", derive.path_aliases(F.col("source_path"), home).alias("aliases"))
     others = stats.current(claims).select("permanode_id", "file_path")
     joined = rows.join(others, "permanode_id", "left").filter(F.col("file_path").isNull() | ~F.array_contains("aliases", F.col("file_path")))
     counted = joined.filter("file_path IS NOT NULL").groupBy("row_id").agg(F.count(F.lit(1)).alias("copies"))
@@ -92,10 +92,10 @@ def canonical_outside(entries: DataFrame, claims: DataFrame, prefixes: list[str]
     return entries.join(out.groupBy("permanode_id").agg(F.min("file_path").alias("canonical_path")), "permanode_id", "left")
 
 
-def presence(claims: DataFrame, store: DataFrame, mount: DataFrame, **roots) -> DataFrame:
+def presence(claims: DataFrame, store: DataFrame, mount: DataFrame, home: str, **roots) -> DataFrame:
     """Presence kind of each claim by two listings (relative, and for the mount
     an optional error flag)."""
-    mapped = claims.withColumn("m", derive.map_store_mount(F.col("file_path"), **roots))
+    mapped = claims.withColumn("m", derive.map_store_mount(F.col("file_path"), home, **roots))
     s = store.select(F.col("relative").alias("_s")).distinct()
     err = F.bool_or("error") if "error" in mount.columns else F.lit(False)
     m = mount.groupBy(F.col("relative").alias("_m")).agg(err.alias("_err"))

@@ -151,8 +151,12 @@ def tail_audit(audit: DataFrame, n: int = 20, action: str | None = None) -> Data
     return chosen.orderBy(F.desc("id")).limit(n)
 
 
-def last_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_rn") <= n).drop("_rn")
+def last_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, salts: int = 16) -> DataFrame:
+    """The first ``n`` rows of each key in ``order``.  Each of ``salts`` parts of a key
+    keeps its own first ones before they are merged, so a hot key is not one task's."""
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]), F.lit(salts)))
+    few = salted.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))).filter(F.col("_rn") <= n).drop("_rn", "_salt")
+    return few.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_rn") <= n).drop("_rn")
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from estatum.functions import derive
 from estatum.operators import stats
 
+# Tiers and what becomes of their copies, reasons that block, intents.
 CLOUD_TIERS = {"DropboxStorage": "dropbox-cloud-trash-account-specific"}
 LIVE = ("boot", "L1", "L1w", "L2", "L3a", "DropboxStorage")
 HARD = ("empty_plan", "manifest_missing", "dry_run_errors")
@@ -48,9 +49,8 @@ def dedup_retire(claims: DataFrame, policy: Retention, run_id: str, root_prefix:
     rows = claims.filter(~derive.is_noise(path, policy.skip_substrings, policy.skip_prefixes, policy.skip_exact))
     if root_prefix:
         rows = rows.filter(derive.under_prefix(path, root_prefix))
-    several = rows.groupBy("permanode_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    rows = rows.join(several, "permanode_id", "left_semi")
-    ranked = keeper_rank(rows, policy)
+    kept = keepers(rows, policy)
+    ranked = rows.join(kept, "permanode_id")
     known = [t for t in policy.live if t in policy.priority]
     tier = F.col("tier")
     live, cloud = tier.isin(*known), tier.isin(*CLOUD_TIERS)
@@ -58,26 +58,38 @@ def dedup_retire(claims: DataFrame, policy: Retention, run_id: str, root_prefix:
     target = F.when(action == "retire_direct", F.create_map(*[F.lit(x) for kv in CLOUD_TIERS.items() for x in kv])[tier]).otherwise(tier)
     stash = derive.stash_destination(path, tier, F.lit(run_id), policy.stash_roots)
     keeper = F.col("keeper")
-    out = ranked.filter("rank > 1").filter(~((tier == keeper["tier"]) & (path == keeper["file_path"]))).withColumn("action", action).filter("action IS NOT NULL")
+    out = ranked.filter(F.col("claim_id") != keeper["claim_id"]).filter(~((tier == keeper["tier"]) & (path == keeper["file_path"]))).withColumn("action", action).filter("action IS NOT NULL")
     why = F.concat(F.lit("dedup of permanode "), F.col("permanode_id"), F.lit("; canonical lives on "), keeper["tier"], F.lit(" ("), keeper["file_path"], F.lit(")"))
     planned = out.select(F.lit(run_id).alias("manifest_run_id"), "action", "permanode_id", "canonical_hash", "size_bytes", "claim_id", path.alias("source_path"), tier.alias("source_tier"), F.when(F.col("action") == "stash", stash).alias("destination_path"), target.alias("destination_tier"), why.alias("rationale"))
     clash = planned.filter("destination_path IS NOT NULL").groupBy("destination_path").agg((F.count(F.lit(1)) > 1).alias("destination_conflict"))
     return planned.join(clash, "destination_path", "left").withColumn("destination_conflict", F.coalesce("destination_conflict", F.lit(False)))
 
 
-def recovered_bias(rows: DataFrame, substrings: tuple[str, ...]) -> Column:
-    """1 for a recovered copy where its group also holds others."""
-    group = Window.partitionBy("permanode_id")
-    is_recovered = derive.any_of([F.col("file_path").contains(s) for s in substrings])
-    mixed = F.bool_or(is_recovered).over(group) & F.bool_or(~is_recovered).over(group)
-    return F.when(mixed & is_recovered, 1).otherwise(0)
+def recovered_bias(substrings: tuple[str, ...]) -> Column:
+    """1 for a recovered copy: ordered before anything else, others come first where
+    a content has any, and where it has none all are equal."""
+    return derive.any_of([F.col("file_path").contains(s) for s in substrings]).cast("int")
 
 
-def keeper_rank(rows: DataFrame, policy: Retention) -> DataFrame:
-    """Add ``rank`` within the permanode and the ``keeper`` (tier, file_path)."""
-    biased = rows.withColumn("_bias", recovered_bias(rows, policy.recovered))
-    order = Window.partitionBy("permanode_id").orderBy("_bias", derive.tier_priority(F.col("tier"), policy.priority), "claim_id")
-    return biased.withColumn("rank", F.row_number().over(order)).withColumn("keeper", F.first(F.struct("tier", "file_path")).over(order)).drop("_bias")
+def keepers(rows: DataFrame, policy: Retention) -> DataFrame:
+    """(permanode_id, keeper) of contents with several rows: the copy to keep.  An
+    aggregate with partial sums, so a very common content is no one task's."""
+    order = F.struct(recovered_bias(policy.recovered).alias("b"), derive.tier_priority(F.col("tier"), policy.priority).alias("p"), "claim_id")
+    best = F.min_by(F.struct("tier", "file_path", "claim_id"), order)
+    return rows.groupBy("permanode_id").agg(F.count(F.lit(1)).alias("_n"), best.alias("keeper")).filter("_n > 1").drop("_n")
+
+
+def keeper_rank(rows: DataFrame, policy: Retention, width: int = 100_000) -> DataFrame:
+    """Rows of contents with several, with ``rank`` and the ``keeper`` (tier,
+    file_path, claim_id).  Ranks are counted inside ranges of ``width`` claim ids, and
+    ranges are counted together, so a hot content is many tasks' work."""
+    marked = rows.withColumns({"_b": recovered_bias(policy.recovered), "_p": derive.tier_priority(F.col("tier"), policy.priority), "_range": F.floor(F.col("claim_id") / width)})
+    keys, order = ["permanode_id"], ["_b", "_p", "_range"]
+    counts = marked.groupBy(*keys, *order).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = marked.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, *order).orderBy("claim_id")))
+    out = ranked.join(counts.withColumn("_before", before).drop("_n"), [*keys, *order]).join(keepers(rows, policy), "permanode_id")
+    return out.withColumn("rank", F.col("_rn") + F.col("_before")).drop(*order, "_rn", "_before")
 
 
 def source_only(claims: DataFrame, tier: str) -> DataFrame:
@@ -113,8 +125,9 @@ def promote(claims: DataFrame, phases: list[Phase], source_tier: str = "Backup",
         name, cap = F.when(here, F.lit(p.name)).otherwise(name), F.when(here, F.lit(p.max_files).cast("int")).otherwise(cap)
     out = matched.select("permanode_id", "canonical_hash", "size_bytes", "claim_id", F.lit("promote").alias("action"), src.alias("source_path"), F.lit(source_tier).alias("source_tier"), dest.alias("destination_path"), name.alias("phase"), cap.alias("_cap"))
     if any(p.max_files for p in chosen):
-        place = F.row_number().over(Window.partitionBy("phase").orderBy("permanode_id"))
-        out = out.withColumn("_rn", place).filter("_cap IS NULL OR _rn <= _cap").drop("_rn")
+        caps = {p.name: p.max_files for p in chosen if p.max_files}
+        capped = [stats.last_n_per_key(out.filter(F.col("phase") == n), ["phase"], [F.asc("permanode_id")], m) for n, m in caps.items()]
+        out = stats.union_all([out.filter(~F.col("phase").isin(*caps)), *capped])
     out = out.drop("_cap").orderBy("permanode_id")
     return out.limit(max_files) if max_files is not None else out
 
@@ -158,6 +171,7 @@ def list_plans(plans: DataFrame, status: str | None = None, policy: str | None =
     return out.orderBy(F.desc("write_ts"), "plan_id").limit(max(1, min(500, limit)))
 
 
+# Actions that finish a row.
 DONE = ("stash_committed", "promote_committed", "retire_direct_executed", "nas_manifest_exported")
 
 
@@ -207,19 +221,21 @@ def simulate(verified: DataFrame, max_files: int | None = None) -> DataFrame:
     a = F.col("action")
     error = F.when(a.isin("restore", "finalize_stash", "reclassify"), F.concat(F.lit("unsupported action "), a)).when(a.isin("stash", "promote") & F.col("destination_path").isNull(), F.concat(a, F.lit(" row without destination"))).when(F.col("check").isin("missing", "mismatch"), F.concat(F.lit("content "), F.col("check")))
     out = verified.withColumn("error", error).withColumn("_ok", error.isNull())
+    beyond = F.lit(False)
     if max_files is not None:
-        nth = F.row_number().over(Window.partitionBy("manifest_run_id", "_ok").orderBy("row_id"))
-        out = out.withColumn("_nth", nth)
-    else:
-        out = out.withColumn("_nth", F.lit(0))
-    outcome = F.when(~F.col("_ok"), "errored").when(F.col("_nth") > (max_files if max_files is not None else 0), "skipped").otherwise("applied")
-    return out.withColumn("outcome", outcome).drop("_ok", "_nth")
+        # the last row that a run may apply; rows are named once
+        first = stats.last_n_per_key(out.filter("_ok").select("manifest_run_id", "row_id"), ["manifest_run_id"], [F.asc("row_id")], max_files)
+        last = first.groupBy(F.col("manifest_run_id").alias("_run")).agg(F.max("row_id").alias("_last"))
+        out = out.join(last, F.col("manifest_run_id").eqNullSafe(F.col("_run")), "left")
+        beyond = F.coalesce(F.col("row_id") > F.col("_last"), F.lit(True))
+    outcome = F.when(~F.col("_ok"), "errored").when(beyond, "skipped").otherwise("applied")
+    return out.withColumn("outcome", outcome).drop("_ok", "_run", "_last")
 
 
-def record_outcomes(outcomes: DataFrame, claims: DataFrame) -> DataFrame:
+def record_outcomes(outcomes: DataFrame, claims: DataFrame, home: str) -> DataFrame:
     """Claims after the rows applied: every path form of what was retired is no
     longer current."""
-    gone = outcomes.filter((F.col("outcome") == "applied") & (F.col("action") == "retire_direct")).select(F.explode(derive.path_aliases(F.col("source_path"))).alias("file_path"), F.lit(True).alias("_gone")).distinct()
+    gone = outcomes.filter((F.col("outcome") == "applied") & (F.col("action") == "retire_direct")).select(F.explode(derive.path_aliases(F.col("source_path"), home)).alias("file_path"), F.lit(True).alias("_gone")).distinct()
     return claims.join(gone, "file_path", "left").withColumn("is_current", F.col("is_current") & F.col("_gone").isNull()).drop("_gone")
 
 

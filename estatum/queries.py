@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,7 +14,8 @@ from estatum.operators import audit, embed, health, joins, stats
 from estatum.plans import plan, stash
 from estatum.sources import files, sinks
 from estatum.streaming import stream
-from estatum.testbed import NOW, Estate
+from estatum.scratch import scratch, stored
+from estatum.testbed import HOME, NOW, Estate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -131,18 +133,18 @@ def _(e):
 
 @query("derive_cloud_paths", f"SELECT claim_id, {REL} AS relative, '/Volumes/DropboxStorage/.CloudStorage/Data/Dropbox/' || {REL} AS store, '/Users/ana/Library/CloudStorage/Dropbox/' || {REL} AS mount, {REL} IS NOT NULL AS is_cloud FROM claims")
 def _(e):
-    rel = derive.cloud_relative(F.col("file_path"))
-    return e.claims.select("claim_id", rel.alias("relative"), derive.cloud_store_path(rel).alias("store"), derive.cloud_mount_path(rel).alias("mount"), derive.is_cloud_path(F.col("file_path")).alias("is_cloud"))
+    rel = derive.cloud_relative(F.col("file_path"), HOME)
+    return e.claims.select("claim_id", rel.alias("relative"), derive.cloud_store_path(rel).alias("store"), derive.cloud_mount_path(rel, HOME).alias("mount"), derive.is_cloud_path(F.col("file_path"), HOME).alias("is_cloud"))
 
 
 @query("derive_delete_target", f"SELECT claim_id, coalesce('/Users/ana/Library/CloudStorage/Dropbox/' || {REL}, file_path) AS target, CASE WHEN {REL} IS NOT NULL THEN 'DropboxStorage' END AS tier_hint, {REL} IS NOT NULL AS used_mount FROM claims")
 def _(e):
-    return e.claims.select("claim_id", derive.resolve_delete_target(F.col("file_path")).alias("t")).select("claim_id", "t.*")
+    return e.claims.select("claim_id", derive.resolve_delete_target(F.col("file_path"), HOME).alias("t")).select("claim_id", "t.*")
 
 
 @query("derive_aliases", f"""SELECT claim_id, a AS alias FROM (SELECT claim_id, unnest(CASE WHEN {REL} IS NULL THEN [file_path] ELSE list_distinct([file_path, '/Volumes/DropboxStorage/.CloudStorage/Data/Dropbox/' || {REL}, '/Users/ana/Library/CloudStorage/Dropbox/' || {REL}, '/Volumes/DropboxStorage/Dropbox/' || {REL}]) END) AS a FROM claims)""")
 def _(e):
-    return e.claims.select("claim_id", F.explode(derive.path_aliases(F.col("file_path"))).alias("alias"))
+    return e.claims.select("claim_id", F.explode(derive.path_aliases(F.col("file_path"), HOME)).alias("alias"))
 
 
 @query("derive_conflict_names", "SELECT claim_id, doc_id % 13 = 0 AS conflict FROM claims")
@@ -152,7 +154,7 @@ def _(e):
 
 @query("derive_store_mount", f"SELECT claim_id, {REL} AS relative, CASE WHEN {REL} IS NULL THEN 'outside_store_root' ELSE 'unknown' END AS kind FROM claims")
 def _(e):
-    return e.claims.select("claim_id", derive.map_store_mount(F.col("file_path")).alias("m")).select("claim_id", "m.relative", "m.kind")
+    return e.claims.select("claim_id", derive.map_store_mount(F.col("file_path"), HOME).alias("m")).select("claim_id", "m.relative", "m.kind")
 
 
 @query("derive_destinations", """SELECT claim_id, '/D/' || CASE WHEN contains(file_path, '/Photos/') THEN split_part(file_path, '/Photos/', 2) WHEN starts_with(file_path, '/Volumes/Backup/') THEN substr(file_path, 17) ELSE base END AS promoted,
@@ -257,7 +259,7 @@ def _(e):
 @query("stats_path_tree_presence", "SELECT DISTINCT file_path AS path, kind FROM kinds WHERE tier = 'DropboxStorage' AND is_current AND domain = 'photos'", f"{CLAIMS}, {PRESENCE}")
 def _(e):
     whole = stats.current(e.claims).filter((F.col("tier") == "DropboxStorage") & (F.col("domain") == "photos")).select(F.col("file_path").alias("path"), F.col("size_bytes").alias("bytes_total")).distinct()
-    return stats.path_tree_presence(whole, joins.presence(e.claims, e.store, e.mount), cap=None).select("path", "kind").distinct()
+    return stats.path_tree_presence(whole, joins.presence(e.claims, e.store, e.mount, HOME), cap=None).select("path", "kind").distinct()
 
 
 @query("stats_inventory_counts", ", ids AS (SELECT machine_id FROM claims UNION SELECT machine_id FROM runs UNION SELECT machine_id FROM log) SELECT (SELECT count(*) FROM nodes) AS permanodes, (SELECT count(*) FROM cur) AS current_claims, (SELECT count(*) FROM runs) AS scan_runs, (SELECT count(*) FROM log) AS audit_entries, (SELECT count(*) FROM ids) AS machines", f"{CLAIMS}, {RUNS}, {LOG}")
@@ -302,9 +304,9 @@ def _(e):
     return out.withColumns({"run_ids": F.array_join(F.transform("run_ids", lambda x: x.cast("string")), ","), "audit_lines": F.array_join("audit_lines", ",")})
 
 
-@query("stats_run_totals", "SELECT action, max(id) AS id FROM log WHERE action IN ('replicate_end', 'archive_end') GROUP BY action", LOG)
+@query("stats_run_totals", "SELECT action, id, machine_id, manifest_run_id FROM log WHERE id IN (SELECT max(id) FROM log WHERE action IN ('replicate_end', 'archive_end') GROUP BY action)", LOG)
 def _(e):
-    return stats.run_totals(e.events).select("action", "id")
+    return stats.run_totals(e.events).select("action", "id", "machine_id", "manifest_run_id")
 
 
 @query("stats_meta_kv", "SELECT k AS key, max_by(CAST(id AS VARCHAR), id) AS value FROM log WHERE k IS NOT NULL GROUP BY k", LOG)
@@ -370,11 +372,11 @@ def _(e):
     return joins.current_claims(e.claims.drop("canonical_hash"), e.permanodes).select("claim_id", "permanode_id", "canonical_hash")
 
 
-@query("joins_inspect", """, t AS (SELECT permanode_id AS target FROM claims WHERE doc_id % 7 = 0 UNION SELECT canonical_hash FROM claims WHERE doc_id % 7 = 1 UNION SELECT file_path FROM claims WHERE doc_id % 7 = 2),
+@query("joins_inspect", """, t AS (SELECT permanode_id AS target FROM claims WHERE doc_id % 3 = 0 UNION SELECT canonical_hash FROM claims WHERE doc_id % 3 = 1 UNION SELECT file_path FROM claims WHERE doc_id % 3 = 2),
  f AS (SELECT target, 1 AS how, 0 AS o, permanode_id FROM t JOIN nodes ON target = permanode_id UNION ALL SELECT target, 2, 0, permanode_id FROM t JOIN nodes ON target = canonical_hash UNION ALL SELECT target, 4, CASE WHEN is_current THEN 0 ELSE 1 END * (1::BIGINT << 60) - claim_id, permanode_id FROM t JOIN claims ON target = file_path)
  SELECT target, how, permanode_id FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY how, o, permanode_id) AS n FROM f) WHERE n = 1""")
 def _(e):
-    c, k = e.claims, F.col("claim_id") % 7
+    c, k = e.claims, F.col("claim_id") % 3
     targets = c.filter(k == 0).select(F.col("permanode_id").alias("target")).union(c.filter(k == 1).select("canonical_hash")).union(c.filter(k == 2).select("file_path"))
     none = c.select("permanode_id", F.lit("-").alias("hex")).filter("false")
     return joins.inspect(targets, e.permanodes, none, c.select("file_path", "claim_id", "is_current", "permanode_id"))
@@ -388,8 +390,7 @@ def _(e):
 
 @query("joins_claims_of", "SELECT claim_id FROM claims WHERE permanode_id = (SELECT min(permanode_id) FROM claims)")
 def _(e):
-    least = e.claims.agg(F.min("permanode_id").alias("permanode_id"))
-    return e.claims.join(F.broadcast(least), "permanode_id", "left_semi").select("claim_id")
+    return joins.claims_of(e.claims, e.claims.agg(F.min("permanode_id")).first()[0]).select("claim_id")
 
 
 @query("joins_filter_machine", "SELECT claim_id FROM claims WHERE starts_with(machine_id, 'm1')")
@@ -408,11 +409,11 @@ def _(e):
     return joins.not_embedded(e.permanodes, e.claims, done, "m", "1").select("permanode_id", "claim_id")
 
 
-PLAN = ", pl AS (SELECT claim_id AS row_id, permanode_id, file_path AS source_path, size_bytes, canonical_hash FROM cur WHERE doc_id % 3 <> 0)"
+PLAN = ", pl AS (SELECT claim_id AS row_id, permanode_id, file_path AS source_path, size_bytes, canonical_hash FROM cur)"
 
 
 def _plan(e, extra=()):
-    return stats.current(e.claims).filter("claim_id % 3 <> 0").select(F.col("claim_id").alias("row_id"), "permanode_id", F.col("file_path").alias("source_path"), "size_bytes", "canonical_hash", *extra)
+    return stats.current(e.claims).select(F.col("claim_id").alias("row_id"), "permanode_id", F.col("file_path").alias("source_path"), "size_bytes", "canonical_hash", *extra)
 
 
 @query("joins_preflight", PLAN + " SELECT row_id, permanode_id, 'm' || min(CAST(substr(c.machine_id, 2) AS INT)) AS attached_machine_id FROM pl JOIN claims c USING (permanode_id) WHERE permanode_id NOT IN (SELECT permanode_id FROM cur WHERE machine_id = 'm0') AND c.machine_id <> 'm0' GROUP BY 1, 2")
@@ -423,7 +424,7 @@ def _(e):
 
 @query("joins_other_copies", PLAN + ", o AS (SELECT row_id, permanode_id, c.file_path FROM pl JOIN cur c USING (permanode_id) WHERE c.file_path <> source_path) SELECT row_id, pl.permanode_id, count(o.file_path) AS copies, count(o.file_path) = 0 AS last_copy FROM pl LEFT JOIN o USING (row_id) GROUP BY 1, 2")
 def _(e):
-    return joins.other_copies(_plan(e), e.claims).select("row_id", "permanode_id", "copies", "last_copy")
+    return joins.other_copies(_plan(e), e.claims, HOME).select("row_id", "permanode_id", "copies", "last_copy")
 
 
 @query("joins_canonical_outside", PLAN + ", o AS (SELECT permanode_id, min(file_path) AS p FROM cur WHERE NOT starts_with(file_path, '/Volumes/Level 1/') AND NOT starts_with(file_path, '/Users/ana/') GROUP BY 1) SELECT row_id, p AS canonical_path FROM pl LEFT JOIN o USING (permanode_id)")
@@ -433,12 +434,12 @@ def _(e):
 
 @query("joins_presence", "SELECT claim_id, kind FROM kinds", f"{CLAIMS}, {PRESENCE}")
 def _(e):
-    return joins.presence(e.claims, e.store, e.mount).select("claim_id", "kind")
+    return joins.presence(e.claims, e.store, e.mount, HOME).select("claim_id", "kind")
 
 
 @query("stats_presence_counts", "SELECT machine_id, count(*) AS counted, count(*) FILTER (kind = 'dual') AS dual, count(*) FILTER (kind = 'store_only') AS store_only, CAST(sum(size_bytes) FILTER (kind = 'dual') AS BIGINT) AS dual_bytes, round(count(*) FILTER (kind = 'dual') / (count(*) FILTER (kind IN ('dual', 'store_only'))), 6) AS cloud_safe_ratio FROM kinds GROUP BY 1", f"{CLAIMS}, {PRESENCE}")
 def _(e):
-    return stats.presence_counts(joins.presence(e.claims, e.store, e.mount), ["machine_id"]).select("machine_id", "counted", "dual", "store_only", "dual_bytes", F.round("cloud_safe_ratio", 6).alias("cloud_safe_ratio"))
+    return stats.presence_counts(joins.presence(e.claims, e.store, e.mount, HOME), ["machine_id"]).select("machine_id", "counted", "dual", "store_only", "dual_bytes", F.round("cloud_safe_ratio", 6).alias("cloud_safe_ratio"))
 
 
 FRESH = f""", dn AS (SELECT *, row_number() OVER (PARTITION BY machine_id, root_path ORDER BY finished_at DESC, id DESC) AS n FROM runs WHERE finished_at IS NOT NULL), d1 AS (SELECT machine_id, root_path, id AS run_id, finished_at FROM dn WHERE n = 1), op AS (SELECT machine_id, root_path, max(started_at) AS unfinished_started_at FROM runs WHERE finished_at IS NULL GROUP BY 1, 2),
@@ -560,15 +561,15 @@ def _(e):
     return plan.prune(rows, F.lit("2001-01-01").cast("timestamp"), 1000, dry_run=True).select("plan_id")
 
 
-@query("plan_filter_presence", "SELECT claim_id AS row_id, kind FROM kinds WHERE is_current AND doc_id % 3 <> 0 AND kind IN ('dual', 'store_only')", f"{CLAIMS}, {PRESENCE}")
+@query("plan_filter_presence", "SELECT claim_id AS row_id, kind FROM kinds WHERE is_current AND kind IN ('dual', 'store_only')", f"{CLAIMS}, {PRESENCE}")
 def _(e):
-    return plan.filter_presence(_plan(e), joins.presence(e.claims, e.store, e.mount), "local_reclaim").select("row_id", "kind")
+    return plan.filter_presence(_plan(e), joins.presence(e.claims, e.store, e.mount, HOME), "local_reclaim").select("row_id", "kind")
 
 
-@query("plan_bulk_prep", "SELECT kind, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS bytes_total, kind = 'dual' AS selected FROM kinds WHERE is_current AND doc_id % 3 <> 0 GROUP BY kind", f"{CLAIMS}, {PRESENCE}")
+@query("plan_bulk_prep", "SELECT kind, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS bytes_total, kind = 'dual' AS selected FROM kinds WHERE is_current GROUP BY kind", f"{CLAIMS}, {PRESENCE}")
 def _(e):
     rows = _plan(e, [F.lit("r1").alias("manifest_run_id")])
-    return plan.bulk_prep(rows, joins.presence(e.claims, e.store, e.mount)).select("kind", "n", "bytes_total", "selected")
+    return plan.bulk_prep(rows, joins.presence(e.claims, e.store, e.mount, HOME)).select("kind", "n", "bytes_total", "selected")
 
 
 @query("plan_presence_sample", "SELECT claim_id, file_path FROM cur WHERE tier = 'DropboxStorage' ORDER BY claim_id LIMIT 32")
@@ -578,7 +579,7 @@ def _(e):
 
 @query("plan_presence_ready", "SELECT count(*) > 0 AND count(*) FILTER (kind = 'dual') > 0 AS ready FROM kinds", f"{CLAIMS}, {PRESENCE}")
 def _(e):
-    return plan.presence_ready(stats.presence_counts(joins.presence(e.claims, e.store, e.mount)), True).select("ready")
+    return plan.presence_ready(stats.presence_counts(joins.presence(e.claims, e.store, e.mount, HOME)), True).select("ready")
 
 
 @query("plan_needs_cloud_gate", RANKED + " SELECT 'r1' AS manifest_run_id, bool_or(action = 'retire_direct') AS needs_gate FROM retire WHERE action IS NOT NULL")
@@ -606,7 +607,7 @@ def _(e):
 
 @query("plan_record_outcomes", SIM + " SELECT count(*) AS claims, count(*) FILTER (is_current AND NOT (claim_id IN (SELECT claim_id FROM sim WHERE action = 'retire_direct' AND error IS NULL AND nth <= 20))) AS current_claims FROM claims")
 def _(e):
-    return plan.record_outcomes(_simulated(e), e.claims).agg(F.count(F.lit(1)).alias("claims"), F.count_if("is_current").alias("current_claims"))
+    return plan.record_outcomes(_simulated(e), e.claims, HOME).agg(F.count(F.lit(1)).alias("claims"), F.count_if("is_current").alias("current_claims"))
 
 
 @query("plan_outcome_events", SIM + " SELECT CASE action WHEN 'stash' THEN 'stash_committed' WHEN 'retire_direct' THEN 'retire_direct_executed' ELSE 'nas_manifest_exported' END AS action, count(*) AS n FROM sim WHERE error IS NULL AND nth <= 20 GROUP BY 1 UNION ALL SELECT 'apply_start', 1 UNION ALL SELECT 'apply_end', 1")
@@ -647,26 +648,27 @@ def _(e):
 # logs -----------------------------------------------------------------------
 
 
-def _links(e):
-    """The log with fields as a chain has them; links are broken where tampered."""
-    order = Window.partitionBy("machine_id").orderBy("id")
-    good = F.sha2(F.concat_ws(":", F.col("id").cast("string"), "action"), 256)
-    return e.events.withColumn("row_hash", good).withColumn("prev_hash", F.when(F.col("id") % 997 == 996, "x").otherwise(F.coalesce(F.lag(good).over(order), F.lit(audit.GENESIS))))
+COLUMNS = ["action", "manifest_run_id", "payload"]
 
 
-@query("audit_verify_chain", ", n AS (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY id) AS rn FROM log), b AS (SELECT machine_id, min(id) AS bad_id, min(rn) AS rn FROM n WHERE id % 997 = 996 GROUP BY 1) SELECT machine_id, b.bad_id IS NULL AS ok, coalesce(b.rn - 1, count(*)) AS rows_checked, b.bad_id FROM log LEFT JOIN b USING (machine_id) GROUP BY machine_id, b.bad_id, b.rn", LOG)
-def _(e):
-    linked = _links(e).withColumn("_hash_ok", F.lit(True))
-    order = Window.partitionBy("machine_id").orderBy("id")
-    checked = linked.withColumn("_link_ok", F.col("prev_hash") == F.coalesce(F.lag("row_hash").over(order), F.lit(audit.GENESIS))).withColumn("_n", F.row_number().over(order))
-    return audit._verdict(checked, ["machine_id"]).drop("message")
+def _chained(e):
+    """The log as chains, one a machine."""
+    rows = e.events.select("machine_id", "id", *COLUMNS)
+    return audit.append_batch(rows.withColumn("row_hash", F.lit("")).filter("false"), rows, COLUMNS), COLUMNS
 
 
-def _chained(e):
-    columns = ["action", "manifest_run_id", "payload"]
-    rows = e.events.select("machine_id", "id", *columns)
-    none = rows.withColumn("row_hash", F.lit("")).filter("false")
-    return audit.append_batch(none, rows, columns), columns
+def _tampered(e):
+    """The chained log with payloads changed afterwards, on two of the machines."""
+    odd = (F.col("id") % 97 == 96) & (F.col("machine_id") != "m1")
+    return _chained(e)[0].withColumn("payload", F.when(odd, F.lit("{}")).otherwise(F.col("payload")))
+
+
+BROKEN = ", n AS (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY id) AS rn FROM log), b AS (SELECT machine_id, min(id) AS bad_id, min(rn) AS rn FROM n WHERE id % 97 = 96 AND machine_id <> 'm1' GROUP BY 1), v AS (SELECT machine_id, b.bad_id IS NULL AS ok, coalesce(b.rn - 1, count(*)) AS rows_checked, b.bad_id, CASE WHEN b.bad_id IS NOT NULL THEN 'row_hash mismatch' END AS message FROM log LEFT JOIN b USING (machine_id) GROUP BY machine_id, b.bad_id, b.rn)"
+
+
+@query("audit_verify_chain", BROKEN + " SELECT * FROM v", LOG)
+def _(e):
+    return audit.verify_chain(_tampered(e), COLUMNS)
 
 
 @query("audit_append_and_verify", "SELECT machine_id, true AS ok, count(*) AS rows_checked FROM log GROUP BY 1", LOG)
@@ -675,10 +677,16 @@ def _(e):
     return audit.verify_chain(chained, columns).select("machine_id", "ok", "rows_checked")
 
 
-@query("audit_verify_long_chain", "SELECT true AS ok, count(*) AS rows_checked FROM log WHERE machine_id = 'm1'", LOG)
+def _one_chain(e):
+    """All machines' rows as one chain."""
+    rows = e.events.select(F.lit("all").alias("machine_id"), "id", *COLUMNS)
+    return audit.append_batch(rows.withColumn("row_hash", F.lit("")).filter("false"), rows, COLUMNS)
+
+
+@query("audit_verify_long_chain", ", b AS (SELECT min(id) AS bad FROM log WHERE id % 997 = 996) SELECT bad IS NULL AS ok, (SELECT count(*) FROM log WHERE bad IS NULL OR id < bad) AS rows_checked, bad AS bad_id FROM b", LOG)
 def _(e):
-    chained, columns = _chained(e)
-    return audit.verify_long_chain(chained.filter("machine_id = 'm1'"), 8, columns).select("ok", "rows_checked")
+    bad = _one_chain(e).withColumn("payload", F.when(F.col("id") % 997 == 996, F.lit("{}")).otherwise(F.col("payload")))
+    return audit.verify_long_chain(bad, 8, COLUMNS).select("ok", "rows_checked", "bad_id")
 
 
 @query("audit_resolve_before", "SELECT max(id) AS through_id FROM log WHERE timestamp < (SELECT max(timestamp) - INTERVAL 30 DAY FROM log)", LOG)
@@ -689,7 +697,7 @@ def _(e):
 
 @query("audit_plan_segment", "SELECT min(id) AS first_id, max(id) AS last_id, count(*) AS row_count, (SELECT count(*) FROM log WHERE id > 500) AS hot_rows, CASE WHEN count(*) <> max(id) - min(id) + 1 THEN 'gap in ids' WHEN (SELECT count(*) FROM log WHERE id > 500) < 100 THEN 'too few rows left hot' END AS refused FROM log WHERE id <= 500", LOG)
 def _(e):
-    return audit.plan_segment(_links(e), 500).select("first_id", "last_id", "row_count", "hot_rows", "refused")
+    return audit.plan_segment(_one_chain(e), 500).select("first_id", "last_id", "row_count", "hot_rows", "refused")
 
 
 @query("audit_export", "SELECT id, action FROM log WHERE action IN ('stash_committed', 'stash_restored') ORDER BY id LIMIT 50", LOG)
@@ -711,7 +719,7 @@ def _(e):
 
 @query("health_dual_presence", ", p AS (SELECT machine_id, count(*) FILTER (kind = 'dual') AS d, count(*) FILTER (kind = 'store_only') AS s FROM kinds GROUP BY 1) SELECT machine_id, 'dual_presence_poor' AS name, CASE WHEN d + s = 0 THEN 'unknown' WHEN d / (d + s) < 0.5 THEN 'fail' ELSE 'ok' END AS level FROM p", f"{CLAIMS}, {PRESENCE}")
 def _(e):
-    return health.dual_presence_poor(stats.presence_counts(joins.presence(e.claims, e.store, e.mount), ["machine_id"])).drop("message")
+    return health.dual_presence_poor(stats.presence_counts(joins.presence(e.claims, e.store, e.mount, HOME), ["machine_id"])).drop("message")
 
 
 @query("health_adapters", f"SELECT machine_id, 'adapters' AS name, CASE WHEN epoch(TIMESTAMP '{NOW}' - max(timestamp)) / 3600.0 > 168 THEN 'warn' ELSE 'ok' END AS level, action AS message FROM log WHERE action IN ('replicate_end', 'archive_end') GROUP BY machine_id, action", LOG)
@@ -772,10 +780,10 @@ def _(e):
     return health.probe_roots(tiers, e.runs)
 
 
-@query("health_jobs", "SELECT o_orderkey AS job, CASE WHEN epoch(TIMESTAMP '2000-01-01' - o_orderdate) / 3600.0 > 24 * (o_custkey % 40 + 1) + CASE WHEN o_custkey % 40 = 0 THEN 6 ELSE 24 END THEN true ELSE false END AS overdue, CASE WHEN o_custkey % 11 = 0 THEN 'fail' WHEN epoch(TIMESTAMP '2000-01-01' - o_orderdate) / 3600.0 > 24 * (o_custkey % 40 + 1) + CASE WHEN o_custkey % 40 = 0 THEN 6 ELSE 24 END THEN 'warn' ELSE 'ok' END AS level FROM orders WHERE o_orderdate > TIMESTAMP '1999-06-01'", "x AS (SELECT 1)")
+@query("health_jobs", "SELECT o_orderkey AS job, CASE WHEN epoch(TIMESTAMP '2000-01-01' - o_orderdate) / 3600.0 > 24 * (o_custkey % 40 + 1) + CASE WHEN o_custkey % 40 = 0 THEN 6 ELSE 24 END THEN true ELSE false END AS overdue, CASE WHEN o_custkey % 11 = 0 THEN 'fail' WHEN epoch(TIMESTAMP '2000-01-01' - o_orderdate) / 3600.0 > 24 * (o_custkey % 40 + 1) + CASE WHEN o_custkey % 40 = 0 THEN 6 ELSE 24 END THEN 'warn' ELSE 'ok' END AS level FROM orders", "x AS (SELECT 1)")
 def _(e):
     none = F.lit(None).cast("int")
-    jobs = e.read("orders").filter("o_orderdate > TIMESTAMP_NTZ '1999-06-01'").select(F.col("o_orderkey").alias("job"), (24.0 * (F.col("o_custkey") % 40 + 1)).alias("period_hours"), *[none.alias(c) for c in ("weekday", "day", "month", "hour", "minute")], F.col("o_orderdate").cast("timestamp").alias("last_run_at"), F.lit(True).alias("installed"), F.lit(True).alias("loaded"), F.when(F.col("o_custkey") % 11 == 0, 1).otherwise(0).alias("last_exit"))
+    jobs = e.read("orders").select(F.col("o_orderkey").alias("job"), (24.0 * (F.col("o_custkey") % 40 + 1)).alias("period_hours"), *[none.alias(c) for c in ("weekday", "day", "month", "hour", "minute")], F.col("o_orderdate").cast("timestamp").alias("last_run_at"), F.lit(True).alias("installed"), F.lit(True).alias("loaded"), F.when(F.col("o_custkey") % 11 == 0, 1).otherwise(0).alias("last_exit"))
     return health.job_level(health.overdue_jobs(jobs, F.lit("2000-01-01").cast("timestamp"))).select("job", "overdue", "level")
 
 
@@ -786,38 +794,86 @@ def _(e):
     return health.queues(plans, stash.in_flight(e.events, e.now), jobs)
 
 
+def _fleet(e):
+    """Twelve machines by customer: ages of scans, envelopes and checks by number."""
+    o = e.read("orders")
+    i = (F.col("o_custkey") % 12).cast("int")
+    rows = o.select(i.alias("i"), F.concat(F.lit("f"), i.cast("string")).alias("machine_id"), F.col("o_orderkey").alias("id"))
+    hours = lambda c: e.now - F.make_dt_interval(hours=c.cast("int"))
+    runs = rows.select("machine_id", hours(F.col("i") * 40 + F.col("id") % 5).alias("finished_at"))
+    each = rows.select("machine_id", "i").distinct()
+    registry = each.filter("i <> 11").select("machine_id", hours(F.col("i") * 110).alias("envelope_at"), hours(F.col("i") * 60).alias("imported_at"), F.when(F.col("i") != 5, hours(F.col("i") * 90)).alias("chain_verified_at"), (F.col("i") % 4 != 3).alias("payload_exists"))
+    verdicts = each.select("machine_id", (F.col("i") != 7).alias("ok"))
+    return each.select("machine_id"), runs, verdicts, registry
+
+
 def _matrix(e):
-    registry = e.runs.select("machine_id").distinct().filter("machine_id <> 'm2'").select("machine_id", (e.now - F.make_dt_interval(days=F.when(F.col("machine_id") == "m1", 40).otherwise(9))).alias("envelope_at"), e.now.alias("chain_verified_at"), F.lit(True).alias("payload_exists"))
-    verdicts = e.runs.select("machine_id", F.lit(True).alias("ok")).distinct()
-    return health.fleet_matrix(joins.machine_summary(e.claims, e.runs, e.events), e.runs, verdicts, registry, "m0", e.now)
+    machines, runs, verdicts, registry = _fleet(e)
+    return health.fleet_matrix(machines, runs, verdicts, registry, "f2", e.now)
+
 
+RANK = "CASE {} WHEN 'fail' THEN 3 WHEN 'warn' THEN 2 WHEN 'unknown' THEN 1 ELSE 0 END"
+LEVEL = "CASE {} WHEN 3 THEN 'fail' WHEN 2 THEN 'warn' WHEN 1 THEN 'unknown' ELSE 'ok' END"
+FLEET = f"""fr AS (SELECT o_custkey % 12 AS i, min((o_custkey % 12) * 40 + o_orderkey % 5) AS scan_age FROM orders GROUP BY 1),
+fa AS (SELECT 'f' || i AS machine_id, i, CASE i WHEN 2 THEN 'local' ELSE 'attached' END AS source, i <> 2 AND (i = 11 OR i % 4 = 3) AS gone, i * 110 AS envelope_age, i <> 7 AS chain_ok, CASE WHEN i NOT IN (5, 11) THEN i * 90 END AS chain_age, CASE WHEN scan_age > 168 THEN 'fail' ELSE 'ok' END AS scan_level FROM fr),
+fl AS (SELECT *, CASE WHEN i = 2 THEN CASE WHEN envelope_age > 192 THEN 'fail' ELSE 'ok' END WHEN gone OR envelope_age > 720 THEN 'fail' ELSE 'ok' END AS envelope_level,
+ CASE WHEN i = 2 THEN CASE WHEN chain_ok THEN 'ok' ELSE 'fail' END WHEN gone OR NOT chain_ok THEN 'fail' WHEN chain_age IS NULL OR chain_age > 720 THEN 'warn' ELSE 'ok' END AS chain_level FROM fa),
+fm AS (SELECT *, {LEVEL.format("greatest(" + ", ".join(RANK.format(c) for c in ("scan_level", "envelope_level", "chain_level")) + ")")} AS level FROM fl),
+fc AS (SELECT 'fleet_stale_scan' AS name, max({RANK.format('scan_level')}) AS r, string_agg(machine_id, ',' ORDER BY machine_id) FILTER (scan_level = 'fail') AS machines FROM fm
+ UNION ALL SELECT 'fleet_chain_stale', max({RANK.format('chain_level')}), string_agg(machine_id, ',' ORDER BY machine_id) FILTER (chain_level IN ('warn', 'fail')) FROM fm
+ UNION ALL SELECT 'envelope_sla', max({RANK.format('envelope_level')}), string_agg(machine_id, ',' ORDER BY machine_id) FILTER (envelope_level IN ('warn', 'fail')) FROM fm
+ UNION ALL SELECT 'attached_missing', max(CASE WHEN gone THEN {RANK.format('envelope_level')} ELSE 0 END), string_agg(machine_id, ',' ORDER BY machine_id) FILTER (gone) FROM fm)"""
 
-@query("fleet_matrix", f"SELECT machine_id, CASE machine_id WHEN 'm0' THEN 'local' ELSE 'attached' END AS source, CASE WHEN epoch(TIMESTAMP '{NOW}' - max(finished_at)) / 3600.0 > 168 OR max(finished_at) IS NULL THEN 'fail' ELSE 'ok' END AS scan_level, 'fail' AS envelope_level, CASE machine_id WHEN 'm2' THEN 'fail' ELSE 'ok' END AS chain_level, 'fail' AS level FROM runs GROUP BY machine_id", RUNS)
+
+@query("fleet_matrix", "SELECT machine_id, source, scan_level, envelope_level, chain_level, level FROM fm", FLEET)
 def _(e):
     return _matrix(e).select("machine_id", "source", "scan_level", "envelope_level", "chain_level", "level")
 
 
-@query("fleet_sla", "SELECT count(*) FILTER (machine_id <> 'm0') AS attached, 1 AS stale, 1 AS missing, 1 AS never_verified, 'fail' AS local_level, 'fail' AS worst FROM (SELECT DISTINCT machine_id FROM runs)", RUNS)
+@query("fleet_sla", f"SELECT count(*) FILTER (i <> 2) AS attached, count(*) FILTER (i NOT IN (2, 11) AND envelope_age > 720) AS stale, count(*) FILTER (gone) AS missing, count(*) FILTER (i IN (5, 11)) AS never_verified, max(envelope_level) FILTER (i = 2) AS local_level, {LEVEL.format('max(' + RANK.format('envelope_level') + ')')} AS worst FROM fm", FLEET)
 def _(e):
     return health.envelope_sla(_matrix(e))
 
 
-@query("fleet_checks", "SELECT 'envelope_sla' AS name, 'fail' AS level, 'm0,m1,m2' AS machines UNION ALL SELECT 'attached_missing', 'fail', 'm2' UNION ALL SELECT 'fleet_chain_stale', 'fail', 'm2'", RUNS)
+@query("fleet_checks", f"SELECT name, {LEVEL.format('r')} AS level, coalesce(machines, '') AS machines FROM fc", FLEET)
 def _(e):
-    return health.fleet_checks(_matrix(e)).filter("name <> 'fleet_stale_scan'")
+    return health.fleet_checks(_matrix(e))
 
 
-@query("fleet_overall", "SELECT 'fail' AS overall", RUNS)
+@query("fleet_overall", f"SELECT {LEVEL.format('greatest((SELECT max(' + RANK.format('level') + ') FROM fm), (SELECT max(r) FROM fc))')} AS overall", FLEET)
 def _(e):
     m = _matrix(e)
     return health.fleet_overall(m, health.fleet_checks(m))
 
 
-@query("fleet_stale_ids", "SELECT DISTINCT machine_id, 'fail' AS level FROM runs", RUNS)
+@query("fleet_fail_on", "SELECT name, machines FROM fc WHERE r = 3 AND name IN ('fleet_stale_scan', 'attached_missing')", FLEET)
+def _(e):
+    return health.fleet_fail_on(health.fleet_checks(_matrix(e)), ("fleet_stale_scan", "attached_missing")).select("name", "machines")
+
+
+@query("fleet_stale_ids", "SELECT machine_id, level FROM fm WHERE level IN ('warn', 'fail')", FLEET)
 def _(e):
     return health.stale_ids(_matrix(e))
 
 
+@query("health_attached", "SELECT machine_id, 'attached' AS name, CASE WHEN i % 4 = 3 THEN 'fail' WHEN i * 60 > 720 THEN 'warn' WHEN chain_age IS NULL OR chain_age > 720 THEN 'warn' ELSE 'ok' END AS level FROM fa WHERE i <> 11", FLEET)
+def _(e):
+    return health.attached_freshness(_fleet(e)[3], e.now).drop("message")
+
+
+@query("health_broken_audit", BROKEN + " SELECT machine_id, 'broken_audit' AS name, CASE WHEN ok THEN 'ok' ELSE 'fail' END AS level, coalesce(message, '') AS message FROM v", LOG)
+def _(e):
+    return health.broken_audit(audit.verify_chain(_tampered(e), COLUMNS))
+
+
+@query("health_rollup_stale", "SELECT DISTINCT 'r' || (o_custkey % 6) AS machine_id, 'rollup_stale' AS name, CASE o_custkey % 3 WHEN 0 THEN CASE WHEN o_custkey % 6 * 9 > 24 THEN 'fail' ELSE 'ok' END WHEN 1 THEN 'ok' ELSE 'unknown' END AS level FROM orders", "x AS (SELECT 1)")
+def _(e):
+    i = F.col("o_custkey") % 6
+    source = F.when(i % 3 == 0, "rollup").when(i % 3 == 1, "live")
+    rows = e.read("orders").select(F.concat(F.lit("r"), i.cast("string")).alias("machine_id"), source.alias("counts_source"), (e.now - F.make_dt_interval(hours=(i * 9).cast("int"))).alias("refreshed_at")).distinct()
+    return health.rollup_stale(rows, e.now).drop("message")
+
+
 # sources --------------------------------------------------------------------
 
 
@@ -844,10 +900,10 @@ def _(e):
     return files.scan_paths(e.claims.select(F.col("file_path").alias("path")), e.claims.filter("claim_id % 2 = 0").select(F.col("file_path").alias("path"), "size_bytes")).select("path", "error")
 
 
-@query("sources_scan_counters", "SELECT scan_run_id AS run_id, count(*) AS walked, count(*) FILTER (doc_id % 3 = 0) AS hashed, count(*) FILTER (doc_id % 3 = 1) AS reused, count(*) FILTER (doc_id % 3 = 2) AS errored, CAST(coalesce(sum(size_bytes) FILTER (doc_id % 3 = 0), 0) AS BIGINT) AS bytes_hashed, count(DISTINCT permanode_id) AS permanodes FROM claims GROUP BY 1")
+@query("sources_scan_counters", "SELECT scan_run_id AS run_id, count(*) FILTER (doc_id % 5 <> 0) AS walked, count(*) FILTER (doc_id % 5 <> 0 AND doc_id % 4 = 0) AS hashed, count(*) FILTER (doc_id % 4 = 1) AS reused, count(*) FILTER (doc_id % 4 = 3) AS skipped, count(*) FILTER (doc_id % 5 <> 0 AND doc_id % 4 = 2) AS errored, CAST(coalesce(sum(size_bytes) FILTER (doc_id % 4 = 0), 0) AS BIGINT) AS bytes_hashed, count(DISTINCT permanode_id) AS permanodes, count(*) FILTER (doc_id % 5 = 0 AND doc_id % 4 <> 2) AS members_walked, count(*) FILTER (doc_id % 5 = 0 AND doc_id % 4 = 2) AS members_errored FROM (SELECT * REPLACE (doc_id % 7 AS scan_run_id) FROM claims) GROUP BY 1")
 def _(e):
-    state = F.get(F.array(F.lit("hashed"), F.lit("reused"), F.lit("errored")), (F.col("claim_id") % 3).cast("int"))
-    return files.scan_counters(e.claims.select(F.col("scan_run_id").alias("run_id"), state.alias("state"), "size_bytes", "permanode_id", F.lit(False).alias("member"))).drop("skipped", "members_walked", "members_errored")
+    state = F.get(F.array(F.lit("hashed"), F.lit("reused"), F.lit("errored"), F.lit("skipped")), (F.col("claim_id") % 4).cast("int"))
+    return files.scan_counters(e.claims.select((F.col("claim_id") % 7).alias("run_id"), state.alias("state"), "size_bytes", "permanode_id", (F.col("claim_id") % 5 == 0).alias("member")))
 
 
 @query("sources_is_archive", "SELECT claim_id, ends_with(lower(file_path), '.tar.gz') AS archive FROM claims")
@@ -861,6 +917,12 @@ def _(e):
     return files.import_hash_table(rows, ("/Music/",))[1].drop("skipped")
 
 
+@query("sources_imported_claims", "SELECT file_path, permanode_id, canonical_hash, size_bytes, 'sha256' AS algo, tier, volume, domain, container_path FROM claims WHERE doc_id % 8 <> 0 AND NOT contains(file_path, '/Music/')")
+def _(e):
+    rows = e.claims.select(F.col("file_path").alias("path"), F.col("canonical_hash").alias("sha256"), "size_bytes", F.when(F.col("claim_id") % 8 == 0, "io").alias("error"), "tier", "volume", "domain", "container_path")
+    return files.import_hash_table(rows, ("/Music/",))[0]
+
+
 @query("sources_ingest_gate", ", c AS (SELECT machine_id, count(*) AS n FROM log GROUP BY 1) SELECT machine_id, machine_id = 'm1' AS admitted, machine_id <> 'm0' AS foreign_ok, machine_id <> 'm2' AS chain_ok FROM c", LOG)
 def _(e):
     counted = e.events.groupBy("machine_id").agg(F.count(F.lit(1)).alias("audit_rows"), sinks.content_hash(e.events).alias("payload_hash"))
@@ -890,6 +952,180 @@ def _(e):
     return sinks.prune_series(points, F.lit("2000-06-01").cast("timestamp"), 900, 100000).select("id")
 
 
+GATED = ", c AS (SELECT machine_id, count(*) AS n FROM log GROUP BY 1)"
+
+
+def _gated(e):
+    counted = stored(e.events.groupBy("machine_id").agg(F.count(F.lit(1)).alias("audit_rows"), sinks.content_hash(e.events).alias("payload_hash")), "gate")
+    verdicts = counted.select("machine_id", (F.col("machine_id") != "m2").alias("ok"))
+    return files.ingest_gate(counted.withColumn("wire_format_version", F.lit(1)), counted, verdicts, "m0")
+
+
+@query("sources_admit", GATED + " SELECT machine_id, CASE machine_id WHEN 'm1' THEN 'now' ELSE 'before' END AS imported FROM c WHERE machine_id <> 'm0'", LOG)
+def _(e):
+    registry = e.events.select("machine_id").distinct().filter("machine_id <> 'm0'").withColumn("imported_at", e.now - F.make_dt_interval(days=F.lit(5)))
+    out = files.admit(registry, _gated(e), e.now)
+    return out.select("machine_id", F.when(F.col("imported_at") == e.now, "now").otherwise("before").alias("imported"))
+
+
+@query("sources_admit_events", GATED + " SELECT machine_id, 'inventory_attached' AS action, n AS audit_rows FROM c WHERE machine_id = 'm1'", LOG)
+def _(e):
+    return files.admit_events(_gated(e)).select("machine_id", "action", F.get_json_object("payload", "$.audit_rows").cast("long").alias("audit_rows"))
+
+
+@query("sources_resolve_attached", "SELECT DISTINCT machine_id FROM runs WHERE machine_id = 'm1'", RUNS)
+def _(e):
+    return files.resolve_attached(e.runs.select("machine_id").distinct(), "m1")
+
+
+@query("sources_fan_out", "SELECT claim_id, source FROM (SELECT claim_id, 'local' AS source FROM claims WHERE machine_id = 'm0' UNION ALL SELECT claim_id, 'attached' FROM claims WHERE machine_id = 'm2')")
+def _(e):
+    of = lambda m: e.claims.filter(F.col("machine_id") == m)
+    return files.fan_out(of("m0"), None, of("m2").drop("domain")).select("claim_id", "source")
+
+
+# round trips: what is written is read back -----------------------------------
+
+
+def _tree(e):
+    """The documents as text files, 64 to a file, and one that scans leave out."""
+    path = scratch(e.spark, "tree")
+    rows = e.read("documents").select(F.floor(F.col("doc_id") / 64).alias("chunk"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    rows.repartition("chunk").sortWithinPartitions("chunk", "doc_id").select("chunk", "value").write.partitionBy("chunk").text(path)
+    e.spark.range(1).select(F.lit("noise").alias("value")).write.text(f"{path}/@eaDir")
+    return path
+
+
+def _chunk():
+    return F.regexp_extract("path", "chunk=([0-9]+)/", 1).cast("long").alias("chunk")
+
+
+TREE = "t AS (SELECT doc_id // 64 AS chunk, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS body FROM documents GROUP BY 1)"
+
+
+@query("sources_scan_tree", "SELECT chunk, strlen(body)::BIGINT AS size_bytes FROM t", TREE)
+def _(e):
+    return files.skip_noise_paths(files.scan_tree(e.spark, _tree(e))).filter("path LIKE '%part-%'").select(_chunk(), "size_bytes")
+
+
+@query("sources_hash_files", "SELECT chunk, strlen(body)::BIGINT AS size_bytes, sha256(body) AS hash, 'sha256' AS algo, NULL AS error FROM t", TREE)
+def _(e):
+    return files.skip_noise_paths(files.hash_files(e.spark, _tree(e))).filter("path LIKE '%part-%'").select(_chunk(), "size_bytes", "hash", "algo", "error")
+
+
+def _zips(frames):
+    import io
+    import zipfile
+
+    for f in frames:
+        out = []
+        for name, ids, texts in zip(f["path"], f["ids"], f["texts"], strict=True):
+            raw = io.BytesIO()
+            with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+                for i, t in zip(ids, texts, strict=True):
+                    z.writestr(f"d/{i}.txt", t)
+                z.writestr("__MACOSX/d/._x", "no")
+            out.append((name, raw.getvalue()))
+        yield pd.DataFrame(out, columns=["path", "content"])
+
+
+@query("sources_explode_archives", "SELECT '/Volumes/Level 2/' || (doc_id // 64) || '.zip' AS container_path, 'd/' || doc_id || '.txt' AS member, sha256(coalesce(text, '')) AS hash, strlen(coalesce(text, ''))::BIGINT AS size_bytes, NULL AS error, 'L2' AS tier FROM documents", "x AS (SELECT 1)")
+def _(e):
+    name = F.concat(F.lit("/Volumes/Level 2/"), F.floor(F.col("doc_id") / 64).cast("string"), F.lit(".zip"))
+    rows = e.read("documents").groupBy(name.alias("path")).agg(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("t")))).alias("d"))
+    zips = rows.select("path", F.col("d.doc_id").alias("ids"), F.col("d.t").alias("texts")).mapInPandas(_zips, "path string, content binary")
+    return files.explode_archives(zips).select("container_path", "member", "hash", "size_bytes", "error", "tier")
+
+
+def _manifest(e):
+    path = scratch(e.spark, "manifest")
+    sinks.write_manifest(_retire(e), path, {"run": "r1"})
+    return path
+
+
+@query("sources_manifest", RANKED + " SELECT action, permanode_id, canonical_hash, size_bytes, file_path AS source_path, tier AS source_tier, CASE WHEN action = 'retire_direct' THEN 'dropbox-cloud-trash-account-specific' ELSE tier END AS destination_tier, 'r1' AS run FROM retire WHERE action IS NOT NULL")
+def _(e):
+    head, rows = files.read_manifest(e.spark, _manifest(e))
+    return rows.drop("destination_path", "rationale").withColumn("run", F.lit(head["run"]))
+
+
+@query("sources_load_plan_rows", RANKED + " SELECT action, permanode_id, file_path AS source_path FROM retire WHERE action IS NOT NULL")
+def _(e):
+    return files.load_plan_rows(e.spark, _manifest(e)).select("action", "permanode_id", "source_path")
+
+
+@query("sinks_write_buckets", "SELECT kind, claim_id FROM kinds", f"{CLAIMS}, {PRESENCE}")
+def _(e):
+    path = scratch(e.spark, "buckets")
+    sinks.write_buckets(joins.presence(e.claims, e.store, e.mount, HOME).select("kind", "claim_id"), path)
+    return e.spark.read.option("sep", "\t").option("header", "true").schema("claim_id long, kind string").csv(f"{path}/buckets").select("kind", "claim_id")
+
+
+@query("sinks_export_nas_manifest", RANKED + " SELECT 'r1' AS manifest_run_id, permanode_id, 'nas_manifest_exported' AS action, (SELECT count(*) FROM retire WHERE action = 'nas_manifest') AS rows_written FROM retire WHERE action = 'nas_manifest'")
+def _(e):
+    path = scratch(e.spark, "nas")
+    log = sinks.export_nas_manifest(_retire(e), path)
+    return log.withColumn("rows_written", F.lit(e.spark.read.text(path).count()).cast("long"))
+
+
+@query("sinks_export_snapshot", " SELECT 'm0' AS machine_id, 1 AS wire_format_version, (SELECT count(*) FROM claims) AS claim_rows, (SELECT count(*) FROM nodes) AS permanode_rows, (SELECT count(*) FROM log) AS audit_rows, (SELECT count(*) FROM claims) AS read_back, 'db_export_created' AS action", f"{CLAIMS}, {LOG}")
+def _(e):
+    path = scratch(e.spark, "snapshot")
+    out = sinks.export_snapshot({"claims": e.claims, "permanodes": e.permanodes, "audit_log": e.events, "tiers": e.claims.select("tier").distinct()}, path, "m0")
+    event = sinks.export_event(out).select("action")
+    return out.drop("payload_hash").withColumn("read_back", F.lit(e.spark.read.parquet(f"{path}/claims").count()).cast("long")).crossJoin(event)
+
+
+@query("sources_policy_tables", "SELECT r_regionkey AS rule_order, r_name AS name, '/' || n_name || '/' AS needle FROM region JOIN nation ON r_regionkey = n_regionkey", "x AS (SELECT 1)")
+def _(e):
+    rows = e.read("nation").join(e.read("region"), F.col("n_regionkey") == F.col("r_regionkey")).orderBy("r_regionkey", "n_nationkey").select("r_name", "n_name").collect()
+    names = list(dict.fromkeys(r.r_name for r in rows))
+    policy = {"version": 1, "kind": "ClassificationPolicy", "domains": [{"name": x, "rules": [{"path_substring_any_of": [f"/{r.n_name}/" for r in rows if r.r_name == x]}]} for x in names]}
+    return files.policy_tables(e.spark, policy)["domains"].withColumn("rule_order", F.col("rule_order").cast("long"))
+
+
+@query("sources_policy_retention", "SELECT 'exclusions.substrings' AS setting, row_number() OVER (ORDER BY n_nationkey) - 1 AS place, '/' || n_name || '/' AS value FROM nation", "x AS (SELECT 1)")
+def _(e):
+    names = [f"/{r.n_name}/" for r in e.read("nation").orderBy("n_nationkey").select("n_name").collect()]
+    tables = files.policy_tables(e.spark, {"version": 1, "kind": "RetentionPolicy", "exclusions": {"substrings": names}})
+    return tables["exclusions"].select(F.concat(F.lit("exclusions."), "setting").alias("setting"), F.col("place").cast("long").alias("place"), "value")
+
+
+@query("sources_health_series", "SELECT lpad(CAST(id AS VARCHAR), 12, '0') AS generated_at, machine_id FROM runs ORDER BY id DESC LIMIT 48", RUNS)
+def _(e):
+    path = scratch(e.spark, "health")
+    point = lambda part: e.runs.filter(F.col("id") % 2 == part).select(F.lpad(F.col("id").cast("string"), 12, "0").alias("generated_at"), "machine_id")
+    for part in (0, 1):
+        sinks.append_health_snapshot(point(part), path)
+    return files.health_series(e.spark, f"{path}/series", "generated_at string, machine_id string")
+
+
+@query("plan_attach_filter", """SELECT CAST(o_orderkey AS VARCHAR) AS plan_id, concat_ws(',', CASE WHEN o_orderkey % 4 = 0 THEN 'empty_plan' END, CASE WHEN o_custkey % 5 = 0 THEN 'manifest_missing' END, CASE WHEN o_custkey % 3 > 0 THEN 'dry_run_errors' END, CASE WHEN o_orderkey % 4 > 0 AND o_custkey % 2 <> 0 THEN 'fp_not_ready' END, CASE WHEN o_orderkey % 4 * 500 >= 1000 AND o_custkey % 4 <> 0 THEN 'dual_presence_unfiltered' END, CASE WHEN o_orderkey % 4 * 700 > 2000 THEN 'oversize_for_mcp' END, CASE WHEN o_custkey % 7 = 0 THEN 'stale_inventory' END) AS reasons, o_custkey % 4 = 0 AS has_filter FROM orders""", "x AS (SELECT 1)")
+def _(e):
+    filters = e.read("orders").filter("o_custkey % 4 = 0").select(F.col("o_orderkey").cast("string").alias("plan_id"), F.col("o_orderdate").alias("at"))
+    return plan.attach_filter(_backlog(e), filters).select("plan_id", F.array_join("blocked_reasons", ",").alias("reasons"), "has_filter")
+
+
+@query("audit_segments", ", h AS (SELECT max(id) // 2 AS mid FROM log) SELECT 's' || CASE WHEN id <= mid THEN 1 ELSE 2 END AS segment_id, min(id) AS first_id, max(id) AS last_id, count(*) AS row_count, bool_and(id <= mid) AS ok FROM log, h GROUP BY 1", LOG)
+def _(e):
+    """Two sealed segments, the second one changed afterwards."""
+    log, path = stored(_one_chain(e), "log"), scratch(e.spark, "segments")
+    lo, hi = log.agg(F.min("id"), F.max("id")).first()
+    mid = hi // 2
+    first = audit.seal_segment(log, audit.plan_segment(log, mid, 0), "s1", path)
+    second = audit.seal_segment(log.filter(F.col("id") > mid), audit.plan_segment(log.filter(F.col("id") > mid), hi, 0), "s2", path)
+    bad = e.spark.read.parquet(path).withColumn("payload", F.when(F.col("id") == hi, "{}").otherwise(F.col("payload")))
+    registry = first.unionByName(second)
+    return registry.select("segment_id", "first_id", "last_id", "row_count").join(audit.verify_segments(bad, registry, COLUMNS), "segment_id")
+
+
+@query("audit_verify_attached", ", m AS (SELECT DISTINCT machine_id FROM log UNION SELECT 'm9') SELECT machine_id, machine_id = 'm1' AS ok, machine_id = 'm1' AS moved FROM m", LOG)
+def _(e):
+    registry = e.events.select("machine_id").distinct().unionByName(e.spark.range(1).select(F.lit("m9").alias("machine_id"))).withColumn("chain_verified_at", e.now - F.make_dt_interval(days=F.lit(3)))
+    out = audit.verify_attached(registry, _tampered(e), e.now, COLUMNS)
+    return out.select("machine_id", "ok", (F.col("chain_verified_at") == e.now).alias("moved"))
+
+
 # vectors --------------------------------------------------------------------
 
 
@@ -900,9 +1136,9 @@ def _(e):
     return embed.search(rows, F.col("q")).select("permanode_id", F.round("distance", 6).alias("distance"))
 
 
-@query("embed_search_many", ", q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 5), d AS (SELECT query_id, CAST(vec_id AS VARCHAR) AS permanode_id, list_distance(embedding::DOUBLE[], v::DOUBLE[]) AS distance FROM embeddings, q) SELECT query_id, permanode_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, permanode_id) AS rank FROM d) WHERE rank <= 5", "x AS (SELECT 1)")
+@query("embed_search_many", ", q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT query_id, CAST(vec_id AS VARCHAR) AS permanode_id, list_distance(embedding::DOUBLE[], v::DOUBLE[]) AS distance FROM embeddings, q) SELECT query_id, permanode_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, permanode_id) AS rank FROM d) WHERE rank <= 5", "x AS (SELECT 1)")
 def _(e):
-    q = e.embeddings.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+    q = e.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
     return embed.search_many(e.embeddings, q, 5, "l2").select("query_id", "permanode_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -955,3 +1191,78 @@ def _(e):
 def _(e):
     rows = e.read("events").select(F.col("ts").cast("timestamp").alias("observed_at"), F.col("event_type").alias("tier"), F.col("value").cast("long").alias("size_bytes"))
     return stream.live_stats(rows).drop("started")
+
+
+@query("embed_stub_vectors", "SELECT (SELECT count(DISTINCT text) FROM documents) AS texts, (SELECT count(DISTINCT text) FROM documents) AS vectors, 384 AS least, 384 AS most, (SELECT count(DISTINCT text) FROM documents) AS units", "x AS (SELECT 1)")
+def _(e):
+    rows = e.read("documents").select(F.sha2("text", 256).alias("permanode_id"), "text").filter("text IS NOT NULL").distinct()
+    out = embed.run(rows).filter("error IS NULL")
+    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return out.agg(F.count_distinct("permanode_id").alias("texts"), F.count_distinct(F.xxhash64("vector")).alias("vectors"), F.min(F.size("vector")).alias("least"), F.max(F.size("vector")).alias("most"), F.count_if(F.abs(norm - 1) < 1e-4).alias("units"))
+
+
+def _file_events(e):
+    """Events as JSON files: users are roots, error events are deletes."""
+    kinds = F.when(F.col("event_type") == "error", "deleted").when(F.col("event_type") == "click", "moved").when(F.col("event_type") == "signup", "opened").otherwise("created")
+    path = F.concat(F.lit("/r/"), F.when(F.col("event_id") % 9 == 0, ".Trashes/").otherwise(""), F.col("event_type"), F.lit("/"), (F.col("event_id") % 40).cast("string"))
+    moved = F.when(F.col("event_type") == "click", F.concat(F.lit("/m/"), (F.col("event_id") % 40).cast("string")))
+    rows = e.read("events").select(path.alias("path"), kinds.alias("kind"), moved.alias("moved_to"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")).alias("root"), F.lit(False).alias("is_dir"), "event_id")
+    return rows
+
+
+FILES = """fe AS (SELECT event_id, ts, 'u' || (user_id % 10) AS root, '/r/' || CASE WHEN event_id % 9 = 0 THEN '.Trashes/' ELSE '' END || event_type || '/' || (event_id % 40) AS path, CASE WHEN event_type = 'click' THEN '/m/' || (event_id % 40) END AS moved_to,
+ CASE event_type WHEN 'error' THEN 'deleted' WHEN 'click' THEN 'moved' WHEN 'signup' THEN 'opened' ELSE 'created' END AS kind FROM events),
+known AS (SELECT * FROM fe WHERE kind <> 'opened' AND event_id % 9 <> 0)"""
+
+
+def _watched(e):
+    """The events as a stream of files."""
+    folder = scratch(e.spark, "events")
+    _file_events(e).drop("event_id").write.json(folder)
+    return stream.file_events(e.spark, folder)
+
+
+def _drained(df, label):
+    """What a stream writes until its input ends."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, label)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch(spark, "checkpoint")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@query("stream_watch", "SELECT path, kind, moved_to, root, count(*) AS n FROM known GROUP BY ALL", FILES)
+def _(e):
+    return _drained(_watched(e), "watched").groupBy("path", "kind", "moved_to", "root").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_unique_paths", """, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY root ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM known), s AS (SELECT *, sum(fresh) OVER (PARTITION BY root ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g),
+ p AS (SELECT root, session, unnest([path, moved_to]) AS p FROM s WHERE kind <> 'deleted') SELECT root, session, count(DISTINCT p) AS paths FROM p WHERE p IS NOT NULL GROUP BY 1, 2""", FILES)
+def _(e):
+    batches = stream.unique_paths(stream.debounce(stream.clean_events(_file_events(e)), "6 hours"))
+    # sessions are numbered with those that deletes leave empty
+    every = stream.debounce(stream.clean_events(_file_events(e)), "6 hours").select("root", "started", F.row_number().over(Window.partitionBy("root").orderBy("started")).cast("long").alias("session"))
+    return batches.join(every, ["root", "started"]).select("root", "session", F.size("paths").cast("long").alias("paths"))
+
+
+@query("stream_debounce_bounded")
+def _(e):
+    """Rows of the bounded debounce; the last batch of a root stays open."""
+    return _drained(stream.debounce_bounded(_watched(e), 3_600_000, 6 * 3_600_000), "bounded").select("root", "started", "ended", F.size("paths").alias("paths"), "reason")
+
+
+@query("stream_refresh_claims", "SELECT DISTINCT path FROM known", FILES)
+def _(e):
+    out = scratch(e.spark, "scanned")
+    batches = _watched(e).select(F.array("path").alias("paths"))
+    stream.refresh_claims(batches, lambda f, i: f.write.mode("append").parquet(out), scratch(e.spark, "checkpoint")).awaitTermination()
+    return e.spark.read.schema("path string").parquet(out).distinct()
+
+
+@query("stream_audit_tip", "SELECT machine_id, id, NOT (id % 97 = 96 AND machine_id <> 'm1') AS ok FROM log", LOG)
+def _(e):
+    """Links of the chained log as a stream, payloads changed afterwards."""
+    folder = scratch(e.spark, "chain")
+    _tampered(e).write.parquet(folder)
+    live = e.spark.readStream.schema(_tampered(e).schema).parquet(folder)
+    return _drained(stream.audit_tip(live, COLUMNS), "tips")

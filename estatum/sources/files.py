@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from estatum.functions import derive
 from estatum.operators import audit as chains
@@ -20,9 +21,11 @@ from estatum.operators import stats
 SKIP_DIRS = (".fseventsd", ".Spotlight-V100", ".Trashes", ".TemporaryItems", ".DocumentRevisions-V100", ".PKInstallSandboxManager", "@eaDir", "@SynoResource")
 SKIP_NAMES = (".DS_Store", ".apdisk", ".localized")
 MANIFEST = "action string, permanode_id string, canonical_hash string, size_bytes long, source_path string, source_tier string, destination_path string, destination_tier string, rationale string"
+#: What a manifest writes for a character: backslashes first.
+ESCAPES = (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"))
 COLUMNS = [x.split(" ")[0] for x in MANIFEST.split(", ")]
 POLICY_KINDS = ("RetentionPolicy", "ClassificationPolicy", "PromotionPolicy", "ReplicationPolicy", "ArchivePolicy")
-KNOWN_FIELDS = {"version", "kind", "metadata", "defaults", "exclusions", "dedup_retire", "domains", "clusters", "phases", "sources", "targets"}
+KNOWN_FIELDS = {"version", "kind", "metadata", "defaults", "exclusions", "dedup_retire", "domains", "clusters", "phases", "sources", "targets", "replications", "archives"}
 MEMBERS = "container_path string, container_sha256 string, member string, hash string, size_bytes long, error string"
 
 
@@ -38,10 +41,20 @@ def skip_noise_paths(files: DataFrame, column: str = "path") -> DataFrame:
     return files.filter(~(F.exists(parents, lambda s: s.isin(*SKIP_DIRS)) | name.startswith("._") | name.isin(*SKIP_NAMES)))
 
 
-def hash_files(spark: SparkSession, root: str) -> DataFrame:
-    """Content hash of each file; what can't be read is a row with an error."""
+def hash_files(spark: SparkSession, root: str, algo: str = "sha256") -> DataFrame:
+    """Content hash of each file; what can't be read is a row with an error.  ``algo``:
+    sha256 or xxh3_128."""
+    if algo not in ("sha256", "xxh3_128"):
+        raise ValueError(f"unknown algorithm {algo!r}")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
-    return files.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("hash"), F.lit("sha256").alias("algo"), F.when(F.col("content").isNull(), "unreadable").alias("error"))
+    return files.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"), (F.sha2("content", 256) if algo == "sha256" else _xxh3("content")).alias("hash"), F.lit(algo).alias("algo"), F.when(F.col("content").isNull(), "unreadable").alias("error"))
+
+
+@F.pandas_udf(T.StringType())
+def _xxh3(contents: pd.Series) -> pd.Series:
+    import xxhash
+
+    return contents.map(lambda c: None if c is None else xxhash.xxh3_128_hexdigest(c))
 
 
 def reuse_unchanged(files: DataFrame, claims: DataFrame, run_id: int, machine: str) -> tuple[DataFrame, DataFrame]:
@@ -133,9 +146,24 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[dict[str, str], DataF
     head = [r.value for r in spark.read.text(path).filter(F.col("value").startswith("#")).collect()]
     if not any("-manifest-v1" in x for x in head):
         raise ValueError("not a manifest")
-    rows = spark.read.csv(path, sep="\t", header=True, comment="#", schema=MANIFEST, enforceSchema=False)
+    text = spark.read.text(path).filter(~F.col("value").startswith("#"))
+    if text.filter(F.col("value") == "\t".join(COLUMNS)).isEmpty():
+        raise ValueError("columns are not a manifest's")
+    parts = F.split("value", "\t")
+    rows = text.filter(F.col("value") != "\t".join(COLUMNS)).select(F.transform(parts, unescape).alias("v"))
+    types = [x.split(" ")[1] for x in MANIFEST.split(", ")]
+    empty = {"destination_path", "size_bytes", "rationale"}
+    cells = [(F.nullif(F.get("v", F.lit(i)), F.lit("")) if c in empty else F.get("v", F.lit(i))).cast(t).alias(c) for i, (c, t) in enumerate(zip(COLUMNS, types, strict=True))]
     named = dict(x.lstrip("# ").split(": ", 1) for x in head if ": " in x)
-    return named, rows.withColumn("destination_path", F.nullif("destination_path", F.lit("")))
+    return named, rows.select(*cells)
+
+
+def unescape(value: Column) -> Column:
+    """Undo ESCAPES; a lone backslash marks where an escaped one stood meanwhile."""
+    marked = F.replace(value, F.lit("\\\\"), F.lit("\x00"))
+    for plain, written in (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"), ("#", "\\#")):
+        marked = F.replace(marked, F.lit(written), F.lit(plain))
+    return F.replace(marked, F.lit("\x00"), F.lit("\\"))
 
 
 def load_plan_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -143,8 +171,9 @@ def load_plan_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fan_out(local: DataFrame, *attached: DataFrame) -> DataFrame:
-    """Local and admitted inventories as one table with their source."""
-    return stats.union_all([local.withColumn("source", F.lit("local")), *[a.withColumn("source", F.lit("attached")) for a in attached]])
+    """Local and admitted inventories as one table with their source; an inventory
+    whose payload is missing (None) is left out."""
+    return stats.union_all([local.withColumn("source", F.lit("local")), *[a.withColumn("source", F.lit("attached")) for a in attached if a is not None]])
 
 
 def ingest_gate(manifests: DataFrame, payloads: DataFrame, verdicts: DataFrame, own: str, version: int = 1) -> DataFrame:
@@ -166,6 +195,11 @@ def admit(registry: DataFrame, gated: DataFrame, now: Column) -> DataFrame:
     return stats.latest_per_key(registry.select("machine_id", "imported_at").unionByName(new), ["machine_id"], [F.desc("imported_at")])
 
 
+def admit_events(gated: DataFrame) -> DataFrame:
+    """Log rows of the admitted inventories."""
+    return gated.filter("admitted").select("machine_id", F.lit("inventory_attached").alias("action"), F.to_json(F.struct("payload_hash", "wire_format_version", "audit_rows")).alias("payload"))
+
+
 def list_attached(registry: DataFrame, payloads: DataFrame) -> DataFrame:
     there = payloads.select("machine_id").distinct().withColumn("payload_exists", F.lit(True))
     return registry.join(there, "machine_id", "left").withColumn("payload_exists", F.coalesce("payload_exists", F.lit(False))).orderBy(F.desc("imported_at"), "machine_id")
@@ -194,6 +228,15 @@ def policy_tables(spark: SparkSession, policy: dict) -> dict[str, DataFrame]:
     if policy.get("phases"):
         rows = [(i, p["name"], {k: str(v) for k, v in p["match"].items()}, p["destination_root"], p.get("max_files")) for i, p in enumerate(policy["phases"])]
         out["phases"] = spark.createDataFrame(rows, "rule_order int, name string, match map<string,string>, destination_root string, max_files int")
+    flat = lambda prefix, x: [p for k, v in x.items() for p in flat(f"{prefix}{k}.", v)] if isinstance(x, dict) else [(prefix[:-1], i, str(v)) for i, v in enumerate(x if isinstance(x, list) else [x]) if v is not None]
+    # retention, replication and archive rules: a row a setting, lists in order
+    for name in ("defaults", "exclusions", "dedup_retire"):
+        if policy.get(name):
+            out[name] = spark.createDataFrame(flat("", policy[name]), "setting string, place int, value string")
+    for name in ("sources", "targets", "replications", "archives"):
+        if policy.get(name):
+            rows = [(i, *r) for i, entry in enumerate(policy[name]) for r in flat("", entry if isinstance(entry, dict) else {"value": entry})]
+            out[name] = spark.createDataFrame(rows, "rule_order int, setting string, place int, value string")
     return out
 
 

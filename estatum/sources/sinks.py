@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from estatum.sources.files import COLUMNS
+from estatum.sources.files import COLUMNS, ESCAPES
 
 LEFT_OUT = ("tiers", "embeddings", "legacy_import_log", "attached_inventories")
 
 
 def write_manifest(rows: DataFrame, path: str, provenance: dict[str, str]) -> None:
-    """Tab-separated rows below a commented head, readable by read_manifest."""
-    text = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in COLUMNS])
+    """Tab-separated rows below a commented head, readable by read_manifest.  Tabs, line
+    ends and backslashes in values are escaped with a backslash, as is a # that a row
+    would begin with."""
+    clean = lambda c: reduce(lambda x, ab: F.replace(x, F.lit(ab[0]), F.lit(ab[1])), ESCAPES, F.coalesce(F.col(c).cast("string"), F.lit("")))
+    text = F.regexp_replace(F.concat_ws("\t", *map(clean, COLUMNS)), "^#", r"\\#")
     head = ["# estatum-manifest-v1", *[f"# {k}: {v}" for k, v in provenance.items()], "\t".join(COLUMNS)]
     top = rows.sparkSession.createDataFrame([(i, h) for i, h in enumerate(head)], "o long, value string")
     body = rows.select(F.lit(len(head)).cast("long").alias("o"), text.alias("value"))
@@ -59,8 +64,14 @@ def content_hash(df: DataFrame) -> Column:
     return F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.hex(F.bit_xor(F.xxhash64(*df.columns))))
 
 
+def export_event(manifest: DataFrame) -> DataFrame:
+    """The log row of an export: who, and the counts as payload."""
+    return manifest.select("machine_id", F.lit("db_export_created").alias("action"), F.to_json(F.struct("claim_rows", "permanode_rows", "audit_rows", "payload_hash", "wire_format_version")).alias("payload"))
+
+
 def export_snapshot(tables: dict[str, DataFrame], path: str, machine: str, with_embeddings: bool = False) -> DataFrame:
-    """Tables as Parquet and a manifest row with counts and a payload hash."""
+    """Tables as Parquet and a manifest row with counts and a payload hash; its log row
+    is ``export_event``."""
     spark: SparkSession = next(iter(tables.values())).sparkSession
     rows, hashes = {}, []
     for name in sorted(tables):
@@ -87,4 +98,6 @@ def prune_series(points: DataFrame, now: Column, max_age_days: int = 90, max_lin
 
 
 def append_health_snapshot(point: DataFrame, path: str) -> None:
-    point.write.mode("append").json(path)
+    """Append a point to the series below ``path``, and make it LATEST."""
+    point.write.mode("append").json(f"{path}/series")
+    point.write.mode("overwrite").json(f"{path}/LATEST")

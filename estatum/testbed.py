@@ -15,6 +15,7 @@ FOLDERS = {"en": "Documents", "de": "Photos", "fr": "Music", "es": "src"}
 ENDS = (".txt", ".PDF", ".jpg", "", ".mp3", ".tar.gz")
 DOMAINS = [("photos", ["/photos/", "/dcim/"]), ("music", ["/music/"]), ("documents", ["/documents/"]), ("code", ["/src/"])]
 CLUSTERS = [("Level-Two", ["^/Volumes/Level 2/"]), ("Numbered-Five", ["/[0-9]*5\\.", "/[0-9]*5$"])]
+HOME = "/Users/ana"
 NOW = "2024-06-01 00:00:00"
 
 
@@ -91,12 +92,12 @@ class Estate:
 
     @cached_property
     def store(self) -> DataFrame:
-        rel = derive.cloud_relative(F.col("file_path"))
+        rel = derive.cloud_relative(F.col("file_path"), HOME)
         return self.claims.filter(rel.isNotNull() & (F.col("claim_id") % 5 != 0)).select(rel.alias("relative"))
 
     @cached_property
     def mount(self) -> DataFrame:
-        rel = derive.cloud_relative(F.col("file_path"))
+        rel = derive.cloud_relative(F.col("file_path"), HOME)
         return self.claims.filter(rel.isNotNull() & (F.col("claim_id") % 7 != 0)).select(rel.alias("relative"), (F.col("claim_id") % 11 == 0).alias("error"))
 
     @cached_property

@@ -36,10 +36,10 @@ def test_archives(spark):
 
 
 def test_manifest_round_trip(spark, tmp_path):
-    rows = spark.createDataFrame([("stash", "a" * 32, "0" * 64, 5, "/x", "L2", None, "L2", "why")], files.MANIFEST)
+    rows = spark.createDataFrame([("stash", "a" * 32, "0" * 64, 5, "/x", "L2", None, "L2", "why"), ("#stash", "b" * 32, "0" * 64, 6, "/tab\tand\nline\\n\r", "L2", "/d#\\t", "L2", None)], files.MANIFEST)
     sinks.write_manifest(rows, str(tmp_path / "m"), {"run": "r1"})
     head, back = files.read_manifest(spark, str(tmp_path / "m"))
-    assert head["run"] == "r1" and back.collect() == rows.collect()
+    assert head["run"] == "r1" and sorted(back.collect()) == sorted(rows.collect(), key=lambda r: r.action)
     (tmp_path / "bad.tsv").write_text("\t".join(files.COLUMNS) + "\n")
     with pytest.raises(ValueError):
         files.read_manifest(spark, str(tmp_path / "bad.tsv"))
@@ -66,8 +66,8 @@ def test_buckets_and_series(spark, tmp_path):
     assert sorted(x.name for x in (tmp_path / "b" / "buckets").glob("kind=*")) == ["kind=dual", "kind=store_only"]
     for i in range(3):
         sinks.append_health_snapshot(spark.createDataFrame([(f"2026-01-0{i + 1}", "m")], "generated_at string, machine_id string"), str(tmp_path / "s"))
-    (tmp_path / "s" / "bad.json").write_text("{broken\n")
-    assert [r.generated_at for r in files.health_series(spark, str(tmp_path / "s"), "generated_at string, machine_id string", 2).collect()] == ["2026-01-02", "2026-01-03"]
+    (tmp_path / "s" / "series" / "bad.json").write_text("{broken\n")
+    assert [r.generated_at for r in files.health_series(spark, str(tmp_path / "s" / "series"), "generated_at string, machine_id string", 2).collect()] == ["2026-01-02", "2026-01-03"]
 
 
 def test_resolve(spark):
