@@ -366,6 +366,36 @@ def test_mixing(docs, rows):
     assert sorted(map(key, out)) == sorted(map(key, again))
 
 
+def test_balance_minimises_the_dual(spark):
+    """Newton's multipliers against plain gradient descent; rates meet each source's target."""
+    rng = np.random.default_rng(4)
+    rows = [(s, float(t), int(rng.integers(1, 2000)), lang, 3 + band) for s, t in ((1, 9000), (2, 400), (3, 3000)) for lang in range(3) for band in range(3) if rng.random() < 0.8]
+    cells = spark.createDataFrame(rows, "number long, target double, tokens long, lang int, band int").repartition(3)
+    shares = np.zeros(6)
+    for _, _, n, lang, band in rows:
+        shares[[lang, band]] += n
+    shares *= 12400 / shares[:3].sum()
+    mu = mixing.balance(cells, shares)
+    want = np.zeros(6)
+    for _ in range(6000):
+        grad = -shares + (mixing.RIDGE * shares + 1e-9 * shares.sum()) * want
+        for s in (1, 2, 3):
+            own = [r for r in rows if r[0] == s]
+            w = np.array([r[2] * np.exp(want[r[3]] + want[r[4]]) for r in own])
+            for r, p in zip(own, w / w.sum(), strict=True):
+                grad[[r[3], r[4]]] += r[1] * p
+        want -= 0.3 * grad / shares.sum()
+    assert np.allclose(mu, want, atol=1e-3) and np.abs(mu).max() > 0.05
+    got = {(r.number, r.lang, r.band): r.rate for r in mixing.cell_rates(cells, mu, 3.0).collect()}
+    for s in (1, 2, 3):
+        own = [r for r in rows if r[0] == s]
+        rates = [got[r[0], r[3], r[4]] for r in own]
+        total = sum(r[2] for r in own)
+        assert max(rates) <= 3.0 and abs(sum(x * r[2] for x, r in zip(rates, own, strict=True)) - min(own[0][1], 3 * total)) < 1e-3
+        level = {round(math.log(x) - mu[r[3]] - mu[r[4]], 6) for x, r in zip(rates, own, strict=True) if x < 3 - 1e-9}
+        assert len(level) <= 1
+
+
 def test_crf_marginals_by_enumeration():
     m = toxicity.Crf({"x": 1.3, "y": -0.4}, -0.7, np.array([0.1, -0.5]), np.array([[0.2, -1.0], [-0.3, 0.6]]))
     text = ["a", "x", "b", "c", "y", "x", "d"]
