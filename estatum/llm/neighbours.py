@@ -1,14 +1,20 @@
 """Approximate nearest neighbours by learned partitions.
 
 On a bounded sample a graph of exact neighbours is cut into equal parts that
-sever few edges; a small network learns to tell a vector's part.  Every vector
-is filed under its likeliest part; a query visits as many of its likeliest parts
-as the sample needs to reach the target recall, and all vectors there are
-reranked by exact distance, in blocks of bounded size.
+sever few edges; a small network learns to tell a vector's part.  There is a part for
+every PER_PART rows, up to one for 32 rows of the sample.  Every vector is filed under
+its likeliest part; a query visits as many of its likeliest parts as the sample needs
+to reach the target recall, and all vectors there are reranked by exact distance, in
+blocks of bounded size.  A query whose parts hold fewer than it asks for goes on to all
+others, so none is short of neighbours that there are.
+
+How much is visited depends on the vectors: a tenth where they lie in clusters, more
+than half where all directions are alike and near ones hardly nearer than others.
 
 Vectors that are null, zero, of another length than the sample's, or that hold
 null or non-finite components take no part.  An empty table gives no rows.  Rows
-of a query's own id are never its neighbours; ties go to the smaller id.
+of a query's own id are never its neighbours; ties go to the smaller id.  Repeated rows
+are candidates each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +29,10 @@ from estatum.llm.common import empty_like, materialize, table
 
 #: Vectors that the fit gathers on the driver at most, by hash of id.
 SAMPLE = 4096
-PARTS = 16
-RECALL = 0.97
-#: Rows of a rerank block, candidates and queries.
-BLOCK, QUERIES = 4096, 256
+#: Rows to a part, and recall on the sample that the number of parts to visit is chosen for.
+PER_PART, RECALL = 2048, 0.95
+#: Rows of a rerank block: candidates, and queries; a candidate is copied once for so many queries of its part.
+BLOCK, QUERIES = 4096, 2048
 NEAREST = "query_id long, vec_id long, score double"
 
 
@@ -111,7 +117,7 @@ class Router:
         return np.argsort(-(np.maximum(self._in(x) @ p[0] + p[1], 0) @ p[2] + p[3]), axis=1, kind="stable")
 
 
-def fit(x: np.ndarray, parts: int = PARTS, k: int = 10, recall: float = RECALL) -> Router:
+def fit(x: np.ndarray, parts: int, k: int = 10, recall: float = RECALL) -> Router:
     """Fit a router on a sample, and choose how many parts a query visits."""
     x = x.astype(np.float64)
     parts = max(1, min(parts, 1 << int(np.log2(max(1, len(x) // 32)))))
@@ -147,7 +153,7 @@ def rerank(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 10, parts: int = PARTS, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 10, parts: int | None = None, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of (vec_id, embedding) that
     meet ``is_query``, against all rows."""
     spark = vectors.sparkSession
@@ -156,30 +162,45 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, parts: int = PARTS, recal
     if not drawn:
         return empty_like(spark, "query_id long, rank int, vec_id long, score double")
     dim = int(np.bincount([len(r.v) for r in drawn]).argmax())
+    if parts is None:
+        parts = 1 << max(0, -(-rows.count() // PER_PART) - 1).bit_length()
     router = fit(np.array([r.v for r in drawn if len(r.v) == dim]), parts, k, recall)
     shared = spark.sparkContext.broadcast(router)
 
     def route(batches):
         for b in batches:
             order = shared.value.order(np.stack(b["v"].to_numpy()).astype(np.float64)) if len(b) else np.empty((0, 1), int)
-            yield b.assign(parts=list(order[:, : shared.value.probes].astype("int32")))
+            yield b.assign(parts=list(order.astype("int32")))
 
-    # parts: where a row is filed (the first), and where it would look
+    # parts: where a row is filed (the first), and where it would look, by falling odds
     filed = rows.filter(F.size("v") == dim).mapInPandas(route, "vec_id long, v array<float>, parts array<int>")
-    filed = materialize(filed.withColumn("part", F.col("parts")[0]), "filed")
-    ask = filed.filter(is_query).select(F.col("vec_id").alias("query_id"), "v", F.explode("parts").alias("part"))
-    # one count a part: how many blocks its rows and its queries make
+    filed = materialize(filed.withColumn("part", F.col("parts")[0]).withColumn("parts", F.when(is_query, F.col("parts"))), "filed")
+    asked = filed.filter(is_query).select(F.col("vec_id").alias("query_id"), "v", "parts")
     have = {r.part: r.n for r in filed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    visit = lambda q, parts_: q.select("query_id", "v", F.explode(parts_).alias("part"))
+    found = materialize(meet(visit(asked, F.slice("parts", 1, router.probes)), filed, have, k), "found")
+    # queries that met too few go to the other parts as well
+    met = found.groupBy(F.col("query_id").alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
+    short = asked.join(met, F.col("query_id") == F.col("_q"), "left").filter(F.coalesce("_n", F.lit(0)) < k).drop("_q", "_n")
+    short = materialize(short, "short")
+    if sum(have.values()) > k and router.probes < len(router.p[3]) and not short.isEmpty():
+        found = found.unionByName(meet(visit(short, F.slice("parts", router.probes + 1, 1 << 20)), filed, have, k))
+    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def meet(ask: DataFrame, filed: DataFrame, have: dict[int, int], k: int) -> DataFrame:
+    """NEAREST of queries (query_id, v, part) among the rows filed under each part, whose
+    numbers ``have`` gives: every block of a part's rows meets its queries, batch by batch."""
     want = {r.part: r.n for r in ask.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    number = lambda counts, size: F.create_map(*[F.lit(x) for p in range(parts) for x in (p, -(-counts.get(p, 1) // size))])[F.col("part")]
+    number = lambda counts, size: F.create_map(*[F.lit(x) for p in have for x in (p, -(-counts.get(p, 1) // size))])[F.col("part")]
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     block, batch = number(have, BLOCK), number(want, QUERIES)
-    left = ask.withColumn("batch", F.pmod(F.xxhash64("query_id"), batch).cast("int")).withColumn("block", spread(block))
-    right = filed.select("vec_id", "v", "part").withColumn("block", F.pmod(F.xxhash64("vec_id"), block).cast("int")).withColumn("batch", spread(batch))
+    here = F.col("part").isin(*have)
+    left = ask.filter(here).withColumn("batch", F.pmod(F.xxhash64("query_id"), batch).cast("int")).withColumn("block", spread(block))
+    right = filed.filter(F.col("part").isin(*want)).select("vec_id", "v", "part").withColumn("block", F.pmod(F.xxhash64("vec_id"), block).cast("int")).withColumn("batch", spread(batch))
     keys = ["part", "block", "batch"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda q, r: rerank(q, r, k), NEAREST)
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda q, r: rerank(q, r, k), NEAREST)
 
 
 def op7_neighbours(spark, sf_dir: str) -> DataFrame:

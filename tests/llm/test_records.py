@@ -146,6 +146,35 @@ def test_neighbours(spark):
     assert got[600] == [(i, 0.0) for i in range(500, 510)]
 
 
+def test_clusters_are_pruned(spark, monkeypatch):
+    """On clustered vectors a tenth of the rows is visited, and found is what is near."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 1, (60, 24))
+    x = (centres[rng.integers(0, 60, 12000)] + rng.normal(0, 0.25, (12000, 24))).astype(np.float32)
+    monkeypatch.setattr(neighbours, "PER_PART", 256)
+    pairs, old = [0], neighbours.meet
+
+    def counted(ask, filed, have, k):
+        pairs[0] += sum(r["count"] * have.get(r.part, 0) for r in ask.groupBy("part").count().collect())
+        return old(ask, filed, have, k)
+
+    monkeypatch.setattr(neighbours, "meet", counted)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(6)
+    out = neighbours.nearest(df, F.col("vec_id") % 50 == 0).collect()
+    want = exact(x.astype(np.float64), np.arange(12000), range(0, 12000, 50), 10)
+    hit = sum(r.vec_id in {a for a, _ in want[r.query_id]} for r in out)
+    assert len(out) == 2400 and hit >= 0.9 * 2400 and pairs[0] <= 0.1 * 240 * 12000
+
+
+def test_queries_short_of_neighbours(spark, monkeypatch):
+    """Parts of few rows: queries go on to others until all have ten."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(0, 1, (300, 4)) * 5)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(neighbours, "PER_PART", 32)
+    got = neighbours.nearest(df, F.lit(True), k=60, recall=0.01).groupBy("query_id").count().collect()
+    assert len(got) == 300 and {r["count"] for r in got} == {60}
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(0, 400, 100)], "vec_id long, embedding array<float>")
     out = neighbours.nearest(df, F.col("vec_id") % 100 == 0).collect()
