@@ -120,12 +120,15 @@ def encoding(token: Column) -> Column:
     return F.when(~token.rlike("^[0-9]+$"), out)
 
 
-def letters_of(texts: Column) -> list[Column]:
-    """Sums over all rows of how often each letter, in either case, and each other
-    character of the encodings occurs outside of long tokens."""
-    rest = F.lower(F.regexp_replace(texts, TOKEN, " "))
+def letters_of(texts: DataFrame, text: str) -> dict[str, int]:
+    """How often each letter, in either case, and each other character of the encodings
+    occurs in all texts, outside of long tokens."""
     every = sorted(set("".join(a for _, a in ENCODINGS).lower()))
-    return [F.sum(F.length(rest) - F.length(F.translate(rest, c, ""))).alias(f"u{ord(c)}") for c in every]
+    rest = texts.select(F.lower(F.regexp_replace(text, TOKEN, " ")).alias("rest"))
+    shorter = lambda c: F.length("rest") - F.length(F.replace(F.col("rest"), F.lit(c), F.lit("")))
+    each = rest.select(*[shorter(c).alias(f"u{ord(c)}") for c in every])
+    sums = each.agg(*[F.sum(c).alias(c) for c in each.columns]).first()
+    return {c: sums[f"u{ord(c)}"] or 0 for c in every}
 
 
 def plain_logs(counts: dict[str, int]) -> list[list[float]]:
@@ -197,8 +200,7 @@ def find_secrets(df: DataFrame, keep: list[str], text: str = "text", fdr: float
     scanned = source.withColumn("_base", base)
     clear = F.filter(free, lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     stored = materialize(scanned.withColumn("_free", clear).withColumn("_id", F.monotonically_increasing_id()).drop("_t"), "spans")
-    seen = source.agg(*letters_of(t)).first().asDict()
-    logs = plain_logs({chr(int(c[1:])): n or 0 for c, n in seen.items()})
+    logs = plain_logs(letters_of(source, "_t"))
     coded = stored.select(F.explode("_free").alias("s")).select("s.token", encoding(F.col("s.token")).alias("code"))
     distinct_tests = battery(coded.distinct(), "token", "code", logs).withColumn("stratum", stratum(F.col("code"), F.length("token")))
     tested = materialize(distinct_tests.select("token", "p", "plain", "stratum"), "tested")
