@@ -8,11 +8,11 @@ tokens needs, so no count is cut.  Absence is certain, so a count is never read
 low, and each further wrong level takes another false positive.
 
 The filter is made of shards, one a bucket of n-grams by hash, built where the
-counts are gathered.  Shards are broadcast in groups of at most BROADCAST_BYTES.
-A pass over the texts notes the levels that its group knows of; where the filter
-fits in one group one pass does, else the levels of each text are kept, a byte
-an n-gram, from pass to pass.  So the filter grows with the corpus, and what is
-broadcast at once is bounded.
+counts are gathered, so it grows with the corpus.  Where all shards together are at
+most BROADCAST_BYTES they are broadcast, and one pass over the texts scores them.
+Beyond, probes go to the shards: a task sends the distinct n-grams of its batch to
+their buckets once, a bucket answers with levels, and the batch is scored from these.
+Both ways give the same scores, and both cost in proportion to the texts.
 
 A word v after u has probability (q(uv) + MU * p(v)) / (q(u) + MU), q the counts
 read from the filter and p(v) = (q(v) + 0.1) / (N + 0.1 * (V + 1)): the pair
@@ -21,7 +21,9 @@ its start is a context.
 
 ``base`` scores need exact counts of words.  They are joined by bucket: a task
 sends the distinct words of its batch once, with the texts that hold them, so a
-frequent word is one row a batch, not one a text.
+frequent word is one row a batch, not one a text.  A bucket with more than
+PART_BYTES of such rows (a very frequent word) is dealt over several tasks, each with
+a copy of its counts, so copies are in proportion to what they serve.
 
 Null text counts as empty: the end alone.  Repeated rows are scored once each; an
 empty table gives no rows.
@@ -36,6 +38,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from estatum.llm import text as tx
 from estatum.llm.common import extended, materialize, table
@@ -45,6 +48,10 @@ END, START = U(0x1234567890ABCDEF), U(0x0FEDCBA987654321)
 LOG_BASE, HASHES, BITS = 1.5, 4, 8.0
 MU = 20.0
 BROADCAST_BYTES = 256 << 20
+#: Bytes of occurrences that one task looks up with a copy of a bucket's counts.
+PART_BYTES = 64 << 20
+#: Hot buckets (16 bytes each) up to which their numbers of parts are broadcast.
+FEW_HOT = 1_000_000
 #: Tokens whose counts a task merges before sending them on.
 BATCH = 1 << 20
 #: Documents to a bucket of the counts.
@@ -154,7 +161,7 @@ def shards(counts: DataFrame) -> DataFrame:
         words, pairs = ((f["keys"][f["kind"] == k], f["counts"][f["kind"] == k]) for k in (1, 2))
         wk, wc = merge(list(words[0]), list(words[1]), 8)
         pk, pc = merge(list(pairs[0]), list(pairs[1]), 6)
-        shard = build(np.concatenate([filter_key(wk, 1), filter_key(pk, 2)]), np.concatenate([wc, pc]))
+        shard = build(np.concatenate([filter_key(wk, 1), filter_key(pk, 2)]), np.concatenate([wc, pc]), BITS)
         return pd.DataFrame({"bucket": [f["bucket"].iloc[0]], "words": [wk.tobytes()], "word_counts": [wc.tobytes()], "n": [int(wc.sum())], "v": [len(wk)], "shard": [shard], "size": [len(shard)]})
 
     return counts.groupBy("bucket").applyInPandas(run, "bucket long, words binary, word_counts binary, n long, v long, shard binary, size long")
@@ -182,10 +189,12 @@ def _bits(keys: np.ndarray, family: int, n_bits: int):
         yield ((a + U(i) * b & U(0xFFFFFFFF)) * U(n_bits) >> U(32)).astype(np.int64)
 
 
-def build(keys: np.ndarray, counts: np.ndarray) -> bytes:
+def build(keys: np.ndarray, counts: np.ndarray, bits_a_level: float = BITS) -> bytes:
     """A shard: bits for every key's levels, in one byte array."""
     q = level(counts)
-    n_bits = min(2**32 - 8, max(64, int(BITS * (q + 1).sum()) + 7 & ~7))
+    n_bits = max(64, int(bits_a_level * (q + 1).sum()) + 7 & ~7)
+    if n_bits >= 2**32:  # never with PER_BUCKET documents of usual length
+        raise ValueError("a shard outgrew its bit numbers: use more buckets")
     bits = np.zeros(n_bits, np.bool_)
     for f in range(int(q.max(initial=-1)) + 1):
         for at in _bits(keys[q >= f], f, n_bits):
@@ -224,7 +233,6 @@ class Filter:
             out[left] = f + 1
         return out
 
-
     def levels(self, keys: np.ndarray, kind: int) -> np.ndarray:
         """0 where absent, else level + 1; equal keys are asked once."""
         uniq, at = np.unique(keys, return_inverse=True)
@@ -246,71 +254,126 @@ def token_scores(word: np.ndarray, both: np.ndarray, before: np.ndarray, n: int,
 SCORED = "token_key long, n_tokens long, score double"
 
 
-def model_pass(docs: DataFrame, keep: list[str], f: Filter, last: bool, n: int, v: int) -> DataFrame:
-    """One group of shards: scores on the last pass, before that the levels so far.
-    The columns of ``docs`` are ``keep``, text and, after the first pass, levels."""
+def _asked(data: np.ndarray, off: np.ndarray) -> tuple:
+    """Of a block of texts: word hashes, each one's text, pairs, and contexts as the
+    filter knows them (texts end where others start: the start's count is the end's)."""
+    h, doc = tokens(data, off)
+    u = contexts(h, doc)
+    return h, doc, pair(u, h), np.where(u == START, END, u)
+
+
+def _text_scores(h, doc, rows: int, levels, n: int, v: int) -> tuple:
+    """Key, number of tokens and score of each text of a block."""
+    edges = np.searchsorted(doc, np.arange(rows + 1))
+    place = np.arange(len(h)) - edges[doc]
+    key = np.add.reduceat(tx.mix(h + place.astype(U) * U(0x9E3779B97F4A7C15)), edges[:-1])
+    return key.view(np.int64), np.diff(edges), np.bincount(doc, token_scores(*levels, n, v), rows)
+
+
+def broadcast_scores(docs: DataFrame, keep: list[str], f: Filter, n: int, v: int) -> DataFrame:
+    """``keep`` columns plus SCORED, by a filter that every worker holds."""
     shared = docs.sparkSession.sparkContext.broadcast(f)
-    more = "levels" in docs.columns
-    schema = extended(docs.select(*keep, *([] if last else ["text"])).schema, SCORED if last else "levels binary")
+    schema = extended(docs.select(*keep).schema, SCORED)
 
     def run(batches):
         for b in batches:
             at = len(keep)
             for first, rows, data, off in tx.blocks(b.column(at)):
-                part = b.slice(first, rows)
-                h, doc = tokens(data, off)
-                u = contexts(h, doc)
-                # texts end where others start: the start's count is the end's
-                asked = np.where(u == START, END, u)
-                found = np.stack([shared.value.levels(h, 1), shared.value.levels(pair(u, h), 2), shared.value.levels(asked, 1)])
-                edges = np.searchsorted(doc, np.arange(rows + 1))
-                if more:
-                    old = np.concatenate([np.frombuffer(x.as_py(), np.uint8).reshape(3, -1) for x in part.column(at + 1)], axis=1)
-                    found = np.maximum(found, old)
-                if last:
-                    place = np.arange(len(h)) - edges[doc]
-                    key = np.add.reduceat(tx.mix(h + place.astype(U) * U(0x9E3779B97F4A7C15)), edges[:-1])
-                    own = [pa.array(key.view(np.int64)), pa.array(np.diff(edges)), pa.array(np.bincount(doc, token_scores(*found, n, v), rows))]
-                    yield pa.RecordBatch.from_arrays([*part.columns[:at], *own], names=schema.names)
-                else:
-                    kept = [np.ascontiguousarray(found[:, i:j]).tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([*part.columns[: at + 1], pa.array(kept, pa.binary())], names=schema.names)
+                h, doc, pairs, before = _asked(data, off)
+                levels = (shared.value.levels(h, 1), shared.value.levels(pairs, 2), shared.value.levels(before, 1))
+                own = _text_scores(h, doc, rows, levels, n, v)
+                yield pa.RecordBatch.from_arrays([*b.slice(first, rows).columns[:at], *map(pa.array, own)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*keep, "text").mapInArrow(run, schema)
+
+
+def _named(keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """One number for a filter key and its bucket."""
+    return tx.mix(keys ^ tx.mix(bucket.astype(U) + U(1)))
+
+
+def routed_scores(docs: DataFrame, keep: list[str], built: DataFrame, buckets: int, n: int, v: int) -> DataFrame:
+    """The same scores where the filter is too large to broadcast.  A batch holds about
+    BATCH tokens; its row with a bucket below 0 carries the texts."""
+    kept = docs.select(F.struct(*keep).alias("own"), F.coalesce("text", F.lit("")).alias("text"))
+    rows_of = T.StructType([*T._parse_datatype_string("bucket long, batch long, keys binary, levels binary").fields, T.StructField("own", T.ArrayType(kept.schema["own"].dataType)), T.StructField("texts", T.ArrayType(T.StringType()))])
+
+    def ask(batches):
+        from pyspark import TaskContext
+
+        batch, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def flush():
+            own, texts = (pa.concat_arrays([h[0].column(i) for h in held]) for i in (0, 1))
+            keys = [np.unique(np.concatenate([h[1] for h in held])), np.unique(np.concatenate([h[2] for h in held]))]
+            full = np.concatenate(keys)
+            fk = np.concatenate([filter_key(k, kind) for kind, k in zip((1, 2), keys, strict=True)])
+            bucket = bucket_of(full, buckets)
+            order = np.argsort(bucket, kind="stable")
+            parts = list(_by_bucket(bucket[order], buckets, fk[order]))
+            names = [pa.array([-1 - batch % 64, *[b for b, _ in parts]], pa.int64()), pa.array([batch] * (1 + len(parts)), pa.int64()), pa.array([None, *[k.tobytes() for _, k in parts]], pa.binary()), pa.nulls(1 + len(parts), pa.binary())]
+            at = pa.array([0] + [len(own)] * (1 + len(parts)), pa.int32())
+            return pa.RecordBatch.from_arrays([*names, pa.ListArray.from_arrays(at, own), pa.ListArray.from_arrays(at, texts)], names=rows_of.names)
+
+        for b in batches:
+            for first, rows, data, off in tx.blocks(b.column(1)):
+                h, _, pairs, before = _asked(data, off)
+                held.append((b.slice(first, rows), np.unique(np.concatenate([h, before])), np.unique(pairs)))
+                size += len(h)
+                if size >= BATCH:
+                    yield flush()
+                    batch, held, size = batch + 1, [], 0
+        if held:
+            yield flush()
+
+    def probe(f: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+        if not len(f) or f["bucket"].iloc[0] < 0:
+            return f
+        bucket = int(f["bucket"].iloc[0])
+        own = Filter({bucket: bytes(shard["shard"].iloc[0])} if len(shard) else {}, buckets, n)
+        keys = np.frombuffer(b"".join(f["keys"]), U)
+        levels = own._probe(keys, np.full(len(keys), bucket))
+        at = np.concatenate([[0], np.cumsum([len(k) // 8 for k in f["keys"]])])
+        return f.assign(levels=[levels[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)])
+
+    def gather(f: pd.DataFrame) -> pd.DataFrame:
+        head, rest = f[f["bucket"] < 0].iloc[0], f[f["bucket"] >= 0]
+        number = np.concatenate([_named(np.frombuffer(k, U), np.full(len(k) // 8, b)) for b, k in zip(rest["bucket"], rest["keys"], strict=True)])
+        levels = np.frombuffer(b"".join(rest["levels"]), np.uint8)
+        order = np.argsort(number)
+        number, levels = number[order], levels[order]
+        find = lambda keys, kind: levels[np.searchsorted(number, _named(filter_key(keys, kind), bucket_of(keys, buckets)))]
+        out = []
+        for _, rows, data, off in tx.blocks(pa.array(head["texts"], pa.string())):
+            h, doc, pairs, before = _asked(data, off)
+            out.append(_text_scores(h, doc, rows, (find(h, 1), find(pairs, 2), find(before, 1)), n, v))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+        return pd.DataFrame({"own": list(head["own"]), "token_key": cols[0], "n_tokens": cols[1], "score": cols[2]})
+
+    sent = kept.mapInArrow(ask, rows_of)
+    answered = sent.groupBy("bucket").cogroup(built.select("bucket", "shard").groupBy("bucket")).applyInPandas(probe, rows_of)
+    scored = answered.groupBy("batch").applyInPandas(gather, T.StructType([kept.schema["own"], *T._parse_datatype_string(SCORED).fields]))
+    return scored.select("own.*", "token_key", "n_tokens", "score")
 
 
 def model_scores(docs: DataFrame, keep: list[str], built: DataFrame, buckets: int, n: int, v: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``keep`` columns plus SCORED of all texts, by the filter of ``built``."""
-    groups, size = [[]], 0
-    for r in built.select("bucket", "size").orderBy("bucket").toLocalIterator():
-        if groups[-1] and size + r.size > limit:
-            groups.append([])
-            size = 0
-        groups[-1].append(r.bucket)
-        size += r.size
-    out = docs.select(*keep, "text")
-    for i, g in enumerate(groups):
-        wanted = built.select("bucket", "shard")
-        wanted = wanted.filter(F.col("bucket").between(g[0], g[-1])) if g else wanted.limit(0)
-        f = Filter({r.bucket: bytes(r.shard) for r in wanted.toLocalIterator()}, buckets, n)
-        last = i == len(groups) - 1
-        out = model_pass(out, keep, f, last, n, v)
-        if not last:
-            out = materialize(out, "levels")
-    return out
-
-
-OCCURRENCES = "bucket long, part long, batch long, ids array<long>, token_keys binary, keys binary, spans binary, owners binary, times binary"
+    if (built.agg(F.sum("size")).first()[0] or 0) > limit:
+        return routed_scores(docs, keep, built, buckets, n, v)
+    f = Filter({r.bucket: bytes(r.shard) for r in built.select("bucket", "shard").toLocalIterator()}, buckets, n)
+    return broadcast_scores(docs, keep, f, n, v)
+
+
+OCCURRENCES = "bucket long, batch long, ids array<long>, token_keys binary, keys binary, spans binary, owners binary, times binary"
 SUMS = "batch long, ids array<long>, token_keys binary, owners binary, logs binary, known binary"
 
 
-def occurrences(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
+def occurrences(docs: DataFrame, buckets: int) -> DataFrame:
     """A row a (task's batch, bucket): its distinct words, and for each the texts
-    of the batch that hold it, by number, and how often.  ``part`` spreads the
-    batches of a bucket over groups of bounded size.  One row more a batch, in
+    of the batch that hold it, by number, and how often.  One row more a batch, in
     buckets below 0, names its texts."""
     names = [x.split(" ")[0] for x in OCCURRENCES.split(", ")]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5)
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5)
 
     def flush(held, batch):
         ids, token_keys = [x for c in held for x in c[2]], np.concatenate([c[3] for c in held])
@@ -320,10 +383,10 @@ def occurrences(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
         edge = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]))
         times = np.diff(np.append(edge, len(h)))
         h, doc = h[edge], doc[edge]
-        rows = [(-1 - batch % 64, batch % parts, batch, ids, token_keys.tobytes(), None, None, None, None)]
+        rows = [(-1 - batch % 64, batch, ids, token_keys.tobytes(), None, None, None, None)]
         for b, k, d, t in _by_bucket(bucket_of(h, buckets), buckets, h, doc, times):
             uniq, n = np.unique(k, return_counts=True)
-            rows.append((b, batch % parts, batch, None, None, uniq.tobytes(), n.astype(np.uint32).tobytes(), d.astype(np.uint32).tobytes(), np.minimum(t, 2**32 - 1).astype(np.uint32).tobytes()))
+            rows.append((b, batch, None, None, uniq.tobytes(), n.astype(np.uint32).tobytes(), d.astype(np.uint32).tobytes(), np.minimum(t, 2**32 - 1).astype(np.uint32).tobytes()))
         return _record(rows, names, kinds)
 
     def run(batches):
@@ -347,11 +410,14 @@ def occurrences(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, OCCURRENCES)
 
 
-def base_sums(docs: DataFrame, built: DataFrame, buckets: int, parts: int) -> DataFrame:
+def base_sums(docs: DataFrame, built: DataFrame, buckets: int, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, token_key, logs, known): per text the sum of log10(c + 0.1) and the
     number of tokens with c > 0.  Sums of a (batch, bucket) travel as one row."""
-    there = occurrences(docs, buckets, parts)
-    known = built.select("bucket", "words", "word_counts").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    # an occurrence is 12 bytes at most; buckets with many go in parts
+    parts = built.select("bucket", F.ceil(F.col("n") * 12 / part_bytes).cast("long").alias("parts")).filter("parts > 1")
+    parts = F.broadcast(parts) if parts.count() <= FEW_HOT else parts
+    there = occurrences(docs, buckets).join(parts, "bucket", "left").withColumn("part", F.pmod("batch", F.coalesce("parts", F.lit(1)))).drop("parts")
+    known = built.select("bucket", "words", "word_counts").join(parts, "bucket", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
 
     def look_up(f: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         if len(f) and f["bucket"].iloc[0] < 0:
@@ -390,10 +456,10 @@ def language_scores(docs: DataFrame, trains: Column) -> DataFrame:
     """Scores of documents (doc_id, text), learned from those that meet ``trains``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", trains.alias("_trains"))
     n_docs = docs.count()
-    buckets, parts = max(8, -(-n_docs // PER_BUCKET)), max(1, -(-n_docs // (1 << 18)))
+    buckets = max(8, -(-n_docs // PER_BUCKET))
     built = materialize(shards(ngram_counts(docs.filter("_trains"), buckets)), "shards")
     total = built.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
-    base = base_sums(docs, built, buckets, parts)
+    base = base_sums(docs, built, buckets)
     scored = model_scores(docs, ["doc_id", "_trains"], built, buckets, total.n, total.v)
     right = base.select(F.col("doc_id").alias("_d"), F.col("token_key").alias("_k"), "logs", "known")
     joined = scored.join(right, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("token_key") == F.col("_k")))

@@ -203,14 +203,49 @@ def test_filter_holds_great_counts():
     assert language_model.levels_of(2**63 - 1) == 109
 
 
-def test_filter_in_groups(docs):
-    """Shards broadcast one by one score like all at once."""
-    base = docs.select("doc_id", "text")
+def test_routed_and_broadcast_filters(docs, monkeypatch):
+    """Probes that go to the shards score like a filter that every worker holds."""
+    base = docs.select("doc_id", "text", "rank")
     built = language_model.shards(language_model.ngram_counts(base, 8)).cache()
-    one = language_model.model_scores(base, ["doc_id"], built, 8, 1000, 100).collect()
-    many = language_model.model_scores(base, ["doc_id"], built, 8, 1000, 100, limit=1).collect()
-    key = lambda r: (r.doc_id is None, r.doc_id, r.token_key, round(r.score, 9))
-    assert sorted(map(key, one)) == sorted(map(key, many))
+    args = (base, ["doc_id", "rank"], built, 8, 1000, 100)
+    one = language_model.model_scores(*args).collect()
+    monkeypatch.setattr(language_model, "BATCH", 500)
+    many = language_model.model_scores(*args, limit=1).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id, r["rank"], r.token_key, r.n_tokens, round(r.score, 9))
+    assert sorted(map(key, one)) == sorted(map(key, many)) and len(one) == docs.count()
+
+
+def test_hot_buckets_go_in_parts(docs, monkeypatch):
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    built = language_model.shards(language_model.ngram_counts(base, 8)).cache()
+    monkeypatch.setattr(language_model, "BATCH", 500)
+    key = lambda r: (r.doc_id is None, r.doc_id, r.token_key, round(r.logs, 6), r.known)
+    one, many = (sorted(map(key, language_model.base_sums(base, built, 8, n).collect())) for n in (1 << 30, 200))
+    assert one == many and len(one) > 90
+
+
+def test_scores_of_exact_levels(spark, monkeypatch):
+    """With a filter so wide that it never errs, scores are those of a plain model over
+    counts rounded to levels."""
+    monkeypatch.setattr(language_model, "BITS", 400.0)
+    rng = random.Random(8)
+    texts = [sentence(rng, rng.randint(1, 60)) for _ in range(60)] + [None, "", "a a a a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r.score for r in language_model.language_scores(df, F.col("doc_id") < 50).collect()}
+    toks = [[*words(t), None] for t in texts]
+    one, two = collections.Counter(), collections.Counter()
+    for t in toks[:50]:
+        one.update(t)
+        two.update(zip([0, *t[:-1]], t, strict=True))
+    n, v = sum(one.values()), len(one)
+    q = lambda c: language_model.LOG_BASE ** round(math.log(c) / math.log(language_model.LOG_BASE)) if c else 0.0
+    for i, t in enumerate(toks):
+        total = 0.0
+        for u, w in zip([0, *t[:-1]], t, strict=True):
+            cu = q(one[None if u == 0 else u])
+            p = (q(one[w]) + 0.1) / (n + 0.1 * (v + 1))
+            total += math.log10((min(q(two[u, w]), q(one[w]), cu) + language_model.MU * p) / (cu + language_model.MU))
+        assert abs(out[i] - total) < 1e-6
 
 
 def test_packed_counts():
