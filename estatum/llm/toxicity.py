@@ -12,7 +12,8 @@ training documents, a document's score.
 
 Null and empty texts have no tokens and get the score of a text without any
 toxic marginal.  Rows repeated in the input are repeated in the output; extra
-columns are ignored.
+columns are ignored; an empty table gives no rows, and without labels nothing is
+toxic.
 """
 
 from __future__ import annotations
@@ -256,8 +257,9 @@ def toxic_scores(df: DataFrame, model: Crf, keep: list[str], text: str = "text",
 
 
 def train_split(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled rows the fit may see: crc32(doc_id as text) mod 5 is not 0."""
-    marks = labels.select(F.col("doc_id").alias("_d"), "toxic").filter(F.crc32(F.col("_d").cast("string")) % 5 != 0).dropDuplicates(["_d"])
+    """Labelled rows the fit may see: crc32(doc_id as text) mod 5 is not 0.  Of several
+    labels of one document the toxic one counts; labels without an id or a mark do not."""
+    marks = labels.select(F.col("doc_id").alias("_d"), "toxic").filter("toxic IS NOT NULL").filter(F.crc32(F.col("_d").cast("string")) % 5 != 0).groupBy("_d").agg(F.max("toxic").alias("toxic"))
     # few labels go to the texts; many would not fit, and both are shuffled
     marks = F.broadcast(marks) if labels.count() <= SMALL_LABELS else marks
     return docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_d")).drop("_d")
