@@ -46,9 +46,9 @@ LENGTH, GRAM = 200, 128
 REACH = LENGTH - GRAM
 #: Bytes by which multikey quicksort tells ends apart, beyond the anchor's own.
 SHALLOW, GROUP = 32, 20_000
-#: Bits of the map of repeated anchors at most; places and spans up to which these are broadcast.
+#: Bits of the map of repeated anchors at most; bytes of places and spans up to which these are broadcast.
 MAP_BITS = 1 << 29
-FEW = 1_000_000
+FEW_BYTES = 128 << 20
 #: Rows that one sort takes at most, groups being whole.
 ROWS = 20_000
 
@@ -379,9 +379,11 @@ def cut_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*keep, "text", "starts").mapInArrow(run, schema)
 
 
-def few(df: DataFrame) -> DataFrame:
-    """``df``, to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= FEW else df
+def few(df: DataFrame, lists: str, width: int) -> DataFrame:
+    """``df``, to be broadcast if it takes up to FEW_BYTES: 32 bytes a row, and ``width``
+    an element of the array ``lists``."""
+    n = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size(lists)), F.lit(0)).alias("cells")).first()
+    return F.broadcast(df) if 32 * n.rows + width * n.cells <= FEW_BYTES else df
 
 
 def merged_spans(starts: DataFrame) -> DataFrame:
@@ -412,12 +414,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     mixed = contexts.join(grams, "gram").select("row", "doc_id", F.struct("gram", "kinds", place.alias("place"), left.alias("lefts"), right.alias("rights")).alias("a"))
     wanted = materialize(mixed.groupBy(F.col("row").alias("_r"), F.col("doc_id").alias("_d")).agg(F.collect_list("a").alias("places")), "wanted")
     named = (F.col("row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d"))
-    single = docs.join(few(wanted), named)
+    single = docs.join(few(wanted, "places", 56), named)
     sliced = single.select("row", "doc_id", F.encode("text", "UTF-8").alias("raw"), F.explode("places").alias("a")).select("row", "doc_id", "a.*", F.substring("raw", F.col("a.place") - F.col("a.lefts") + 1, F.col("a.lefts") + F.col("a.rights")).alias("bytes"))
     sliced = materialize(sliced.dropDuplicates(["row", "doc_id", "place"]), "sliced")
     compared = compare_contexts(sliced.filter(F.col("kinds") <= GROUP)).unionByName(count_strings(sliced.filter(F.col("kinds") > GROUP)))
     starts = materialize(merged_spans(sure.unionByName(compared).filter("lo <= hi")), "starts")
-    return cut_spans(docs.join(few(starts), named, "left"), ["doc_id"])
+    return cut_spans(docs.join(few(starts, "starts", 32), named, "left"), ["doc_id"])
 
 
 def op2_substrings(spark, sf_dir: str) -> DataFrame:

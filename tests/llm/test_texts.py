@@ -139,9 +139,10 @@ def repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("group", [20_000, 1])
-def test_repeats(docs, rows, monkeypatch, group):
+@pytest.mark.parametrize(("group", "few"), [(20_000, 128 << 20), (1, 0)])
+def test_repeats(docs, rows, monkeypatch, group, few):
     monkeypatch.setattr(substrings, "GROUP", group)
+    monkeypatch.setattr(substrings, "FEW_BYTES", few)
     raw = [(t or "").encode() for _, t in rows]
     want = collections.Counter()
     for (i, _), b, f in zip(rows, raw, repeats(raw), strict=True):
@@ -486,6 +487,18 @@ def test_no_labels(spark, docs, none):
     assert all(r.predicted == 0 for r in out)
 
 
+def test_labels_of_one_document(spark):
+    """Several labels, labels without an id or a mark, a very long text, an empty table."""
+    docs = spark.createDataFrame([(1, "a b"), (2, "c"), (3, "d"), (None, "e")], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, None), (None, 1), (3, None)], "doc_id long, toxic int")
+    got = {r.doc_id: r.toxic for r in toxicity.train_split(docs, marks).collect()}
+    assert got == {i: t for i, t in ((1, 1), (2, 0)) if zlib.crc32(str(i).encode()) % 5}
+    model = toxicity.train(toxicity.train_split(docs, marks))
+    long = spark.createDataFrame([(1, "word " * 200_000)], "doc_id long, text string")
+    assert toxicity.toxic_scores(long, model, ["doc_id"]).count() == 1
+    assert toxicity.toxic_scores(docs.filter("false"), model, ["doc_id"]).count() == 0
+
+
 def test_empty_tables(none):
     assert neardup.near_duplicates(none).count() == 0
     assert substrings.remove_repeats(none).count() == 0
