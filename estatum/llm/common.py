@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from estatum.scratch import stored
+
 #: What counts as space between words.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -19,28 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where it is unset, local masters (tests) get a temporary folder and clusters
-    the warehouse, which is shared as well.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if (spark.sparkContext.master or "").startswith("local["):
-            base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        else:
-            base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the
-    lineage, and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/estatum/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+materialize = stored
 
 
 def words(text: Column) -> Column:

@@ -25,6 +25,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -201,19 +203,31 @@ def copy_classes(marked: DataFrame, rates: DataFrame, ceiling: float) -> DataFra
     """One row a (source, language, size): how many copies its documents make together.
 
     Rates are rounded from the longest documents to the shortest, what a size is
-    short of or has too much being carried to the next.  A group holds a source's
+    short of or has too much being carried to the next; a long document is not taken
+    where it alone would overshoot what the shorter ones can meet.  A group holds a source's
     distinct sizes by language, which the longest document bounds, not its documents."""
     counts = marked.groupBy(F.col("_source").alias("_s"), F.col("lang").alias("_l"), F.col("band").alias("_b"), F.col("size").alias("_z")).agg(F.count(F.lit(1)).alias("_n"))
     joined = counts.join(rates, F.col("_s").eqNullSafe(F.col("source")) & (F.col("_l") == F.col("lang")) & (F.col("_b") == F.col("band"))).drop("source", "lang", "band", "_b")
 
     def round_off(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["_z", "_l"], ascending=False)
+        wanted = f["rate"] * f["_n"] * f["_z"]
+        # what is left to take, and what the shorter documents can take at most
+        left, after = float(wanted.sum()), ceiling * (f["_n"] * f["_z"])[::-1].cumsum()[::-1].shift(-1, fill_value=0.0)
         rest, out = 0.0, []
-        for z, n, rate in zip(f["_z"], f["_n"], f["rate"], strict=True):
-            want = rest + rate * n * z
-            c = round(want / z) if z else round(rate * n)
+        for z, n, rate, want, most in zip(f["_z"], f["_n"], f["rate"], wanted, after, strict=True):
+            if not z:
+                out.append(round(rate * n))
+                continue
+            want += rest
+            low, high = math.ceil((left - most) / z - 1e-9), math.floor(left / z + 1e-9)
+            c = round(want / z)
+            if low <= high:
+                c = min(max(c, low), high)
+            else:  # one more overshoots, one less can't be made up for: the smaller error
+                c = high if left - most - high * z < low * z - left else low
             c = int(min(max(c, 0), ceiling * n))
-            rest = want - c * z
+            rest, left = want - c * z, left - c * z
             out.append(c)
         return f.assign(_copies=out)
 

@@ -92,6 +92,19 @@ def test_pages_of_one_id(spark):
     assert warc.read_archives(warc.pack_archives(warc.link_revisits(df.filter("false")))).count() == 0
 
 
+def test_query_of_pages_and_its_twin(spark, folder):
+    import duckdb
+
+    from estatum.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{folder}/pages.parquet')")
+    out = queries.queries()["op5_warc"](spark, folder)
+    twin = con.execute(queries.oracle_sql()["op5_warc"])
+    names = [c[0] for c in twin.description]
+    assert sorted(map(tuple, out.select(*names).collect()), key=repr) == sorted(twin.fetchall(), key=repr)
+
+
 def test_archive_is_plain_zstandard():
     records = [warc.record(i, "u", b"payload %d" % i * 50, None) for i in range(40)]
     data = warc.archive(records)
