@@ -260,8 +260,16 @@ def is_archive(path: Column) -> Column:
 
 
 def canonical_audit_json(columns: list[str]) -> Column:
-    """JSON of the named columns, keys sorted, nulls kept, no blanks."""
-    return F.to_json(F.struct(*[F.col(c) for c in sorted(columns) if c not in ("id", "prev_hash", "row_hash")]), {"ignoreNullFields": "false"})
+    """JSON of the named columns in ASCII, keys sorted, nulls kept, no blanks."""
+    return ascii_json(F.to_json(F.struct(*[F.col(c) for c in sorted(columns) if c not in ("id", "prev_hash", "row_hash")]), {"ignoreNullFields": "false"}))
+
+
+def ascii_json(text: Column) -> Column:
+    """Characters beyond ASCII as \\u escapes of their UTF-16 units, in lower case."""
+    runs = F.regexp_extract_all(text, F.lit(r"([\x00-\x7E]+|[^\x00-\x7E]+)"), F.lit(1))
+    units = lambda x: F.regexp_replace(F.lower(F.hex(F.encode(x, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    escaped = F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^[\x00-\x7E]"), x).otherwise(units(x))), "")
+    return F.when(text.rlike(r"[^\x00-\x7E]"), escaped).otherwise(text)
 
 
 def audit_row_hash(prev: Column, payload: Column) -> Column:

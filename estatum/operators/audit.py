@@ -58,7 +58,7 @@ def verify_long_chain(audit: DataFrame, parts: int | None = None, columns: list[
 
 
 def row_hash(prev: str, row: dict) -> str:
-    return hashlib.sha256((prev + json.dumps(row, sort_keys=True, separators=(",", ":"), ensure_ascii=False)).encode()).hexdigest()
+    return hashlib.sha256((prev + json.dumps(row, sort_keys=True, separators=(",", ":"))).encode()).hexdigest()
 
 
 def append_batch(audit: DataFrame, rows: DataFrame, columns: list[str] = FIELDS) -> DataFrame:

@@ -64,3 +64,11 @@ def test_levels(spark):
     ages = [one(spark, v, lambda c: d.level_for_age(c.cast("double"), 10)) for v in ("10", "10.5", None)]
     assert ages == ["ok", "fail", "fail"]
     assert one(spark, "not a time", lambda c: d.age_hours(c, F.current_timestamp())) is None
+
+
+def test_canonical_json(spark):
+    import json
+
+    rows = [("a", None), ("é 😀 ü", 'q"uo\\te\n'), ("ASCII only", "ÿ\x7f~")]
+    got = spark.createDataFrame(rows, "b string, a string").select("a", "b", d.canonical_audit_json(["b", "a", "id"]).alias("j")).collect()
+    assert all(r.j == json.dumps({"a": r.a, "b": r.b}, sort_keys=True, separators=(",", ":")) for r in got) and len(got) == 3
