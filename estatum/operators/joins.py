@@ -31,10 +31,13 @@ def inspect(targets: DataFrame, permanodes: DataFrame, hashes: DataFrame, claims
 
 
 def get_permanode(ids: DataFrame, permanodes: DataFrame, claims: DataFrame, audit: DataFrame, n: int = 20) -> DataFrame:
-    """Head, claims by time, last audit rows of the given permanodes."""
-    own = claims.join(ids, "permanode_id", "left_semi").groupBy("permanode_id").agg(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("observed_at", "claim_id")))), lambda x: x["claim_id"]).alias("claim_ids"))
+    """Heads of the given permanodes with their last ``n`` log rows, a row a claim (or
+    one without, where there is none): order by observed_at and claim_id to list them.
+    A very common content is many rows, not one long one."""
+    own = claims.join(ids, "permanode_id", "left_semi").select("permanode_id", "claim_id", "observed_at", "machine_id", "file_path", "is_current")
     rows = stats.last_n_per_key(audit.join(ids, "permanode_id", "left_semi"), ["permanode_id"], [F.desc("id")], n).groupBy("permanode_id").agg(F.reverse(F.array_sort(F.collect_list("id"))).alias("audit_ids"))
-    return permanodes.join(ids, "permanode_id", "left_semi").join(own, "permanode_id", "left").join(rows, "permanode_id", "left")
+    heads = permanodes.join(ids, "permanode_id", "left_semi").join(rows, "permanode_id", "left")
+    return heads.join(own, "permanode_id", "left")
 
 
 def claims_of(claims: DataFrame, permanode: str) -> DataFrame:

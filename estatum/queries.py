@@ -382,10 +382,16 @@ def _(e):
     return joins.inspect(targets, e.permanodes, none, c.select("file_path", "claim_id", "is_current", "permanode_id"))
 
 
-@query("joins_get_permanode", "SELECT permanode_id, string_agg(claim_id, ',' ORDER BY observed DESC, claim_id DESC) AS claim_ids FROM claims GROUP BY 1")
+NAMED = """, heard AS (SELECT permanode_id, l.id, row_number() OVER (PARTITION BY permanode_id ORDER BY l.id DESC) AS rn FROM claims JOIN log l ON l.id % 500 = doc_id),
+ told AS (SELECT permanode_id, string_agg(id, ',' ORDER BY id DESC) AS audit_ids FROM heard WHERE rn <= 20 GROUP BY 1)"""
+
+
+@query("joins_get_permanode", NAMED + " SELECT permanode_id, n.canonical_hash, n.size_bytes, claim_id, file_path, machine_id, is_current, coalesce(audit_ids, '') AS audit_ids FROM claims JOIN nodes n USING (permanode_id) LEFT JOIN told USING (permanode_id)", f"{CLAIMS}, {LOG}")
 def _(e):
-    out = joins.get_permanode(e.permanodes.select("permanode_id"), e.permanodes, e.claims, e.events)
-    return out.select("permanode_id", F.array_join(F.transform("claim_ids", lambda x: x.cast("string")), ",").alias("claim_ids"))
+    named = e.events.drop("permanode_id").join(e.claims.select("permanode_id", "claim_id"), F.col("id") % 500 == F.col("claim_id"))
+    out = joins.get_permanode(e.permanodes.select("permanode_id"), e.permanodes, e.claims, named)
+    ids = F.coalesce(F.array_join(F.transform("audit_ids", lambda x: x.cast("string")), ","), F.lit(""))
+    return out.select("permanode_id", "canonical_hash", "size_bytes", "claim_id", "file_path", "machine_id", "is_current", ids.alias("audit_ids"))
 
 
 @query("joins_claims_of", "SELECT claim_id FROM claims WHERE permanode_id = (SELECT min(permanode_id) FROM claims)")
