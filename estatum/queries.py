@@ -1014,7 +1014,7 @@ def _(e):
     return files.skip_noise_paths(files.scan_tree(e.spark, _tree(e))).filter("path LIKE '%part-%'").select(_chunk(), "size_bytes")
 
 
-@query("sources_hash_files", "SELECT chunk, strlen(body)::BIGINT AS size_bytes, sha256(body) AS hash, 'sha256' AS algo, NULL AS error FROM t", TREE)
+@query("sources_hash_files", "SELECT chunk, strlen(body)::BIGINT AS size_bytes, sha256(body) AS hash, 'sha256' AS algo, CAST(NULL AS VARCHAR) AS error FROM t", TREE)
 def _(e):
     return files.skip_noise_paths(files.hash_files(e.spark, _tree(e))).filter("path LIKE '%part-%'").select(_chunk(), "size_bytes", "hash", "algo", "error")
 
@@ -1035,7 +1035,7 @@ def _zips(frames):
         yield pd.DataFrame(out, columns=["path", "content"])
 
 
-@query("sources_explode_archives", "SELECT '/Volumes/Level 2/' || (doc_id // 64) || '.zip' AS container_path, 'd/' || doc_id || '.txt' AS member, sha256(coalesce(text, '')) AS hash, strlen(coalesce(text, ''))::BIGINT AS size_bytes, NULL AS error, 'L2' AS tier FROM documents", "x AS (SELECT 1)")
+@query("sources_explode_archives", "SELECT '/Volumes/Level 2/' || (doc_id // 64) || '.zip' AS container_path, 'd/' || doc_id || '.txt' AS member, sha256(coalesce(text, '')) AS hash, strlen(coalesce(text, ''))::BIGINT AS size_bytes, CAST(NULL AS VARCHAR) AS error, 'L2' AS tier FROM documents", "x AS (SELECT 1)")
 def _(e):
     name = F.concat(F.lit("/Volumes/Level 2/"), F.floor(F.col("doc_id") / 64).cast("string"), F.lit(".zip"))
     rows = e.read("documents").groupBy(name.alias("path")).agg(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("t")))).alias("d"))
