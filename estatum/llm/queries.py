@@ -24,7 +24,7 @@ def queries() -> dict:
 BASE32 = "array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((strpos('0123456789abcdef', substr(d, CAST(5 * k // 4 + 1 AS INT), 1)) - 1) * 16 + greatest(strpos('0123456789abcdef', substr(d, CAST(5 * k // 4 + 2 AS INT), 1)) - 1, 0)) >> (3 - 5 * k % 4) & 31 AS INT) + 1, 1)), '')"
 SQL = {
     "op5_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT *, sha1(h) AS d, min(page_id) OVER (PARTITION BY h) AS first FROM p)
- SELECT page_id, strlen(h)::BIGINT AS payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to, NULL AS error FROM f""",
+ SELECT page_id, strlen(h)::BIGINT AS payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS error FROM f""",
 }
 
 
