@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from estatum.llm import language_model, media, mixing, neardup, neighbours, packing, secrets, substrings, toxicity, trie, warc
+from estatum.llm import language_model, media, mixing, neardup, neighbours, packing, secrets, substrings, topk, toxicity, trie, warc, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_packing": packing.op9_packing,
         "op10_mixing": mixing.op10_mixing,
+        "op11_topk": topk.op11_topk,
+        "op12_whitening": whitening.op12_whitening,
         "op13_trie": trie.op13_trie,
     }
 
@@ -28,6 +30,9 @@ CRC32 = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(ran
 SQL = {
     "op5_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT *, sha1(h) AS d, min(page_id) OVER (PARTITION BY h) AS first FROM p)
  SELECT page_id, strlen(h)::BIGINT AS payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS error FROM f""",
+    "op11_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.w, c.w) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
     "op13_trie": f"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
  o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS pos FROM t),
  h AS (SELECT conv_id, {CRC32} % 6 AS h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS c FROM t)),
