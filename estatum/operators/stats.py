@@ -182,10 +182,27 @@ def presence_counts(presence: DataFrame, keys: list[str] | None = None) -> DataF
     return out.withColumn("cloud_safe_ratio", F.try_divide(F.col("dual"), F.col("dual") + F.col("store_only")))
 
 
-def run_totals(audit: DataFrame, end_actions: tuple[str, ...] = ("replicate_end", "archive_end")) -> DataFrame:
-    """The latest end row of each adapter, with figures of its payload."""
-    rows = audit.filter(F.col("action").isin(*end_actions)).withColumn("p", F.from_json("payload", "policy string, failures long, bytes long"))
-    return rows.groupBy("action").agg(F.max_by(F.struct("id", "timestamp", "p.policy", "p.failures", "p.bytes"), "id").alias("r")).select("action", "r.*")
+# Actions that end an adapter's run, and those that end a source of it.
+RUN_ENDS = ("replicate_end", "archive_end")
+SOURCE_ENDS = ("replicate_source", "archive_source")
+
+
+def run_totals(audit: DataFrame, end_actions: tuple[str, ...] = RUN_ENDS) -> DataFrame:
+    """The latest end row of each adapter, with the figures of its payload; a payload
+    that is no JSON has none."""
+    figures = ("runs", "successes", "failures", "skipped", "bytes")
+    rows = audit.filter(F.col("action").isin(*end_actions)).withColumn("p", F.from_json("payload", "policy_name string, " + ", ".join(f"{c} long" for c in figures)))
+    return rows.groupBy("action").agg(F.max_by(F.struct("id", "timestamp", "machine_id", "manifest_run_id", F.col("p.policy_name").alias("policy"), *[f"p.{c}" for c in figures]), "id").alias("r")).select("action", "r.*")
+
+
+def run_sources(audit: DataFrame, actions: tuple[str, ...] = SOURCE_ENDS) -> DataFrame:
+    """Per run what became of its sources: those that ran, with which result, and those
+    switched off (no return code)."""
+    p = F.from_json("payload", "returncode int, skipped boolean, stats struct<bytes: double>")
+    rows = audit.filter(F.col("action").isin(*actions)).select("manifest_run_id", p.alias("p"))
+    code, ran = F.col("p.returncode"), F.col("p.returncode").isNotNull()
+    moved = F.when(ran, F.coalesce("p.stats.bytes", F.lit(0)).cast("long"))
+    return rows.groupBy("manifest_run_id").agg(F.count_if(ran).alias("runs"), F.count_if(code == 0).alias("successes"), F.count_if(code != 0).alias("failures"), F.count_if(~ran & F.coalesce("p.skipped", F.lit(False))).alias("skipped"), F.coalesce(F.sum(moved), F.lit(0)).alias("bytes"))
 
 
 def meta_kv(meta: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from estatum.functions import derive
 from estatum.operators import audit, embed, health, joins, stats
 from estatum.plans import plan, stash
-from estatum.sources import files, sinks
+from estatum.sources import files, sinks, trees
 from estatum.streaming import stream
 from estatum.scratch import scratch, stored
 from estatum.testbed import HOME, NOW, Estate
@@ -304,9 +304,22 @@ def _(e):
     return out.withColumns({"run_ids": F.array_join(F.transform("run_ids", lambda x: x.cast("string")), ","), "audit_lines": F.array_join("audit_lines", ",")})
 
 
-@query("stats_run_totals", "SELECT action, id, machine_id, manifest_run_id FROM log WHERE id IN (SELECT max(id) FROM log WHERE action IN ('replicate_end', 'archive_end') GROUP BY action)", LOG)
+@query("stats_run_totals", """, r AS (SELECT *, 'p' || (id % 7) || '.yml' AS policy FROM log WHERE action IN ('replicate_end', 'archive_end'))
+ SELECT action, id, timestamp, machine_id, manifest_run_id, policy, id % 5 AS runs, id % 5 - id % 2 AS successes, id % 2 AS failures, id % 3 AS skipped, id * 1000 AS bytes FROM r WHERE id IN (SELECT max(id) FROM r GROUP BY action)""", LOG)
 def _(e):
-    return stats.run_totals(e.events).select("action", "id", "machine_id", "manifest_run_id")
+    n = lambda x: x.cast("string")
+    i = F.col("id")
+    # figures of a run, as its adapter writes them; every 11th payload is no JSON
+    payload = F.concat(F.lit('{"policy_name":"p'), n(i % 7), F.lit('.yml","runs":'), n(i % 5), F.lit(',"successes":'), n(i % 5 - i % 2), F.lit(',"failures":'), n(i % 2), F.lit(',"skipped":'), n(i % 3), F.lit(',"bytes":'), n(i * 1000), F.lit("}"))
+    return stats.run_totals(e.events.withColumn("payload", payload))
+
+
+@query("stats_run_sources", ", r AS (SELECT *, id % 3 = 0 AS off, CASE WHEN id % 3 <> 0 THEN id % 4 END AS code FROM log WHERE action IN ('replicate_end', 'archive_end')) SELECT manifest_run_id, count(code) AS runs, count(*) FILTER (code = 0) AS successes, count(*) FILTER (code <> 0) AS failures, count(*) FILTER (off) AS skipped, CAST(coalesce(sum(id) FILTER (code IS NOT NULL), 0) AS BIGINT) AS bytes FROM r GROUP BY 1", LOG)
+def _(e):
+    i = F.col("id")
+    payload = F.when(i % 3 == 0, F.lit('{"skipped":true}')).otherwise(F.concat(F.lit('{"returncode":'), (i % 4).cast("string"), F.lit(',"stats":{"bytes":'), i.cast("string"), F.lit("}}")))
+    rows = e.events.withColumn("action", F.when(F.col("action") == "replicate_end", "replicate_source").when(F.col("action") == "archive_end", "archive_source").otherwise(F.col("action")))
+    return stats.run_sources(rows.withColumn("payload", payload))
 
 
 @query("stats_meta_kv", "SELECT k AS key, max_by(CAST(id AS VARCHAR), id) AS value FROM log WHERE k IS NOT NULL GROUP BY k", LOG)
@@ -1011,36 +1024,60 @@ TREE = "t AS (SELECT doc_id // 64 AS chunk, string_agg(coalesce(text, '') || chr
 
 @query("sources_scan_tree", "SELECT chunk, strlen(body)::BIGINT AS size_bytes FROM t", TREE)
 def _(e):
-    return files.skip_noise_paths(files.scan_tree(e.spark, _tree(e))).filter("path LIKE '%part-%'").select(_chunk(), "size_bytes")
+    return files.skip_noise_paths(files.scan_tree(e.spark, _tree(e))).filter("path LIKE '%/part-%'").select(_chunk(), "size_bytes")
 
 
 @query("sources_hash_files", "SELECT chunk, strlen(body)::BIGINT AS size_bytes, sha256(body) AS hash, 'sha256' AS algo, CAST(NULL AS VARCHAR) AS error FROM t", TREE)
 def _(e):
-    return files.skip_noise_paths(files.hash_files(e.spark, _tree(e))).filter("path LIKE '%part-%'").select(_chunk(), "size_bytes", "hash", "algo", "error")
+    return files.skip_noise_paths(files.hash_files(e.spark, _tree(e))).filter("path LIKE '%/part-%'").select(_chunk(), "size_bytes", "hash", "algo", "error")
 
 
-def _zips(frames):
-    import io
+@query("sources_hash_files_xxh3", "SELECT chunk, strlen(body)::BIGINT AS size_bytes, 32 AS digits, 'xxh3_128' AS algo, CASE WHEN chunk % 2 = 1 THEN 'gone' END AS error, chunk % 2 = 0 AS same FROM t", TREE)
+def _(e):
+    """Every other file goes between the listing and the hashing; equal contents have
+    equal hashes: each file is hashed beside a copy of itself."""
+    listed = files.scan_tree(e.spark, _tree(e)).filter("path LIKE '%/part-%'").withColumn("chunk", _chunk())
+    gone = F.when(F.col("chunk") % 2 == 1, F.concat("path", F.lit(".gone"))).otherwise(F.col("path"))
+    out = files.hash_listed(listed.withColumn("path", gone), "xxh3_128").select(_chunk(), F.col("size_bytes").alias("read"), "hash", "algo", F.when(F.col("error").isNotNull(), "gone").alias("error"))
+    again = files.hash_listed(listed, "xxh3_128").select(_chunk(), "size_bytes", F.col("hash").alias("own"))
+    return out.join(again, "chunk").select("chunk", "size_bytes", F.length("own").alias("digits"), "algo", "error", F.coalesce((F.col("hash") == F.col("own")) & (F.col("read") == F.col("size_bytes")), F.lit(False)).alias("same"))
+
+
+def _zips(folder):
+    """Write each group of texts as a zip below ``folder``; gives their paths."""
     import zipfile
 
-    for f in frames:
-        out = []
-        for name, ids, texts in zip(f["path"], f["ids"], f["texts"], strict=True):
-            raw = io.BytesIO()
-            with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
-                for i, t in zip(ids, texts, strict=True):
-                    z.writestr(f"d/{i}.txt", t)
-                z.writestr("__MACOSX/d/._x", "no")
-            out.append((name, raw.getvalue()))
-        yield pd.DataFrame(out, columns=["path", "content"])
+    def write(frames):
+        for f in frames:
+            for name, ids, texts in zip(f["name"], f["ids"], f["texts"], strict=True):
+                with trees.created(f"{folder}/{name}.zip") as out, zipfile.ZipFile(out, "w") as z:
+                    for k, (i, t) in enumerate(zip(ids, texts, strict=True)):
+                        z.writestr(f"d/{i}.txt", t, zipfile.ZIP_DEFLATED if k % 4 else zipfile.ZIP_STORED)
+                    z.writestr("__MACOSX/d/._x", "no")
+            yield pd.DataFrame({"path": [f"{folder}/{n}.zip" for n in f["name"]]})
+
+    return write
+
+
+def _archives(e):
+    """The documents as zips, 64 to a zip."""
+    rows = e.read("documents").groupBy(F.floor(F.col("doc_id") / 64).cast("string").alias("name")).agg(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("t")))).alias("d"))
+    return stored(rows.select("name", F.col("d.doc_id").alias("ids"), F.col("d.t").alias("texts")).mapInPandas(_zips(scratch(e.spark, "zips")), "path string"), "paths")
+
+
+MEMBER_ROWS = "SELECT (doc_id // 64) || '.zip' AS archive, 'd/' || doc_id || '.txt' AS member, sha256(coalesce(text, '')) AS hash, strlen(coalesce(text, ''))::BIGINT AS size_bytes, CAST(NULL AS VARCHAR) AS error FROM documents"
+
+
+@query("sources_explode_archives", MEMBER_ROWS, "x AS (SELECT 1)")
+def _(e):
+    return files.explode_archives(_archives(e)).select(derive.basename(F.col("container_path")).alias("archive"), "member", "hash", "size_bytes", "error")
 
 
-@query("sources_explode_archives", "SELECT '/Volumes/Level 2/' || (doc_id // 64) || '.zip' AS container_path, 'd/' || doc_id || '.txt' AS member, sha256(coalesce(text, '')) AS hash, strlen(coalesce(text, ''))::BIGINT AS size_bytes, CAST(NULL AS VARCHAR) AS error, 'L2' AS tier FROM documents", "x AS (SELECT 1)")
+@query("udtf_archive_members", MEMBER_ROWS, "x AS (SELECT 1)")
 def _(e):
-    name = F.concat(F.lit("/Volumes/Level 2/"), F.floor(F.col("doc_id") / 64).cast("string"), F.lit(".zip"))
-    rows = e.read("documents").groupBy(name.alias("path")).agg(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("t")))).alias("d"))
-    zips = rows.select("path", F.col("d.doc_id").alias("ids"), F.col("d.t").alias("texts")).mapInPandas(_zips, "path string, content binary")
-    return files.explode_archives(zips).select("container_path", "member", "hash", "size_bytes", "error", "tier")
+    trees.register(e.spark)
+    _archives(e).createOrReplaceTempView("estatum_archives")
+    return e.spark.sql("SELECT regexp_extract(m.container_path, '[^/]*$', 0) AS archive, m.member, m.hash, m.size_bytes, m.error FROM estatum_archives a, LATERAL archive_members(a.path) m")
 
 
 def _manifest(e):

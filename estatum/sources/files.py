@@ -2,37 +2,22 @@
 
 from __future__ import annotations
 
-import hashlib
-import io
-import tarfile
-import zipfile
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from estatum.functions import derive
 from estatum.operators import audit as chains
 from estatum.operators import stats
+from estatum.sources.trees import SKIP_DIRS, SKIP_NAMES, explode_archives, hash_files, hash_listed, scan_tree  # noqa: F401
 
-# Directories and names that a scan leaves out.
-SKIP_DIRS = (".fseventsd", ".Spotlight-V100", ".Trashes", ".TemporaryItems", ".DocumentRevisions-V100", ".PKInstallSandboxManager", "@eaDir", "@SynoResource")
-SKIP_NAMES = (".DS_Store", ".apdisk", ".localized")
 MANIFEST = "action string, permanode_id string, canonical_hash string, size_bytes long, source_path string, source_tier string, destination_path string, destination_tier string, rationale string"
 #: What a manifest writes for a character: backslashes first.
 ESCAPES = (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"))
 COLUMNS = [x.split(" ")[0] for x in MANIFEST.split(", ")]
 POLICY_KINDS = ("RetentionPolicy", "ClassificationPolicy", "PromotionPolicy", "ReplicationPolicy", "ArchivePolicy")
 KNOWN_FIELDS = {"version", "kind", "metadata", "defaults", "exclusions", "dedup_retire", "domains", "clusters", "phases", "sources", "targets", "replications", "archives"}
-MEMBERS = "container_path string, container_sha256 string, member string, hash string, size_bytes long, error string"
-
-
-def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size_bytes, mtime) of every file below ``root``; contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
 
 
 def skip_noise_paths(files: DataFrame, column: str = "path") -> DataFrame:
@@ -41,22 +26,6 @@ def skip_noise_paths(files: DataFrame, column: str = "path") -> DataFrame:
     return files.filter(~(F.exists(parents, lambda s: s.isin(*SKIP_DIRS)) | name.startswith("._") | name.isin(*SKIP_NAMES)))
 
 
-def hash_files(spark: SparkSession, root: str, algo: str = "sha256") -> DataFrame:
-    """Content hash of each file; what can't be read is a row with an error.  ``algo``:
-    sha256 or xxh3_128."""
-    if algo not in ("sha256", "xxh3_128"):
-        raise ValueError(f"unknown algorithm {algo!r}")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
-    return files.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"), (F.sha2("content", 256) if algo == "sha256" else _xxh3("content")).alias("hash"), F.lit(algo).alias("algo"), F.when(F.col("content").isNull(), "unreadable").alias("error"))
-
-
-@F.pandas_udf(T.StringType())
-def _xxh3(contents: pd.Series) -> pd.Series:
-    import xxhash
-
-    return contents.map(lambda c: None if c is None else xxhash.xxh3_128_hexdigest(c))
-
-
 def reuse_unchanged(files: DataFrame, claims: DataFrame, run_id: int, machine: str) -> tuple[DataFrame, DataFrame]:
     """(files with the identity they had in an earlier run, files to hash)."""
     old = claims.filter((F.col("scan_run_id") == run_id) & (F.col("machine_id") == machine) & F.col("container_path").isNull()).select(F.col("file_path").alias("path"), "permanode_id", F.col("size_bytes").alias("_size"), F.date_trunc("second", "mtime").alias("_mtime")).dropDuplicates(["path"])
@@ -85,50 +54,6 @@ def scan_counters(rows: DataFrame) -> DataFrame:
     return rows.groupBy("run_id").agg(n(~m).alias("walked"), n(~m & (s == "hashed")).alias("hashed"), n(s == "reused").alias("reused"), n(s == "skipped").alias("skipped"), n(~m & (s == "errored")).alias("errored"), F.coalesce(F.sum(F.when(s == "hashed", F.col("size_bytes"))), F.lit(0)).alias("bytes_hashed"), n(m & (s != "errored")).alias("members_walked"), n(m & (s == "errored")).alias("members_errored"), F.count_distinct("permanode_id").alias("permanodes"))
 
 
-def _members(content: bytes, path: str):
-    if path.lower().endswith(".zip"):
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            for i in z.infolist():
-                if not i.is_dir():
-                    yield i.filename, lambda i=i: z.read(i)
-    else:
-        with tarfile.open(fileobj=io.BytesIO(content)) as t:
-            for i in t:
-                if i.isfile():
-                    yield i.name, lambda i=i: t.extractfile(i).read()
-
-
-def archive_rows(path: str, content: bytes) -> list[tuple]:
-    """MEMBERS of one archive; a member or an archive that can't be read is a row
-    with an error."""
-    own, out = hashlib.sha256(content).hexdigest(), []
-    try:
-        for name, read in _members(content, path):
-            parts = name.split("/")
-            if "__MACOSX" in parts[:-1] or parts[-1].startswith("._") or parts[-1] in SKIP_NAMES or any(p in SKIP_DIRS for p in parts[:-1]):
-                continue
-            try:
-                data = read()
-                out.append((path, own, name, hashlib.sha256(data).hexdigest(), len(data), None))
-            except Exception as e:  # noqa: BLE001  one bad member doesn't end the rest
-                out.append((path, own, name, None, None, str(e)))
-    except Exception as e:  # noqa: BLE001
-        out.append((path, own, None, None, None, str(e)))
-    return out
-
-
-def explode_archives(files: DataFrame) -> DataFrame:
-    """Regular members of the archives among files (path, content)."""
-
-    def run(frames):
-        for f in frames:
-            for path, content in zip(f["path"], f["content"], strict=True):
-                yield pd.DataFrame(archive_rows(path, bytes(content)), columns=[x.split(" ")[0] for x in MEMBERS.split(", ")])
-
-    rows = files.filter(derive.is_archive(F.col("path"))).select("path", "content").mapInPandas(run, MEMBERS)
-    return rows.withColumn("tier", derive.tier(F.col("container_path")))
-
-
 def import_hash_table(rows: DataFrame, noise: tuple[str, ...] = ("/@eaDir/", "/.fseventsd/")) -> tuple[DataFrame, DataFrame]:
     """(claims, counters) of an older flat table of hashes."""
     bad = F.col("error").isNotNull() | F.coalesce("sha256", F.lit("")).isin("") | F.col("size_bytes").isNull()

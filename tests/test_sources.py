@@ -1,13 +1,15 @@
+import hashlib
 import io
+import os
 import tarfile
+import tracemalloc
 import zipfile
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from estatum.operators import embed
-from estatum.sources import files, sinks
+from estatum.sources import files, sinks, trees
 
 
 def test_scan_and_hash(spark, tmp_path):
@@ -20,19 +22,119 @@ def test_scan_and_hash(spark, tmp_path):
     assert hashed.hash == "2cf24dba5fb0a30e26e83b2ac5b9e29e1b161e5c1fa7425e73043362938b9824" and hashed.error is None
 
 
-def test_archives(spark):
-    z, t = io.BytesIO(), io.BytesIO()
-    with zipfile.ZipFile(z, "w") as f:
+def test_walk_lists_no_more_than_it_must(spark, tmp_path):
+    """Directories on the skip list are never listed, links never followed."""
+    calls = tmp_path / "calls"
+    root = tmp_path / "root"
+    for p in ("a/b/c", "a/@eaDir/deep", "d/.Trashes", "e"):
+        (root / p).mkdir(parents=True)
+    for p in ("a/x", "a/b/c/y", "a/@eaDir/deep/no", "d/.hidden", "d/._no", "d/.DS_Store", "d/_u"):
+        (root / p).write_text("1")
+    (root / "e" / "link").symlink_to(root / "a")
+    (root / "e" / "file").symlink_to(root / "a" / "x")
+    os.mkfifo(root / "e" / "pipe")
+
+    def lister(path):
+        with open(calls, "a") as f:
+            f.write(path + "\n")
+        return trees.list_directory(path)
+
+    for listed in (1, 3, 5000):
+        calls.write_text("")
+        rows = trees.walk(spark, f"file://{root}", lister, listed).collect()
+        assert sorted(r.path.removeprefix(str(root)) for r in rows if r.kind == "file") == ["/a/b/c/y", "/a/x", "/d/.hidden", "/d/_u"]
+        want = sorted(str(root / p) for p in ("", "a", "a/b", "a/b/c", "d", "e"))
+        assert sorted(calls.read_text().split("\n")[:-1]) == want == sorted(r.path for r in rows if r.kind == "dir")
+
+
+def test_what_cannot_be_listed_or_read(spark, tmp_path):
+    (tmp_path / "big").write_bytes(b"x" * 1000)
+    (tmp_path / "gone").write_text("1")
+
+    def lister(path):
+        if path.endswith("/bad"):
+            raise OSError("no entry")
+        yield from trees.list_directory(path)
+        yield "bad", "dir", None, None, None
+
+    assert [(r.path.rpartition("/")[2], r.error) for r in trees.walk(spark, str(tmp_path), lister).filter("error IS NOT NULL").collect()] == [("bad", "no entry")]
+    listed = files.scan_tree(spark, str(tmp_path)).cache()
+    assert listed.count() == 2
+    (tmp_path / "gone").unlink()
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "10")
+    try:
+        for algo, digits in (("sha256", 64), ("xxh3_128", 32)):
+            got = {r.path.rpartition("/")[2]: r for r in files.hash_listed(listed, algo).collect()}
+            assert len(got["big"].hash) == digits and got["big"].size_bytes == 1000 and got["big"].error is None
+            assert got["gone"].hash is None and "No such file" in got["gone"].error and got["gone"].mtime is not None
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    with pytest.raises(ValueError):
+        files.hash_files(spark, str(tmp_path), "md5")
+
+
+def archives(folder):
+    with zipfile.ZipFile(folder / "a.ZIP", "w") as f:
         f.writestr("d/a.txt", "one")
+        f.writestr("d/b.txt", "two" * 1000, zipfile.ZIP_DEFLATED)
+        f.writestr("d/c.txt", "three" * 1000, zipfile.ZIP_BZIP2)
         f.writestr("__MACOSX/d/._a.txt", "no")
-    with tarfile.open(fileobj=t, mode="w:gz") as f:
-        info = tarfile.TarInfo("b.txt")
-        info.size = 3
-        f.addfile(info, io.BytesIO(b"two"))
-    rows = spark.createDataFrame(pd.DataFrame({"path": ["/Volumes/Level 2/a.ZIP", "/x/b.tgz", "/x/bad.tar", "/x/c.txt"], "content": [z.getvalue(), t.getvalue(), b"junk", b"text"]}))
-    got = {r.container_path: r for r in files.explode_archives(rows).collect()}
-    assert got["/Volumes/Level 2/a.ZIP"].member == "d/a.txt" and got["/Volumes/Level 2/a.ZIP"].tier == "L2"
-    assert got["/x/b.tgz"].size_bytes == 3 and got["/x/bad.tar"].error and len(got) == 3
+        f.writestr("d/spoilt.txt", "spoilt bytes")
+    raw = bytearray((folder / "a.ZIP").read_bytes())
+    at = raw.index(b"spoilt bytes")
+    raw[at] ^= 1
+    (folder / "a.ZIP").write_bytes(raw)
+    for name, mode in (("b.tgz", "w:gz"), ("c.tar.xz", "w:xz"), ("d.tar", "w")):
+        with tarfile.open(folder / name, mode) as f:
+            for member, data in (("b.txt", b"two"), ("@eaDir/x", b"no"), ("e/big", b"0123456789" * 5000)):
+                info = tarfile.TarInfo(member)
+                info.size = len(data)
+                f.addfile(info, io.BytesIO(data))
+    (folder / "bad.tar").write_bytes(b"junk")
+    (folder / "bad.zip").write_bytes(b"junk")
+    cut = (folder / "b.tgz").read_bytes()
+    (folder / "cut.tgz").write_bytes(cut[: len(cut) // 2])
+    (folder / "c.txt").write_text("text")
+
+
+def test_archives(spark, tmp_path):
+    archives(tmp_path)
+    rows = files.explode_archives(files.scan_tree(spark, str(tmp_path))).collect()
+    got = {(r.container_path.rpartition("/")[2], r.member): r for r in rows}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    for member, data in (("d/a.txt", b"one"), ("d/b.txt", b"two" * 1000), ("d/c.txt", b"three" * 1000)):
+        r = got.pop(("a.ZIP", member))
+        assert (r.hash, r.size_bytes, r.error, r.container_sha256) == (sha(data), len(data), None, sha((tmp_path / "a.ZIP").read_bytes()))
+    assert "checksum" in got.pop(("a.ZIP", "d/spoilt.txt")).error
+    for name in ("b.tgz", "c.tar.xz", "d.tar"):
+        assert [got.pop((name, m)).hash for m in ("b.txt", "e/big")] == [sha(b"two"), sha(b"0123456789" * 5000)]
+    assert got.pop(("bad.tar", None)).error and got.pop(("bad.zip", None)).error
+    assert got and {k[0] for k in got} == {"cut.tgz"} and any(r.error for r in got.values())
+    trees.register(spark)
+    files.scan_tree(spark, str(tmp_path)).filter("path LIKE '%a.ZIP' OR path LIKE '%tar.xz'").createOrReplaceTempView("some_archives")
+    lateral = spark.sql("SELECT m.* FROM some_archives s, LATERAL archive_members(s.path) m").collect()
+    assert sorted((r.member, r.hash) for r in lateral) == sorted((r.member, r.hash) for r in rows if r.container_path.endswith(("a.ZIP", "tar.xz")))
+
+
+def test_members_pass_in_chunks(tmp_path, monkeypatch):
+    """A member of 64 MB takes a few chunks of memory."""
+    monkeypatch.setattr(trees, "CHUNK", 1 << 20)
+    with zipfile.ZipFile(tmp_path / "z.zip", "w", zipfile.ZIP_DEFLATED) as z, z.open("big", "w") as f:
+        for _ in range(64):
+            f.write(bytes(1 << 20))
+    with tarfile.open(tmp_path / "t.tgz", "w:gz") as t:
+        info = tarfile.TarInfo("big")
+        info.size = 64 << 20
+        with zipfile.ZipFile(tmp_path / "z.zip") as z:
+            t.addfile(info, z.open("big"))
+    tracemalloc.start()
+    try:
+        (lot,) = trees.places_of(str(tmp_path / "z.zip"))
+        rows = [*trees.zip_rows(str(tmp_path / "z.zip"), "-", map(trees.Place, lot), "sha256"), *trees.tar_rows(str(tmp_path / "t.tgz"), "-", "sha256")]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert {r[3:] for r in rows} == {(hashlib.sha256(bytes(64 << 20)).hexdigest(), 64 << 20, None)} and most < 16 << 20
 
 
 def test_manifest_round_trip(spark, tmp_path):
