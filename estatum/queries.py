@@ -1288,18 +1288,119 @@ def _(e):
     return batches.join(every, ["root", "started"]).select("root", "session", F.size("paths").cast("long").alias("paths"))
 
 
-@query("stream_debounce_bounded")
-def _(e):
-    """Rows of the bounded debounce; the last batch of a root stays open."""
-    return _drained(stream.debounce_bounded(_watched(e), 3_600_000, 6 * 3_600_000), "bounded").select("root", "started", "ended", F.size("paths").alias("paths"), "reason")
+BOUNDED = """, e AS (SELECT root, path, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY root ORDER BY epoch_us(ts) // 1000, path) AS n FROM known),
+ r AS (SELECT root, n, ms, ms AS started, path FROM e WHERE n = 1 UNION ALL SELECT e.root, e.n, e.ms, CASE WHEN e.ms - r.ms > 3600000 OR e.ms - r.started >= 21600000 THEN e.ms ELSE r.started END, e.path FROM r JOIN e ON e.root = r.root AND e.n = r.n + 1),
+ b AS (SELECT root, started, max(ms) AS ended, count(DISTINCT path) AS paths FROM r GROUP BY 1, 2), l AS (SELECT *, lead(started) OVER (PARTITION BY root ORDER BY started) AS later, (SELECT max(ms) FROM e) - 10000 AS mark FROM b)
+ SELECT root, make_timestamp(started * 1000) AS started, make_timestamp(ended * 1000) AS ended, paths, CASE WHEN later IS NOT NULL THEN CASE WHEN later - ended > 3600000 THEN 'quiet' ELSE 'wait' END WHEN least(ended + 3600000, started + 21600000) >= ended + 3600000 THEN 'quiet' ELSE 'wait' END AS reason
+ FROM l WHERE later IS NOT NULL OR least(ended + 3600000, started + 21600000) <= mark"""
 
 
-@query("stream_refresh_claims", "SELECT DISTINCT path FROM known", FILES)
+@query("stream_debounce_bounded", BOUNDED, f"RECURSIVE {FILES}")
 def _(e):
-    out = scratch(e.spark, "scanned")
-    batches = _watched(e).select(F.array("path").alias("paths"))
-    stream.refresh_claims(batches, lambda f, i: f.write.mode("append").parquet(out), scratch(e.spark, "checkpoint")).awaitTermination()
-    return e.spark.read.schema("path string").parquet(out).distinct()
+    """Batches of the bounded debounce; one whose timer no event has reached stays open."""
+    return _drained(stream.debounce_bounded(_watched(e), 3_600_000, 6 * 3_600_000), "bounded").select("root", "started", "ended", F.size("paths").cast("long").alias("paths"), "reason")
+
+
+# trees that change -------------------------------------------------------------
+
+CHANGED = f"{TREE}, c AS (SELECT *, chunk % 5 AS k FROM t)"
+
+
+def _texts(e):
+    """The documents as files of a tree, 64 to a file; gives (chunk, path)."""
+    folder = scratch(e.spark, "live").removeprefix("file://")
+
+    def write(frames):
+        for f in frames:
+            paths = [f"{folder}/s{c % 3}/{c}.txt" for c in f["chunk"]]
+            for path, body in zip(paths, f["body"], strict=True):
+                with trees.created(path) as out:
+                    out.write(body.encode())
+            yield pd.DataFrame({"chunk": f["chunk"], "path": paths})
+
+    line = F.concat(F.coalesce(F.col("text"), F.lit("")), F.lit("\n"))
+    rows = e.read("documents").groupBy(F.floor(F.col("doc_id") / 64).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("t")))).alias("d"))
+    return folder, stored(rows.select("chunk", F.array_join(F.transform("d", lambda x: x["t"]), "").alias("body")).mapInPandas(write, "chunk long, path string"), "texts")
+
+
+def _change(texts, folder):
+    """Of five files one goes, one grows, one is renamed, one moves to another folder, and
+    one stays beside a new one."""
+    import os
+
+    def run(frames):
+        for f in frames:
+            for c, p in zip(f["chunk"], f["path"], strict=True):
+                k = c % 5
+                if k == 0:
+                    os.unlink(p)
+                elif k == 1:
+                    with open(p, "a") as out:
+                        out.write("more")
+                elif k == 4:
+                    with open(f"{os.path.dirname(p)}/new-{c}.txt", "w") as out:
+                        out.write(f"new {c}")
+                else:
+                    to = f"{os.path.dirname(p)}/moved-{c}.txt" if k == 2 else f"{folder}/t/{c}.txt"
+                    os.makedirs(os.path.dirname(to), exist_ok=True)
+                    os.rename(p, to)
+            yield f[["chunk"]]
+
+    texts.mapInPandas(run, "chunk long").write.format("noop").mode("overwrite").save()
+
+
+@query("stream_watch_tree", """ SELECT 0 AS batch, chunk || '.txt' AS name, 'created' AS kind, NULL AS moved_name FROM c
+ UNION ALL SELECT 1, chunk || '.txt', CASE k WHEN 0 THEN 'deleted' WHEN 1 THEN 'modified' ELSE 'moved' END, CASE k WHEN 2 THEN 'moved-' || chunk || '.txt' WHEN 3 THEN chunk || '.txt' END FROM c WHERE k < 4 UNION ALL SELECT 1, 'new-' || chunk || '.txt', 'created', NULL FROM c WHERE k = 4""", CHANGED)
+def _(e):
+    """Events of a tree as it is found, and after it changed."""
+    folder, texts = _texts(e)
+    state, checkpoint, out = (scratch(e.spark, x) for x in ("listings", "checkpoint", "events"))
+
+    def run():
+        events = stream.watch(e.spark, [folder], state)
+        sink = events.writeStream.foreachBatch(lambda frame, i: stream.pair_moves(frame).write.mode("overwrite").parquet(f"{out}/batch={i}"))
+        sink.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    _change(texts, folder)
+    run()
+    name = lambda c: F.regexp_extract(c, "[^/]*$", 0)
+    got = e.spark.read.parquet(out)
+    return got.select(F.col("batch").cast("long").alias("batch"), name("path").alias("name"), "kind", name("moved_to").alias("moved_name"))
+
+
+@query("stream_refresh_claims", """ SELECT chunk || '.txt' AS name, sha256(body) AS canonical_hash, strlen(body)::BIGINT AS size_bytes, left(sha256(sha256(body) || ':' || strlen(body)), 32) AS permanode_id, 0 AS batch FROM c WHERE k = 4
+ UNION ALL SELECT CASE k WHEN 2 THEN 'moved-' ELSE '' END || chunk || '.txt', sha256(b), strlen(b)::BIGINT, left(sha256(sha256(b) || ':' || strlen(b)), 32), 1 FROM (SELECT *, CASE k WHEN 1 THEN body || 'more' ELSE body END AS b FROM c) WHERE k IN (1, 2, 3)
+ UNION ALL SELECT 'new-' || chunk || '.txt', sha256('new ' || chunk), strlen('new ' || chunk)::BIGINT, left(sha256(sha256('new ' || chunk) || ':' || strlen('new ' || chunk)), 32), 1 FROM c WHERE k = 4""", CHANGED)
+def _(e):
+    """Open claims after a tree was scanned, changed, and scanned again by its events."""
+    folder, texts = _texts(e)
+    state, checkpoint, out = (scratch(e.spark, x) for x in ("listings", "checkpoint", "claims"))
+    for change in (lambda: None, lambda: _change(texts, folder)):
+        change()
+        stream.refresh_claims(stream.watch(e.spark, [folder], state), out, "m0", checkpoint).awaitTermination()
+    return stream.open_claims(e.spark, out).select(F.regexp_extract("file_path", "[^/]*$", 0).alias("name"), "canonical_hash", "size_bytes", "permanode_id", "batch")
+
+
+LIVE = """, seen AS (SELECT machine_id, file_path, tier, size_bytes, 1 AS run, doc_id, false AS gone FROM claims UNION ALL SELECT machine_id, file_path, CASE WHEN doc_id % 2 = 0 THEN 'moved' ELSE tier END, size_bytes + 1, 2, doc_id, doc_id % 9 = 0 FROM claims WHERE doc_id % 3 = 0 UNION ALL SELECT machine_id, file_path, 'late', 1, 0, doc_id, false FROM claims WHERE doc_id % 4 = 0),
+ last AS (SELECT *, row_number() OVER (PARTITION BY machine_id, file_path ORDER BY run DESC, doc_id DESC) AS n FROM seen) SELECT tier, count(*) AS claim_count, CAST(sum(size_bytes) AS BIGINT) AS bytes_total FROM last WHERE n = 1 AND NOT gone GROUP BY 1"""
+
+
+@query("stream_current_counts", LIVE)
+def _(e):
+    """Claims of three runs as they arrive: the second supersedes a third of the first and
+    closes some, the third brings older ones."""
+    c = e.claims.select("machine_id", "file_path", F.lit(None).cast("string").alias("container_path"), "tier", "size_bytes", F.lit(1).cast("long").alias("scan_run_id"), "claim_id", F.lit(False).alias("deleted"))
+    i = F.col("claim_id")
+    second = c.filter(i % 3 == 0).withColumns({"tier": F.when(i % 2 == 0, "moved").otherwise(F.col("tier")), "size_bytes": F.col("size_bytes") + 1, "scan_run_id": F.lit(2).cast("long"), "deleted": i % 9 == 0})
+    third = c.filter(i % 4 == 0).withColumns({"tier": F.lit("late"), "size_bytes": F.lit(1).cast("long"), "scan_run_id": F.lit(0).cast("long")})
+    folder, checkpoint, out = (scratch(e.spark, x) for x in ("arriving", "checkpoint", "deltas"))
+    e.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for rows in (c, second, third):
+        rows.write.mode("append").parquet(folder)
+        deltas = stream.current_deltas(e.spark.readStream.schema(c.schema).parquet(folder))
+        deltas.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.current_counts(e.spark.read.schema(stream.DELTA).parquet(out))
 
 
 @query("stream_audit_tip", "SELECT machine_id, id, NOT (id % 97 = 96 AND machine_id <> 'm1') AS ok FROM log", LOG)

@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+import json
+import os
+from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from estatum.functions import derive
-from estatum.sources import files
+from estatum.scratch import stored
+from estatum.sources import files, trees
+from estatum.sources import watch as watches
 
 EVENT = "path string, kind string, moved_to string, ts timestamp, root string, is_dir boolean"
 KINDS = ("created", "modified", "deleted", "moved")
-BATCH = "root string, started timestamp, ended timestamp, paths array<string>, reason string"
+BATCH = "root string, started long, ended long, paths array<string>, reason string"
 
 
 def file_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,6 +35,25 @@ def clean_events(raw: DataFrame) -> DataFrame:
     return files.skip_noise_paths(known)
 
 
+def watch(spark: SparkSession, roots: list[str], state: str, parts: int = 8, existing: str = "created") -> DataFrame:
+    """Events of file trees themselves, a listing a micro-batch: see ``sources.watch``."""
+    watches.register(spark)
+    return spark.readStream.format("estate_events").options(roots=json.dumps(roots), state=state, parts=str(parts), existing=existing).load()
+
+
+def pair_moves(batch: DataFrame) -> DataFrame:
+    """Events of one micro-batch of ``watch`` where a file deleted in one part of a root
+    and created in another, alike in inode, size and time, is moved."""
+    keys = ["root", "file_id"]
+    one = lambda kind, name: batch.filter(F.col("kind") == kind).groupBy(*keys).agg(F.min("path").alias(name))
+    pairs = one("deleted", "_from").join(one("created", "_to"), keys)
+    joined = batch.join(pairs, keys, "left")
+    left = (F.col("kind") == "deleted") & F.coalesce(F.col("path") == F.col("_from"), F.lit(False))
+    came = (F.col("kind") == "created") & F.coalesce(F.col("path") == F.col("_to"), F.lit(False))
+    rest = joined.filter(~came).withColumn("moved_to", F.when(left, F.col("_to")).otherwise(F.col("moved_to"))).withColumn("kind", F.when(left, "moved").otherwise(F.col("kind")))
+    return rest.select(*batch.columns)
+
+
 def event_paths(events: DataFrame) -> DataFrame:
     """A row a path: the source, then the destination."""
     return events.select("*", F.posexplode(F.array_compact(F.array("path", "moved_to"))).alias("place", "event_path"))
@@ -51,63 +75,129 @@ def unique_paths(batches: DataFrame, drop_deleted: bool = True) -> DataFrame:
 
 class BoundedDebounce(StatefulProcessor):
     """Per root: a batch ends after a quiet gap, at the latest after a longest
-    wait.  Times are event times; a timer ends what no later event ends."""
+    wait.  Times are event times; a timer ends what no later event ends.  The open batch
+    is its two times and a list of paths, to which a micro-batch adds only its own new
+    ones; the list is read once, when the batch ends, and holds what came within the
+    longest wait."""
 
     def __init__(self, gap_ms: int, wait_ms: int):
         self.gap, self.wait = gap_ms, wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "started long, ended long, paths array<string>")
+        self.open = handle.getValueState("open", "started long, ended long")
+        self.paths = handle.getListState("paths", "path string")
 
-    def _row(self, key, s, reason: str) -> pd.DataFrame:
-        at = lambda ms: pd.Timestamp(ms, unit="ms")
-        return pd.DataFrame({"root": [key[0]], "started": [at(s[0])], "ended": [at(s[1])], "paths": [list(dict.fromkeys(s[2]))], "reason": [reason]})
-
-    def _keep(self, started: int, ended: int, paths: list[str]) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.open.update((started, ended, paths))
-        self.handle.registerTimer(min(ended + self.gap, started + self.wait))
+    def _row(self, key, started: int, ended: int, fresh: dict[str, None], reason: str) -> pd.DataFrame:
+        held = dict.fromkeys(p for (p,) in self.paths.get()) if self.paths.exists() else {}
+        self.paths.clear()
+        self.open.clear()
+        return pd.DataFrame({"root": [key[0]], "started": [started], "ended": [ended], "paths": [list(held | fresh)], "reason": [reason]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        state = self.open.get() if self.open.exists() else None
-        for ts, path in zip(got["ts"], got["path"], strict=True):
-            now = int(ts.timestamp() * 1000)
-            if state is not None and now - state[1] > self.gap:
-                yield self._row(key, state, "quiet")
-                state = None
-            elif state is not None and now - state[0] >= self.wait:
-                yield self._row(key, state, "wait")
-                state = None
-            state = (now, now, [path]) if state is None else (state[0], max(state[1], now), [*state[2], path])
-        if state is not None:
-            self._keep(*state)
+        got = pd.concat(list(rows)).sort_values(["ms", "path"], kind="stable")
+        started, ended = self.open.get() if self.open.exists() else (None, None)
+        fresh: dict[str, None] = {}
+        for now, path in zip(got["ms"].tolist(), got["path"], strict=True):
+            if started is not None and (now - ended > self.gap or now - started >= self.wait):
+                yield self._row(key, started, ended, fresh, "quiet" if now - ended > self.gap else "wait")
+                started, fresh = None, {}
+            started, ended = (now, now) if started is None else (started, max(ended, now))
+            fresh[path] = None
+        if started is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.open.update((started, ended))
+            self.paths.appendList([(p,) for p in fresh])
+            self.handle.registerTimer(min(ended + self.gap, started + self.wait))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.open.exists():
-            state = self.open.get()
-            yield self._row(key, state, "quiet" if expiredTimerInfo.getExpiryTimeInMs() >= state[1] + self.gap else "wait")
-            self.open.clear()
+            started, ended = self.open.get()
+            yield self._row(key, started, ended, {}, "quiet" if expiredTimerInfo.getExpiryTimeInMs() >= ended + self.gap else "wait")
 
     def close(self) -> None:
         pass
 
 
 def debounce_bounded(events: DataFrame, gap_ms: int = 750, wait_ms: int = 5000, delay: str = "10 seconds") -> DataFrame:
-    """Needs the RocksDB state store provider."""
-    rows = events.withWatermark("ts", delay).select("root", "ts", "path")
-    return rows.groupBy("root").transformWithStateInPandas(statefulProcessor=BoundedDebounce(gap_ms, wait_ms), outputStructType=T._parse_datatype_string(BATCH), outputMode="append", timeMode="EventTime")
-
-
-def refresh_claims(batches: DataFrame, scan: Callable[[DataFrame, int], None], checkpoint: str):
-    """Start a query that gives the paths of each micro-batch to ``scan``."""
-
-    def each(frame: DataFrame, batch_id: int) -> None:
-        scan(frame.select(F.explode("paths").alias("path")).distinct(), batch_id)
-
-    return batches.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """(root, started, ended, paths, reason).  Needs the RocksDB state store provider."""
+    rows = events.withWatermark("ts", delay).select("root", "ts", F.unix_millis("ts").alias("ms"), "path")
+    out = rows.groupBy("root").transformWithStateInPandas(statefulProcessor=BoundedDebounce(gap_ms, wait_ms), outputStructType=T._parse_datatype_string(BATCH), outputMode="append", timeMode="EventTime")
+    return out.select("root", F.timestamp_millis("started").alias("started"), F.timestamp_millis("ended").alias("ended"), "paths", "reason")
+
+
+CLAIM = "machine_id string, file_path string, container_path string, permanode_id string, canonical_hash string, algo string, size_bytes long, mtime timestamp, tier string, deleted boolean, state string, error string"
+
+
+def stat_paths(paths: DataFrame) -> DataFrame:
+    """(path, size_bytes, mtime, error) of listed paths, as they are now: what isn't a
+    regular file is ``missing``."""
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for p in f["path"]:
+                try:
+                    s = os.lstat(p)
+                    out.append((s.st_size, s.st_mtime_ns // 1000, None) if trees.stat.S_ISREG(s.st_mode) else (None, None, "missing"))
+                except (FileNotFoundError, NotADirectoryError):
+                    out.append((None, None, "missing"))
+                except OSError as e:
+                    out.append((None, None, str(e)))
+            yield pd.DataFrame({"path": f["path"], "size_bytes": pd.array([x for x, _, _ in out], "Int64"), "us": pd.array([x for _, x, _ in out], "Int64"), "error": [x for _, _, x in out]})
+
+    return paths.select("path").mapInPandas(run, "path string, size_bytes long, us long, error string").select("path", "size_bytes", F.timestamp_micros("us").alias("mtime"), "error")
+
+
+def claim_log(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """Claims of a folder with their ``batch``; those before a batch, if one is given."""
+    try:
+        rows = spark.read.schema(CLAIM + ", batch long").parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # nothing is written yet
+        rows = spark.createDataFrame([], CLAIM + ", batch long")
+    return rows if before is None else rows.filter(F.col("batch") < before)
+
+
+def open_claims(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """The newest claim of each path of each machine, unless that closes it."""
+    rows = claim_log(spark, folder, before)
+    newest = rows.groupBy("machine_id", "file_path", "container_path").agg(F.max_by(F.struct(*rows.columns), "batch").alias("c")).select("c.*")
+    return newest.filter("NOT deleted")
+
+
+def refresh_batch(frame: DataFrame, batch_id: int, folder: str, machine: str, algo: str = "sha256") -> None:
+    """Write the claims of one batch of events: paths are looked at as they are now, those
+    of unchanged size and time (to the second) keep their identity, others are hashed,
+    and paths that are gone close the claim they had.  A batch's rows are one folder,
+    made from the batches before alone, so a repeated batch replaces its own."""
+    spark = frame.sparkSession
+    paths = files.skip_noise_paths(event_paths(frame).select(F.col("event_path").alias("path")).distinct())
+    now = stored(stat_paths(paths), "seen")
+    known = open_claims(spark, folder, batch_id).filter(F.col("machine_id") == machine).join(now.select(F.col("path").alias("file_path")), "file_path", "left_semi")
+    known = known.select("file_path", "permanode_id", "canonical_hash", "algo", F.col("size_bytes").alias("_size"), F.date_trunc("second", "mtime").alias("_mtime"))
+    joined = stored(now.join(known, F.col("path") == F.col("file_path"), "left"), "known")
+    same = F.coalesce((F.col("_size") == F.col("size_bytes")) & (F.col("_mtime") == F.date_trunc("second", F.col("mtime"))) & (F.col("algo") == algo), F.lit(False))
+    gone = F.coalesce(F.col("error") == "missing", F.lit(False))
+    kept = joined.filter(same).select("path", "permanode_id", "canonical_hash", "algo", "size_bytes", "mtime", F.lit(False).alias("deleted"), F.lit("reused").alias("state"), F.lit(None).cast("string").alias("error"))
+    closed = joined.filter(gone & F.col("file_path").isNotNull()).select("path", "permanode_id", "canonical_hash", "algo", F.col("_size").alias("size_bytes"), F.col("_mtime").alias("mtime"), F.lit(True).alias("deleted"), F.lit("gone").alias("state"), F.lit(None).cast("string").alias("error"))
+    hashed = trees.hash_listed(joined.filter(~same & ~gone).select("path", "size_bytes", "mtime", "error"), algo)
+    # a file that went between the look and the reading is the next batch's
+    added = hashed.filter("error IS NULL").select("path", derive.permanode_id(F.col("hash"), F.col("size_bytes")).alias("permanode_id"), F.col("hash").alias("canonical_hash"), "algo", "size_bytes", "mtime", F.lit(False).alias("deleted"), F.lit("hashed").alias("state"), "error")
+    rows = kept.unionByName(closed).unionByName(added)
+    out = rows.select(F.lit(machine).alias("machine_id"), F.col("path").alias("file_path"), F.lit(None).cast("string").alias("container_path"), "permanode_id", "canonical_hash", "algo", "size_bytes", "mtime", derive.tier(F.col("path")).alias("tier"), "deleted", "state", "error")
+    out.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+
+def refresh_claims(events: DataFrame, folder: str, machine: str, checkpoint: str, algo: str = "sha256"):
+    """Start a query that keeps the claims below ``folder`` current from events: each
+    micro-batch is scanned, hashed and written once, see ``refresh_batch``.  Read them with
+    ``open_claims``."""
+    sink = events.writeStream.foreachBatch(lambda frame, i: refresh_batch(frame, i, folder, machine, algo))
+    return sink.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def live_stats(claims: DataFrame, size: str = "1 hour", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
@@ -117,6 +207,48 @@ def live_stats(claims: DataFrame, size: str = "1 hour", slide: str | None = None
     return out.select(F.col("w.start").alias("started"), "tier", "claim_count", "bytes_total")
 
 
+DELTA = "tier string, claims long, bytes long"
+
+
+class CurrentClaim(StatefulProcessor):
+    """Keeps the newest claim of a path (machine, path, container); gives what changes in
+    the counts of current claims when one is superseded or closed."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "run long, claim long, tier string, size long, deleted boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        old = self.newest.get() if self.newest.exists() else None
+        got = pd.concat(list(rows)).sort_values(["scan_run_id", "claim_id"]).iloc[-1]
+        new = (int(got["scan_run_id"]), int(got["claim_id"]), got["tier"], int(got["size_bytes"]), bool(got["deleted"]))
+        out = []
+        if old is None or tuple(old[:2]) < new[:2]:  # an older one that comes late changes nothing
+            if old is not None and not old[4]:
+                out.append((old[2], -1, -old[3]))
+            if not new[4]:
+                out.append((new[2], 1, new[3]))
+            self.newest.update(new)
+        yield pd.DataFrame(out, columns=["tier", "claims", "bytes"])
+
+    def close(self) -> None:
+        pass
+
+
+def current_deltas(claims: DataFrame) -> DataFrame:
+    """A stream of DELTA rows from a stream of claims (with ``deleted``): write it as a
+    table; ``current_counts`` of any prefix equals ``stats.by_tier`` of the claims so far.
+    Needs the RocksDB state store provider."""
+    none = F.lit(False)
+    rows = claims.select("machine_id", "file_path", F.coalesce("container_path", F.lit("")).alias("container"), "scan_run_id", "claim_id", "tier", F.coalesce("size_bytes", F.lit(0)).cast("long").alias("size_bytes"), (F.coalesce("deleted", none) if "deleted" in claims.columns else none).alias("deleted"))
+    return rows.groupBy("machine_id", "file_path", "container").transformWithStateInPandas(statefulProcessor=CurrentClaim(), outputStructType=T._parse_datatype_string(DELTA), outputMode="append", timeMode="None")
+
+
+def current_counts(deltas: DataFrame) -> DataFrame:
+    """Counts and bytes of current claims by tier, from their changes."""
+    out = deltas.groupBy("tier").agg(F.sum("claims").alias("claim_count"), F.sum("bytes").alias("bytes_total"))
+    return out.filter("claim_count > 0")
+
+
 class ChainTip(StatefulProcessor):
     """Keeps each machine's tip; gives a row for each link that doesn't fit."""
 

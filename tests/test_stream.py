@@ -1,10 +1,14 @@
 """Streams give what the same events give as a batch."""
 
+import hashlib
 import json
+import time
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from estatum.operators import audit
+from estatum.operators import audit, stats
+from estatum.sources import watch
 from estatum.streaming import stream
 
 
@@ -44,12 +48,123 @@ def test_bounded_debounce(spark, tmp_path):
     assert waits[0].paths[:2] == ["/p0", "/p1"]
 
 
+def test_bounded_debounce_of_one_busy_root(spark, tmp_path):
+    """100 000 events of one root in several micro-batches: batches are cut greedily, and
+    the time is linear in the events."""
+    spent = []
+    for n in (25_000, 100_000):
+        base = tmp_path / str(n)
+        for part in range(4):  # a file a micro-batch, in order
+            ids = spark.range(part * n // 4, (part + 1) * n // 4, 1, 1)
+            ids.select(F.lit("r").alias("root"), F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("id") * 10).alias("ts"), F.concat(F.lit("/p"), (F.col("id") % 5000).cast("string")).alias("path")).write.mode("append").parquet(str(base / "in"))
+            time.sleep(1)
+        live = stream.debounce_bounded(spark.readStream.schema("root string, ts timestamp, path string").option("maxFilesPerTrigger", 1).parquet(str(base / "in")), 750, 5000)
+        began = time.perf_counter()
+        out = drain(live, tmp_path, f"busy{n}")
+        spent.append(time.perf_counter() - began)
+        # every batch lasts from its first event to the last before the longest wait
+        assert all(r.reason == "wait" and (r.ended - r.started).total_seconds() == 4.99 and len(r.paths) == 500 for r in out)
+        assert n // 500 - 3 <= len(out) <= n // 500
+    assert spent[1] < 8 * spent[0]
+
+
+def events_of(spark, root, tmp_path, out, fail=False, existing="created", parts=4):
+    """Events that one run of the watch gives, by micro-batch."""
+
+    def each(frame, i):
+        rows = stream.pair_moves(frame).collect()
+        if fail:
+            raise RuntimeError("lost")
+        out.setdefault(i, []).extend((r.path.removeprefix(str(root)), r.kind, r.moved_to and r.moved_to.removeprefix(str(root))) for r in rows)
+
+    watched = stream.watch(spark, [str(root)], f"file://{tmp_path / 'state'}", parts, existing)
+    q = watched.writeStream.foreachBatch(each).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    try:
+        q.awaitTermination(120)
+    except StreamingQueryException:
+        assert fail
+    return {i: sorted(v, key=str) for i, v in out.items()}
+
+
+def test_watch(spark, tmp_path):
+    root, out = tmp_path / "root", {}
+    for p in ("a/x", "a/y", "b/c/z", "b/._no", "@eaDir/no"):
+        (root / p).parent.mkdir(parents=True, exist_ok=True)
+        (root / p).write_text(p)
+    assert events_of(spark, root, tmp_path, out) == {0: [("/a/x", "created", None), ("/a/y", "created", None), ("/b/c/z", "created", None)]}
+    (root / "a/x").write_text("longer than before")
+    (root / "a/y").rename(root / "b/y")
+    (root / "b/c/z").unlink()
+    (root / "new").write_text("n")
+    # the batch is lost after it was read; what changes meanwhile is the next batch's
+    events_of(spark, root, tmp_path, out, fail=True)
+    (root / "a/x").unlink()
+    (root / "later").write_text("1")
+    got = events_of(spark, root, tmp_path, out)
+    assert got[1] == [("/a/x", "modified", None), ("/a/y", "moved", "/b/y"), ("/b/c/z", "deleted", None), ("/new", "created", None)]
+    if 2 not in got:
+        got = events_of(spark, root, tmp_path, out)
+    assert got[2] == [("/a/x", "deleted", None), ("/later", "created", None)]
+    assert len({watch.NAME.fullmatch(p.name)[1] for p in (tmp_path / "state").iterdir()}) <= 2
+    assert [v for v in events_of(spark, root, tmp_path, out).values()][3:] == [] or events_of(spark, root, tmp_path, out)[3] == []
+
+
+def test_watch_of_what_cannot_be_listed(spark, tmp_path):
+    """An unmounted root keeps its files; existing ones may be passed over."""
+    root, out = tmp_path / "root", {}
+    (root / "a").mkdir(parents=True)
+    (root / "a/x").write_text("1")
+    events_of(spark, root, tmp_path, out, existing="ignored")
+    root.rename(tmp_path / "away")
+    events_of(spark, root, tmp_path, out, existing="ignored")
+    (tmp_path / "away").rename(root)
+    (root / "a/y").write_text("2")
+    assert [x for v in events_of(spark, root, tmp_path, out, existing="ignored").values() for x in v] == [("/a/y", "created", None)]
+
+
 def test_refresh(spark, tmp_path):
-    write(tmp_path / "in", "1.json", [event("/a", "00.000"), event("/b", "00.100")])
-    batches = stream.file_events(spark, str(tmp_path / "in")).select(F.array("path").alias("paths"))
-    seen = []
-    stream.refresh_claims(batches, lambda f, i: seen.extend(r.path for r in f.collect()), str(tmp_path / "cp")).awaitTermination(60)
-    assert sorted(seen) == ["/a", "/b"]
+    """Claims follow the files, and a batch given twice leaves the same claims."""
+    root, folder = tmp_path / "root", str(tmp_path / "claims")
+    root.mkdir()
+    for p in ("a", "b", "c"):
+        (root / p).write_text(p)
+    event_rows = lambda *rows: spark.createDataFrame([(str(root / p), k, str(root / m) if m else None) for p, k, m in rows], "path string, kind string, moved_to string")
+    first = event_rows(("a", "created", None), ("b", "created", None), ("c", "created", None), ("never", "created", None))
+    opened = lambda: sorted((r.file_path.rpartition("/")[2], r.canonical_hash[:6], r.state, r.batch) for r in stream.open_claims(spark, folder).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()[:6]
+    for _ in range(2):
+        stream.refresh_batch(first, 0, folder, "m0")
+        assert opened() == [("a", sha("a"), "hashed", 0), ("b", sha("b"), "hashed", 0), ("c", sha("c"), "hashed", 0)]
+    (root / "a").write_text("changed")
+    (root / "b").rename(root / "d")
+    second = event_rows(("a", "modified", None), ("b", "moved", "d"), ("c", "modified", None))
+    for _ in range(2):
+        stream.refresh_batch(second, 1, folder, "m0")
+        assert opened() == [("a", sha("changed"), "hashed", 1), ("c", sha("c"), "reused", 1), ("d", sha("b"), "hashed", 1)]
+    assert stream.claim_log(spark, folder).count() == 7
+    # another machine's claims of the same paths are its own
+    stream.refresh_batch(first, 2, folder, "m1")
+    assert {(r.machine_id, r.state) for r in stream.open_claims(spark, folder).collect()} == {("m0", "hashed"), ("m0", "reused"), ("m1", "hashed")}
+
+
+def test_current_counts(spark, tmp_path):
+    """After any prefix of the stream the counts equal those of the batch."""
+    schema = "machine_id string, file_path string, container_path string, tier string, size_bytes long, scan_run_id long, claim_id long, deleted boolean"
+    steps = [
+        [("m", "/a", None, "L1", 5, 1, 1, False), ("m", "/b", None, "L1", 7, 1, 2, False), ("m", "/a", "/z.zip", "L2", 1, 1, 3, False)],
+        [("m", "/a", None, "L2", 6, 2, 4, False), ("m", "/b", None, "L1", 7, 2, 5, True), ("n", "/a", None, "L2", 2, 1, 6, False)],
+        [("m", "/b", None, "L1", 9, 1, 7, False), ("m", "/a", None, "L3a", 9, 3, 8, False), ("m", "/a", None, "L1", 8, 3, 9, False)],
+        [("m", "/b", None, "boot", 3, 4, 10, False), ("n", "/a", None, "L2", 2, 2, 11, True)],
+    ]
+    so_far = []
+    for rows in steps:
+        so_far += rows
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        deltas = stream.current_deltas(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        deltas.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+        live = stream.current_counts(spark.read.schema(stream.DELTA).parquet(str(tmp_path / "out")))
+        batch = stats.by_tier(stats.supersede_claims(spark.createDataFrame(so_far, schema)).withColumn("permanode_id", F.lit("p")))
+        assert {(r.tier, r.claim_count, r.bytes_total) for r in live.collect()} == {(r.tier, r.claim_count, r.bytes_total) for r in batch.collect()}
 
 
 def test_chain_tip(spark, tmp_path):
