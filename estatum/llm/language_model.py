@@ -292,9 +292,10 @@ def _named(keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     return tx.mix(keys ^ tx.mix(bucket.astype(U) + U(1)))
 
 
-def routed_scores(docs: DataFrame, keep: list[str], built: DataFrame, buckets: int, n: int, v: int) -> DataFrame:
-    """The same scores where the filter is too large to broadcast.  A batch holds about
-    BATCH tokens; its row with a bucket below 0 carries the texts."""
+def sent_batches(docs: DataFrame, keep: list[str], buckets: int) -> DataFrame:
+    """A row a (batch, bucket): the keys that a batch of about BATCH tokens asks for.  The
+    texts travel in one row more a batch, in a bucket below 0 of its own, so no bucket
+    has the texts of several."""
     kept = docs.select(F.struct(*keep).alias("own"), F.coalesce("text", F.lit("")).alias("text"))
     rows_of = T.StructType([*T._parse_datatype_string("bucket long, batch long, keys binary, levels binary").fields, T.StructField("own", T.ArrayType(kept.schema["own"].dataType)), T.StructField("texts", T.ArrayType(T.StringType()))])
 
@@ -311,7 +312,7 @@ def routed_scores(docs: DataFrame, keep: list[str], built: DataFrame, buckets: i
             bucket = bucket_of(full, buckets)
             order = np.argsort(bucket, kind="stable")
             parts = list(_by_bucket(bucket[order], buckets, fk[order]))
-            names = [pa.array([-1 - batch % 64, *[b for b, _ in parts]], pa.int64()), pa.array([batch] * (1 + len(parts)), pa.int64()), pa.array([None, *[k.tobytes() for _, k in parts]], pa.binary()), pa.nulls(1 + len(parts), pa.binary())]
+            names = [pa.array([-1 - batch, *[b for b, _ in parts]], pa.int64()), pa.array([batch] * (1 + len(parts)), pa.int64()), pa.array([None, *[k.tobytes() for _, k in parts]], pa.binary()), pa.nulls(1 + len(parts), pa.binary())]
             at = pa.array([0] + [len(own)] * (1 + len(parts)), pa.int32())
             return pa.RecordBatch.from_arrays([*names, pa.ListArray.from_arrays(at, own), pa.ListArray.from_arrays(at, texts)], names=rows_of.names)
 
@@ -326,6 +327,14 @@ def routed_scores(docs: DataFrame, keep: list[str], built: DataFrame, buckets: i
         if held:
             yield flush()
 
+    return kept.mapInArrow(ask, rows_of)
+
+
+def routed_scores(docs: DataFrame, keep: list[str], built: DataFrame, buckets: int, n: int, v: int) -> DataFrame:
+    """The same scores where the filter is too large to broadcast."""
+    sent = sent_batches(docs, keep, buckets)
+    rows_of, own_type = sent.schema, sent.schema["own"].dataType.elementType
+
     def probe(f: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if not len(f) or f["bucket"].iloc[0] < 0:
             return f
@@ -350,9 +359,8 @@ def routed_scores(docs: DataFrame, keep: list[str], built: DataFrame, buckets: i
         cols = [np.concatenate(c) for c in zip(*out, strict=True)]
         return pd.DataFrame({"own": list(head["own"]), "token_key": cols[0], "n_tokens": cols[1], "score": cols[2]})
 
-    sent = kept.mapInArrow(ask, rows_of)
     answered = sent.groupBy("bucket").cogroup(built.select("bucket", "shard").groupBy("bucket")).applyInPandas(probe, rows_of)
-    scored = answered.groupBy("batch").applyInPandas(gather, T.StructType([kept.schema["own"], *T._parse_datatype_string(SCORED).fields]))
+    scored = answered.groupBy("batch").applyInPandas(gather, T.StructType([T.StructField("own", own_type), *T._parse_datatype_string(SCORED).fields]))
     return scored.select("own.*", "token_key", "n_tokens", "score")
 
 
@@ -370,8 +378,8 @@ SUMS = "batch long, ids array<long>, token_keys binary, owners binary, logs bina
 
 def occurrences(docs: DataFrame, buckets: int) -> DataFrame:
     """A row a (task's batch, bucket): its distinct words, and for each the texts
-    of the batch that hold it, by number, and how often.  One row more a batch, in
-    buckets below 0, names its texts."""
+    of the batch that hold it, by number, and how often.  One row more a batch, in a
+    bucket below 0 of its own, names its texts."""
     names = [x.split(" ")[0] for x in OCCURRENCES.split(", ")]
     kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5)
 
@@ -383,7 +391,7 @@ def occurrences(docs: DataFrame, buckets: int) -> DataFrame:
         edge = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]))
         times = np.diff(np.append(edge, len(h)))
         h, doc = h[edge], doc[edge]
-        rows = [(-1 - batch % 64, batch, ids, token_keys.tobytes(), None, None, None, None)]
+        rows = [(-1 - batch, batch, ids, token_keys.tobytes(), None, None, None, None)]
         for b, k, d, t in _by_bucket(bucket_of(h, buckets), buckets, h, doc, times):
             uniq, n = np.unique(k, return_counts=True)
             rows.append((b, batch, None, None, uniq.tobytes(), n.astype(np.uint32).tobytes(), d.astype(np.uint32).tobytes(), np.minimum(t, 2**32 - 1).astype(np.uint32).tobytes()))

@@ -216,6 +216,16 @@ def test_routed_and_broadcast_filters(docs, monkeypatch):
     assert sorted(map(key, one)) == sorted(map(key, many)) and len(one) == docs.count()
 
 
+def test_heads_of_batches_are_dealt(docs, monkeypatch):
+    """However many partitions the texts have, a bucket names the texts of one batch."""
+    monkeypatch.setattr(language_model, "BATCH", 500)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartition(64)
+    for sent in (language_model.occurrences(base, 8), language_model.sent_batches(base, ["doc_id"], 8)):
+        rows = sent.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("batch").alias("batches")).collect()
+        heads, rest = [r for r in rows if r.bucket < 0], [r for r in rows if r.bucket >= 0]
+        assert len(heads) >= 32 and {(r.n, r.batches) for r in heads} == {(1, 1)} and len(rest) == 8 and all(r.n == r.batches for r in rest)
+
+
 def test_hot_buckets_go_in_parts(docs, monkeypatch):
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     built = language_model.shards(language_model.ngram_counts(base, 8)).cache()
