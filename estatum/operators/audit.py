@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,36 +26,45 @@ def _checked(audit: DataFrame, columns: list[str]) -> DataFrame:
     return audit.withColumn("_hash_ok", F.coalesce(F.col("row_hash") == derive.audit_row_hash(F.col("prev_hash"), payload_of(columns)), F.lit(False)))
 
 
-def verify_chain(audit: DataFrame, columns: list[str] = FIELDS, keys: list[str] = ["machine_id"]) -> DataFrame:  # noqa: B006
-    """Per chain: ok, rows_checked up to the first failure, its id and message.
+#: Rows of a chain that one task checks, about; ranges that a chain is cut into at most.
+ROWS, RANGES = 1_000_000, 1000
 
-    Machines' chains are checked side by side; for one long chain without a key
-    use ``verify_long_chain``."""
-    order = Window.partitionBy(*keys).orderBy("id")
-    linked = _checked(audit, columns).withColumn("_link_ok", F.col("prev_hash") == F.coalesce(F.lag("row_hash").over(order), F.lit(GENESIS))).withColumn("_n", F.row_number().over(order))
-    return _verdict(linked, keys)
 
+def verify_chain(audit: DataFrame, columns: list[str] = FIELDS, keys: list[str] = ["machine_id"], rows: int = ROWS) -> DataFrame:  # noqa: B006
+    """Per chain: ok, rows_checked up to the first failure, its id and message.
 
-def _verdict(linked: DataFrame, keys: list[str]) -> DataFrame:
-    bad = ~(F.col("_link_ok") & F.col("_hash_ok"))
-    why = F.when(~F.col("_link_ok"), "prev_hash mismatch").otherwise("row_hash mismatch")
-    out = linked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"), F.min_by(F.when(bad, F.struct("id", "_n", why.alias("why"))), F.when(bad, F.col("id"))).alias("e"))
-    return out.select(*keys, F.col("e").isNull().alias("ok"), F.coalesce(F.col("e._n") - 1, F.col("_all")).cast("long").alias("rows_checked"), F.col("e.id").alias("bad_id"), F.col("e.why").alias("message"))
+    Chains of more than ``rows`` are cut into ranges of ids of about so many rows each (by
+    percentiles of the chain's own ids), so no machine's log is one task's; links are
+    checked within ranges, and the edges of a chain's ranges against each other."""
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    named = [F.col(k).alias(f"_{k}") for k in keys]
+    at = reduce(lambda a, b: a & b, same)
+    long = audit.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows).select(*named, "_n")
+    # a cut for so many rows of the whole log, so both sides are small
+    step = F.ceil(RANGES / F.ceil(F.first("_n") / rows)).cast("int")
+    quantiles = F.percentile_approx("id", [i / RANGES for i in range(1, RANGES)], 10_000)
+    cuts = audit.select(*keys, "id").join(F.broadcast(long), at, "left_semi").join(F.broadcast(long), at).groupBy(*[f"_{k}" for k in keys]).agg(F.filter(quantiles, lambda c, i: (i + 1) % step == 0).alias("_cuts"))
+    ranged = _checked(audit, columns).select(*keys, "id", "prev_hash", "row_hash", "_hash_ok").join(F.broadcast(cuts), at, "left")
+    ranged = ranged.withColumn("_part", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("id"))), F.lit(0)))
+    inside = Window.partitionBy(*keys, "_part").orderBy("id")
+    linked = ranged.withColumns({"_before": F.lag("row_hash").over(inside), "_rn": F.row_number().over(inside)})
+    torn = (F.col("_rn") > 1) & ~F.coalesce(F.col("prev_hash") == F.col("_before"), F.lit(False))
+    bad = torn | ~F.col("_hash_ok")
+    why = F.when(torn, "prev_hash mismatch").otherwise("row_hash mismatch")
+    first_bad = F.min_by(F.when(bad, F.struct("id", F.col("_rn").cast("long").alias("rn"), why.alias("why"))), F.when(bad, F.col("id")))
+    parts = linked.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_rows"), F.min("id").alias("_first"), F.min_by("prev_hash", "id").alias("_head"), F.max_by("row_hash", "id").alias("_tip"), first_bad.alias("_bad"))
+    order = Window.partitionBy(*keys).orderBy("_part")
+    skip = F.coalesce(F.sum("_rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = F.coalesce(F.col("_head") == F.coalesce(F.lag("_tip").over(order), F.lit(GENESIS)), F.lit(False))
+    edges = parts.select(*keys, "_rows", skip.alias("_skip"), F.when(~met, F.struct(F.col("_first").alias("id"), F.lit(1).cast("long").alias("rn"), F.lit("prev_hash mismatch").alias("why"))).otherwise(F.col("_bad")).alias("_bad"))
+    out = edges.groupBy(*keys).agg(F.sum("_rows").alias("_all"), F.min_by(F.when(F.col("_bad").isNotNull(), F.struct("_bad", "_skip")), F.when(F.col("_bad").isNotNull(), F.col("_skip"))).alias("e"))
+    return out.select(*keys, F.col("e").isNull().alias("ok"), F.coalesce(F.col("e._skip") + F.col("e._bad.rn") - 1, F.col("_all")).cast("long").alias("rows_checked"), F.col("e._bad.id").alias("bad_id"), F.col("e._bad.why").alias("message"))
 
 
 def verify_long_chain(audit: DataFrame, parts: int | None = None, columns: list[str] = FIELDS) -> DataFrame:
-    """One chain of any length: rows are dealt into ranges of ids of about equal
-    numbers of rows (a million each by default), links are checked within ranges, and
-    the edges of the ranges against each other."""
-    parts = parts or 1 + audit.count() // 1_000_000
-    cuts = audit.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [1.0], 10_000).alias("_cuts"))
-    ranged = _checked(audit, columns).crossJoin(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("id")))).drop("_cuts")
-    inside = Window.partitionBy("_part").orderBy("id")
-    rows = ranged.withColumn("_before", F.lag("row_hash").over(inside)).withColumn("_n", F.row_number().over(inside))
-    edges = rows.groupBy("_part").agg(F.max_by("row_hash", "id").alias("_last"), F.count(F.lit(1)).alias("_rows"))
-    tips = edges.select("_part", F.coalesce(F.lag("_last").over(Window.orderBy("_part")), F.lit(GENESIS)).alias("_tip"), F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_skip"))
-    linked = rows.join(F.broadcast(tips), "_part").withColumn("_link_ok", F.col("prev_hash") == F.coalesce("_before", "_tip")).withColumn("_n", F.col("_n") + F.col("_skip"))
-    return _verdict(linked.withColumn("chain", F.lit("one")), ["chain"])
+    """One chain without a key, in ``parts`` ranges (of a million rows by default)."""
+    rows = max(1, audit.count() // parts) if parts else ROWS
+    return verify_chain(audit.withColumn("chain", F.lit("one")), columns, ["chain"], rows)
 
 
 def row_hash(prev: str, row: dict) -> str:

@@ -8,10 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from estatum.functions import derive
-from estatum.operators import joins
+from estatum.operators import joins, stats
 
 DIMENSION = 384
 
@@ -95,14 +96,66 @@ def search(embeddings: DataFrame, query: Column, k: int = 10, metric: str = "cos
     return embeddings.withColumn("distance", distance(F.col("vector"), query, metric)).orderBy("distance", "permanode_id").limit(k)
 
 
-def search_many(embeddings: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", most: int = 1000) -> DataFrame:
-    """The same for a table of queries (query_id, query): up to ``most`` are broadcast,
-    more are met block by block in a product of both tables' partitions.  Each task
-    keeps its own nearest before they are merged."""
-    few_queries = queries.limit(most + 1).count() <= most
-    pairs = embeddings.select("permanode_id", "vector").crossJoin(F.broadcast(queries) if few_queries else queries.hint("shuffle_replicate_nl")).select("query_id", "permanode_id", distance(F.col("vector"), F.col("query"), metric).alias("distance"))
-    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64("permanode_id"), F.lit(32)))
-    part = Window.partitionBy("query_id", "_salt").orderBy("distance", "permanode_id")
-    few = salted.withColumn("_rn", F.row_number().over(part)).filter(F.col("_rn") <= k).drop("_rn", "_salt")
-    best = Window.partitionBy("query_id").orderBy("distance", "permanode_id")
-    return few.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+#: Queries and vectors of a tile of search_many.
+BATCH, BLOCK = 1024, 8192
+
+
+def nearest(q: np.ndarray, x: np.ndarray, names: np.ndarray, k: int, metric: str) -> list[tuple]:
+    """(query's place, name, distance) of the ``k`` nearest rows of a block for each query:
+    products pick those that may be, and their distances are taken entry by entry."""
+    if metric == "l2":
+        rough, scale = (x * x).sum(1)[None, :] + (q * q).sum(1)[:, None] - 2 * (q @ x.T), (x * x).sum(1).max() + (q * q).sum(1)
+    else:
+        nq, nx = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
+        rough, scale = -(q @ x.T) / np.outer(nq, nx), np.ones(len(q))
+    out = []
+    for i in range(len(q)):
+        at = np.arange(len(x))
+        if len(x) > k:
+            at = np.flatnonzero(rough[i] <= np.partition(rough[i], k - 1)[k - 1] + 1e-9 * scale[i])
+        if metric == "l2":
+            d = np.sqrt(((x[at] - q[i]) ** 2).sum(1))
+        else:
+            d = 1 - (x[at] * q[i]).sum(1) / (nx[at] * nq[i])
+        for j in np.lexsort((names[at], d))[:k]:
+            out.append((i, names[at[j]], d[j]))
+    return out
+
+
+def usable(vector: Column, metric: str) -> Column:
+    """Vectors that have a distance: finite entries, and for angles a length."""
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    good = F.coalesce(~F.exists(vector, bad), F.lit(False))
+    return good if metric == "l2" else good & F.exists(vector, lambda x: x != 0)
+
+
+def search_many(embeddings: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", batch: int = BATCH, block: int = BLOCK) -> DataFrame:
+    """The same for a table of queries (query_id, query), with their ``rank``.  Blocks of
+    vectors meet batches of queries as matrix products, and a tile gives ``k`` rows a
+    query at most; a vector is copied once for ``batch`` queries, a query once for ``block``
+    vectors.  Vectors of other lengths than a query's, or without a distance, are passed
+    over."""
+    rows = embeddings.select("permanode_id", "vector").filter(usable(F.col("vector"), metric))
+    asked = queries.select("query_id", "query").filter(usable(F.col("query"), metric))
+    blocks, batches = (max(1, -(-df.count() // size)) for df, size in ((rows, block), (asked, batch)))
+    dealt = lambda n, *of: F.pmod(F.xxhash64(*of), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("batch", dealt(batches, "query_id", "query")).withColumn("block", spread(blocks))
+    right = rows.withColumn("block", dealt(blocks, "permanode_id", "vector")).withColumn("batch", spread(batches))
+    schema = T.StructType([asked.schema["query_id"], rows.schema["permanode_id"], T.StructField("distance", T.DoubleType())])
+
+    def meet(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        sizes = r["vector"].map(len)
+        for n, part in q.groupby(q["query"].map(len)):
+            same = r[sizes == n]
+            if len(same):
+                stack = lambda c: np.stack(c.to_numpy()).astype(np.float64)
+                ids = part["query_id"].tolist()
+                out += [(ids[i], name, d) for i, name, d in nearest(stack(part["query"]), stack(same["vector"]), same["permanode_id"].to_numpy(), k, metric)]
+        return pd.DataFrame(out, columns=schema.names)
+
+    found = left.groupBy("block", "batch").cogroup(right.groupBy("block", "batch")).applyInPandas(meet, schema)
+    order = [F.asc("distance"), F.asc("permanode_id")]
+    best = stats.last_n_per_key(found, ["query_id"], order, k)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))

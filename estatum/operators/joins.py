@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from estatum.functions import derive
 from estatum.operators import stats
@@ -53,9 +52,11 @@ def has_current_claim(permanodes: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def canonical_claim(claims: DataFrame) -> DataFrame:
-    """One current claim a permanode: best tier, then lowest id."""
-    best = Window.partitionBy("permanode_id").orderBy(derive.tier_priority(F.col("tier")), "claim_id")
-    return stats.current(claims).withColumn("_rn", F.row_number().over(best)).filter("_rn = 1").drop("_rn")
+    """One current claim a permanode: best tier, then lowest id.  An aggregate with partial
+    sums, so a very common content is no one task's."""
+    order = F.struct(derive.tier_priority(F.col("tier")).alias("p"), "claim_id")
+    best = F.min_by(F.struct(*[c for c in claims.columns if c != "permanode_id"]), order)
+    return stats.current(claims).groupBy("permanode_id").agg(best.alias("_c")).select("permanode_id", "_c.*").select(*claims.columns)
 
 
 def not_embedded(permanodes: DataFrame, claims: DataFrame, embeddings: DataFrame, model: str, version: str, limit: int | None = None, again: bool = False) -> DataFrame:
@@ -78,14 +79,21 @@ def preflight(plan: DataFrame, local: DataFrame, attached: DataFrame) -> DataFra
 
 
 def other_copies(plan: DataFrame, claims: DataFrame, home: str, first: int = 5) -> DataFrame:
-    """Current claims of a row's content outside the row's own path forms."""
+    """Current claims of a row's content outside the row's own path forms: how many, and
+    the ``first`` paths in order.  Counted a content, less what lies at the row's own
+    forms, so a content of very many copies is met once a row, not once a copy."""
     rows = plan.select("row_id", "permanode_id", derive.path_aliases(F.col("source_path"), home).alias("aliases"))
-    others = stats.current(claims).select("permanode_id", "file_path")
-    joined = rows.join(others, "permanode_id", "left").filter(F.col("file_path").isNull() | ~F.array_contains("aliases", F.col("file_path")))
-    counted = joined.filter("file_path IS NOT NULL").groupBy("row_id").agg(F.count(F.lit(1)).alias("copies"))
-    few = stats.last_n_per_key(joined.filter("file_path IS NOT NULL"), ["row_id"], [F.asc("file_path")], first).groupBy("row_id").agg(F.array_sort(F.collect_list("file_path")).alias("paths"))
-    out = rows.select("row_id", "permanode_id").join(counted, "row_id", "left").join(few, "row_id", "left")
-    return out.select("row_id", "permanode_id", F.coalesce("copies", F.lit(0)).alias("copies"), "paths", F.col("copies").isNull().alias("last_copy"))
+    at = stats.current(claims).groupBy("permanode_id", "file_path").agg(F.count(F.lit(1)).alias("n"))
+    total = at.groupBy("permanode_id").agg(F.sum("n").alias("total"))
+    forms = rows.select("row_id", "permanode_id", F.explode("aliases").alias("file_path"))
+    own = forms.join(at, ["permanode_id", "file_path"]).groupBy("row_id").agg(F.sum("n").alias("own"))
+    # a row has four path forms at most, so among so many more paths are its first ones
+    few = stats.last_n_per_key(at, ["permanode_id"], [F.asc("file_path")], first + 4).groupBy("permanode_id").agg(F.array_sort(F.collect_list(F.struct("file_path", "n"))).alias("few"))
+    out = rows.join(own, "row_id", "left").join(total.join(few, "permanode_id"), "permanode_id", "left")
+    copies = F.coalesce(F.col("total") - F.coalesce("own", F.lit(0)), F.lit(0))
+    others = F.filter("few", lambda x: ~F.array_contains("aliases", x["file_path"]))
+    paths = F.slice(F.flatten(F.transform(others, lambda x: F.array_repeat(x["file_path"], F.least(x["n"], F.lit(first)).cast("int")))), 1, first)
+    return out.select("row_id", "permanode_id", copies.alias("copies"), F.when(copies > 0, paths).alias("paths"), (copies == 0).alias("last_copy"))
 
 
 def canonical_outside(entries: DataFrame, claims: DataFrame, prefixes: list[str]) -> DataFrame:

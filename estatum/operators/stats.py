@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from estatum.functions import derive
+from estatum.scratch import stored
 
 DIMENSIONS = ("tier", "domain", "volume", "extension", "classification", "machine_id", "source")
 MEASURES = {"claim_count": F.count, "permanode_count": F.count_distinct, "bytes_total": F.sum}
@@ -110,6 +111,65 @@ def path_tree(claims: DataFrame, prefix: str, measure: str = "bytes_total", over
     return top_n_truncated(out, [F.desc(measure), F.asc("name")], max(1, min(500, limit)))
 
 
+def _common(a: Column, b: Column) -> Column:
+    """How many parts two paths begin with alike."""
+    return F.size(F.filter(F.sequence(F.lit(1), F.least(F.size(a), F.size(b))), lambda i: F.slice(a, 1, i) == F.slice(b, 1, i)))
+
+
+def _meets(contents: DataFrame) -> DataFrame:
+    """For each two neighbours of (permanode_id, parts) in order of content and path, the
+    part of the tree where their paths meet.  Order is by ranges over tasks, whose edges
+    are compared with each other, so no content is one task's."""
+    keys = ["permanode_id", "parts"]
+    dealt = stored(contents.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "contents")
+    inside = Window.partitionBy("_part").orderBy(*keys)
+    rows = dealt.withColumns({"_id": F.lag("permanode_id").over(inside), "_before": F.lag("parts").over(inside), "_rn": F.row_number().over(inside)})
+    # a row a range: what the range before ends with
+    last = dealt.groupBy("_part").agg(F.max(F.struct(*keys)).alias("l"))
+    edge = last.select(F.col("_part").alias("_p"), F.lag("l").over(Window.orderBy("_part")).alias("_edge"))
+    first = F.col("_rn") == 1
+    met = rows.join(F.broadcast(edge), F.col("_part") == F.col("_p")).select("permanode_id", "parts", F.when(first, F.col("_edge.permanode_id")).otherwise(F.col("_id")).alias("_id"), F.when(first, F.col("_edge.parts")).otherwise(F.col("_before")).alias("_before"))
+    return met.filter(F.col("permanode_id") == F.col("_id")).select(F.slice("parts", F.lit(1), _common(F.col("parts"), F.col("_before"))).alias("parts"))
+
+
+def path_rollup(claims: DataFrame, overlay: str | None = None) -> DataFrame:
+    """Every path and directory of the current claims at once: (parent, name, path,
+    is_dir, claim_count, permanode_count, bytes_total), with ``overlay`` the value that
+    holds most bytes below.  Written as a table (``write_rollup``) it answers every prefix.
+
+    Distinct contents are exact: a content counts 1 at each of its paths and -1 where two
+    neighbouring ones meet, so below any directory that holds it the sum is 1.  What is
+    dealt to the directories above is one row a path, not one a claim and content."""
+    rows = current(claims).withColumn("parts", F.split("file_path", "/"))
+    contents = rows.filter("permanode_id IS NOT NULL").select("permanode_id", "parts").distinct()
+    zero = F.lit(0).cast("long")
+    leaves = rows.groupBy("parts").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("b"), F.count_distinct("permanode_id").alias("w"))
+    met = _meets(contents).groupBy("parts").agg(zero.alias("n"), zero.alias("b"), (-F.count(F.lit(1))).alias("w"))
+    up = leaves.unionByName(met).select("n", "b", "w", F.size("parts").alias("_size"), "parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("_depth"))
+    # a path of which nothing is a claim is only where contents meet
+    at = F.array_join(F.slice("parts", F.lit(1), F.col("_depth")), "/")
+    out = up.groupBy(at.alias("path"), F.col("_depth").alias("depth")).agg(F.bool_or((F.col("_size") > F.col("_depth")) & (F.col("n") > 0)).alias("is_dir"), F.sum("n").alias("claim_count"), F.sum("w").alias("permanode_count"), F.sum("b").alias("bytes_total"))
+    if overlay:
+        shade = rows.groupBy("parts", F.coalesce(F.col(overlay).cast("string"), F.lit("(none)")).alias("o")).agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("b"))
+        shade = shade.select("parts", "o", "b", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("_depth")).groupBy(at.alias("_path"), F.col("_depth").alias("_d"), "o").agg(F.sum("b").alias("b"))
+        most = shade.groupBy("_path", "_d").agg(F.max(F.struct("b", "o"))["o"].alias("overlay"))
+        out = out.join(most, (F.col("path") == F.col("_path")) & (F.col("depth") == F.col("_d"))).drop("_path", "_d")
+    name = F.substring_index("path", "/", -1)
+    parent = F.when(F.col("depth") > 1, F.left("path", F.length("path") - F.length(name) - 1))
+    return out.withColumns({"parent": parent, "name": name}).select("parent", "name", "path", *[c for c in out.columns if c not in ("path", "depth")])
+
+
+def write_rollup(rollup: DataFrame, path: str) -> None:
+    """As a table in order of parent: a prefix reads the few row groups that hold it."""
+    rollup.repartitionByRange("parent", "name").sortWithinPartitions("parent", "name").write.parquet(path)
+
+
+def path_children(rollup: DataFrame, prefix: str, measure: str = "bytes_total", limit: int = 100) -> DataFrame:
+    """What ``path_tree`` gives for a prefix, from a stored rollup."""
+    rows = rollup.filter((F.col("parent") == prefix.rstrip("/")) & (F.col("is_dir") | (F.col("name") != ""))).drop("parent")
+    return top_n_truncated(rows, [F.desc(measure), F.asc("name")], max(1, min(500, limit)))
+
+
 def path_tree_presence(tree: DataFrame, presence: DataFrame, cap: int | None = 200) -> DataFrame:
     """Colour of children by presence kind of their own path."""
     joined = tree.join(presence.select(F.col("file_path").alias("path"), "kind"), "path", "left")

@@ -249,6 +249,17 @@ def _(e):
     return stats.path_tree(e.claims, "/Volumes", overlay="domain")
 
 
+@query("stats_path_rollup", """, w AS (SELECT *, string_split(file_path, '/') AS parts FROM cur), x AS (SELECT permanode_id, size_bytes, domain, unnest(range(1, len(parts) + 1)) AS d, parts FROM w),
+ y AS (SELECT array_to_string(parts[1:d], '/') AS path, d, d < len(parts) AS above, permanode_id, size_bytes, coalesce(domain, '(none)') AS o FROM x),
+ o AS (SELECT path, o, row_number() OVER (PARTITION BY path ORDER BY sum(size_bytes) DESC, o DESC) AS n FROM y GROUP BY 1, 2)
+ SELECT path, bool_or(above) AS is_dir, count(*) AS claim_count, count(DISTINCT permanode_id) AS permanode_count, CAST(sum(size_bytes) AS BIGINT) AS bytes_total, any_value(o.o) AS overlay FROM y JOIN o USING (path) WHERE o.n = 1 GROUP BY path""")
+def _(e):
+    """All levels of the tree, written as a table and read again."""
+    path = scratch(e.spark, "rollup")
+    stats.write_rollup(stats.path_rollup(e.claims, "domain"), path)
+    return e.spark.read.parquet(path).select("path", "is_dir", "claim_count", "permanode_count", "bytes_total", "overlay")
+
+
 @query("stats_path_tree_pages", "SELECT split_part(regexp_replace(regexp_replace(url, '^[a-z]+://', '/'), '[?#].*$', ''), '/', 2) AS name, count(*) AS claim_count FROM pages GROUP BY 1", "x AS (SELECT 1)")
 def _(e):
     path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", "/"), "[?#].*$", "")
@@ -441,9 +452,9 @@ def _(e):
     return joins.preflight(_plan(e).select("row_id", "permanode_id"), e.claims.filter("machine_id = 'm0'"), away).select("row_id", "permanode_id", "attached_machine_id")
 
 
-@query("joins_other_copies", PLAN + ", o AS (SELECT row_id, permanode_id, c.file_path FROM pl JOIN cur c USING (permanode_id) WHERE c.file_path <> source_path) SELECT row_id, pl.permanode_id, count(o.file_path) AS copies, count(o.file_path) = 0 AS last_copy FROM pl LEFT JOIN o USING (row_id) GROUP BY 1, 2")
+@query("joins_other_copies", PLAN + ", o AS (SELECT row_id, permanode_id, c.file_path FROM pl JOIN cur c USING (permanode_id) WHERE c.file_path <> source_path) SELECT row_id, pl.permanode_id, count(o.file_path) AS copies, count(o.file_path) = 0 AS last_copy, string_agg(o.file_path, ',' ORDER BY o.file_path) FILTER (o.n <= 5) AS paths FROM pl LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY file_path) AS n FROM o) o USING (row_id) GROUP BY 1, 2")
 def _(e):
-    return joins.other_copies(_plan(e), e.claims, HOME).select("row_id", "permanode_id", "copies", "last_copy")
+    return joins.other_copies(_plan(e), e.claims, HOME).withColumn("paths", F.array_join("paths", ","))
 
 
 @query("joins_canonical_outside", PLAN + ", o AS (SELECT permanode_id, min(file_path) AS p FROM cur WHERE NOT starts_with(file_path, '/Volumes/Level 1/') AND NOT starts_with(file_path, '/Users/ana/') GROUP BY 1) SELECT row_id, p AS canonical_path FROM pl LEFT JOIN o USING (permanode_id)")
@@ -942,11 +953,18 @@ def _(e):
     return files.import_hash_table(rows, ("/Music/",))[0]
 
 
-@query("sources_ingest_gate", ", c AS (SELECT machine_id, count(*) AS n FROM log GROUP BY 1) SELECT machine_id, machine_id = 'm1' AS admitted, machine_id <> 'm0' AS foreign_ok, machine_id <> 'm2' AS chain_ok FROM c", LOG)
+@query("sources_ingest_gate", "SELECT DISTINCT 'g' || user_id % 8 AS machine_id, user_id % 8 <> 4 AS version_ok, user_id % 8 <> 0 AS foreign_ok, user_id % 8 NOT IN (2, 3) AS hash_ok, user_id % 8 <> 1 AS chain_ok, user_id % 8 <> 3 AS count_ok, user_id % 8 >= 5 AS admitted FROM events", "x AS (SELECT 1)")
 def _(e):
-    counted = e.events.groupBy("machine_id").agg(F.count(F.lit(1)).alias("audit_rows"), sinks.content_hash(e.events).alias("payload_hash"))
-    verdicts = counted.select("machine_id", (F.col("machine_id") != "m2").alias("ok"))
-    return files.ingest_gate(counted.withColumn("wire_format_version", F.lit(1)), counted, verdicts, "m0").select("machine_id", "admitted", "foreign_ok", "chain_ok")
+    """Eight inventories: the own one, a broken chain, a payload in which one row stands
+    for another, one that lacks a row, a later version, and three good ones."""
+    rows = e.read("events").select(F.concat(F.lit("g"), (F.col("user_id") % 8).cast("string")).alias("machine_id"), "event_id", "event_type")
+    count = lambda df: df.groupBy("machine_id").agg(F.count(F.lit(1)).alias("audit_rows"), sinks.content_hash(df).alias("payload_hash"))
+    least = rows.groupBy("machine_id").agg(F.min("event_id").alias("_lo"), F.max("event_id").alias("_hi"), F.max_by("event_type", "event_id").alias("_type"))
+    one = F.col("event_id") == F.col("_lo")
+    m = F.col("machine_id")
+    sent = rows.join(least, "machine_id").filter(~((m == "g3") & one)).select("machine_id", F.when((m == "g2") & one, F.col("_hi")).otherwise(F.col("event_id")).alias("event_id"), F.when((m == "g2") & one, F.col("_type")).otherwise(F.col("event_type")).alias("event_type"))
+    said = count(rows).withColumn("wire_format_version", F.when(m == "g4", 2).otherwise(1))
+    return files.ingest_gate(said, count(sent), said.select("machine_id", (m != "g1").alias("ok")), "g0").select("machine_id", "version_ok", "foreign_ok", "hash_ok", "chain_ok", "count_ok", "admitted")
 
 
 @query("sources_list_attached", "SELECT machine_id, machine_id <> 'm2' AS payload_exists FROM runs GROUP BY 1", RUNS)
@@ -1092,9 +1110,10 @@ def _(e):
     return rows.drop("destination_path", "rationale").withColumn("run", F.lit(head["run"]))
 
 
-@query("sources_load_plan_rows", RANKED + " SELECT action, permanode_id, file_path AS source_path FROM retire WHERE action IS NOT NULL")
+@query("sources_load_plan_rows", RANKED + " SELECT action, permanode_id, file_path AS source_path, '# estatum-manifest-v1,# run: r1' AS comments FROM retire WHERE action IS NOT NULL")
 def _(e):
-    return files.load_plan_rows(e.spark, _manifest(e)).select("action", "permanode_id", "source_path")
+    comments, rows = files.load_plan_rows(e.spark, _manifest(e))
+    return rows.select("action", "permanode_id", "source_path", F.lit(",".join(sorted(comments))).alias("comments"))
 
 
 @query("sinks_write_buckets", "SELECT kind, claim_id FROM kinds", f"{CLAIMS}, {PRESENCE}")

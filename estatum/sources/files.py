@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,16 +67,25 @@ def import_hash_table(rows: DataFrame, noise: tuple[str, ...] = ("/@eaDir/", "/.
     return claims, counted.crossJoin(claims.agg(F.count(F.lit(1)).alias("inserted"))).withColumn("skipped", F.col("read") - F.col("errors") - F.col("noise") - F.col("inserted"))
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a file or of all parts of a folder; what is no UTF-8 is replaced."""
+    return spark.read.option("recursiveFileLookup", "true").text(path).select(F.make_valid_utf8("value").alias("value"))
+
+
+def _comments(lines: DataFrame) -> list[str]:
+    return [r.value for r in lines.filter(F.col("value").startswith("#")).collect()]
+
+
 def read_manifest(spark: SparkSession, path: str) -> tuple[dict[str, str], DataFrame]:
     """Provenance and rows of a plan file; other columns or no marker are refused."""
-    head = [r.value for r in spark.read.text(path).filter(F.col("value").startswith("#")).collect()]
+    lines = _lines(spark, path)
+    head = _comments(lines)
     if not any("-manifest-v1" in x for x in head):
         raise ValueError("not a manifest")
-    text = spark.read.text(path).filter(~F.col("value").startswith("#"))
+    text = lines.filter(~F.col("value").startswith("#"))
     if text.filter(F.col("value") == "\t".join(COLUMNS)).isEmpty():
         raise ValueError("columns are not a manifest's")
-    parts = F.split("value", "\t")
-    rows = text.filter(F.col("value") != "\t".join(COLUMNS)).select(F.transform(parts, unescape).alias("v"))
+    rows = text.filter(F.col("value") != "\t".join(COLUMNS)).select(_cells("value").alias("v"))
     types = [x.split(" ")[1] for x in MANIFEST.split(", ")]
     empty = {"destination_path", "size_bytes", "rationale"}
     cells = [(F.nullif(F.get("v", F.lit(i)), F.lit("")) if c in empty else F.get("v", F.lit(i))).cast(t).alias(c) for i, (c, t) in enumerate(zip(COLUMNS, types, strict=True))]
@@ -83,6 +93,10 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[dict[str, str], DataF
     return named, rows.select(*cells)
 
 
+def _cells(line: str) -> Column:
+    return F.transform(F.split(line, "\t"), unescape)
+
+
 def unescape(value: Column) -> Column:
     """Undo ESCAPES; a lone backslash marks where an escaped one stood meanwhile."""
     marked = F.replace(value, F.lit("\\\\"), F.lit("\x00"))
@@ -91,8 +105,24 @@ def unescape(value: Column) -> Column:
     return F.replace(marked, F.lit("\x00"), F.lit("\\"))
 
 
-def load_plan_rows(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", header=True, comment="#", mode="PERMISSIVE")
+def load_plan_rows(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
+    """(comments, rows) of any tab-separated plan: whatever columns its first line names,
+    as strings.  Lines that begin with # are comments, wherever they are; short lines have
+    nulls.  Values of a manifest are unescaped as write_manifest wrote them, of other
+    files unquoted as CSV has it."""
+    lines = _lines(spark, path)
+    comments, body = _comments(lines), lines.filter(~F.col("value").startswith("#"))
+    ours = any("-manifest-v1" in c for c in comments)
+    header = "\t".join(COLUMNS) if ours else (body.first() or [""])[0]
+    names = next(csv.reader([header], delimiter="\t"), [])
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    rest = body.filter((F.col("value") != header) & (F.length("value") > 0))
+    if not names:
+        return comments, spark.createDataFrame([], "value string")
+    if ours:
+        return comments, rest.select(_cells("value").alias("v")).select(*[F.get("v", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    options = {"sep": "\t", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": "\x00", "emptyValue": ""}
+    return comments, rest.select(F.from_csv("value", schema, options).alias("r")).select("r.*")
 
 
 def fan_out(local: DataFrame, *attached: DataFrame) -> DataFrame:

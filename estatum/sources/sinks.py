@@ -14,16 +14,15 @@ LEFT_OUT = ("tiers", "embeddings", "legacy_import_log", "attached_inventories")
 
 
 def write_manifest(rows: DataFrame, path: str, provenance: dict[str, str]) -> None:
-    """Tab-separated rows below a commented head, readable by read_manifest.  Tabs, line
-    ends and backslashes in values are escaped with a backslash, as is a # that a row
-    would begin with."""
+    """Tab-separated rows in as many parts as the plan has, and a head of one small part:
+    marker, provenance (``#`` lines) and column names.  Read it with read_manifest; people
+    read ``0-head`` and ``1-rows`` one behind the other.  Tabs, line ends and backslashes
+    in values are escaped with a backslash, as is a # that a row would begin with."""
     clean = lambda c: reduce(lambda x, ab: F.replace(x, F.lit(ab[0]), F.lit(ab[1])), ESCAPES, F.coalesce(F.col(c).cast("string"), F.lit("")))
     text = F.regexp_replace(F.concat_ws("\t", *map(clean, COLUMNS)), "^#", r"\\#")
     head = ["# estatum-manifest-v1", *[f"# {k}: {v}" for k, v in provenance.items()], "\t".join(COLUMNS)]
-    top = rows.sparkSession.createDataFrame([(i, h) for i, h in enumerate(head)], "o long, value string")
-    body = rows.select(F.lit(len(head)).cast("long").alias("o"), text.alias("value"))
-    # one file, the head first: a manifest is read by people
-    top.unionByName(body).repartition(1).sortWithinPartitions("o").select("value").write.text(path)
+    rows.select(text.alias("value")).write.text(f"{path}/1-rows")
+    rows.sparkSession.createDataFrame([("\n".join(head),)], "value string").coalesce(1).write.text(f"{path}/0-head")
 
 
 def write_buckets(rows: DataFrame, path: str) -> DataFrame:
@@ -59,9 +58,17 @@ def export_audit(audit: DataFrame, after: Column | None = None, before: Column |
     return out.limit(limit) if limit else out
 
 
+#: Options of the text that a row is hashed as: every field, times to the microsecond.
+AS_JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timeZone": "UTC"}
+
+
 def content_hash(df: DataFrame) -> Column:
-    """Aggregate that ignores the order of rows."""
-    return F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.hex(F.bit_xor(F.xxhash64(*df.columns))))
+    """Aggregate that names a multiset of rows, whatever their order: how many, and the
+    sums of four 64-bit parts of their SHA-256, so doubled rows count as often as they
+    are there."""
+    digest = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), AS_JSON), 256)
+    part = lambda i: F.coalesce(F.sum(F.conv(F.substring(digest, 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string")
+    return F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *map(part, range(4))), 256)
 
 
 def export_event(manifest: DataFrame) -> DataFrame:

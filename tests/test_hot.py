@@ -1,10 +1,15 @@
 """One content of very many copies is many tasks' work."""
 
 import collections
+import itertools
+import random
+import time
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from estatum.operators import audit, stats
+from estatum.operators import audit, embed, joins, stats
 from estatum.plans import plan
 
 
@@ -51,3 +56,112 @@ def test_long_chain_of_uneven_ids(spark):
     bad = chained.withColumn("payload", F.when(F.col("id") == 10**12 + 2500, "x").otherwise(F.col("payload")))
     assert tuple(audit.verify_long_chain(bad, 16, ["action", "payload"]).select("ok", "rows_checked", "bad_id").first()) == (False, 2500, 10**12 + 2500)
     assert audit.verify_long_chain(chained, None, ["action", "payload"]).first().ok
+
+
+def timed(run):
+    began = time.perf_counter()
+    out = run()
+    return time.perf_counter() - began, out
+
+
+def plan_text(df):
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+def test_copies_of_a_hot_content(spark):
+    """100 000 planned copies of one content: counted, not paired."""
+    spent = []
+    for n in (20_000, 100_000):
+        rows = hot(spark, n).withColumn("is_current", F.lit(True))
+        plan_rows = rows.select(F.col("claim_id").alias("row_id"), "permanode_id", F.col("file_path").alias("source_path"))
+        t, got = timed(lambda rows=rows, plan_rows=plan_rows: joins.other_copies(plan_rows, rows, "/Users/ana").filter("row_id IN (0, 7, 19999)").collect())
+        spent.append(t)
+        assert {(r.row_id, r.copies, r.last_copy) for r in got if r.permanode_id == "hot"} >= {(0, n - 51, False), (7, n - 51, False)}
+        firsts = sorted(f"/x/{'old/' if i % 3 == 0 else ''}{i}" for i in range(n - 50))[:6]
+        assert next(r for r in got if r.row_id == 7).paths == [p for p in firsts if p != "/x/7"][:5]
+    assert spent[1] < 10 * spent[0] + 5
+
+
+def test_other_copies_against_pairs(spark):
+    rng = random.Random(3)
+    roots = ["/a", "/Users/ana/Library/CloudStorage/Dropbox", "/Volumes/DropboxStorage/Dropbox", "/b"]
+    claims = [(i, f"p{rng.randrange(6)}", f"{rng.choice(roots)}/{rng.randrange(4)}", rng.random() < 0.8) for i in range(120)]
+    df = spark.createDataFrame(claims, "claim_id long, permanode_id string, file_path string, is_current boolean")
+    plan_rows = df.select(F.col("claim_id").alias("row_id"), "permanode_id", F.col("file_path").alias("source_path")).unionByName(spark.createDataFrame([(999, "none", "/a/1")], "row_id long, permanode_id string, source_path string"))
+    forms = {r.row_id: set(r.a) for r in plan_rows.select("row_id", joins.derive.path_aliases(F.col("source_path"), "/Users/ana").alias("a")).collect()}
+    got = {r.row_id: (r.copies, r.paths, r.last_copy) for r in joins.other_copies(plan_rows, df, "/Users/ana", 3).collect()}
+    for r in plan_rows.collect():
+        others = sorted(p for _, c, p, now in claims if now and c == r.permanode_id and p not in forms[r.row_id])
+        assert got[r.row_id] == (len(others), others[:3] or None, not others)
+
+
+def test_canonical_claim_of_a_hot_content(spark):
+    rows = hot(spark).withColumn("is_current", F.col("claim_id") != 3)
+    best = joins.canonical_claim(rows)
+    assert "Window" not in plan_text(best) and best.columns == rows.columns
+    got = {r.permanode_id: (r.claim_id, r.tier) for r in best.collect()}
+    assert got["hot"] == (7, "L1") and len(got) == 21
+
+
+def test_chain_of_a_machine_in_ranges(spark):
+    """One machine with nearly all rows is cut into ranges, with the same verdicts."""
+    fields = ["action", "payload"]
+    rows = spark.range(6000).select(F.when(F.col("id") % 100 == 0, F.concat(F.lit("s"), (F.col("id") % 700).cast("string"))).otherwise("big").alias("machine_id"), (F.col("id") * F.when(F.col("id") > 3000, 1000).otherwise(1)).alias("id"), F.lit("a").alias("action"), F.col("id").cast("string").alias("payload"))
+    chained = audit.append_batch(rows.withColumn("row_hash", F.lit("")).filter("false"), rows, fields).cache()
+    broken = {
+        "payload": lambda i: chained.withColumn("payload", F.when(F.col("id") == i, "x").otherwise(F.col("payload"))),
+        "gone": lambda i: chained.filter(F.col("id") != i),
+        "link": lambda i: chained.withColumn("prev_hash", F.when(F.col("id") == i, "0" * 64).otherwise(F.col("prev_hash"))),
+        "null": lambda i: chained.withColumn("prev_hash", F.when(F.col("id") != i, F.col("prev_hash"))),
+    }
+    cases = [chained, *[broken[k](i) for k, i in itertools.product(broken, (1, 2999, 4_321_000))]]
+    for case in cases:
+        one = sorted(map(tuple, audit.verify_chain(case, fields).collect()))
+        many = sorted(map(tuple, audit.verify_chain(case, fields, rows=250).collect()))
+        assert one == many and len(one) == 8
+    assert all(ok for _, ok, *_ in map(tuple, audit.verify_chain(chained, fields).collect()))
+
+
+def test_long_log_of_one_machine(spark):
+    """A million rows of one machine are the work of many tasks."""
+    n = 1_000_000
+    rows = spark.range(n).select(F.lit("m").alias("machine_id"), "id", F.lit("a").alias("action"), F.lit("b").alias("payload"), F.sha2(F.concat(F.lit("r"), F.col("id").cast("string")), 256).alias("row_hash"))
+    linked = rows.withColumn("prev_hash", F.when(F.col("id") == 0, audit.GENESIS).otherwise(F.sha2(F.concat(F.lit("r"), (F.col("id") - 1).cast("string")), 256)))
+    # hashes that fit nothing: the first row fails, all links hold
+    out = audit.verify_chain(linked, ["action", "payload"], rows=50_000)
+    assert tuple(out.first()) == ("m", False, 0, 0, "row_hash mismatch")
+
+
+def test_rollup_of_all_levels(spark):
+    """Any prefix of the stored tree equals the tree made for it, hot contents included."""
+    rng = random.Random(5)
+    rows = [(f"p{rng.randrange(30)}" if rng.random() < 0.6 else "hot", "/" + "/".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) + rng.choice(["", ".x"]), rng.randrange(9), rng.random() < 0.9, rng.choice(["u", "v", None])) for _ in range(600)]
+    rows += [(None, "/a/none", 3, True, "u"), ("p1", "relative/x", 1, True, None), ("hot", "/", 1, True, None)]
+    claims = spark.createDataFrame(rows, "permanode_id string, file_path string, size_bytes long, is_current boolean, domain string").repartition(6)
+    table = stats.path_rollup(claims, "domain").cache()
+    for prefix in ("/", "/a", "/a/b/", "/c/c/c", "/b/a.x", "/nothing", "/a/a/a/a"):
+        want, got = stats.path_tree(claims, prefix, overlay="domain", limit=500), stats.path_children(table, prefix, limit=500)
+        assert sorted(map(str, got.select(*sorted(got.columns)).collect())) == sorted(map(str, want.select(*sorted(got.columns)).collect()))
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_search_in_tiles(spark, metric):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 6)).round(1)
+    x[50:60] = x[40]
+    rows = [(f"v{i:03d}", v.tolist()) for i, v in enumerate(x)] + [("null", None), ("nan", [float("nan")] * 6), ("zero", [0.0] * 6), ("short", [1.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "permanode_id string, vector array<double>")
+    asked = [(i, x[i].tolist()) for i in range(0, 60, 7)] + [(1000, [1.0, 2.5])]
+    queries_ = spark.createDataFrame(asked, "query_id long, query array<double>")
+    got = embed.search_many(vectors, queries_, 5, metric, batch=3, block=32)
+    assert "NestedLoop" not in plan_text(got)
+
+    def distance(a, b):
+        a, b = np.array(a), np.array(b)
+        return float(np.sqrt(((a - b) ** 2).sum()) if metric == "l2" else 1 - (a * b).sum() / (np.linalg.norm(a) * np.linalg.norm(b)))
+
+    fit = [(n, v) for n, v in rows if v is not None and not any(map(np.isnan, v)) and (metric == "l2" or any(v))]
+    want = {(q, r): (round(d, 9), n) for q, v in asked for r, (d, n) in enumerate(sorted((distance(v, w), n) for n, w in fit if len(w) == len(v))[:5], 1)}
+    found = {(r.query_id, r["rank"]): (round(r.distance, 9), r.permanode_id) for r in got.collect()}
+    assert found.keys() == want.keys() and all(abs(found[k][0] - want[k][0]) < 1e-8 for k in want)
+    assert embed.search_many(vectors.filter("false"), queries_, 5, metric).count() == 0

@@ -1,3 +1,4 @@
+import datetime
 import hashlib
 import io
 import os
@@ -147,6 +148,23 @@ def test_manifest_round_trip(spark, tmp_path):
         files.read_manifest(spark, str(tmp_path / "bad.tsv"))
 
 
+def test_plans_are_loaded_as_they_are(spark, tmp_path):
+    """Tabs, quotes, backslashes and comments survive; foreign files are read as CSV."""
+    odd = '/a\tb/c\\d "e"\n#'
+    rows = spark.createDataFrame([("stash", "a" * 32, "0" * 64, 5, odd, "L2", None, "L2", '"why"'), ("#x", "b" * 32, "0" * 64, 6, '"/q', "L2", "", "L2", None)], files.MANIFEST)
+    sinks.write_manifest(rows.repartition(2), str(tmp_path / "m"), {"run": "r1", "by": "a: b"})
+    comments, back = files.load_plan_rows(spark, str(tmp_path / "m"))
+    assert sorted(comments) == ["# by: a: b", "# estatum-manifest-v1", "# run: r1"] and back.columns == files.COLUMNS
+    assert sorted((r.action, r.source_path, r.rationale) for r in back.collect()) == [("#x", '"/q', ""), ("stash", odd, '"why"')]
+    assert len(list((tmp_path / "m" / "1-rows").glob("part-*"))) == 2
+    (tmp_path / "f.tsv").write_bytes(b'# one\nsource_path\tmy col\textra\n/a\t"x\ty"\t1\n# two\n/b\xff\t""\n\n/c\tp ""q\t2\tmore\n')
+    comments, back = files.load_plan_rows(spark, str(tmp_path / "f.tsv"))
+    assert comments == ["# one", "# two"] and back.columns == ["source_path", "my col", "extra"]
+    assert sorted(map(tuple, back.collect()), key=str) == [("/a", "x\ty", "1"), ("/b\ufffd", "", None), ("/c", 'p ""q', "2")]
+    (tmp_path / "empty.tsv").write_text("# only\n")
+    assert files.load_plan_rows(spark, str(tmp_path / "empty.tsv"))[0] == ["# only"]
+
+
 def test_snapshot(spark, tmp_path):
     t = {"claims": spark.range(5), "tiers": spark.range(2)}
     m = sinks.export_snapshot(t, str(tmp_path), "m1").first()
@@ -154,6 +172,16 @@ def test_snapshot(spark, tmp_path):
     assert sinks.export_snapshot({"claims": spark.range(5).repartition(3)}, str(tmp_path / "2"), "m1").first().payload_hash == m.payload_hash
 
 
+def test_payload_hash_sees_changes(spark):
+    h = lambda rows, ddl="a long, b string, t timestamp": spark.createDataFrame(rows, ddl).repartition(3).agg(sinks.content_hash(spark.createDataFrame(rows, ddl)).alias("h")).first().h
+    at = datetime.datetime(2024, 1, 1, 0, 0, 0, 1)
+    rows = [(1, "x", at), (1, "x", at), (3, None, None)]
+    assert h(rows) == h(rows[::-1])
+    others = [[(2, "x", at), (2, "x", at), (3, None, None)], rows[:2], rows + rows[:1], [(1, "x", at), (3, None, None), (3, None, None)], [*rows[:2], (3, "", None)], [(1, "x", at), (1, "x", at.replace(microsecond=2)), rows[2]], []]
+    assert len({h(r) for r in [rows, *others]}) == len(others) + 1
+    assert h([(1, 2)], "a long, b long") != h([(2, 1)], "a long, b long")
+
+
 def test_policies(spark):
     good = {"version": 1, "kind": "ClassificationPolicy", "domains": [{"name": "d", "rules": [{"path_substring_any_of": ["/a/", "/b/"]}]}]}
     assert files.policy_tables(spark, good)["domains"].count() == 2
