@@ -287,9 +287,12 @@ def broadcast_scores(docs: DataFrame, keep: list[str], f: Filter, n: int, v: int
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
-def _named(keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    """One number for a filter key and its bucket."""
-    return tx.mix(keys ^ tx.mix(bucket.astype(U) + U(1)))
+def _dealt_keys(words: list, pairs: list, buckets: int) -> tuple:
+    """(distinct words and distinct pairs of a batch, the order in which its buckets ask
+    for them, the bucket of each): who has the texts needs no keys beside the answers."""
+    keys = [np.unique(np.concatenate(x)) for x in (words, pairs)]
+    bucket = bucket_of(np.concatenate(keys), buckets)
+    return keys, np.argsort(bucket, kind="stable"), bucket
 
 
 def sent_batches(docs: DataFrame, keep: list[str], buckets: int) -> DataFrame:
@@ -306,11 +309,8 @@ def sent_batches(docs: DataFrame, keep: list[str], buckets: int) -> DataFrame:
 
         def flush():
             own, texts = (pa.concat_arrays([h[0].column(i) for h in held]) for i in (0, 1))
-            keys = [np.unique(np.concatenate([h[1] for h in held])), np.unique(np.concatenate([h[2] for h in held]))]
-            full = np.concatenate(keys)
+            keys, order, bucket = _dealt_keys([h[1] for h in held], [h[2] for h in held], buckets)
             fk = np.concatenate([filter_key(k, kind) for kind, k in zip((1, 2), keys, strict=True)])
-            bucket = bucket_of(full, buckets)
-            order = np.argsort(bucket, kind="stable")
             parts = list(_by_bucket(bucket[order], buckets, fk[order]))
             names = [pa.array([-1 - batch, *[b for b, _ in parts]], pa.int64()), pa.array([batch] * (1 + len(parts)), pa.int64()), pa.array([None, *[k.tobytes() for _, k in parts]], pa.binary()), pa.nulls(1 + len(parts), pa.binary())]
             at = pa.array([0] + [len(own)] * (1 + len(parts)), pa.int32())
@@ -343,19 +343,16 @@ def routed_scores(docs: DataFrame, keep: list[str], built: DataFrame, buckets: i
         keys = np.frombuffer(b"".join(f["keys"]), U)
         levels = own._probe(keys, np.full(len(keys), bucket))
         at = np.concatenate([[0], np.cumsum([len(k) // 8 for k in f["keys"]])])
-        return f.assign(levels=[levels[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)])
+        return f.assign(keys=None, levels=[levels[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)])
 
     def gather(f: pd.DataFrame) -> pd.DataFrame:
-        head, rest = f[f["bucket"] < 0].iloc[0], f[f["bucket"] >= 0]
-        number = np.concatenate([_named(np.frombuffer(k, U), np.full(len(k) // 8, b)) for b, k in zip(rest["bucket"], rest["keys"], strict=True)])
-        levels = np.frombuffer(b"".join(rest["levels"]), np.uint8)
-        order = np.argsort(number)
-        number, levels = number[order], levels[order]
-        find = lambda keys, kind: levels[np.searchsorted(number, _named(filter_key(keys, kind), bucket_of(keys, buckets)))]
-        out = []
-        for _, rows, data, off in tx.blocks(pa.array(head["texts"], pa.string())):
-            h, doc, pairs, before = _asked(data, off)
-            out.append(_text_scores(h, doc, rows, (find(h, 1), find(pairs, 2), find(before, 1)), n, v))
+        head, rest = f[f["bucket"] < 0].iloc[0], f[f["bucket"] >= 0].sort_values("bucket")
+        blocks = [(rows, *_asked(data, off)) for _, rows, data, off in tx.blocks(pa.array(head["texts"], pa.string()))]
+        keys, order, _ = _dealt_keys([x for _, h, _, _, before in blocks for x in (h, before)], [pairs for _, _, _, pairs, _ in blocks], buckets)
+        levels = np.empty(len(order), np.uint8)
+        levels[order] = np.frombuffer(b"".join(rest["levels"]), np.uint8)
+        find = lambda k, kind: levels[np.searchsorted(keys[kind], k) + kind * len(keys[0])]
+        out = [_text_scores(h, doc, rows, (find(h, 0), find(pairs, 1), find(before, 0)), n, v) for rows, h, doc, pairs, before in blocks]
         cols = [np.concatenate(c) for c in zip(*out, strict=True)]
         return pd.DataFrame({"own": list(head["own"]), "token_key": cols[0], "n_tokens": cols[1], "score": cols[2]})
 
