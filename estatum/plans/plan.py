@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from estatum.functions import derive
 from estatum.operators import stats
+from estatum.scratch import stored
 
 # Tiers and what becomes of their copies, reasons that block, intents.
 CLOUD_TIERS = {"DropboxStorage": "dropbox-cloud-trash-account-specific"}
@@ -217,19 +218,21 @@ def needs_cloud_gate(rows: DataFrame) -> DataFrame:
 
 def simulate(verified: DataFrame, max_files: int | None = None) -> DataFrame:
     """Outcome of a dry run of plan rows with a ``check`` (verify_content's
-    outcome): applied, skipped beyond ``max_files``, or errored with a text."""
+    outcome): applied, skipped beyond ``max_files``, or errored with a text.  With a limit
+    the plan is stored, as it is read twice."""
     a = F.col("action")
     error = F.when(a.isin("restore", "finalize_stash", "reclassify"), F.concat(F.lit("unsupported action "), a)).when(a.isin("stash", "promote") & F.col("destination_path").isNull(), F.concat(a, F.lit(" row without destination"))).when(F.col("check").isin("missing", "mismatch"), F.concat(F.lit("content "), F.col("check")))
-    out = verified.withColumn("error", error).withColumn("_ok", error.isNull())
+    out, good = verified.withColumn("error", error), F.col("error").isNull()
     beyond = F.lit(False)
     if max_files is not None:
-        # the last row that a run may apply; rows are named once
-        first = stats.last_n_per_key(out.filter("_ok").select("manifest_run_id", "row_id"), ["manifest_run_id"], [F.asc("row_id")], max_files)
+        out = stored(out, "plan")
+        # the last row that a run may apply: a row a run
+        first = stats.last_n_per_key(out.filter(good).select("manifest_run_id", "row_id"), ["manifest_run_id"], [F.asc("row_id")], max_files)
         last = first.groupBy(F.col("manifest_run_id").alias("_run")).agg(F.max("row_id").alias("_last"))
         out = out.join(last, F.col("manifest_run_id").eqNullSafe(F.col("_run")), "left")
         beyond = F.coalesce(F.col("row_id") > F.col("_last"), F.lit(True))
-    outcome = F.when(~F.col("_ok"), "errored").when(beyond, "skipped").otherwise("applied")
-    return out.withColumn("outcome", outcome).drop("_ok", "_run", "_last")
+    outcome = F.when(~good, "errored").when(beyond, "skipped").otherwise("applied")
+    return out.withColumn("outcome", outcome).drop("_run", "_last")
 
 
 def record_outcomes(outcomes: DataFrame, claims: DataFrame, home: str) -> DataFrame:

@@ -517,7 +517,7 @@ POLICY = plan.Retention(skip_substrings=("/misc/",), stash_roots={"L2": "/Volume
 
 
 def _retire(e):
-    return plan.dedup_retire(joins.current_claims(e.claims.drop("canonical_hash"), e.permanodes), POLICY, "r1")
+    return plan.dedup_retire(joins.current_claims(e.kept_claims.drop("canonical_hash"), e.kept_permanodes), POLICY, "r1")
 
 
 @query("plan_dedup_retire", RANKED + """ SELECT claim_id, action, permanode_id, file_path AS source_path, tier AS source_tier, CASE WHEN action = 'stash' THEN CASE WHEN tier = 'L2' THEN '/Volumes/Level 2/_stash/r1/' || base ELSE regexp_replace(file_path, '/[^/]*$', '') || '/_cooling-off-stash/r1/' || base END END AS destination_path,
@@ -533,7 +533,7 @@ def _(e):
 
 @query("plan_keeper_rank", RANKED + " SELECT claim_id, rank, keeper_path FROM ranked")
 def _(e):
-    rows = joins.current_claims(e.claims.drop("canonical_hash"), e.permanodes).filter(~F.col("file_path").contains("/misc/"))
+    rows = joins.current_claims(e.kept_claims.drop("canonical_hash"), e.kept_permanodes).filter(~F.col("file_path").contains("/misc/"))
     many = rows.groupBy("permanode_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return plan.keeper_rank(rows.join(many, "permanode_id", "left_semi"), POLICY).select("claim_id", F.col("rank").cast("long").alias("rank"), F.col("keeper.file_path").alias("keeper_path"))
 
@@ -556,7 +556,7 @@ def _(e):
 @query("plan_promote", f""", only_ AS (SELECT permanode_id FROM cur GROUP BY 1 HAVING bool_and(tier = 'Backup')), one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY permanode_id ORDER BY claim_id) AS n FROM cur WHERE permanode_id IN (SELECT * FROM only_)) WHERE n = 1), ph AS (SELECT *, {PHASE_CASE} AS phase FROM one)
  SELECT claim_id, permanode_id, phase, CASE WHEN starts_with(file_path, '/Volumes/NFS-Backup/') THEN '/Volumes/Backup/' || substr(file_path, 21) ELSE file_path END AS source_path, CASE phase WHEN 'photos' THEN '/Volumes/Level 2/Photos/' || base WHEN 'docs' THEN '/Volumes/Level 2/Docs/' || base ELSE '/Volumes/Level_3a/Rest/' || base END AS destination_path FROM ph WHERE phase IS NOT NULL""")
 def _(e):
-    return plan.promote(stats.current(e.claims), PHASES, translations=[("/Volumes/NFS-Backup/", "/Volumes/Backup/")]).select("claim_id", "permanode_id", "phase", "source_path", "destination_path")
+    return plan.promote(stats.current(e.kept_claims), PHASES, translations=[("/Volumes/NFS-Backup/", "/Volumes/Backup/")]).select("claim_id", "permanode_id", "phase", "source_path", "destination_path")
 
 
 def _backlog(e):
@@ -690,7 +690,7 @@ def _chained(e):
 def _tampered(e):
     """The chained log with payloads changed afterwards, on two of the machines."""
     odd = (F.col("id") % 97 == 96) & (F.col("machine_id") != "m1")
-    return _chained(e)[0].withColumn("payload", F.when(odd, F.lit("{}")).otherwise(F.col("payload")))
+    return stored(_chained(e)[0], "chain").withColumn("payload", F.when(odd, F.lit("{}")).otherwise(F.col("payload")))
 
 
 BROKEN = ", n AS (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY id) AS rn FROM log), b AS (SELECT machine_id, min(id) AS bad_id, min(rn) AS rn FROM n WHERE id % 97 = 96 AND machine_id <> 'm1' GROUP BY 1), v AS (SELECT machine_id, b.bad_id IS NULL AS ok, coalesce(b.rn - 1, count(*)) AS rows_checked, b.bad_id, CASE WHEN b.bad_id IS NOT NULL THEN 'row_hash mismatch' END AS message FROM log LEFT JOIN b USING (machine_id) GROUP BY machine_id, b.bad_id, b.rn)"
@@ -704,7 +704,7 @@ def _(e):
 @query("audit_append_and_verify", "SELECT machine_id, true AS ok, count(*) AS rows_checked FROM log GROUP BY 1", LOG)
 def _(e):
     chained, columns = _chained(e)
-    return audit.verify_chain(chained, columns).select("machine_id", "ok", "rows_checked")
+    return audit.verify_chain(stored(chained, "chain"), columns).select("machine_id", "ok", "rows_checked")
 
 
 def _one_chain(e):
@@ -715,7 +715,7 @@ def _one_chain(e):
 
 @query("audit_verify_long_chain", ", b AS (SELECT min(id) AS bad FROM log WHERE id % 997 = 996) SELECT bad IS NULL AS ok, (SELECT count(*) FROM log WHERE bad IS NULL OR id < bad) AS rows_checked, bad AS bad_id FROM b", LOG)
 def _(e):
-    bad = _one_chain(e).withColumn("payload", F.when(F.col("id") % 997 == 996, F.lit("{}")).otherwise(F.col("payload")))
+    bad = stored(_one_chain(e), "chain").withColumn("payload", F.when(F.col("id") % 997 == 996, F.lit("{}")).otherwise(F.col("payload")))
     return audit.verify_long_chain(bad, 8, COLUMNS).select("ok", "rows_checked", "bad_id")
 
 

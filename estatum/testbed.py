@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from estatum.functions import derive
+from estatum.scratch import stored
 
 ROOTS = ("/Users/ana", "/Volumes/Level 1", "/Volumes/Level 1w", "/Volumes/Level 2", "/Volumes/Level_3a", "/Volumes/DropboxStorage/Dropbox", "/Volumes/Backup", "/Volumes/NFS-Backup")
 FOLDERS = {"en": "Documents", "de": "Photos", "fr": "Music", "es": "src"}
@@ -19,6 +20,10 @@ HOME = "/Users/ana"
 NOW = "2024-06-01 00:00:00"
 
 
+def _permanodes(claims: DataFrame) -> DataFrame:
+    return claims.groupBy("permanode_id").agg(F.min("canonical_hash").alias("canonical_hash"), F.min("size_bytes").alias("size_bytes"), F.min("observed_at").alias("first_seen_at"), F.max("observed_at").alias("last_seen_at"))
+
+
 @dataclass(frozen=True)
 class Estate:
     """The tables of one folder, made when asked for."""
@@ -55,9 +60,19 @@ class Estate:
         out = rows.withColumns({"tier": derive.tier(file), "volume": derive.volume(file), "extension": derive.extension(file)})
         return derive.classify(out, DOMAINS, CLUSTERS)
 
+    @cached_property
+    def kept_claims(self) -> DataFrame:
+        """The claims as a table, as an inventory has them: tier and labels are columns,
+        not rules to be worked out at each use."""
+        return stored(self.claims, "claims")
+
+    @cached_property
+    def kept_permanodes(self) -> DataFrame:
+        return _permanodes(self.kept_claims)
+
     @cached_property
     def permanodes(self) -> DataFrame:
-        return self.claims.groupBy("permanode_id").agg(F.min("canonical_hash").alias("canonical_hash"), F.min("size_bytes").alias("size_bytes"), F.min("observed_at").alias("first_seen_at"), F.max("observed_at").alias("last_seen_at"))
+        return _permanodes(self.claims)
 
     @cached_property
     def line_claims(self) -> DataFrame:
