@@ -168,7 +168,7 @@ def test_clusters_are_pruned(spark, monkeypatch):
     pairs, old = [0], neighbours.meet
 
     def counted(ask, filed, have, k):
-        pairs[0] += sum(r["count"] * have.get(r.part, 0) for r in ask.groupBy("part").count().collect())
+        pairs[0] += sum(r["count"] * r.n for r in ask.groupBy("part").count().join(have, "part").collect())
         return old(ask, filed, have, k)
 
     monkeypatch.setattr(neighbours, "meet", counted)
@@ -179,6 +179,34 @@ def test_clusters_are_pruned(spark, monkeypatch):
     assert len(out) == 2400 and hit >= 0.9 * 2400 and pairs[0] <= 0.1 * 240 * 12000
 
 
+def test_parts_of_parts(spark, monkeypatch):
+    """Two levels of networks: more leaves than one network has parts, and as little visited."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 1, (100, 16))
+    x = (centres[rng.integers(0, 100, 6000)] + rng.normal(0, 0.15, (6000, 16))).astype(np.float32)
+    for name, value in {"PER_PART": 128, "WIDE": 8, "SAMPLE": 1500}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    seen, old = [], neighbours.meet
+
+    def counted(ask, filed, have, k):
+        seen.append((have.count(), sum(r["count"] * r.n for r in ask.groupBy("part").count().join(have, "part").collect())))
+        return old(ask, filed, have, k)
+
+    monkeypatch.setattr(neighbours, "meet", counted)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+    out = neighbours.nearest(df, F.col("vec_id") % 50 == 0, sample=1500).collect()
+    want = exact(x.astype(np.float64), np.arange(6000), range(0, 6000, 50), 10)
+    hit = sum(r.vec_id in {a for a, _ in want[r.query_id]} for r in out)
+    assert len(out) == 1200 and hit >= 0.9 * 1200 and seen[0][0] > 8 and seen[0][1] <= 0.3 * 120 * 6000
+
+
+def test_repeated_ids(spark):
+    """Rows of one id are candidates each, but never the query's own."""
+    rows = [(i % 40, [float(i), 1.0]) for i in range(400)]
+    out = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0, k=3).collect()
+    assert out and all(r.vec_id != r.query_id for r in out)
+
+
 def test_queries_short_of_neighbours(spark, monkeypatch):
     """Parts of few rows: queries go on to others until all have ten."""
     rng = np.random.default_rng(6)
