@@ -168,7 +168,7 @@ def mix(docs: DataFrame, keep: list[str], weights: tuple[float, ...] = WEIGHTS,
     ``keep`` columns of documents (doc_id, text, source, and lang if there)."""
     size = word_count(F.col("text"))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    base = materialize(docs.select(F.struct(*keep).alias("_keep"), F.monotonically_increasing_id().alias("_id"), *[F.col(c).alias(f"_{c}") for c in ("doc_id", "source")], lang.alias("_lang"), size.alias("size")), "sizes")
+    base = materialize(docs.select(F.struct(*keep).alias("_keep"), F.monotonically_increasing_id().alias("_id"), *[F.col(c).alias(f"_{c}") for c in ("doc_id", "source")], lang.alias("_lang"), size.alias("size"), F.xxhash64("text").alias("_text")), "sizes")
     goals = source_targets(base.select(F.col("_source").alias("source"), "size"), weights, ceiling)
     goals = materialize(goals.withColumn("number", F.row_number().over(Window.orderBy("source")).cast("long")), "goals")
     # features: languages first, then bands of sizes by powers of two
@@ -190,7 +190,8 @@ def mix(docs: DataFrame, keep: list[str], weights: tuple[float, ...] = WEIGHTS,
     mu = balance(cells, shares)
     rates = goals.join(cell_rates(cells, mu, ceiling), "number").select("source", "source_size", "target", "lang", "band", "rate")
     classes = copy_classes(marked, rates, ceiling)
-    ranked = with_rank(marked, ["_source", "lang", "size"], ["_doc_id"], "_r")
+    # equal in id and text are interchangeable, so a rerun copies the same
+    ranked = with_rank(marked, ["_source", "lang", "size"], ["_doc_id", "_text"], "_r")
     joined = ranked.join(classes, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("lang") == F.col("_l")))
     copies = F.floor(F.col("_copies") / F.col("_n")) + F.when(F.col("_r") < F.col("_copies") % F.col("_n"), 1).otherwise(0)
     counted = materialize(joined.select("_id", "size", "source_size", "target", "rate", copies.cast("int").alias("copies")), "copies")

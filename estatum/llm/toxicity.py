@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from estatum.llm.common import extended, materialize, table
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Bound of the labelled documents (by hash) that the fit gathers on the driver.
 FIT_DOCS = 1600
-#: Weight from which a word or stem is listed; the list grows with the words that reach it, not to a fixed number.
+#: Weight from which a word or stem of the fit's documents is listed.
 LISTED = 1.5
 #: Label rows (16 bytes each) up to which they are broadcast.
 SMALL_LABELS = 1_000_000
@@ -39,12 +40,14 @@ ODDS = 2.5
 STEMS = (4, 5, 6)
 
 
-def word_odds(labelled: DataFrame, least: float = LISTED) -> DataFrame:
-    """(word, weight): all words and stems ("^" before them) whose log-odds between documents labelled
-    1 and 0, over all labelled rows, are at least ``least``; the greatest first, ties by word."""
+def word_odds(labelled: DataFrame, least: float = LISTED, among: DataFrame | None = None) -> DataFrame:
+    """(word, weight): the words and stems ("^" before them), of those ``among`` (word) if
+    given, whose log-odds between documents labelled 1 and 0, over all labelled rows, are
+    at least ``least``; the greatest first, ties by word."""
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     stems = [F.transform(F.filter(F.col("_w"), lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.lit("^"), F.substring(w, 1, n))) for n in STEMS]
     words = labelled.select("toxic", found.alias("_w")).select("toxic", F.explode(F.array_distinct(F.concat("_w", *stems))).alias("word"))
+    words = words if among is None else words.join(F.broadcast(among), "word", "left_semi")
     by = words.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1)).alias("b"))
     n = labelled.agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("na"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1)).alias("nb"))
     odds = F.log((F.col("a") + 0.5) / (F.col("na") + 1.0)) - F.log((F.col("b") + 0.5) / (F.col("nb") + 1.0))
@@ -227,15 +230,17 @@ def fit(docs: list[tuple[str, int]], odds: dict[str, float], rounds: int = 40, r
 
 
 def train(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> Crf:
-    """Fit on (doc_id, text, toxic).  Odds cover every labelled row; the CRF
-    itself is fitted on at most ``fit_docs`` of them, half toxic, by hash."""
+    """Fit on (doc_id, text, toxic).  The CRF is fitted on at most ``fit_docs`` rows, half
+    toxic, by hash; the odds of the words that these hold cover every labelled row."""
     labelled = labelled.filter("text IS NOT NULL AND toxic IS NOT NULL")
-    # words outside toxic use stay at their own emission: only those with some odds are listed
-    odds = {r.word: r.weight for r in word_odds(labelled).collect()}
     rows = []
     for label in (1, 0):
         part = labelled.filter((F.col("toxic") == 1) if label else (F.col("toxic") != 1))
         rows += [(r.text, label) for r in part.select("text", F.xxhash64("doc_id", F.lit(7)).alias("_h")).orderBy("_h", "text").limit(fit_docs // 2).collect()]
+    # only features that the fit sees can get a weight, so the list is bounded by its documents
+    seen = sorted({f for text, _ in rows for w in TOKEN.findall(text.lower()) for f in features_of(w)})
+    among = labelled.sparkSession.createDataFrame(pd.DataFrame({"word": seen}), "word string")
+    odds = {r.word: r.weight for r in word_odds(labelled, among=among).collect()}
     return fit(rows, odds)
 
 

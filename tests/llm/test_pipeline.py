@@ -58,6 +58,12 @@ def test_secrets_are_masked(spark, folder):
     assert got[2].text == "clean words" and got[2].n_chars == 11
 
 
+def test_mixing_without_languages(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").drop("lang")
+    out = corpus_pipeline.mix_sources(spark, docs, folder)
+    assert out.columns == docs.columns and out.count() > 0
+
+
 def test_registered():
     names = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op")} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in names if k.startswith("op")} and "pipeline" in names

@@ -479,6 +479,22 @@ def test_toxicity_held_out(spark):
     assert next(r for r in out if r.doc_id == -1).predicted == 0
 
 
+def test_listed_words_are_those_of_the_fit(spark):
+    """However many words the labelled rows have, the list holds those of the fit's documents."""
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} badword other", 1) for i in range(400)] + [(1000 + i, f"plain text number {i}", 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df, fit_docs=20)
+    assert "badword" in model.emit and len(model.emit) <= 20 * 20
+
+
+def test_mixing_reruns_agree(spark):
+    """Documents of one id, source and size but other texts: the same ones are copied."""
+    rows = [(1, f"t{i} " + "w " * 9, "s") for i in range(40)] + [(i, "x " * 9, "r") for i in range(2, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [sorted(tuple(r) for r in mixing.mix(df.repartition(n), ["doc_id", "text"]).select("doc_id", "text", "copies").collect()) for n in (1, 5)]
+    assert got[0] == got[1] and len(got[0]) == 68
+
+
 def test_toxic_words_outlast_clean_ones(spark):
     """Thousands of words of clean-only use do not crowd out words of moderate toxic odds."""
     letters = lambda i: "".join(chr(97 + i // 26**j % 26) for j in range(3))
