@@ -58,8 +58,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target asks for."""
-    mixed = mixing.mix(_rows(docs, "doc_id", "text", "source", "lang"), ["_row"])
+    """Each document as often as its source's target asks for; languages count where the
+    table has them."""
+    known = [c for c in ("lang",) if c in docs.columns]
+    mixed = mixing.mix(_rows(docs, "doc_id", "text", "source", *known), ["_row"])
     return mixed.filter("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("_row.*")
 
 
