@@ -29,6 +29,8 @@ class Retention:
     nas: tuple[str, ...] = ("Backup",)
     stash_roots: dict[str, str] = field(default_factory=dict)
     recovered: tuple[str, ...] = ()
+    cooling_off_days: int = 7
+    no_promote: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -42,6 +44,60 @@ class Phase:
     other_keys: tuple[str, ...] = ()
 
 
+def _fields(given: dict, known: set[str], needed: set[str], where: str) -> dict:
+    if (odd := set(given) - known) or (odd := needed - set(given)):
+        raise ValueError(f"{where}: unknown or missing {sorted(odd)}")
+    return given
+
+
+def _header(policy: dict, kind: str, parts: set[str]) -> dict:
+    _fields(policy, {"version", "kind", "metadata", *parts}, {"version", *parts}, kind)
+    if policy["version"] != 1 or policy.get("kind", kind) != kind:
+        raise ValueError(f"not a version 1 {kind}")
+    return policy
+
+
+def retention_of(policy: dict) -> Retention:
+    """The rules of a parsed retention policy; unknown fields and wrong kinds are refused."""
+    p = _header(policy, "RetentionPolicy", {"exclusions", "dedup_retire"})
+    skip = _fields(p["exclusions"], {"always_skip_substrings", "no_promote_substrings", "basename_prefixes", "basename_exact"}, set(), "exclusions")
+    d = _fields(p["dedup_retire"], {"strategy", "tier_priority", "live_tiers", "cooling_off_days", "stash_roots", "nas_manifest_tiers", "recovered_substrings"}, {"tier_priority", "live_tiers"}, "dedup_retire")
+    if d.get("strategy", "keep-highest-priority-tier") != "keep-highest-priority-tier" or d.get("cooling_off_days", 7) < 0:
+        raise ValueError("unknown strategy, or a negative number of days")
+    many = lambda of, name: tuple(of.get(name) or ())
+    return Retention(many(skip, "always_skip_substrings"), many(skip, "basename_prefixes"), many(skip, "basename_exact"), {k: int(v) for k, v in d["tier_priority"].items()}, many(d, "live_tiers"), many(d, "nas_manifest_tiers"), dict(d.get("stash_roots") or {}), many(d, "recovered_substrings"), d.get("cooling_off_days", 7), many(skip, "no_promote_substrings"))
+
+
+@dataclass(frozen=True)
+class Promotion:
+    """A promotion policy: phases, and what they have in common."""
+
+    phases: list[Phase]
+    source_tier: str = "Backup"
+    translations: list[tuple[str, str]] = field(default_factory=list)
+    strip: str | None = None
+
+    def promote(self, claims: DataFrame, retention: Retention | None = None, phase: str | None = None, max_files: int | None = None) -> DataFrame:
+        return promote(claims, self.phases, self.source_tier, self.translations, self.strip, retention.no_promote if retention else (), phase, max_files)
+
+
+def promotion_of(policy: dict) -> Promotion:
+    """The phases of a parsed promotion policy.  A phase whose match has keys that aren't
+    known matches nothing."""
+    p = _header(policy, "PromotionPolicy", {"defaults", "phases"})
+    settings = {"path_translations", "source_tier", "copy_strategy", "hash_algo", "preserve_mtime", "mirror_strip_prefix", *(f"on_dst_exists_{c}" for c in ("size_match_hash_match", "size_match_hash_mismatch", "size_mismatch"))}
+    d = _fields(p["defaults"], settings, set(), "defaults")
+    moves = [_fields(t, {"from", "to"}, {"from", "to"}, "path_translations") for t in d.get("path_translations") or ()]
+    phases = []
+    for x in p["phases"]:
+        x = _fields(x, {"name", "match", "destination_root", "max_files", "mirror_from"}, {"name", "match", "destination_root"}, "phase")
+        if x.get("max_files") is not None and x["max_files"] < 1:
+            raise ValueError("max_files is less than 1")
+        match = dict(x["match"])
+        phases.append(Phase(x["name"], x["destination_root"], match.pop("domain", None), match.pop("path_contains", None), x.get("max_files"), x.get("mirror_from"), tuple(match)))
+    return Promotion(phases, d.get("source_tier", "Backup"), [(t["from"], t["to"]) for t in moves], d.get("mirror_strip_prefix"))
+
+
 def dedup_retire(claims: DataFrame, policy: Retention, run_id: str, root_prefix: str | None = None) -> DataFrame:
     """Plan rows for every copy but the keeper of each content with several
     current claims (claims: current_claims).  Contents with one copy leave before
@@ -134,7 +190,7 @@ def promote(claims: DataFrame, phases: list[Phase], source_tier: str = "Backup",
 
 
 def blocked_reasons() -> Column:
-    """Ordered tokens of a plans row (rows_total, manifest_exists, dry_run_errors,
+    """Ordered tokens (fixed values) of a plans row (rows_total, manifest_exists, dry_run_errors,
     retire_direct, cloud_retire_ready, has_filter, sample_paths, cap, stale)."""
     c = F.col
     cloudy = F.exists("sample_paths", lambda p: F.lower(p).rlike("dropbox|cloudstorage|fileprovider"))

@@ -227,9 +227,9 @@ def _(e):
 
 
 @query("stats_overview", """, c AS (SELECT permanode_id, count(*) AS n FROM cur GROUP BY 1), big AS (SELECT permanode_id, size_bytes, n FROM nodes JOIN c USING (permanode_id) ORDER BY size_bytes DESC, permanode_id DESC LIMIT 1)
- SELECT (SELECT count(*) FROM nodes) AS permanodes, (SELECT count(*) FROM cur) AS current_claims, (SELECT CAST(sum(size_bytes) AS BIGINT) FROM cur) AS bytes_total, (SELECT count(*) FROM c WHERE n >= 2) AS duplicated, big.permanode_id AS largest_id, big.size_bytes AS largest_bytes, big.n AS largest_copies FROM big""")
+ SELECT (SELECT count(*) FROM nodes) AS permanodes, (SELECT count(*) FROM cur) AS current_claims, (SELECT CAST(sum(size_bytes) AS BIGINT) FROM cur) AS bytes_total, (SELECT count(*) FROM c WHERE n >= 2) AS duplicated, big.permanode_id AS largest_id, big.size_bytes AS largest_bytes, big.n AS largest_copies, (SELECT string_agg(tier, ',' ORDER BY b DESC, tier) FROM (SELECT tier, sum(size_bytes) AS b FROM cur GROUP BY 1 ORDER BY b DESC, tier LIMIT 5)) AS top_tiers, (SELECT string_agg(coalesce(domain, '-'), ',' ORDER BY b DESC, domain NULLS LAST) FROM (SELECT domain, sum(size_bytes) AS b FROM cur GROUP BY 1 ORDER BY b DESC, domain NULLS LAST LIMIT 5)) AS top_domains FROM big""")
 def _(e):
-    return stats.overview(e.claims, e.permanodes).drop("top_tiers", "top_domains")
+    return stats.overview(e.claims, e.permanodes).withColumns({c: F.array_join(c, ",", "-") for c in ("top_tiers", "top_domains")})
 
 
 @query("stats_cross", "SELECT tier, extension, CAST(sum(size_bytes) AS BIGINT) AS value, (SELECT count(*) FROM (SELECT DISTINCT tier, extension FROM cur WHERE machine_id = 'm1')) > 10 AS truncated FROM cur WHERE machine_id = 'm1' GROUP BY 1, 2 ORDER BY value DESC, tier NULLS LAST, extension NULLS LAST LIMIT 10")
@@ -299,19 +299,19 @@ def _(e):
     return stats.tail_audit(e.events, 20, "stash_committed").select("id", "machine_id", "action")
 
 
-SUMMARY = """, c AS (SELECT machine_id, count(*) AS claims, count(*) FILTER (is_current) AS current_claims FROM claims GROUP BY 1), r AS (SELECT machine_id, count(*) AS runs FROM runs GROUP BY 1), a AS (SELECT machine_id, count(*) AS audit_rows FROM log GROUP BY 1)
- SELECT machine_id, coalesce(claims, 0) AS claims, coalesce(current_claims, 0) AS current_claims, coalesce(runs, 0) AS runs, coalesce(audit_rows, 0) AS audit_rows"""
+SUMMARY = """, c AS (SELECT machine_id, count(*) AS claims, count(*) FILTER (is_current) AS current_claims, make_timestamp((1704067200 + min(observed)) * 1000000) AS c0, make_timestamp((1704067200 + max(observed)) * 1000000) AS c1 FROM claims GROUP BY 1), r AS (SELECT machine_id, count(*) AS runs, min(started_at) AS r0, max(started_at) AS r1 FROM runs GROUP BY 1), a AS (SELECT machine_id, count(*) AS audit_rows, min(timestamp) AS a0, max(timestamp) AS a1 FROM log GROUP BY 1)
+ SELECT machine_id, coalesce(claims, 0) AS claims, coalesce(current_claims, 0) AS current_claims, coalesce(runs, 0) AS runs, coalesce(audit_rows, 0) AS audit_rows, least(c0, r0, a0) AS first_seen, greatest(c1, r1, a1) AS last_seen"""
 SUMMARY_FROM = " FROM (SELECT machine_id FROM c UNION SELECT machine_id FROM r UNION SELECT machine_id FROM a) LEFT JOIN c USING (machine_id) LEFT JOIN r USING (machine_id) LEFT JOIN a USING (machine_id)"
 
 
 @query("joins_machine_summary", SUMMARY + SUMMARY_FROM, f"{CLAIMS}, {RUNS}, {LOG}")
 def _(e):
-    return joins.machine_summary(e.claims, e.runs, e.events).drop("first_seen", "last_seen")
+    return joins.machine_summary(e.claims, e.runs, e.events)
 
 
 @query("stats_machine_details", SUMMARY + ", (SELECT string_agg(id, ',' ORDER BY id DESC) FROM (SELECT id, row_number() OVER (ORDER BY id DESC) AS n FROM runs x WHERE x.machine_id = m.machine_id) WHERE n <= 5) AS run_ids, (SELECT string_agg(action || ' #' || id, ',' ORDER BY id DESC) FROM (SELECT id, action, row_number() OVER (ORDER BY id DESC) AS n FROM log x WHERE x.machine_id = m.machine_id) WHERE n <= 10) AS audit_lines" + SUMMARY_FROM.replace("a)", "a) m", 1), f"{CLAIMS}, {RUNS}, {LOG}")
 def _(e):
-    out = stats.machine_details(joins.machine_summary(e.claims, e.runs, e.events).drop("first_seen", "last_seen"), e.runs, e.events)
+    out = stats.machine_details(joins.machine_summary(e.claims, e.runs, e.events), e.runs, e.events)
     return out.withColumns({"run_ids": F.array_join(F.transform("run_ids", lambda x: x.cast("string")), ","), "audit_lines": F.array_join("audit_lines", ",")})
 
 
@@ -373,9 +373,9 @@ def _(e):
     return stats.name_divergence(e.store.select(name), e.mount.select(name))
 
 
-@query("window_latest_per_key", "SELECT root_path, machine_id, max_by(id, (started_at, id)) AS run_id FROM runs WHERE finished_at IS NOT NULL GROUP BY 1, 2", RUNS)
+@query("window_latest_per_key", "SELECT machine_id, action, max(id) AS id, max_by(manifest_run_id, id) AS manifest_run_id FROM log GROUP BY 1, 2", LOG)
 def _(e):
-    return files.latest_finished_run(e.runs)
+    return stats.latest_per_key(e.events, ["machine_id", "action"], [F.desc("id")]).select("machine_id", "action", "id", "manifest_run_id")
 
 
 @query("window_last_n_per_key", "SELECT machine_id, id FROM (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY id DESC) AS n FROM log) WHERE n <= 20", LOG)
@@ -513,7 +513,7 @@ RANKED = f""", ok AS (SELECT * FROM cur WHERE container_path IS NULL AND NOT con
  biased AS (SELECT *, contains(file_path, '/Photos/') AS rec, bool_or(contains(file_path, '/Photos/')) OVER w AND bool_or(NOT contains(file_path, '/Photos/')) OVER w AS mixed, count(*) OVER w AS n FROM ok WINDOW w AS (PARTITION BY permanode_id)),
  ranked AS (SELECT *, row_number() OVER o AS rank, first_value(tier) OVER o AS keeper_tier, first_value(file_path) OVER o AS keeper_path FROM biased WHERE n > 1 WINDOW o AS (PARTITION BY permanode_id ORDER BY CASE WHEN mixed AND rec THEN 1 ELSE 0 END, {priority_sql('tier')}, claim_id)),
  retire AS (SELECT *, CASE WHEN tier = 'DropboxStorage' THEN 'retire_direct' WHEN tier IN ('boot','L1','L1w','L2','L3a') THEN 'stash' WHEN tier = 'Backup' THEN 'nas_manifest' END AS action FROM ranked WHERE rank > 1 AND NOT (tier = keeper_tier AND file_path = keeper_path))"""
-POLICY = plan.Retention(skip_substrings=("/misc/",), stash_roots={"L2": "/Volumes/Level 2/_stash"}, recovered=("/Photos/",))
+POLICY = plan.retention_of({"version": 1, "kind": "RetentionPolicy", "exclusions": {"always_skip_substrings": ["/misc/"], "basename_prefixes": ["._"]}, "dedup_retire": {"tier_priority": derive.TIER_PRIORITY, "live_tiers": ["boot", "L1", "L1w", "L2", "L3a", "DropboxStorage"], "stash_roots": {"L2": "/Volumes/Level 2/_stash"}, "nas_manifest_tiers": ["Backup"], "recovered_substrings": ["/Photos/"]}})
 
 
 def _retire(e):
@@ -543,7 +543,12 @@ def _(e):
     return plan.source_only(stats.current(e.claims), "Backup")
 
 
-PHASES = [plan.Phase("photos", "/Volumes/Level 2/Photos", domain="photos", mirror_from="/Photos/"), plan.Phase("docs", "/Volumes/Level 2/Docs", domain="documents"), plan.Phase("rest", "/Volumes/Level_3a/Rest", path_contains="/Backup/")]
+PROMOTION = plan.promotion_of({"version": 1, "kind": "PromotionPolicy", "defaults": {"path_translations": [{"from": "/Volumes/NFS-Backup/", "to": "/Volumes/Backup/"}]}, "phases": [
+    {"name": "photos", "match": {"domain": "photos"}, "destination_root": "/Volumes/Level 2/Photos", "mirror_from": "/Photos/"},
+    {"name": "docs", "match": {"domain": "documents"}, "destination_root": "/Volumes/Level 2/Docs"},
+    {"name": "rest", "match": {"path_contains": "/Backup/"}, "destination_root": "/Volumes/Level_3a/Rest"},
+]})
+PHASES = PROMOTION.phases
 PHASE_CASE = "CASE WHEN domain = 'photos' THEN 'photos' WHEN domain = 'documents' THEN 'docs' WHEN contains(file_path, '/Backup/') THEN 'rest' END"
 
 
@@ -556,7 +561,7 @@ def _(e):
 @query("plan_promote", f""", only_ AS (SELECT permanode_id FROM cur GROUP BY 1 HAVING bool_and(tier = 'Backup')), one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY permanode_id ORDER BY claim_id) AS n FROM cur WHERE permanode_id IN (SELECT * FROM only_)) WHERE n = 1), ph AS (SELECT *, {PHASE_CASE} AS phase FROM one)
  SELECT claim_id, permanode_id, phase, CASE WHEN starts_with(file_path, '/Volumes/NFS-Backup/') THEN '/Volumes/Backup/' || substr(file_path, 21) ELSE file_path END AS source_path, CASE phase WHEN 'photos' THEN '/Volumes/Level 2/Photos/' || base WHEN 'docs' THEN '/Volumes/Level 2/Docs/' || base ELSE '/Volumes/Level_3a/Rest/' || base END AS destination_path FROM ph WHERE phase IS NOT NULL""")
 def _(e):
-    return plan.promote(stats.current(e.kept_claims), PHASES, translations=[("/Volumes/NFS-Backup/", "/Volumes/Backup/")]).select("claim_id", "permanode_id", "phase", "source_path", "destination_path")
+    return PROMOTION.promote(stats.current(e.kept_claims)).select("claim_id", "permanode_id", "phase", "source_path", "destination_path")
 
 
 def _backlog(e):
@@ -635,9 +640,9 @@ def _(e):
     return plan.dry_run_digest(_simulated(e).withColumn("plan_id", F.col("manifest_run_id"))).drop("plan_id")
 
 
-@query("plan_record_outcomes", SIM + " SELECT count(*) AS claims, count(*) FILTER (is_current AND NOT (claim_id IN (SELECT claim_id FROM sim WHERE action = 'retire_direct' AND error IS NULL AND nth <= 20))) AS current_claims FROM claims")
+@query("plan_record_outcomes", SIM + " SELECT claim_id, is_current AND NOT (claim_id IN (SELECT claim_id FROM sim WHERE action = 'retire_direct' AND error IS NULL AND nth <= 20)) AS is_current FROM claims")
 def _(e):
-    return plan.record_outcomes(_simulated(e), e.claims, HOME).agg(F.count(F.lit(1)).alias("claims"), F.count_if("is_current").alias("current_claims"))
+    return plan.record_outcomes(_simulated(e), e.claims, HOME).select("claim_id", "is_current")
 
 
 @query("plan_outcome_events", SIM + " SELECT CASE action WHEN 'stash' THEN 'stash_committed' WHEN 'retire_direct' THEN 'retire_direct_executed' ELSE 'nas_manifest_exported' END AS action, count(*) AS n FROM sim WHERE error IS NULL AND nth <= 20 GROUP BY 1 UNION ALL SELECT 'apply_start', 1 UNION ALL SELECT 'apply_end', 1")
@@ -737,19 +742,19 @@ def _(e):
 
 # health ---------------------------------------------------------------------
 
-@query("health_stale_scan", FRESH + " SELECT machine_id, 'stale_scan' AS name, CASE WHEN count(*) FILTER (level = 'fail') > 0 THEN 'fail' WHEN count(unfinished_started_at) > 0 THEN 'warn' ELSE 'ok' END AS level FROM fresh GROUP BY 1", RUNS)
+@query("health_stale_scan", FRESH + " SELECT machine_id, 'stale_scan' AS name, CASE WHEN count(*) FILTER (level = 'fail') > 0 THEN 'fail' WHEN count(unfinished_started_at) > 0 THEN 'warn' ELSE 'ok' END AS level, CASE WHEN count(*) FILTER (level = 'fail') > 0 THEN count(*) FILTER (level = 'fail') || ' stale or unfinished roots' WHEN count(unfinished_started_at) > 0 THEN count(unfinished_started_at) || ' scans in progress' ELSE '' END AS message FROM fresh GROUP BY 1", RUNS)
 def _(e):
-    return health.stale_scan(joins.scan_freshness(e.runs, e.now)).drop("message")
+    return health.stale_scan(joins.scan_freshness(e.runs, e.now))
 
 
-@query("health_stash_overdue", f"SELECT machine_id, 'stash_overdue' AS name, CASE WHEN epoch(TIMESTAMP '{NOW}' - min(timestamp)) / 3600.0 > 192 THEN 'fail' ELSE 'ok' END AS level FROM flying GROUP BY 1", LOG)
+@query("health_stash_overdue", f"SELECT machine_id, 'stash_overdue' AS name, CASE WHEN epoch(TIMESTAMP '{NOW}' - min(timestamp)) / 3600.0 > 192 THEN 'fail' ELSE 'ok' END AS level, '' AS message FROM flying GROUP BY 1", LOG)
 def _(e):
-    return health.stash_overdue(stash.summary(e.events, ["machine_id"]), e.now).drop("message")
+    return health.stash_overdue(stash.summary(e.events, ["machine_id"]), e.now)
 
 
-@query("health_dual_presence", ", p AS (SELECT machine_id, count(*) FILTER (kind = 'dual') AS d, count(*) FILTER (kind = 'store_only') AS s FROM kinds GROUP BY 1) SELECT machine_id, 'dual_presence_poor' AS name, CASE WHEN d + s = 0 THEN 'unknown' WHEN d / (d + s) < 0.5 THEN 'fail' ELSE 'ok' END AS level FROM p", f"{CLAIMS}, {PRESENCE}")
+@query("health_dual_presence", ", p AS (SELECT machine_id, count(*) FILTER (kind = 'dual') AS d, count(*) FILTER (kind = 'store_only') AS s FROM kinds GROUP BY 1) SELECT machine_id, 'dual_presence_poor' AS name, CASE WHEN d + s = 0 THEN 'unknown' WHEN d / (d + s) < 0.5 THEN 'fail' ELSE 'ok' END AS level, '' AS message FROM p", f"{CLAIMS}, {PRESENCE}")
 def _(e):
-    return health.dual_presence_poor(stats.presence_counts(joins.presence(e.claims, e.store, e.mount, HOME), ["machine_id"])).drop("message")
+    return health.dual_presence_poor(stats.presence_counts(joins.presence(e.claims, e.store, e.mount, HOME), ["machine_id"]))
 
 
 @query("health_adapters", f"SELECT machine_id, 'adapters' AS name, CASE WHEN epoch(TIMESTAMP '{NOW}' - max(timestamp)) / 3600.0 > 168 THEN 'warn' ELSE 'ok' END AS level, action AS message FROM log WHERE action IN ('replicate_end', 'archive_end') GROUP BY machine_id, action", LOG)
@@ -762,14 +767,14 @@ def _checks(e):
     return health.checks([health.stale_scan(joins.scan_freshness(e.runs, e.now)), health.stash_overdue(stash.summary(e.events, ["machine_id"]), e.now), health.cloud_gate(gate)])
 
 
-ALL = FRESH + f""", al AS (SELECT machine_id, 'stale_scan' AS name, CASE WHEN count(*) FILTER (level = 'fail') > 0 THEN 'fail' WHEN count(unfinished_started_at) > 0 THEN 'warn' ELSE 'ok' END AS level FROM fresh GROUP BY 1
- UNION ALL SELECT machine_id, 'stash_overdue', CASE WHEN epoch(TIMESTAMP '{NOW}' - min(timestamp)) / 3600.0 > 192 THEN 'fail' ELSE 'ok' END FROM flying GROUP BY 1
- UNION ALL SELECT machine_id, 'fp_not_ready', CASE machine_id WHEN 'm0' THEN 'skipped' WHEN 'm1' THEN 'ok' ELSE 'fail' END FROM (SELECT DISTINCT machine_id FROM runs))"""
+ALL = FRESH + f""", al AS (SELECT machine_id, 'stale_scan' AS name, CASE WHEN count(*) FILTER (level = 'fail') > 0 THEN 'fail' WHEN count(unfinished_started_at) > 0 THEN 'warn' ELSE 'ok' END AS level, CASE WHEN count(*) FILTER (level = 'fail') > 0 THEN count(*) FILTER (level = 'fail') || ' stale or unfinished roots' WHEN count(unfinished_started_at) > 0 THEN count(unfinished_started_at) || ' scans in progress' ELSE '' END AS message FROM fresh GROUP BY 1
+ UNION ALL SELECT machine_id, 'stash_overdue', CASE WHEN epoch(TIMESTAMP '{NOW}' - min(timestamp)) / 3600.0 > 192 THEN 'fail' ELSE 'ok' END, '' FROM flying GROUP BY 1
+ UNION ALL SELECT machine_id, 'fp_not_ready', CASE machine_id WHEN 'm0' THEN 'skipped' WHEN 'm1' THEN 'ok' ELSE 'fail' END, CASE machine_id WHEN 'm2' THEN 'layout' ELSE '' END FROM (SELECT DISTINCT machine_id FROM runs))"""
 
 
 @query("health_checks", ALL + " SELECT * FROM al", f"{RUNS}, {LOG}")
 def _(e):
-    return _checks(e).drop("message")
+    return _checks(e)
 
 
 @query("health_overall", ALL + " SELECT machine_id, CASE max(CASE level WHEN 'fail' THEN 3 WHEN 'warn' THEN 2 WHEN 'unknown' THEN 1 ELSE 0 END) WHEN 3 THEN 'fail' WHEN 2 THEN 'warn' WHEN 1 THEN 'unknown' ELSE 'ok' END AS overall, CAST(greatest(0, 100 - sum(CASE level WHEN 'fail' THEN 35 WHEN 'warn' THEN 12 WHEN 'unknown' THEN 4 ELSE 0 END)) AS INT) AS score FROM al GROUP BY 1", f"{RUNS}, {LOG}")
@@ -783,10 +788,11 @@ def _(e):
     return health.fail_on(_checks(e), ("stale_scan", "fp_not_ready")).select("machine_id", "name")
 
 
-@query("health_report", ALL + " SELECT machine_id, count(*) AS checks FROM al GROUP BY 1", f"{RUNS}, {LOG}")
+@query("health_report", ALL + ", k AS (SELECT machine_id, count(*) AS claims FROM claims GROUP BY 1), g AS (SELECT machine_id, CASE max(CASE level WHEN 'fail' THEN 3 WHEN 'warn' THEN 2 WHEN 'unknown' THEN 1 ELSE 0 END) WHEN 3 THEN 'fail' WHEN 2 THEN 'warn' WHEN 1 THEN 'unknown' ELSE 'ok' END AS overall, CAST(greatest(0, 100 - sum(CASE level WHEN 'fail' THEN 35 WHEN 'warn' THEN 12 WHEN 'unknown' THEN 4 ELSE 0 END)) AS INT) AS score, string_agg(name || '=' || level, ',' ORDER BY name, level) AS checks FROM al GROUP BY 1) SELECT machine_id, coalesce(claims, 0) AS claims, overall, score, checks FROM g LEFT JOIN k USING (machine_id)", f"{CLAIMS}, {RUNS}, {LOG}")
 def _(e):
     out = health.report(joins.machine_summary(e.claims, e.runs, e.events).select("machine_id", "claims"), _checks(e))
-    return health.compact_snapshot(out).select("machine_id", F.size("checks").cast("long").alias("checks"))
+    listed = F.array_join(F.transform("checks", lambda c: F.concat(c["name"], F.lit("="), c["level"])), ",")
+    return out.select("machine_id", "claims").join(health.compact_snapshot(out), "machine_id").withColumn("checks", listed)
 
 
 def _probes(e):
@@ -799,9 +805,9 @@ def _(e):
     return _probes(e).select("p_partkey", F.array_join(health.mount_reasons(), ",").alias("reasons"))
 
 
-@query("health_mounts", "SELECT 'm' || (p_partkey % 3) AS machine_id, 'mounts' AS name, CASE WHEN count(*) FILTER (p_partkey % 18 = 0) > 0 THEN 'fail' ELSE 'warn' END AS level FROM part GROUP BY 1", "x AS (SELECT 1)")
+@query("health_mounts", "SELECT 'm' || (p_partkey % 3) AS machine_id, 'mounts' AS name, CASE WHEN count(*) FILTER (p_partkey % 18 = 0) > 0 THEN 'fail' ELSE 'warn' END AS level, '' AS message FROM part GROUP BY 1", "x AS (SELECT 1)")
 def _(e):
-    return health.mount_checks(_probes(e)).drop("message")
+    return health.mount_checks(_probes(e))
 
 
 @query("health_probe_roots", "SELECT DISTINCT root_path AS root, 'other-volume' AS tier FROM runs WHERE finished_at IS NOT NULL UNION SELECT '/Volumes/A', 'A' UNION SELECT '/Volumes/B', 'A'", RUNS)
@@ -886,9 +892,9 @@ def _(e):
     return health.stale_ids(_matrix(e))
 
 
-@query("health_attached", "SELECT machine_id, 'attached' AS name, CASE WHEN i % 4 = 3 THEN 'fail' WHEN i * 60 > 720 THEN 'warn' WHEN chain_age IS NULL OR chain_age > 720 THEN 'warn' ELSE 'ok' END AS level FROM fa WHERE i <> 11", FLEET)
+@query("health_attached", "SELECT machine_id, 'attached' AS name, CASE WHEN i % 4 = 3 THEN 'fail' WHEN i * 60 > 720 THEN 'warn' WHEN chain_age IS NULL OR chain_age > 720 THEN 'warn' ELSE 'ok' END AS level, '' AS message FROM fa WHERE i <> 11", FLEET)
 def _(e):
-    return health.attached_freshness(_fleet(e)[3], e.now).drop("message")
+    return health.attached_freshness(_fleet(e)[3], e.now)
 
 
 @query("health_broken_audit", BROKEN + " SELECT machine_id, 'broken_audit' AS name, CASE WHEN ok THEN 'ok' ELSE 'fail' END AS level, coalesce(message, '') AS message FROM v", LOG)
@@ -896,12 +902,12 @@ def _(e):
     return health.broken_audit(audit.verify_chain(_tampered(e), COLUMNS))
 
 
-@query("health_rollup_stale", "SELECT DISTINCT 'r' || (o_custkey % 6) AS machine_id, 'rollup_stale' AS name, CASE o_custkey % 3 WHEN 0 THEN CASE WHEN o_custkey % 6 * 9 > 24 THEN 'fail' ELSE 'ok' END WHEN 1 THEN 'ok' ELSE 'unknown' END AS level FROM orders", "x AS (SELECT 1)")
+@query("health_rollup_stale", "SELECT DISTINCT 'r' || (o_custkey % 6) AS machine_id, 'rollup_stale' AS name, CASE o_custkey % 3 WHEN 0 THEN CASE WHEN o_custkey % 6 * 9 > 24 THEN 'fail' ELSE 'ok' END WHEN 1 THEN 'ok' ELSE 'unknown' END AS level, '' AS message FROM orders", "x AS (SELECT 1)")
 def _(e):
     i = F.col("o_custkey") % 6
     source = F.when(i % 3 == 0, "rollup").when(i % 3 == 1, "live")
     rows = e.read("orders").select(F.concat(F.lit("r"), i.cast("string")).alias("machine_id"), source.alias("counts_source"), (e.now - F.make_dt_interval(hours=(i * 9).cast("int"))).alias("refreshed_at")).distinct()
-    return health.rollup_stale(rows, e.now).drop("message")
+    return health.rollup_stale(rows, e.now)
 
 
 # sources --------------------------------------------------------------------
@@ -1153,6 +1159,22 @@ def _(e):
     return tables["exclusions"].select(F.concat(F.lit("exclusions."), "setting").alias("setting"), F.col("place").cast("long").alias("place"), "value")
 
 
+@query("sources_policy_replication", """SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS rule_order, unnest(['name', 'source', 'excludes', 'excludes']) AS setting, unnest([0, 0, 0, 1]) AS place, unnest([n_name, '/' || n_regionkey, '*.tmp', n_name || '/**']) AS value FROM nation""", "x AS (SELECT 1)")
+def _(e):
+    rows = e.read("nation").orderBy("n_nationkey").select("n_name", "n_regionkey").collect()
+    sources = [{"name": r.n_name, "source": f"/{r.n_regionkey}", "excludes": ["*.tmp", f"{r.n_name}/**"]} for r in rows]
+    tables = files.policy_tables(e.spark, {"version": 1, "kind": "ReplicationPolicy", "sources": sources})
+    return tables["sources"].select(F.col("rule_order").cast("long").alias("rule_order"), "setting", F.col("place").cast("long").alias("place"), "value")
+
+
+@query("sources_policy_archive", "SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS rule_order, unnest(['name', 'repository', 'keep.daily']) AS setting, unnest([r_name, '/backup/' || r_regionkey, CAST(r_regionkey + 7 AS VARCHAR)]) AS value FROM region", "x AS (SELECT 1)")
+def _(e):
+    rows = e.read("region").orderBy("r_regionkey").select("r_name", "r_regionkey").collect()
+    archives = [{"name": r.r_name, "repository": f"/backup/{r.r_regionkey}", "keep": {"daily": r.r_regionkey + 7}} for r in rows]
+    tables = files.policy_tables(e.spark, {"version": 1, "kind": "ArchivePolicy", "archives": archives})
+    return tables["archives"].select(F.col("rule_order").cast("long").alias("rule_order"), "setting", "value")
+
+
 @query("sources_health_series", "SELECT lpad(CAST(id AS VARCHAR), 12, '0') AS generated_at, machine_id FROM runs ORDER BY id DESC LIMIT 48", RUNS)
 def _(e):
     path = scratch(e.spark, "health")
@@ -1204,10 +1226,9 @@ def _(e):
     return embed.search_many(e.embeddings, q, 5, "l2").select("query_id", "permanode_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("embed_candidates", "SELECT count(DISTINCT permanode_id) AS n FROM cur")
+@query("embed_candidates", f"SELECT permanode_id, concat_ws(' ', base, classification, domain, regexp_replace(file_path, '/[^/]*$', ''), tier) AS text FROM (SELECT *, row_number() OVER (PARTITION BY permanode_id ORDER BY {priority_sql('tier')}, claim_id) AS n FROM cur) WHERE n = 1")
 def _(e):
-    none = e.embeddings.filter("false")
-    return embed.candidates(e.permanodes, e.claims, none, "m", "1").agg(F.count_if(F.length("text") > 0).alias("n"))
+    return embed.candidates(e.permanodes, e.claims, e.embeddings.filter("false"), "m", "1")
 
 
 @query("embed_upsert", "SELECT CAST(vec_id AS VARCHAR) AS permanode_id, CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END AS computed_at FROM embeddings", "x AS (SELECT 1)")
@@ -1216,9 +1237,9 @@ def _(e):
     return embed.upsert(old, old.filter("vec_id % 2 = 0").withColumn("computed_at", F.lit(2))).select("permanode_id", "computed_at")
 
 
-@query("embed_dimension", "SELECT count(*) AS n FROM embeddings WHERE len(embedding) = 64", "x AS (SELECT 1)")
+@query("embed_dimension", "SELECT vec_id FROM embeddings WHERE len(embedding) = 64", "x AS (SELECT 1)")
 def _(e):
-    return embed.check_dimension(e.embeddings, 64).agg(F.count(F.lit(1)).alias("n"))
+    return embed.check_dimension(e.embeddings, 64).select("vec_id")
 
 
 @query("embed_mean_pool", "SELECT vec_id, round(embedding[1] / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS first FROM embeddings", "x AS (SELECT 1)")
@@ -1249,10 +1270,10 @@ def _(e):
     return stream.debounce(rows, "6 hours").select("root", F.size("events").cast("long").alias("n"))
 
 
-@query("stream_live_stats", "SELECT event_type AS tier, count(*) AS claim_count, CAST(sum(CAST(value AS BIGINT)) AS BIGINT) AS bytes_total FROM (SELECT date_trunc('hour', ts) AS h, event_type, CAST(trunc(value) AS BIGINT) AS value FROM events) GROUP BY h, event_type", "x AS (SELECT 1)")
+@query("stream_live_stats", "SELECT h AS started, event_type AS tier, count(*) AS claim_count, CAST(sum(CAST(value AS BIGINT)) AS BIGINT) AS bytes_total FROM (SELECT date_trunc('hour', ts) AS h, event_type, CAST(trunc(value) AS BIGINT) AS value FROM events) GROUP BY h, event_type", "x AS (SELECT 1)")
 def _(e):
     rows = e.read("events").select(F.col("ts").cast("timestamp").alias("observed_at"), F.col("event_type").alias("tier"), F.col("value").cast("long").alias("size_bytes"))
-    return stream.live_stats(rows).drop("started")
+    return stream.live_stats(rows)
 
 
 @query("embed_stub_vectors", "SELECT (SELECT count(DISTINCT text) FROM documents) AS texts, (SELECT count(DISTINCT text) FROM documents) AS vectors, 384 AS least, 384 AS most, (SELECT count(DISTINCT text) FROM documents) AS units", "x AS (SELECT 1)")

@@ -128,3 +128,29 @@ def test_search_of_many_queries(spark):
     asked = spark.range(40).selectExpr("id AS query_id", "array(float(id + 0.2), float(id % 5)) AS query")
     few, many = ({(r.query_id, r["rank"], r.permanode_id) for r in embed.search_many(vectors, asked, 3, "l2", most=most).collect()} for most in (1000, 10))
     assert few == many and len(many) == 120
+
+
+RETAIN = {"version": 1, "kind": "RetentionPolicy", "exclusions": {"always_skip_substrings": ["/x/"], "no_promote_substrings": [".photoslibrary/"], "basename_prefixes": ["._"], "basename_exact": [".DS_Store"]}, "dedup_retire": {"tier_priority": {"L1": 1, "Backup": 6}, "live_tiers": ["L1"], "cooling_off_days": 3, "stash_roots": {"L1": "/s"}, "nas_manifest_tiers": ["Backup"], "recovered_substrings": ["/RECOVERED-"]}}
+PROMOTE = {"version": 1, "kind": "PromotionPolicy", "defaults": {"mirror_strip_prefix": "/Volumes/Backup/", "path_translations": [{"from": "/n/", "to": "/m/"}]}, "phases": [{"name": "a", "match": {"domain": "photos"}, "destination_root": "/p", "max_files": 2}, {"name": "b", "match": {"path_contains": "/b/", "year": "2024"}, "destination_root": "/q", "mirror_from": "b/"}]}
+
+
+def test_policies_become_plans():
+    got = plan.retention_of(RETAIN)
+    assert got == plan.Retention(("/x/",), ("._",), (".DS_Store",), {"L1": 1, "Backup": 6}, ("L1",), ("Backup",), {"L1": "/s"}, ("/RECOVERED-",), 3, (".photoslibrary/",))
+    p = plan.promotion_of(PROMOTE)
+    assert p.phases == [plan.Phase("a", "/p", "photos", None, 2, None, ()), plan.Phase("b", "/q", None, "/b/", None, "b/", ("year",))]
+    assert (p.source_tier, p.translations, p.strip) == ("Backup", [("/n/", "/m/")], "/Volumes/Backup/")
+    change = lambda base, **x: {**base, **x}
+    for bad in (change(RETAIN, version=2), change(RETAIN, kind="Other"), change(RETAIN, colour=1), change(RETAIN, exclusions={"skip": []}), change(RETAIN, dedup_retire={"live_tiers": []}), change(RETAIN, dedup_retire={**RETAIN["dedup_retire"], "cooling_off_days": -1}), change(RETAIN, dedup_retire={**RETAIN["dedup_retire"], "strategy": "newest"}), {"version": 1}):
+        with pytest.raises(ValueError):
+            plan.retention_of(bad)
+    for bad in (change(PROMOTE, phases=[{"name": "a"}]), change(PROMOTE, phases=[{**PROMOTE["phases"][0], "max_files": 0}]), change(PROMOTE, defaults={"colour": 1}), change(PROMOTE, defaults={"path_translations": [{"from": "/a"}]})):
+        with pytest.raises(ValueError):
+            plan.promotion_of(bad)
+
+
+def test_promotion_leaves_out_what_retention_names(spark):
+    rows = [(1, "p1", "/Volumes/Backup/x.photoslibrary/1", "photos"), (2, "p2", "/Volumes/Backup/d/2", "photos"), (3, "p3", "/Volumes/Backup/b/3", None)]
+    claims = spark.createDataFrame([(*r, "h", 1, "Backup") for r in rows], "claim_id long, permanode_id string, file_path string, domain string, canonical_hash string, size_bytes long, tier string")
+    out = plan.promotion_of(PROMOTE).promote(claims, plan.retention_of(RETAIN)).collect()
+    assert [(r.claim_id, r.phase, r.destination_path) for r in out] == [(2, "a", "/p/d/2")]
