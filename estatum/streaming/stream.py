@@ -150,30 +150,49 @@ def stat_paths(paths: DataFrame) -> DataFrame:
     return paths.select("path").mapInPandas(run, "path string, size_bytes long, us long, error string").select("path", "size_bytes", F.timestamp_micros("us").alias("mtime"), "error")
 
 
-def claim_log(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
-    """Claims of a folder with their ``batch``; those before a batch, if one is given."""
+#: Batches after which the open claims are written as a state of their own.
+STATE_EVERY = 20
+
+
+def _read(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     try:
-        rows = spark.read.schema(CLAIM + ", batch long").parquet(folder)
+        return spark.read.schema(schema).parquet(folder)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        # nothing is written yet
-        rows = spark.createDataFrame([], CLAIM + ", batch long")
+        return spark.createDataFrame([], schema)  # nothing is written yet
+
+
+def claim_log(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """All claims of a folder with their ``batch``; those before a batch, if one is given."""
+    rows = _read(spark, f"{folder}/log", CLAIM + ", batch long")
     return rows if before is None else rows.filter(F.col("batch") < before)
 
 
+def newest_claims(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """The newest claim of each path of each machine, closed ones included: from the last
+    state before ``before``, and the batches since."""
+    states = _read(spark, f"{folder}/state", CLAIM + ", batch long, upto long")
+    states = states if before is None else states.filter(F.col("upto") < before)
+    last = states.agg(F.max("upto")).first()[0]
+    rows = claim_log(spark, folder, before)
+    if last is not None:
+        rows = states.filter(F.col("upto") == last).drop("upto").unionByName(rows.filter(F.col("batch") > last))
+    return rows.groupBy("machine_id", "file_path", "container_path").agg(F.max_by(F.struct(*rows.columns), "batch").alias("c")).select("c.*")
+
+
 def open_claims(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
     """The newest claim of each path of each machine, unless that closes it."""
-    rows = claim_log(spark, folder, before)
-    newest = rows.groupBy("machine_id", "file_path", "container_path").agg(F.max_by(F.struct(*rows.columns), "batch").alias("c")).select("c.*")
-    return newest.filter("NOT deleted")
+    return newest_claims(spark, folder, before).filter("NOT deleted")
 
 
 def refresh_batch(frame: DataFrame, batch_id: int, folder: str, machine: str, algo: str = "sha256") -> None:
     """Write the claims of one batch of events: paths are looked at as they are now, those
     of unchanged size and time (to the second) keep their identity, others are hashed,
     and paths that are gone close the claim they had.  A batch's rows are one folder,
-    made from the batches before alone, so a repeated batch replaces its own."""
+    made from the batches before alone, so a repeated batch replaces its own.  Every
+    STATE_EVERY batches the newest claims are written as a state, so a batch reads the
+    last state and the batches since, not all there ever were."""
     spark = frame.sparkSession
     paths = files.skip_noise_paths(event_paths(frame).select(F.col("event_path").alias("path")).distinct())
     now = stored(stat_paths(paths), "seen")
@@ -189,7 +208,9 @@ def refresh_batch(frame: DataFrame, batch_id: int, folder: str, machine: str, al
     added = hashed.filter("error IS NULL").select("path", derive.permanode_id(F.col("hash"), F.col("size_bytes")).alias("permanode_id"), F.col("hash").alias("canonical_hash"), "algo", "size_bytes", "mtime", F.lit(False).alias("deleted"), F.lit("hashed").alias("state"), "error")
     rows = kept.unionByName(closed).unionByName(added)
     out = rows.select(F.lit(machine).alias("machine_id"), F.col("path").alias("file_path"), F.lit(None).cast("string").alias("container_path"), "permanode_id", "canonical_hash", "algo", "size_bytes", "mtime", derive.tier(F.col("path")).alias("tier"), "deleted", "state", "error")
-    out.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+    out.write.mode("overwrite").parquet(f"{folder}/log/batch={batch_id}")
+    if batch_id % STATE_EVERY == STATE_EVERY - 1:
+        newest_claims(spark, folder, batch_id + 1).write.mode("overwrite").parquet(f"{folder}/state/upto={batch_id}")
 
 
 def refresh_claims(events: DataFrame, folder: str, machine: str, checkpoint: str, algo: str = "sha256"):

@@ -147,6 +147,26 @@ def test_refresh(spark, tmp_path):
     assert {(r.machine_id, r.state) for r in stream.open_claims(spark, folder).collect()} == {("m0", "hashed"), ("m0", "reused"), ("m1", "hashed")}
 
 
+def test_states_of_claims(spark, tmp_path, monkeypatch):
+    """With a state every two batches claims are as they are without."""
+    root = tmp_path / "root"
+    root.mkdir()
+    rows = lambda *names: spark.createDataFrame([(str(root / n), "modified", None) for n in names], "path string, kind string, moved_to string")
+    seen = {}
+    for every in (2, 1000):
+        monkeypatch.setattr(stream, "STATE_EVERY", every)
+        folder = str(tmp_path / f"claims{every}")
+        for i in range(5):
+            (root / f"f{i % 3}").write_text(f"{every and i}")
+            if i == 3:
+                (root / "f1").unlink()
+            for _ in range(2):  # each batch is repeated
+                stream.refresh_batch(rows(f"f{i % 3}", "f1"), i, folder, "m")
+        seen[every] = sorted((r.file_path, r.canonical_hash, r.batch) for r in stream.open_claims(spark, folder).collect())
+    assert seen[2] == seen[1000] and len(seen[2]) == 3 and sorted(p.name for p in (tmp_path / "claims2" / "state").iterdir()) == ["upto=1", "upto=3"]
+    assert stream.open_claims(spark, str(tmp_path / "claims2"), 2).count() == 2
+
+
 def test_current_counts(spark, tmp_path):
     """After any prefix of the stream the counts equal those of the batch."""
     schema = "machine_id string, file_path string, container_path string, tier string, size_bytes long, scan_run_id long, claim_id long, deleted boolean"
