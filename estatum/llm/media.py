@@ -2,7 +2,8 @@
 images, and written as NPY tiles with difference hashes.
 
 Null or broken media give a row with ``ok`` false and null features; extra
-columns of the input are ignored; repeated rows give repeated results.
+columns of the input are ignored; repeated rows give repeated results; an empty
+table gives no rows.
 """
 
 from __future__ import annotations

@@ -35,6 +35,28 @@ def test_netpbm_and_bmp_round_trips():
         assert media.features(bad, 4)[0] is False
 
 
+def test_media_of_awkward_tables(spark):
+    """Empty, with null and broken media, repeated rows, and columns of the result's names."""
+    schema = "media binary, ok int, dhash string"
+    assert media.media_tiles(spark.createDataFrame([], schema).select("media"), []).count() == 0
+    good = b"P5\n2 2\n255\n\x00\x01\x02\x03"
+    rows = [(good, 1, "a"), (good, 1, "a"), (None, 2, "b"), (b"P5", 3, "c")]
+    out = media.media_tiles(spark.createDataFrame(rows, schema).withColumnRenamed("ok", "own").drop("dhash"), ["own"]).collect()
+    assert sorted((r.own, r.ok, r.dhash is not None) for r in out) == [(1, True, True), (1, True, True), (2, False, False), (3, False, False)]
+
+
+def test_archives_of_awkward_pages(spark):
+    """Extra columns whose names are used inside, null ids, repeated rows, an empty table."""
+    schema = "page_id long, url string, html string, name string, _h string, refers_to string"
+    rows = [(1, "u", "same", "n", "h", "r"), (1, "u", "same", "n", "h", "r"), (2, None, "same", "n", "h", "r"), (3, "u", None, None, None, None), (None, "u", "same", "n", "h", "r")]
+    pages = lambda r: spark.createDataFrame(r, schema).select("page_id", "url", "html", "name")
+    files = warc.pack_archives(warc.link_revisits(pages(rows)))
+    got = sorted((str(r.record_id), r.record_type, str(r.refers_to)) for r in warc.read_archives(files).collect())
+    assert [x[1] for x in got if x[0] == "2"] == ["revisit"] and [x[2] for x in got if x[0] == "2"] == ["1"]
+    assert len(got) == 5 and sum(x[1] == "response" for x in got) == 4
+    assert warc.read_archives(warc.pack_archives(warc.link_revisits(pages([])))).count() == 0
+
+
 def test_area_resize():
     a = np.arange(24, dtype=np.float64).reshape(4, 6)
     assert np.allclose(media.area_resize(a, 2, 3), a.reshape(2, 2, 3, 2).mean(axis=(1, 3)))
