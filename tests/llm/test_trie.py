@@ -72,7 +72,7 @@ def test_common_conversations(spark):
     rows = [(c, t, "user", f"same {t}") for c in range(0, 300) for t in range(4)] + [(1000 + c, t, "user", "hi" if t == 0 else f"{c} {t}") for c in range(300) for t in range(3)]
     rows += [(700, t, "user", f"long {t % 7}") for t in range(700)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(7)
-    assert got(trie.prefix_trie(df, 16, 64)) == got(trie.prefix_trie(df)) == brute(rows)
+    assert got(trie.prefix_trie(df, 128, 64)) == got(trie.prefix_trie(df)) == brute(rows)
 
 
 def test_awkward(spark):
