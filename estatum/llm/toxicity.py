@@ -21,7 +21,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,13 +39,18 @@ ODDS = 2.5
 STEMS = (4, 5, 6)
 
 
+def listed_features(texts: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` columns and ``word``: a row for each distinct word of a text, and stem."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
+    stems = [F.transform(F.filter(F.col("_w"), lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.lit("^"), F.substring(w, 1, n))) for n in STEMS]
+    return texts.select(*keep, found.alias("_w")).select(*keep, F.explode(F.array_distinct(F.concat("_w", *stems))).alias("word"))
+
+
 def word_odds(labelled: DataFrame, least: float = LISTED, among: DataFrame | None = None) -> DataFrame:
     """(word, weight): the words and stems ("^" before them), of those ``among`` (word) if
     given, whose log-odds between documents labelled 1 and 0, over all labelled rows, are
     at least ``least``; the greatest first, ties by word."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
-    stems = [F.transform(F.filter(F.col("_w"), lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.lit("^"), F.substring(w, 1, n))) for n in STEMS]
-    words = labelled.select("toxic", found.alias("_w")).select("toxic", F.explode(F.array_distinct(F.concat("_w", *stems))).alias("word"))
+    words = listed_features(labelled, "toxic")
     words = words if among is None else words.join(F.broadcast(among), "word", "left_semi")
     by = words.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1)).alias("b"))
     n = labelled.agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("na"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1)).alias("nb"))
@@ -233,13 +237,14 @@ def train(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> Crf:
     """Fit on (doc_id, text, toxic).  The CRF is fitted on at most ``fit_docs`` rows, half
     toxic, by hash; the odds of the words that these hold cover every labelled row."""
     labelled = labelled.filter("text IS NOT NULL AND toxic IS NOT NULL")
-    rows = []
+    parts = []
     for label in (1, 0):
         part = labelled.filter((F.col("toxic") == 1) if label else (F.col("toxic") != 1))
-        rows += [(r.text, label) for r in part.select("text", F.xxhash64("doc_id", F.lit(7)).alias("_h")).orderBy("_h", "text").limit(fit_docs // 2).collect()]
+        parts.append(part.select("text", F.lit(label).alias("label"), F.xxhash64("doc_id", F.lit(7)).alias("_h")).orderBy("_h", "text").limit(fit_docs // 2))
+    picked = materialize(parts[0].unionByName(parts[1]), "fit")
     # only features that the fit sees can get a weight, so the list is bounded by its documents
-    seen = sorted({f for text, _ in rows for w in TOKEN.findall(text.lower()) for f in features_of(w)})
-    among = labelled.sparkSession.createDataFrame(pd.DataFrame({"word": seen}), "word string")
+    among = listed_features(picked).distinct()
+    rows = [(r.text, r.label) for r in picked.orderBy(F.desc("label"), "_h", "text").collect()]
     odds = {r.word: r.weight for r in word_odds(labelled, among=among).collect()}
     return fit(rows, odds)
 
