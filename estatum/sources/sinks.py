@@ -6,8 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from estatum.operators import stats
 from estatum.sources.files import COLUMNS, ESCAPES
 
 LEFT_OUT = ("tiers", "embeddings", "legacy_import_log", "attached_inventories")
@@ -97,11 +97,12 @@ def detach(registry: DataFrame, machine: str) -> tuple[DataFrame, DataFrame]:
     return registry.join(gone, "machine_id", "left_anti"), gone.select("machine_id", F.lit("inventory_detached").alias("action"))
 
 
-def prune_series(points: DataFrame, now: Column, max_age_days: int = 90, max_lines: int = 5000) -> DataFrame:
-    """Points of a health series that stay: young ones, of these the newest."""
+def prune_series(points: DataFrame, now: Column, max_age_days: int = 90, max_lines: int = 5000, ties: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Points of a health series that stay: young ones, of these the newest; of one time
+    those of the greatest ``ties`` (as far as the series has them)."""
     young = points.filter(F.col("generated_at") >= now - F.make_interval(days=F.lit(max_age_days)))
-    place = F.row_number().over(Window.partitionBy("machine_id").orderBy(F.desc("generated_at")))
-    return young.withColumn("_rn", place).filter(F.col("_rn") <= max_lines).drop("_rn")
+    order = [F.desc("generated_at"), *[F.desc(c) for c in ties if c in points.columns]]
+    return stats.last_n_per_key(young, ["machine_id"], order, max_lines)
 
 
 def append_health_snapshot(point: DataFrame, path: str) -> None:

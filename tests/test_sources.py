@@ -221,3 +221,11 @@ def test_stub_vectors(spark):
     got = embed.batch_report(embed.run(rows, fussy)).first()
     assert tuple(got) == (2, 1, 1)
     assert embed.search(spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "permanode_id string, vector array<float>"), F.array(F.lit(0.1), F.lit(1.0)), 1).first().permanode_id == "b"
+
+
+def test_series_of_equal_times(spark):
+    """Of points of one time those of the greatest ids stay, however they are dealt."""
+    at = F.lit("2026-01-01").cast("timestamp")
+    points = spark.range(4000).repartition(7, "id").select("id", F.lit("m").alias("machine_id"), (at + F.make_dt_interval(days=(F.col("id") % 2).cast("int"))).alias("generated_at"))
+    got = {r.id for r in sinks.prune_series(points, at, 90, 2500).select("id").collect()}
+    assert got == {i for i in range(4000) if i % 2 or i >= 3000}
