@@ -61,14 +61,26 @@ def batch_report(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("error").isNull()).alias("embedded"), F.count_if(F.col("error").isNotNull()).alias("errors"))
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)``, where the value is worked out once: inside a lambda an expression
+    is worked out again for each entry."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def mean_pool_normalize(tokens: Column, mask: Column) -> Column:
     """Mean of the token vectors whose mask is set, scaled to unit length."""
+
+    def mean(on: Column) -> Column:
+        zero = F.transform(F.get(tokens, F.lit(0)), lambda x: F.lit(0.0))
+        total = F.aggregate(on, zero, lambda acc, x: F.zip_with(acc, x["t"], lambda a, b: a + b))
+        return once(F.greatest(F.size(on), F.lit(1)), lambda n: F.transform(total, lambda x: x / n))
+
+    def unit(m: Column) -> Column:
+        norm = F.greatest(F.sqrt(F.aggregate(m, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-12))
+        return once(norm, lambda n: F.transform(m, lambda x: x / n))
+
     on = F.filter(F.arrays_zip(tokens.alias("t"), mask.alias("m")), lambda x: x["m"] != 0)
-    zero = F.transform(F.get(tokens, F.lit(0)), lambda x: F.lit(0.0))
-    total = F.aggregate(on, zero, lambda acc, x: F.zip_with(acc, x["t"], lambda a, b: a + b))
-    mean = F.transform(total, lambda x: x / F.greatest(F.size(on), F.lit(1)))
-    norm = F.greatest(F.sqrt(F.aggregate(mean, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-12))
-    return F.transform(mean, lambda x: x / norm)
+    return once(once(on, mean), unit)
 
 
 def upsert(embeddings: DataFrame, new: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Laws of plans and logs."""
 
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,3 +155,17 @@ def test_promotion_leaves_out_what_retention_names(spark):
     claims = spark.createDataFrame([(*r, "h", 1, "Backup") for r in rows], "claim_id long, permanode_id string, file_path string, domain string, canonical_hash string, size_bytes long, tier string")
     out = plan.promotion_of(PROMOTE).promote(claims, plan.retention_of(RETAIN)).collect()
     assert [(r.claim_id, r.phase, r.destination_path) for r in out] == [(2, "a", "/p/d/2")]
+
+
+def test_pooling_of_long_vectors(spark):
+    """The mask's sum and the length are worked out once, not for each entry."""
+    v = F.transform(F.sequence(F.lit(1), F.lit(512)), lambda x: (x + F.col("id")).cast("double"))
+    rows = spark.range(0, 8, 1, 1).select("id", embed.mean_pool_normalize(F.array(v, v, F.transform(v, lambda x: x * 9)), F.array(F.lit(1), F.lit(1), F.lit(0))).alias("u"))
+    began = time.perf_counter()
+    got = rows.collect()
+    assert time.perf_counter() - began < 15
+    for r in got:
+        length = sum((i + r.id) ** 2 for i in range(1, 513)) ** 0.5
+        assert r.u == pytest.approx([(i + r.id) / length for i in range(1, 513)])
+    empty = embed.mean_pool_normalize(F.array(F.array(F.lit(3.0))), F.array(F.lit(0)))
+    assert spark.range(1).select(empty.alias("u")).first().u == [0.0]
