@@ -6,12 +6,13 @@ import hashlib
 import json
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from estatum.functions import derive
+from estatum.scratch import scratch, stored
 
 GENESIS = "0" * 64
 FIELDS = ["action", "actor", "manifest_run_id", "payload", "permanode_id", "timestamp"]
@@ -26,26 +27,33 @@ def _checked(audit: DataFrame, columns: list[str]) -> DataFrame:
     return audit.withColumn("_hash_ok", F.coalesce(F.col("row_hash") == derive.audit_row_hash(F.col("prev_hash"), payload_of(columns)), F.lit(False)))
 
 
-#: Rows of a chain that one task checks, about; ranges that a chain is cut into at most.
+#: Rows of a chain that one task checks or chains, about; ranges that a chain is cut into
+#: at most.
 ROWS, RANGES = 1_000_000, 1000
 
 
-def verify_chain(audit: DataFrame, columns: list[str] = FIELDS, keys: list[str] = ["machine_id"], rows: int = ROWS) -> DataFrame:  # noqa: B006
-    """Per chain: ok, rows_checked up to the first failure, its id and message.
-
-    Chains of more than ``rows`` are cut into ranges of ids of about so many rows each (by
-    percentiles of the chain's own ids), so no machine's log is one task's; links are
-    checked within ranges, and the edges of a chain's ranges against each other."""
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+def _ranged(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """``rows`` with the ``_part`` of its chain that each belongs to: chains of more than
+    ``most`` rows are cut into ranges of ids of about so many rows each (by percentiles of
+    the chain's own ids), others are one part."""
+    at = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     named = [F.col(k).alias(f"_{k}") for k in keys]
-    at = reduce(lambda a, b: a & b, same)
-    long = audit.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows).select(*named, "_n")
+    long = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select(*named, "_n")
     # a cut for so many rows of the whole log, so both sides are small
-    step = F.ceil(RANGES / F.ceil(F.first("_n") / rows)).cast("int")
+    step = F.ceil(RANGES / F.ceil(F.first("_n") / most)).cast("int")
     quantiles = F.percentile_approx("id", [i / RANGES for i in range(1, RANGES)], 10_000)
-    cuts = audit.select(*keys, "id").join(F.broadcast(long), at, "left_semi").join(F.broadcast(long), at).groupBy(*[f"_{k}" for k in keys]).agg(F.filter(quantiles, lambda c, i: (i + 1) % step == 0).alias("_cuts"))
-    ranged = _checked(audit, columns).select(*keys, "id", "prev_hash", "row_hash", "_hash_ok").join(F.broadcast(cuts), at, "left")
-    ranged = ranged.withColumn("_part", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("id"))), F.lit(0)))
+    cuts = rows.select(*keys, "id").join(F.broadcast(long), at).groupBy(*[f"_{k}" for k in keys]).agg(F.filter(quantiles, lambda c, i: (i + 1) % step == 0).alias("_cuts"))
+    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("id"))), F.lit(0))
+    return rows.join(F.broadcast(cuts), at, "left").withColumn("_part", part).drop("_cuts", *[f"_{k}" for k in keys])
+
+
+def verify_chain(audit: DataFrame, columns: list[str] = FIELDS, keys: list[str] = ["machine_id"], rows: int = ROWS) -> DataFrame:  # noqa: B006
+    """Per chain: ok, rows_checked up to the first failure, its id and message.
+
+    Chains of more than ``rows`` are cut into ranges of ids, so no machine's log is one
+    task's; links are checked within ranges, and the edges of a chain's ranges against
+    each other."""
+    ranged = _ranged(_checked(audit, columns).select(*keys, "id", "prev_hash", "row_hash", "_hash_ok"), keys, rows)
     inside = Window.partitionBy(*keys, "_part").orderBy("id")
     linked = ranged.withColumns({"_before": F.lag("row_hash").over(inside), "_rn": F.row_number().over(inside)})
     torn = (F.col("_rn") > 1) & ~F.coalesce(F.col("prev_hash") == F.col("_before"), F.lit(False))
@@ -67,26 +75,69 @@ def verify_long_chain(audit: DataFrame, parts: int | None = None, columns: list[
     return verify_chain(audit.withColumn("chain", F.lit("one")), columns, ["chain"], rows)
 
 
+#: Text that a row is hashed as.
+body_of = json.JSONEncoder(sort_keys=True, separators=(",", ":")).encode
+
+
 def row_hash(prev: str, row: dict) -> str:
-    return hashlib.sha256((prev + json.dumps(row, sort_keys=True, separators=(",", ":"))).encode()).hexdigest()
+    return hashlib.sha256((prev + body_of(row)).encode()).hexdigest()
 
 
-def append_batch(audit: DataFrame, rows: DataFrame, columns: list[str] = FIELDS) -> DataFrame:
+def append_batch(audit: DataFrame, rows: DataFrame, columns: list[str] = FIELDS, most: int = ROWS) -> DataFrame:
     """New rows (machine_id, id and ``columns``) chained behind each machine's tip.
     A chain is sequential; machines run in parallel.  A machine's rows stream through
-    its task in order of id, and only the last hash is kept.  Column values are strings."""
+    a task in order of id, and only the last hash is kept.  Column values are strings.
+
+    Where a machine has more than ``most`` new rows, the batch is chained in rounds, each a
+    job over the machines' next ranges of about so many rows: what a task sorts doesn't
+    grow with the batch.  The rounds are run and written at once, in the scratch folder."""
     tips = audit.groupBy("machine_id").agg(F.max_by("row_hash", "id").alias("_tip"))
-    todo = rows.join(tips, "machine_id", "left").withColumn("_tip", F.coalesce("_tip", F.lit(GENESIS)))
-    schema = rows.select("machine_id", "id", *columns).schema.add("prev_hash", "string").add("row_hash", "string")
+    bodies = _bodies(rows, columns)
+    sizes = rows.groupBy("machine_id").count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    if (sizes.most or 0) <= most:
+        return _chain(bodies, tips, columns)
+    spark, tips = rows.sparkSession, stored(tips, "tips")
+    ranges, chained = scratch(spark, "ranges"), scratch(spark, "chained")
+    ranged = _ranged(stored(bodies, "bodies"), ["machine_id"], most)
+    ranged.repartitionByRange(1 + sizes.all // most, "_part", "id").write.partitionBy("_part").parquet(ranges)
+    schema, turns = _chain(bodies, tips, columns).schema, sorted(r[0] for r in spark.read.parquet(ranges).select("_part").distinct().collect())
+    for turn in turns:
+        part = spark.read.schema(bodies.schema).parquet(f"{ranges}/_part={turn}")
+        _chain(part, tips, columns).write.parquet(f"{chained}/turn={turn}")
+        done = spark.read.schema(schema).parquet(f"{chained}/turn={turn}").groupBy(F.col("machine_id").alias("_m")).agg(F.max_by("row_hash", "id").alias("_new"))
+        # a machine without rows in a range keeps its tip
+        both = tips.join(done, F.col("machine_id").eqNullSafe(F.col("_m")), "full_outer")
+        tips = stored(both.select(F.when(F.col("_new").isNull(), F.col("machine_id")).otherwise(F.col("_m")).alias("machine_id"), F.coalesce("_new", "_tip").alias("_tip")), "tips")
+    return spark.read.schema(schema).parquet(*[f"{chained}/turn={t}" for t in turns])
+
+
+def _bodies(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with the text that each is hashed as."""
+    keys = sorted(columns)
+
+    def write(frames):
+        for f in frames:
+            values = zip(*[f[k].astype(object).where(f[k].notna(), None) for k in keys], strict=True)
+            yield f.assign(_body=[body_of(dict(zip(keys, v, strict=True))) for v in values])
+
+    new = rows.select("machine_id", "id", *columns)
+    return new.mapInPandas(write, T.StructType([*new.schema, T.StructField("_body", T.StringType())]))
+
+
+def _chain(bodies: DataFrame, tips: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with their ``_body``, chained behind their machine's ``_tip``."""
+    known = tips.select(F.col("machine_id").alias("_m"), "_tip")
+    todo = bodies.join(known, F.col("machine_id").eqNullSafe(F.col("_m")), "left").drop("_m").withColumn("_tip", F.coalesce("_tip", F.lit(GENESIS)))
+    schema = bodies.drop("_body").schema.add("prev_hash", "string").add("row_hash", "string")
 
     def chain(frames):
         machine, prev = None, None
         for f in frames:
             before, after = [], []
-            for m, tip, r in zip(f["machine_id"], f["_tip"], f[sorted(columns)].to_dict("records"), strict=True):
+            for m, tip, body in zip(f["machine_id"], f["_tip"], f["_body"], strict=True):
                 machine, prev = m, prev if prev is not None and m == machine else tip
                 before.append(prev)
-                prev = row_hash(prev, {k: None if pd.isna(v) else v for k, v in r.items()})
+                prev = hashlib.sha256((prev + body).encode()).hexdigest()
                 after.append(prev)
             yield f[["machine_id", "id", *columns]].assign(prev_hash=before, row_hash=after)
 

@@ -165,3 +165,22 @@ def test_search_in_tiles(spark, metric):
     found = {(r.query_id, r["rank"]): (round(r.distance, 9), r.permanode_id) for r in got.collect()}
     assert found.keys() == want.keys() and all(abs(found[k][0] - want[k][0]) < 1e-8 for k in want)
     assert embed.search_many(vectors.filter("false"), queries_, 5, metric).count() == 0
+
+
+def test_chain_grows_in_rounds(spark, tmp_path):
+    """A large batch is chained in ranges with the hashes it has as a whole, also behind
+    earlier rows, with ids far apart, a machine of few rows and one without a name."""
+    fields = ["action", "payload"]
+    name = F.when(F.col("id") % 50 == 0, "few").when(F.col("id") % 7 != 0, "big")
+    value = F.when(F.col("id") % 11 != 0, F.concat(F.lit("\x1f\u00e9"), F.col("id").cast("string")))
+    rows = spark.range(3000).select(name.alias("machine_id"), (F.col("id") + F.when(F.col("id") > 2000, 10**12).otherwise(0)).cast("long").alias("id"), F.lit("a").alias("action"), value.alias("payload"))
+    first, rest = rows.filter("id < 500"), rows.filter("id >= 500")
+    none = rows.withColumn("row_hash", F.lit("")).filter("false")
+    old = audit.append_batch(none, first, fields).cache()
+    got = {r.id: (r.machine_id, r.prev_hash, r.row_hash) for r in old.unionByName(audit.append_batch(old, rest, fields, most=300)).collect()}
+    tips = {}
+    for r in sorted(rows.collect(), key=lambda r: r.id):
+        prev = tips.get(r.machine_id, audit.GENESIS)
+        tips[r.machine_id] = audit.row_hash(prev, {"action": r.action, "payload": r.payload})
+        assert got.pop(r.id) == (r.machine_id, prev, tips[r.machine_id])
+    assert not got
