@@ -166,12 +166,21 @@ def seal_segment(audit: DataFrame, plan: DataFrame, segment_id: str, path: str)
     return plan.select(F.lit(segment_id).alias("segment_id"), "first_id", "last_id", "row_count", "first_prev_hash", "tip_hash")
 
 
-def verify_segments(segments: DataFrame, registry: DataFrame, columns: list[str] = FIELDS) -> DataFrame:
+def verify_segments(segments: DataFrame, registry: DataFrame, columns: list[str] = FIELDS, most: int = ROWS) -> DataFrame:
     """Each sealed segment against its registry row: ids, links, hashes, tip, and
-    its first link against the tip of the segment before."""
-    order = Window.partitionBy("segment_id").orderBy("id")
-    rows = _checked(segments, columns).withColumns({"_before": F.lag("row_hash").over(order), "_id": F.lag("id").over(order)})
-    inner = rows.groupBy("segment_id").agg(F.bool_and("_hash_ok").alias("hashes_ok"), F.bool_and(F.coalesce(F.col("prev_hash") == F.col("_before"), F.col("_before").isNull())).alias("links_ok"), F.bool_and(F.coalesce(F.col("id") == F.col("_id") + 1, F.lit(True))).alias("ids_ok"), F.max_by("row_hash", "id").alias("tip"), F.min_by("prev_hash", "id").alias("head"))
+    its first link against the tip of the segment before.  Segments of more than ``most``
+    rows are checked in ranges of ids, and the edges of these against each other."""
+    ranged = _ranged(_checked(segments, columns).select("segment_id", "id", "prev_hash", "row_hash", "_hash_ok"), ["segment_id"], most)
+    inside = Window.partitionBy("segment_id", "_part").orderBy("id")
+    rows = ranged.withColumns({"_before": F.lag("row_hash").over(inside), "_id": F.lag("id").over(inside)})
+    linked = F.coalesce(F.col("prev_hash") == F.col("_before"), F.col("_before").isNull())
+    follows = F.coalesce(F.col("id") == F.col("_id") + 1, F.lit(True))
+    parts = rows.groupBy("segment_id", "_part").agg(F.bool_and("_hash_ok").alias("hashes_ok"), F.bool_and(linked).alias("links_ok"), F.bool_and(follows).alias("ids_ok"), F.min("id").alias("_first"), F.max("id").alias("_last"), F.max_by("row_hash", "id").alias("tip"), F.min_by("prev_hash", "id").alias("head"))
+    order = Window.partitionBy("segment_id").orderBy("_part")
+    edges = parts.withColumns({"_before": F.lag("tip").over(order), "_id": F.lag("_last").over(order)})
+    linked = F.coalesce(F.col("head") == F.col("_before"), F.col("_before").isNull())
+    follows = F.coalesce(F.col("_first") == F.col("_id") + 1, F.lit(True))
+    inner = edges.groupBy("segment_id").agg(F.bool_and("hashes_ok").alias("hashes_ok"), F.bool_and(F.col("links_ok") & linked).alias("links_ok"), F.bool_and(F.col("ids_ok") & follows).alias("ids_ok"), F.max_by("tip", "_part").alias("tip"), F.min_by("head", "_part").alias("head"))
     before = registry.withColumn("_prior", F.lag("tip_hash").over(Window.orderBy("first_id")))
     out = before.join(inner, "segment_id", "left")
     ok = F.col("hashes_ok") & F.col("links_ok") & F.col("ids_ok") & (F.col("tip") == F.col("tip_hash")) & (F.col("head") == F.col("first_prev_hash")) & (F.col("_prior").isNull() | (F.col("_prior") == F.col("head")))

@@ -184,3 +184,18 @@ def test_chain_grows_in_rounds(spark, tmp_path):
         tips[r.machine_id] = audit.row_hash(prev, {"action": r.action, "payload": r.payload})
         assert got.pop(r.id) == (r.machine_id, prev, tips[r.machine_id])
     assert not got
+
+
+def test_long_segments_in_ranges(spark):
+    """A segment that is checked in ranges has the verdict it has as a whole."""
+    fields = ["action", "payload"]
+    rows = spark.range(1, 2001).select(F.lit("m").alias("machine_id"), "id", F.lit("a").alias("action"), F.col("id").cast("string").alias("payload"))
+    log = audit.append_batch(rows.withColumn("row_hash", F.lit("")).filter("false"), rows, fields).cache()
+    registry = audit.plan_segment(log, 2000, 0).withColumn("segment_id", F.lit("s")).cache()
+    whole = log.withColumn("segment_id", F.lit("s"))
+    text = lambda df: df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    assert "_part" in text(audit.verify_segments(whole, registry, fields, most=100))
+    at = [1, *range(90, 111), 1000, 2000]
+    cases = [whole, *[whole.filter(F.col("id") != i) for i in at[::4]], *[whole.withColumn("prev_hash", F.when(F.col("id") == i, "0" * 63 + "1").otherwise(F.col("prev_hash"))) for i in at[::6]]]
+    for n, case in enumerate(cases):
+        assert [r.ok for r in audit.verify_segments(case, registry, fields, most=100).collect()] == [n == 0]
