@@ -70,8 +70,9 @@ def verify_chain(audit: DataFrame, columns: list[str] = FIELDS, keys: list[str]
 
 
 def verify_long_chain(audit: DataFrame, parts: int | None = None, columns: list[str] = FIELDS) -> DataFrame:
-    """One chain without a key, in ``parts`` ranges (of a million rows by default)."""
-    rows = max(1, audit.count() // parts) if parts else ROWS
+    """One chain without a key, in ``parts`` ranges, or more where these would be of more
+    than a million rows."""
+    rows = min(ROWS, max(1, audit.count() // parts)) if parts else ROWS
     return verify_chain(audit.withColumn("chain", F.lit("one")), columns, ["chain"], rows)
 
 

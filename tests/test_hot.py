@@ -199,3 +199,14 @@ def test_long_segments_in_ranges(spark):
     cases = [whole, *[whole.filter(F.col("id") != i) for i in at[::4]], *[whole.withColumn("prev_hash", F.when(F.col("id") == i, "0" * 63 + "1").otherwise(F.col("prev_hash"))) for i in at[::6]]]
     for n, case in enumerate(cases):
         assert [r.ok for r in audit.verify_segments(case, registry, fields, most=100).collect()] == [n == 0]
+
+
+def test_ranges_of_a_long_chain_are_bounded(spark, monkeypatch):
+    """Two ranges that are asked for are more where they would be too long."""
+    monkeypatch.setattr(audit, "ROWS", 100)
+    rows = spark.range(1000).select(F.lit("m").alias("machine_id"), "id", F.lit("a").alias("action"), F.lit("b").alias("payload"))
+    chained = audit.append_batch(rows.withColumn("row_hash", F.lit("")).filter("false"), rows, ["action", "payload"], most=1000).cache()
+    asked = []
+    monkeypatch.setattr(audit, "verify_chain", lambda a, c, k, n: asked.append(n))
+    audit.verify_long_chain(chained, 2, ["action", "payload"])
+    assert asked == [100]
