@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import pandas as pd
@@ -1033,8 +1034,7 @@ def _(e):
 def _tree(e):
     """The documents as text files, 64 to a file, and one that scans leave out."""
     path = scratch(e.spark, "tree")
-    rows = e.read("documents").select(F.floor(F.col("doc_id") / 64).alias("chunk"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
-    rows.repartition("chunk").sortWithinPartitions("chunk", "doc_id").select("chunk", "value").write.partitionBy("chunk").text(path)
+    _by_chunk(e).select("chunk", "value").write.partitionBy("chunk").text(path)
     e.spark.range(1).select(F.lit("noise").alias("value")).write.text(f"{path}/@eaDir")
     return path
 
@@ -1067,26 +1067,41 @@ def _(e):
     return out.join(again, "chunk").select("chunk", "size_bytes", F.length("own").alias("digits"), "algo", "error", F.coalesce((F.col("hash") == F.col("own")) & (F.col("read") == F.col("size_bytes")), F.lit(False)).alias("same"))
 
 
+def _by_chunk(e):
+    """The documents as (chunk, doc_id, value), in order, a chunk of 64 in one
+    task, which passes them on in batches: no chunk is held whole."""
+    rows = e.read("documents").select(F.floor(F.col("doc_id") / 64).alias("chunk"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "doc_id")
+
+
+def _runs(frames):
+    """(chunk, its rows so far) of frames in order of chunk, a batch's share at a time."""
+    for f in frames:
+        for c, part in f.groupby("chunk", sort=False):
+            yield int(c), part
+
+
 def _zips(folder):
-    """Write each group of texts as a zip below ``folder``; gives their paths."""
+    """Write each chunk of texts as a zip below ``folder``; gives their paths."""
     import zipfile
 
     def write(frames):
-        for f in frames:
-            for name, ids, texts in zip(f["name"], f["ids"], f["texts"], strict=True):
-                with trees.created(f"{folder}/{name}.zip") as out, zipfile.ZipFile(out, "w") as z:
-                    for k, (i, t) in enumerate(zip(ids, texts, strict=True)):
+        for c, parts in itertools.groupby(_runs(frames), key=lambda x: x[0]):
+            path, k = f"{folder}/{c}.zip", 0
+            with trees.created(path) as out, zipfile.ZipFile(out, "w") as z:
+                for _, part in parts:
+                    for i, t in zip(part["doc_id"], part["value"], strict=True):
                         z.writestr(f"d/{i}.txt", t, zipfile.ZIP_DEFLATED if k % 4 else zipfile.ZIP_STORED)
-                    z.writestr("__MACOSX/d/._x", "no")
-            yield pd.DataFrame({"path": [f"{folder}/{n}.zip" for n in f["name"]]})
+                        k += 1
+                z.writestr("__MACOSX/d/._x", "no")
+            yield pd.DataFrame({"path": [path]})
 
     return write
 
 
 def _archives(e):
     """The documents as zips, 64 to a zip."""
-    rows = e.read("documents").groupBy(F.floor(F.col("doc_id") / 64).cast("string").alias("name")).agg(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("t")))).alias("d"))
-    return stored(rows.select("name", F.col("d.doc_id").alias("ids"), F.col("d.t").alias("texts")).mapInPandas(_zips(scratch(e.spark, "zips")), "path string"), "paths")
+    return stored(_by_chunk(e).mapInPandas(_zips(scratch(e.spark, "zips")), "path string"), "paths")
 
 
 MEMBER_ROWS = "SELECT (doc_id // 64) || '.zip' AS archive, 'd/' || doc_id || '.txt' AS member, sha256(coalesce(text, '')) AS hash, strlen(coalesce(text, ''))::BIGINT AS size_bytes, CAST(NULL AS VARCHAR) AS error FROM documents"
@@ -1351,16 +1366,15 @@ def _texts(e):
     folder = scratch(e.spark, "live").removeprefix("file://")
 
     def write(frames):
-        for f in frames:
-            paths = [f"{folder}/s{c % 3}/{c}.txt" for c in f["chunk"]]
-            for path, body in zip(paths, f["body"], strict=True):
-                with trees.created(path) as out:
-                    out.write(body.encode())
-            yield pd.DataFrame({"chunk": f["chunk"], "path": paths})
-
-    line = F.concat(F.coalesce(F.col("text"), F.lit("")), F.lit("\n"))
-    rows = e.read("documents").groupBy(F.floor(F.col("doc_id") / 64).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("t")))).alias("d"))
-    return folder, stored(rows.select("chunk", F.array_join(F.transform("d", lambda x: x["t"]), "").alias("body")).mapInPandas(write, "chunk long, path string"), "texts")
+        for c, parts in itertools.groupby(_runs(frames), key=lambda x: x[0]):
+            path = f"{folder}/s{c % 3}/{c}.txt"
+            with trees.created(path) as out:
+                for _, part in parts:
+                    for t in part["value"]:
+                        out.write(f"{t}\n".encode())
+            yield pd.DataFrame({"chunk": [c], "path": [path]})
+
+    return folder, stored(_by_chunk(e).mapInPandas(write, "chunk long, path string"), "texts")
 
 
 def _change(texts, folder):
