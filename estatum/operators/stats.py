@@ -279,13 +279,20 @@ def hashes_upsert(observed: DataFrame) -> DataFrame:
     return observed.groupBy("permanode_id", "algo").agg(F.min_by("hex", F.struct("computed_at", "hex")).alias("hex"))
 
 
-def supersede_claims(claims: DataFrame, order: list[Column] | None = None) -> DataFrame:
+#: Claims that one task ranks, about.
+CLAIMS_A_TASK = 500_000
+
+
+def supersede_claims(claims: DataFrame, order: list[Column] | None = None, most: int = CLAIMS_A_TASK) -> DataFrame:
     """The newest sighting of each (machine, path, container) is current; a delete
-    closes it."""
+    closes it.  More than ``most`` claims are dealt into parts of about so many by path, so
+    what a task sorts doesn't grow with the claims."""
+    n, cores = claims.count(), claims.sparkSession.sparkContext.defaultParallelism
+    dealt = claims.repartition(max(cores, -(-n // most)), "machine_id", "file_path") if n > most else claims
     newest = Window.partitionBy("machine_id", "file_path", "container_path").orderBy(*(order or [F.desc("scan_run_id"), F.desc("claim_id")]))
     rn = F.row_number().over(newest)
     gone = F.coalesce(F.col("deleted"), F.lit(False)) if "deleted" in claims.columns else F.lit(False)
-    return claims.withColumn("_rn", rn).withColumn("is_current", (F.col("_rn") == 1) & ~gone).drop("_rn")
+    return dealt.withColumn("_rn", rn).withColumn("is_current", (F.col("_rn") == 1) & ~gone).drop("_rn")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

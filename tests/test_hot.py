@@ -210,3 +210,12 @@ def test_ranges_of_a_long_chain_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(audit, "verify_chain", lambda a, c, k, n: asked.append(n))
     audit.verify_long_chain(chained, 2, ["action", "payload"])
     assert asked == [100]
+
+
+def test_many_claims_are_ranked_in_parts(spark):
+    """What a task ranks is bounded by a number of claims, with the same verdicts."""
+    rows = spark.range(20_000).select(F.lit("m").alias("machine_id"), (F.col("id") % 7000).cast("string").alias("file_path"), F.when(F.col("id") % 3 == 0, "z").alias("container_path"), (F.col("id") % 11).alias("scan_run_id"), F.col("id").alias("claim_id"))
+    parts = stats.supersede_claims(rows, most=1000)
+    assert max(r["count"] for r in parts.groupBy(F.spark_partition_id()).count().collect()) < 2000
+    current = lambda df: {r.claim_id for r in df.filter("is_current").collect()}
+    assert current(parts) == current(stats.supersede_claims(rows))
