@@ -229,27 +229,40 @@ def live_stats(claims: DataFrame, size: str = "1 hour", slide: str | None = None
 
 
 DELTA = "tier string, claims long, bytes long"
+NEWEST = "machine_id string, file_path string, container string, run long, claim long, tier string, size long, deleted boolean"
+#: Buckets that paths are dealt into by hash, each with one state.
+BUCKETS = 256
 
 
 class CurrentClaim(StatefulProcessor):
-    """Keeps the newest claim of a path (machine, path, container); gives what changes in
-    the counts of current claims when one is superseded or closed."""
+    """Keeps the newest claim of each path (machine, path, container) of a bucket; gives
+    what changes in the counts of current claims, by tier, when claims come, are superseded
+    or closed.  A bucket's state is one list, read and written as a whole: a call a path
+    would cost milliseconds each.  A batch of few paths touches their buckets only."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", "run long, claim long, tier string, size long, deleted boolean")
+        self.newest = handle.getListState("newest", NEWEST)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = self.newest.get() if self.newest.exists() else None
-        got = pd.concat(list(rows)).sort_values(["scan_run_id", "claim_id"]).iloc[-1]
-        new = (int(got["scan_run_id"]), int(got["claim_id"]), got["tier"], int(got["size_bytes"]), bool(got["deleted"]))
-        out = []
-        if old is None or tuple(old[:2]) < new[:2]:  # an older one that comes late changes nothing
-            if old is not None and not old[4]:
-                out.append((old[2], -1, -old[3]))
-            if not new[4]:
-                out.append((new[2], 1, new[3]))
-            self.newest.update(new)
-        yield pd.DataFrame(out, columns=["tier", "claims", "bytes"])
+        held = {r[:3]: r[3:] for r in map(tuple, self.newest.get())} if self.newest.exists() else {}
+        fresh: dict[tuple, tuple] = {}
+        for f in rows:
+            values = (f[c] for c in ("machine_id", "file_path", "container", "scan_run_id", "claim_id", "tier", "size_bytes", "deleted"))
+            for m, p, c, run, claim, tier, size, deleted in zip(*values, strict=True):
+                path, new = (m, p, c), (int(run), int(claim), tier, int(size), bool(deleted))
+                old = fresh.get(path) or held.get(path)
+                if old is None or old[:2] < new[:2]:  # an older one that comes late changes nothing
+                    fresh[path] = new
+        changes: dict[str, list[int]] = {}
+        for path, new in fresh.items():
+            for sign, claim in ((-1, held.get(path)), (1, new)):
+                if claim is not None and not claim[4]:
+                    by = changes.setdefault(claim[2], [0, 0])
+                    by[0] += sign
+                    by[1] += sign * claim[3]
+        if fresh:
+            self.newest.put([path + claim for path, claim in {**held, **fresh}.items()])
+        yield pd.DataFrame([(tier, *by) for tier, by in changes.items() if any(by)], columns=["tier", "claims", "bytes"])
 
     def close(self) -> None:
         pass
@@ -261,7 +274,8 @@ def current_deltas(claims: DataFrame) -> DataFrame:
     Needs the RocksDB state store provider."""
     none = F.lit(False)
     rows = claims.select("machine_id", "file_path", F.coalesce("container_path", F.lit("")).alias("container"), "scan_run_id", "claim_id", "tier", F.coalesce("size_bytes", F.lit(0)).cast("long").alias("size_bytes"), (F.coalesce("deleted", none) if "deleted" in claims.columns else none).alias("deleted"))
-    return rows.groupBy("machine_id", "file_path", "container").transformWithStateInPandas(statefulProcessor=CurrentClaim(), outputStructType=T._parse_datatype_string(DELTA), outputMode="append", timeMode="None")
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("machine_id", "file_path", "container"), F.lit(BUCKETS)).cast("int"))
+    return dealt.groupBy("bucket").transformWithStateInPandas(statefulProcessor=CurrentClaim(), outputStructType=T._parse_datatype_string(DELTA), outputMode="append", timeMode="None")
 
 
 def current_counts(deltas: DataFrame) -> DataFrame:

@@ -187,6 +187,21 @@ def test_current_counts(spark, tmp_path):
         assert {(r.tier, r.claim_count, r.bytes_total) for r in live.collect()} == {(r.tier, r.claim_count, r.bytes_total) for r in batch.collect()}
 
 
+def test_current_counts_of_many_paths(spark, tmp_path):
+    """Paths share the calls for their states: there are no more keys than buckets."""
+    c = spark.range(20_000).select(F.lit("m").alias("machine_id"), F.concat(F.lit("/"), F.col("id").cast("string")).alias("file_path"), F.lit(None).cast("string").alias("container_path"), F.lit("L1").alias("tier"), F.lit(2).cast("long").alias("size_bytes"), F.lit(1).cast("long").alias("scan_run_id"), F.col("id").alias("claim_id"))
+    later = c.filter("claim_id % 2 = 0").withColumns({"tier": F.lit("L2"), "scan_run_id": F.lit(2).cast("long")})
+    for rows in (c, later):
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        deltas = stream.current_deltas(spark.readStream.schema(c.schema).parquet(str(tmp_path / "in")))
+        q = deltas.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(240)
+    got = spark.read.schema(stream.DELTA).parquet(str(tmp_path / "out"))
+    # a row a bucket and tier that changed, not a row a path
+    assert got.count() <= 3 * stream.BUCKETS
+    assert {tuple(r) for r in stream.current_counts(got).collect()} == {("L1", 10_000, 20_000), ("L2", 10_000, 20_000)}
+
+
 def test_chain_tip(spark, tmp_path):
     rows = spark.createDataFrame([("m0", i, "a", str(i)) for i in range(6)], "machine_id string, id long, action string, payload string")
     fields = ["action", "payload"]
