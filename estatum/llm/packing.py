@@ -43,37 +43,71 @@ from estatum.llm.common import extended, materialize, table, with_rank
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k.json"
 #: How the byte-level vocabulary splits text before merging, in the
-#: standard library's terms, which agree with it on the characters of PLAIN.
-SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-NOT_PLAIN = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞€]|<\\|endoftext\\|>")
-#: Words kept by a worker, characters of the texts that are split at once.
-CACHED, AT_ONCE = 500_000, 1 << 19
+#: standard library's terms, which agree with it on plain texts (letters first, since most
+#: words are of these and no other way begins with one).
+LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+SPLIT = re.compile(rf" ?[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?[^\s\d{LETTER}]+|\s+(?!\S)|\s+")
+NOT_PLAIN = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞€]")
+SPECIAL = "<|endoftext|>"
+#: Words kept by a worker in each of two generations, characters of the texts that are split
+#: at once, words that are encoded at once.
+CACHED, AT_ONCE, WORDS = 500_000, 1 << 19, 4096
 #: Classes of lengths: the last takes all under this share of the capacity.  By how much bundles shrink.
 LAST, SHRINK = 16, 4
 
 
-class Encoder(dict):
+class Encoder:
     """Ids of texts as little-endian 32-bit bytes, all by the tokenizer.  Words, which
-    it never merges across, are encoded once and kept; texts that the split does not
-    cover are given to the tokenizer whole."""
+    it never merges across, are encoded in lots, as lines, and kept; texts that the split
+    does not cover are given to the tokenizer whole.  Of the words, those
+    met since the last CACHED new ones are kept, and the CACHED before them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
         self.tokenizer = Tokenizer.from_file(path)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def lines(self, words: list[str]) -> list[bytes]:
+        """Ids of words of the split that aren't space, given to the tokenizer as lines of
+        one text, which it cuts at the same places: no such word has the line end's id."""
+        (e,) = self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)
+        ids = np.array(e.ids, "<u4")
+        ends = (4 * np.flatnonzero(ids == self.line)).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *(x + 4 for x in ends)], [*ends, len(data)], strict=True)]
+
+    def learn(self, words: set[str]) -> None:
+        """Keep the ids of words that are not among the young."""
+        if len(self.young) > CACHED:
+            self.old, self.young = self.young, {}
+        fresh = []
+        for w in words:
+            if (ids := self.old.get(w)) is None:
+                fresh.append(w)
+            else:
+                self.young[w] = ids
+        spaces, fresh = [w for w in fresh if w.isspace()], [w for w in fresh if not w.isspace()]
+        self.young.update(zip(spaces, self.raw(spaces), strict=True))
+        for i in range(0, len(fresh), WORDS):
+            lot = fresh[i : i + WORDS]
+            self.young.update(zip(lot, self.lines(lot), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if NOT_PLAIN.search(t) else SPLIT.findall(t) for t in texts]
-        unknown = list({w for words in split if words for w in words if w not in self})
-        if len(self) + len(unknown) > CACHED:
-            self.clear()
-            unknown = list({w for words in split if words for w in words})
-        self.update(zip(unknown, self.raw(unknown), strict=True))
-        return [self.raw([t])[0] if words is None else b"".join(map(self.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+        split = [None if NOT_PLAIN.search(t) or SPECIAL in t else SPLIT.findall(t) for t in texts]
+        known = [words and list(map(self.young.get, words)) for words in split]
+        gaps = [words and [i for i, ids in enumerate(found) if ids is None] for words, found in zip(split, known, strict=True)]
+        self.learn({words[i] for words, at in zip(split, gaps, strict=True) if words for i in at})
+        for words, found, at in zip(split, known, gaps, strict=True):
+            for i in at or ():
+                found[i] = self.young[words[i]]
+        return [self.raw([t])[0] if words is None else b"".join(found) for t, words, found in zip(texts, split, known, strict=True)]
 
     def stream(self, texts):
         """Ids of each text, in order; texts go in lots of about AT_ONCE characters."""

@@ -347,6 +347,38 @@ def test_packing(docs, rows):
     assert len(by) <= math.ceil(sum(r.length for r in out) / 2048) + 1
 
 
+def test_encoder_gives_words_in_lots(monkeypatch):
+    """New words are lines of a few encodings, and words in use stay when others go."""
+    import public_tokenizers
+
+    class Counted:
+        def __init__(self, own):
+            self.own, self.given = own, []
+
+        def encode(self, *args, **kw):
+            return self.own.encode(*args, **kw)
+
+        def encode_batch_fast(self, texts, **kw):
+            self.given += texts
+            return self.own.encode_batch_fast(texts, **kw)
+
+    rng = random.Random(5)
+    parts = ["a", "Zürich", "ſ", "'s", "'", "\n", " ", "\t", "_", "12", "²", "É", ",", "!?", "\u00a0", "\x1c", "😀", "<|endoftext|>", "\r\n", "don't", "“x”", "ß", "\x85"]
+    texts = ["".join(rng.choices(parts, weights=[8] * 9 + [1] * 14, k=rng.randint(0, 30))) for _ in range(2000)]
+    texts += ["common " + " ".join(f"w{''.join(rng.choices('abcdefghij', k=6))}" for _ in range(20)) for _ in range(200)]
+    monkeypatch.setattr(packing, "CACHED", 300)
+    monkeypatch.setattr(packing, "AT_ONCE", 400)
+    own = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
+    plain, own.tokenizer = own.tokenizer, Counted(own.tokenizer)
+    assert list(own.stream(texts)) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    given = collections.Counter(w for t in own.tokenizer.given for w in t.split("\n"))
+    assert given["common"] <= 2 and len(own.young) + len(own.old) < 1000
+    own.tokenizer.given.clear()
+    words = [f"{a}{b}x{c}y" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyzabcd"]
+    own.encode([" ".join(words)])
+    assert len(own.tokenizer.given) <= 2
+
+
 def test_cut():
     assert packing.cut(1, 8) == [(0, 1)] and packing.cut(8, 8) == [(0, 8)]
     assert packing.cut(17, 8) == [(0, 1), (1, 8), (9, 8)] and packing.cut(16, 8) == [(0, 8), (8, 8)]
