@@ -1460,7 +1460,7 @@ def _(e):
 @query("stream_audit_tip", "SELECT machine_id, id, NOT (id % 97 = 96 AND machine_id <> 'm1') AS ok FROM log", LOG)
 def _(e):
     """Links of the chained log as a stream, payloads changed afterwards."""
-    folder = scratch(e.spark, "chain")
-    _tampered(e).write.parquet(folder)
-    live = e.spark.readStream.schema(_tampered(e).schema).parquet(folder)
+    rows, folder = _tampered(e), scratch(e.spark, "chain")
+    rows.write.parquet(folder)
+    live = e.spark.readStream.schema(rows.schema).parquet(folder)
     return _drained(stream.audit_tip(live, COLUMNS), "tips")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 from collections.abc import Iterator
@@ -284,26 +283,63 @@ def current_counts(deltas: DataFrame) -> DataFrame:
     return out.filter("claim_count > 0")
 
 
+#: Ids that one call checks the links of.
+IDS = 1 << 16
+PART = "machine_id string, first long, head string, good boolean, tip string, ids array<long>, oks array<boolean>"
+TIPS = "machine_id string, ids array<long>, oks array<boolean>"
+
+
+class ChainPart(StatefulProcessor):
+    """Checks the links inside a range of ids of a machine's rows of a micro-batch; its
+    first link is left to ``ChainTip``, with the range's last hash.  Keeps nothing."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        got = pd.concat(list(rows)).sort_values("id", kind="stable")
+        ids, heads, tips, good = (got[c].to_numpy() for c in ("id", "prev_hash", "row_hash", "good"))
+        oks = good[1:] & (heads[1:] == tips[:-1])
+        yield pd.DataFrame({"machine_id": [key[0]], "first": ids[:1], "head": heads[:1], "good": good[:1], "tip": tips[-1:], "ids": [ids[1:].tolist()], "oks": [oks.astype(bool).tolist()]})
+
+    def close(self) -> None:
+        pass
+
+
 class ChainTip(StatefulProcessor):
-    """Keeps each machine's tip; gives a row for each link that doesn't fit."""
+    """Keeps each machine's tip; says of each link whether it fits.  Links inside ranges are
+    passed on as they come, and the first ones, one a range, wait to be put in order."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.tip = handle.getValueState("tip", "hash string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        edges = []
+        for f in rows:
+            firsts = [None if pd.isna(x) else int(x) for x in f["first"]]
+            edges += zip(firsts, f["head"], f["good"].tolist(), f["tip"], strict=True)
+            yield f[["machine_id", "ids", "oks"]]
         tip = self.tip.get()[0] if self.tip.exists() else "0" * 64
-        out = []
-        for r in pd.concat(list(rows)).sort_values("id").itertuples():
-            good = r.prev_hash == tip and r.row_hash == hashlib.sha256((r.prev_hash + r.body).encode()).hexdigest()
-            out.append((key[0], r.id, good))
-            tip = r.row_hash
+        edges.sort(key=lambda e: (e[0] is None, e[0] or 0))
+        oks = []
+        for _, head, good, last in edges:
+            oks.append(good and head == tip)
+            tip = last
         self.tip.update((tip,))
-        yield pd.DataFrame(out, columns=["machine_id", "id", "ok"])
+        yield pd.DataFrame({"machine_id": [key[0]], "ids": [[e[0] for e in edges]], "oks": [oks]})
 
     def close(self) -> None:
         pass
 
 
-def audit_tip(audit: DataFrame, columns: list[str]) -> DataFrame:
-    body = audit.select("machine_id", "id", "prev_hash", "row_hash", derive.canonical_audit_json(columns).alias("body"))
-    return body.groupBy("machine_id").transformWithStateInPandas(statefulProcessor=ChainTip(), outputStructType=T._parse_datatype_string("machine_id string, id long, ok boolean"), outputMode="append", timeMode="None")
+def audit_tip(audit: DataFrame, columns: list[str], ids: int = IDS) -> DataFrame:
+    """(machine_id, id, ok) of log rows as they arrive.  A micro-batch is cut into ranges of
+    ``ids`` ids of a machine, each one call's, and a machine's tip meets the ranges' first
+    and last hashes: no task holds a machine's rows, however many come at once.  Where ids
+    are sparse, wider ranges hold as many rows with fewer calls.  Needs the RocksDB state
+    store provider."""
+    chain = lambda rows, by, processor, schema: rows.groupBy(*by).transformWithStateInPandas(statefulProcessor=processor, outputStructType=T._parse_datatype_string(schema), outputMode="append", timeMode="None")
+    hashed = F.sha2(F.concat("prev_hash", derive.canonical_audit_json(columns)), 256)
+    rows = audit.select("machine_id", "id", "prev_hash", "row_hash", F.coalesce(F.col("row_hash") == hashed, F.lit(False)).alias("good"), F.expr(f"id div {ids}").alias("part"))
+    parts = chain(rows, ["machine_id", "part"], ChainPart(), PART)
+    return chain(parts, ["machine_id"], ChainTip(), TIPS).select("machine_id", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("oks").alias("ok"))))

@@ -212,6 +212,60 @@ def test_chain_tip(spark, tmp_path):
     assert [r.id for r in drain(live, tmp_path, "tips") if not r.ok] == [3]
 
 
+def test_chain_tip_in_ranges(spark, tmp_path):
+    """Links inside ranges of ids, between them, over gaps and from one run to the next."""
+    digest = lambda prev, body: hashlib.sha256((prev + body).encode()).hexdigest()
+    schema, want, batches = "machine_id string, id long, payload string, prev_hash string, row_hash string", {}, []
+    tips = dict.fromkeys(("m0", "m1", None), "0" * 64)
+    for at in (range(-9, 20), range(20, 90)):
+        rows = []
+        for m in tips:
+            for i in [*(i for i in at if i % 7 and not 40 < i < 60), *[None] * (m == "m0")]:
+                body = json.dumps({"payload": str(i)}, separators=(",", ":"))
+                prev = "f" * 64 if i in (8, 25, 64) and m == "m0" else None if i == 31 and m == "m1" else tips[m]
+                row = digest(prev or "", body if i not in (-1, 15, 89) or m == "m1" else "x")
+                want[m, at.start if i is None else i, i is None] = prev == tips[m] and prev is not None and row == digest(prev, body)
+                rows.append((m, i, str(i), prev, row))
+                tips[m] = row
+        batches.append(rows[::2] + rows[1::2][::-1])
+    assert list(want.values()).count(False) == 3 + 2 * 3 + 1
+    got = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(str(tmp_path / "log"))
+        live = stream.audit_tip(spark.readStream.schema(schema).parquet(str(tmp_path / "log")), ["payload"], ids=8)
+        live.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(240)
+    got = spark.read.schema("machine_id string, id long, ok boolean").parquet(str(tmp_path / "out")).collect()
+    assert sorted(map(str, ((r.machine_id, r.id, r.ok) for r in got))) == sorted(map(str, ((m, None if none else i, ok) for (m, i, none), ok in want.items())))
+
+
+def test_chain_tip_holds_no_rows():
+    """Rows of a range are passed on before the next range is read."""
+    import pandas as pd
+
+    class Tip:
+        def getValueState(self, *_):
+            return self
+
+        def exists(self):
+            return False
+
+        def update(self, value):
+            self.value = value
+
+    read, tip, processor = [], Tip(), stream.ChainTip()
+    processor.init(tip)
+
+    def frames():
+        for k in (1, 0, 2):
+            read.append(k)
+            yield pd.DataFrame({"machine_id": ["m"], "first": [4 * k], "head": [f"{k}" if k else "0" * 64], "good": [k != 2], "tip": [f"{k + 1}"], "ids": [[4 * k + 1]], "oks": [[True]]})
+
+    out = processor.handleInputRows(("m",), frames(), None)
+    assert next(out)["ids"].tolist() == [[5]] and read == [1]
+    *_, last = out
+    assert last["ids"].tolist() == [[0, 4, 8]] and last["oks"].tolist() == [[True, True, False]] and tip.value == ("3",)
+
+
 def test_live_stats(spark, tmp_path):
     rows = spark.createDataFrame([("2026-01-01 00:10:00", "L1", 5), ("2026-01-01 00:20:00", "L1", 6), ("2026-01-01 09:00:00", "L2", 1)], "t string, tier string, size_bytes long").select(F.col("t").cast("timestamp").alias("observed_at"), "tier", "size_bytes")
     rows.coalesce(1).write.parquet(str(tmp_path / "c"))
