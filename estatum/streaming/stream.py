@@ -283,8 +283,8 @@ def current_counts(deltas: DataFrame) -> DataFrame:
     return out.filter("claim_count > 0")
 
 
-#: Ids that one call checks the links of.
-IDS = 1 << 16
+#: Ids that one call checks the links of; ranges whose verdicts are written at once.
+IDS, PASSED = 1 << 16, 8
 PART = "machine_id string, first long, head string, good boolean, tip string, ids array<long>, oks array<boolean>"
 TIPS = "machine_id string, ids array<long>, oks array<boolean>"
 
@@ -318,7 +318,8 @@ class ChainTip(StatefulProcessor):
         for f in rows:
             firsts = [None if pd.isna(x) else int(x) for x in f["first"]]
             edges += zip(firsts, f["head"], f["good"].tolist(), f["tip"], strict=True)
-            yield f[["machine_id", "ids", "oks"]]
+            for i in range(0, len(f), PASSED):
+                yield f[["machine_id", "ids", "oks"]].iloc[i : i + PASSED]
         tip = self.tip.get()[0] if self.tip.exists() else "0" * 64
         edges.sort(key=lambda e: (e[0] is None, e[0] or 0))
         oks = []
