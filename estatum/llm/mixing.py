@@ -113,7 +113,8 @@ def _sums(cells: DataFrame, mu: np.ndarray) -> np.ndarray:
 
     rows = cells.repartition("number").sortWithinPartitions("number").mapInPandas(run, "at long, x double")
     out = np.zeros(1 + k + k * k)
-    for r in rows.groupBy("at").agg(F.sum("x").alias("x")).toLocalIterator():
+    # len(out) rows at most, in one job; an iterator would run a job for each partition
+    for r in rows.groupBy("at").agg(F.sum("x").alias("x")).collect():
         out[r.at] = r.x
     return out
 

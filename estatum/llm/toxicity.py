@@ -18,6 +18,7 @@ toxic.
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from estatum.llm.common import extended, materialize, table
 
 TOKEN = re.compile(r"[^\W\d_]+")
-#: Bound of the labelled documents (by hash) that the fit gathers on the driver.
+#: Bound of the labelled documents (by hash) that the fit gathers in one task.
 FIT_DOCS = 1600
 #: Weight from which a word or stem of the fit's documents is listed.
 LISTED = 1.5
@@ -244,9 +245,30 @@ def train(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> Crf:
     picked = materialize(parts[0].unionByName(parts[1]), "fit")
     # only features that the fit sees can get a weight, so the list is bounded by its documents
     among = listed_features(picked).distinct()
-    rows = [(r.text, r.label) for r in picked.orderBy(F.desc("label"), "_h", "text").collect()]
-    odds = {r.word: r.weight for r in word_odds(labelled, among=among).collect()}
-    return fit(rows, odds)
+    return fitted(picked, word_odds(labelled, among=among))
+
+
+def fitted(picked: DataFrame, odds: DataFrame) -> Crf:
+    """``fit`` to (text, label, _h) and (word, weight), in a task: neither the texts nor what
+    the fit takes are the driver's, which gets the weights alone."""
+
+    def run(batches):
+        docs, listed = [], {}
+        for b in batches:
+            for kind, x, text in zip(b.column("kind").to_pylist(), b.column("x").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if kind:
+                    listed[text] = x
+                else:
+                    docs.append((text, int(x)))
+        model = fit(docs, listed)
+        model.memo = None  # each worker keeps its own
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    texts = picked.select(F.lit(0).alias("kind"), F.col("label").cast("double").alias("x"), "_h", "text")
+    words = odds.select(F.lit(1).alias("kind"), F.col("weight").alias("x"), F.lit(0).cast("long").alias("_h"), F.col("word").alias("text"))
+    rows = texts.unionByName(words).repartition(1).sortWithinPartitions("kind", F.desc("x"), "_h", "text")
+    models = rows.mapInArrow(run, "model binary").collect()
+    return pickle.loads(models[0].model) if models else fit([], {})
 
 
 def toxic_scores(df: DataFrame, model: Crf, keep: list[str], text: str = "text", span_at: float = 0.5) -> DataFrame:

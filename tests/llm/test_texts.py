@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import string
@@ -519,6 +520,41 @@ def test_listed_words_are_those_of_the_fit(spark):
     assert "badword" in model.emit and len(model.emit) <= 20 * 20
 
 
+def test_the_fit_is_a_task(spark, monkeypatch):
+    """The driver gets the weights alone: it neither fits nor gathers texts."""
+    rows = [(i, f"{'badword ' * (i % 2)}word{chr(97 + i % 26)} other", i % 2) for i in range(120)] + [(200, "é 😀 badword", 1), (201, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    ordered = df.select("text", F.col("toxic").alias("label"), F.xxhash64("doc_id", F.lit(7)).alias("_h")).orderBy(F.desc("label"), "_h", "text")
+    want = toxicity.fit([(r.text, r.label) for r in ordered.collect()], {r.word: r.weight for r in toxicity.word_odds(df).collect()})
+    own, driver = toxicity.fit, os.getpid()
+
+    def elsewhere(*a):
+        assert os.getpid() != driver
+        return own(*a)
+
+    monkeypatch.setattr(toxicity, "fit", elsewhere)
+    got = toxicity.train(df)
+    assert got.emit == want.emit and "badword" in got.emit and got.memo is None
+    assert (got.bias, got.a, got.b) == (want.bias, want.a, want.b) and (got.trans == want.trans).all() and (got.start == want.start).all()
+
+
+def test_sums_are_one_job(spark):
+    """However many partitions the sums have, they are not fetched by a job each."""
+    cells = spark.createDataFrame([(i, 10.0, 5 + i, i % 3, 3 + i % 2) for i in range(40)], "number long, target double, tokens long, lang int, band int")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "30")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.sparkContext.setJobGroup("sums", "sums")
+        out = mixing._sums(cells, np.zeros(5))
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("sums")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert out[1:6].sum() == pytest.approx(2 * 400) and len(jobs) < 10
+
+
 def test_mixing_reruns_agree(spark):
     """Documents of one id, source and size but other texts: the same ones are copied."""
     rows = [(1, f"t{i} " + "w " * 9, "s") for i in range(40)] + [(i, "x " * 9, "r") for i in range(2, 30)]
